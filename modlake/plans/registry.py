@@ -1,6 +1,8 @@
-"""Queries over the given tables by name, and their DuckDB SQL."""
+"""All registered queries and their DuckDB SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from modlake.plans import collection, evaluation, streams  # noqa: F401  each registers its queries
+from modlake.plans.base import ORACLES, QUERIES
+
+__all__ = ["QUERIES", "ORACLES"]
