@@ -79,10 +79,10 @@ def exact_weighted_sample(df: DataFrame, n: int, row_id: str, weight: str = "wei
     r = global_rank(df.select(row_id, weight), row_id, sums={"upto": F.col(weight)})
     total = r.agg(F.max("upto")).first()[0]
     width = total / max(n, 1)
-    draws = df.sparkSession.range(n).withColumn("x", hashed_uniform(seed, "id") * total).withColumn("_b", F.floor(F.col("x") / width))
-    spans = r.withColumn("from", F.col("upto") - F.col(weight)).withColumn("_b", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor(F.col("upto") / width))))
-    hit = draws.join(spans, "_b").filter("x >= from and x < upto").select("id", row_id)
-    return hit.join(df, row_id).withColumnRenamed("id", "draw")
+    draws = df.sparkSession.range(n).withColumnRenamed("id", "draw").withColumn("x", hashed_uniform(seed, "draw") * total).withColumn("_b", F.floor(F.col("x") / width))
+    spans = r.withColumn("low", F.col("upto") - F.col(weight)).withColumn("_b", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("upto") / width))))
+    hit = draws.join(spans, "_b").filter("x >= low and x < upto").select("draw", row_id)
+    return hit.join(df, row_id)
 
 
 def class_alpha(df: DataFrame, classes: list[str], labels: str = "labels", lo: float = 0.25, hi: float = 0.75) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def frame_signal(samples: str, size: int, hop: int) -> Column:
@@ -35,7 +36,7 @@ def mel_bank(rate: int, size: int, mels: int, low: float, high: float) -> np.nda
 
 def log_mel(df: DataFrame, row_id: str, samples: str, rate: int = 16000, size: int = 1024, hop: int = 320, mels: int = 128, low: float = 50.0, high: float = 8000.0) -> DataFrame:
     """row_id, feature (mels x frames): log(mel power + 1e-6). One row a clip; null or empty samples give null."""
-    schema = df.select(row_id).schema.add("feature", "array<array<float>>")
+    schema = df.select(row_id).schema.add("feature", T.ArrayType(T.ArrayType(T.FloatType())))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bank = mel_bank(rate, size, mels, low, high)
