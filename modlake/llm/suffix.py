@@ -299,6 +299,7 @@ def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = windows.groupBy("g", "l", "w").agg(F.sum("n").alias("m")).filter("m > 1").drop("m")
     spread = windows.join(shared, ["g", "l", "w"]).select("g", "ctx", F.struct("l", (LENGTH - F.col("l")).alias("r")).alias("c"))
     covers = copied.unionByName(trees).unionByName(spread).groupBy("g", "ctx").agg(F.collect_set("c").alias("covers"))
+    covers = saved(covers, "covers")  # read anew, both sides of the join are plain shuffles, and Spark splits a class that is copied around
 
     spans = found.select("k1", "k2", "pos", "g", "ctx").join(covers, ["g", "ctx"]).select("k1", "k2", "pos", F.explode("covers").alias("c"))
     spans = spans.groupBy("k1", "k2").agg(F.sort_array(F.collect_set(F.struct((F.col("pos") - F.col("c.l")).alias("s"), (F.col("pos") + F.col("c.r")).alias("e")))).alias("spans"))
