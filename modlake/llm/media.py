@@ -314,7 +314,7 @@ def decode_group(pics: list[dict]) -> list[np.ndarray]:
     mask = (1 << np.arange(17)) - 1
     pos, left, blk, b, k = _in_step(win, limit, luts, tdc, tac, pos, left, blk, out, mask, per)
     while len(pos):
-        kind = b if per == 1 else b % per
+        kind = b % per
         t = np.where(k == 0, tdc[kind], tac[kind])
         byte = pos >> 3
         if byte.max() > limit:

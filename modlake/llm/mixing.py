@@ -69,6 +69,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     laid = docs.alias("d").join(sources.alias("s"), same).select("d.*", "source_size", "target", "every", "rest")
     laid = laid.withColumn("large", F.col("size") * LARGE > F.col("source_size"))
 
+    small = laid.filter("not large").withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
+    sums = saved(small.groupBy("source", "rest", "bucket").agg(F.sum("size").alias("words")), "buckets")
+    room = sums.groupBy("source").agg(F.sum("words").alias("room"))
+
     # of each source fewer than LARGE large documents: in the order of their hash, each that brings the sum nearer to its share
     big = laid.filter("large").groupBy("source", "source_size", "target", "every", "rest").agg(F.sort_array(F.collect_list(F.struct("h", "doc_id", "size"))).alias("docs"), F.sum("size").alias("words"))
     share = F.col("words") * F.col("rest") / F.col("source_size")
@@ -78,12 +82,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         take = done["upto"] + doc["size"] / 2 <= share
         return F.struct((done["upto"] + F.when(take, doc["size"]).otherwise(0)).alias("upto"), F.concat(done["drawn"], F.array(take)).alias("drawn"))
 
-    big = big.withColumn("drawn", F.aggregate("docs", start, draw)["drawn"]).withColumn("one", F.explode(F.arrays_zip("docs", "drawn")))
-    big = saved(big.select("one.docs.doc_id", "source", "one.docs.size", "source_size", "target", "every", "one.drawn"), "large")
-    by_big = big.groupBy("source").agg(F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0)).alias("got"))
+    big = big.withColumn("fold", F.aggregate("docs", start, draw)).alias("d").join(room.alias("s"), same, "left").select("d.*", F.coalesce("room", F.lit(0)).alias("room"))
+    # what small documents can't make up, one large one does with a part of its words
+    missing = F.col("rest") - F.col("fold.upto")
+    big = big.withColumn("over", missing - F.greatest(F.lit(0), F.least(F.col("room"), missing)))
+    each = F.arrays_zip("docs", F.col("fold.drawn").alias("drawn"))
+    fits = F.transform(each, lambda x, i: F.when(F.when(F.col("over") > 0, ~x["drawn"] & (x["docs"]["size"] >= F.col("over"))).otherwise(x["drawn"] & (x["docs"]["size"] >= -F.col("over"))), i))
+    at = F.when(F.col("over") > 0, F.array_min(fits)).when(F.col("over") < 0, F.array_max(fits))
+    big = big.withColumn("at", at).select("source", "source_size", "target", "every", "over", "at", F.posexplode(each).alias("i", "one"))
+    extra = F.when(F.col("one.drawn"), F.col("one.docs.size")).otherwise(0) + F.when(F.col("i") == F.col("at"), F.col("over")).otherwise(0)
+    big = saved(big.select("one.docs.doc_id", "source", "one.docs.size", "source_size", "target", "every", extra.alias("extra")), "large")
+    by_big = big.groupBy("source").agg(F.sum("extra").alias("got"))
 
-    small = laid.filter("not large").withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
-    sums = small.groupBy("source", "rest", "bucket").agg(F.sum("size").alias("words"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.alias("d").join(by_big.alias("s"), same, "left").select("d.*", F.coalesce("got", F.lit(0)).alias("got"))
     edge = sums.withColumn("upto", F.sum("words").over(over)).withColumn("need", F.greatest(F.lit(0), F.col("rest") - F.col("got")))
@@ -97,7 +107,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("need") - F.col("before")))
     rest = small.filter("bucket <> edge").withColumn("extra", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0))
     keys = ["doc_id", "source", "size", "source_size", "target", "every"]
-    out = rest.select(*keys, "extra").unionByName(inside.select(*keys, part.alias("extra"))).unionByName(big.select(*keys, F.when(F.col("drawn"), F.col("size")).otherwise(0).alias("extra")))
+    out = rest.select(*keys, "extra").unionByName(inside.select(*keys, part.alias("extra"))).unionByName(big.select(*keys, "extra"))
     whole = F.col("every") + F.when((F.col("size") > 0) & (F.col("extra") * 2 >= F.col("size")), 1).otherwise(0)
     return out.select("doc_id", "source", "size", "source_size", "target", whole.cast("int").alias("whole"), (F.col("every") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 

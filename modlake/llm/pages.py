@@ -202,11 +202,19 @@ def weak_labels(x: np.ndarray) -> np.ndarray:
     return np.where(bad, 0, np.where(good, 1, -1))
 
 
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Between the values of a feature with few of them, so that a rare mark can be split off; else at quantiles."""
+    seen = np.unique(values)
+    if len(seen) <= BINS:
+        return (seen[1:] + seen[:-1]) / 2
+    return np.unique(np.quantile(values, np.linspace(0, 1, BINS + 1)[1:-1]))
+
+
 def boost(x: np.ndarray, y: np.ndarray) -> dict:
     """Gradient-boosted trees of logistic loss on binned features: the model as plain arrays."""
     if not len(y) or y.min() == y.max():
         return {"start": 0.0 if not len(y) else (4.0 if y[0] else -4.0), "trees": [], "cuts": []}
-    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+    cuts = [_cuts(c) for c in x.T]
     bins = np.stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, x.T, strict=True)], 1)
     start = float(np.log(y.mean() / (1 - y.mean())))
     f, trees = np.full(len(y), start), []
