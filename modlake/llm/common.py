@@ -41,3 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def hashed_sample(df: DataFrame, most: int, *cols: str) -> DataFrame:
+    """``most`` rows of ``df``, or all if there are fewer, by the order of a hash of ``cols``.
+
+    Rows are thinned to little more than ``most`` by their hash first, so that a task has only its share to send.
+    """
+    n = df.count()
+    h = F.xxhash64(*cols)
+    share = min(1.0, (most + 6 * most**0.5 + 10) / max(n, 1))
+    thin = df.filter(F.shiftrightunsigned(h, 11) < int(share * (1 << 53)))
+    return thin.orderBy(h, *cols).limit(most)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modlake.llm.common import hashed_sample
+
 #: Pages whose nodes the trees are trained on, drawn by a hash of the id.
 SAMPLE_PAGES = 200
 TREES, DEPTH, RATE, BINS = 24, 3, 0.3, 16
@@ -303,8 +305,9 @@ def blocks(runs: list[tuple[int, str]], kept: list[bool]) -> str:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict:
     """Trees from the nodes of ``SAMPLE_PAGES`` pages."""
-    sample = pages.select(html_col).filter(F.col(html_col).isNotNull()).orderBy(F.xxhash64(id_col, html_col)).limit(SAMPLE_PAGES).collect()
-    xs = [features(parse(r[0])[0]) for r in sample]
+    ids = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    sample = hashed_sample(ids.filter("html is not null"), SAMPLE_PAGES, "id").collect()
+    xs = [features(parse(r.html)[0]) for r in sample]
     x = np.concatenate(xs) if xs else np.zeros((0, len(FEATURES)))
     y = weak_labels(x) if len(x) else np.zeros(0)
     x, y = x[y >= 0], y[y >= 0]
