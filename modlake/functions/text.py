@@ -55,15 +55,17 @@ def vocabulary_prompt(terms: Column, n: int, separator: str = ", ") -> Column:
 _FIRST, _VOWELS, _FINALS = 0xAC00, 21, 28
 
 
+def _units(c: Column) -> Column:
+    """The units of one character."""
+    code = F.ascii(c) - _FIRST
+    unit = lambda base, v: F.decode(F.unhex(F.lpad(F.hex(F.lit(base) + v), 4, "0")), "UTF-16BE")
+    syllable = F.concat(unit(0xE000, F.floor(code / (_VOWELS * _FINALS)).cast("int")), unit(0xE100, F.pmod(F.floor(code / _FINALS).cast("int"), F.lit(_VOWELS))), unit(0xE200, F.pmod(code, F.lit(_FINALS))))
+    return F.when((code >= 0) & (code < 11172), syllable).otherwise(c)
+
+
 def jamo(text: Column) -> Column:
     """Each Hangul syllable as three units of one private-use character each (initial, vowel, final, where none has a unit too); others stay."""
-    def units(c: Column) -> Column:
-        code = F.ascii(c) - _FIRST
-        unit = lambda base, v: F.decode(F.unhex(F.lpad(F.hex(F.lit(base) + v), 4, "0")), "UTF-16BE")
-        syllable = F.concat(unit(0xE000, F.floor(code / (_VOWELS * _FINALS)).cast("int")), unit(0xE100, F.pmod(F.floor(code / _FINALS).cast("int"), F.lit(_VOWELS))), unit(0xE200, F.pmod(code, F.lit(_FINALS))))
-        return F.when((code >= 0) & (code < 11172), syllable).otherwise(c)
-
-    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), units), "")
+    return F.array_join(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), _units), "")
 
 
 def fuzzy_terms(text: Column, terms: list[str], most: int = 1) -> Column:
@@ -73,31 +75,50 @@ def fuzzy_terms(text: Column, terms: list[str], most: int = 1) -> Column:
     out. Of several spans the best distance counts, then the shorter, then the first.
     """
     flat = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    none = F.array().cast("array<struct<n:int,i:int,s:string>>")
-
-    def spans_of(n: int) -> Column:
-        return F.when(F.length(flat) >= n, F.transform(F.sequence(F.lit(1), F.length(flat) - n + 1), lambda i: F.named_struct(F.lit("n"), F.lit(n), F.lit("i"), i, F.lit("s"), F.substring(flat, i, F.lit(n))))).otherwise(none)
-
-    found = []
-    for term in (t for t in terms if len(t) >= 3):
-        target = jamo(F.lit(term))
-        spans = F.flatten(F.array(*map(spans_of, (len(term) - 1, len(term), len(term) + 1))))
-        near = F.transform(spans, lambda x: F.named_struct(F.lit("d"), F.when(F.substring(jamo(F.substring(x["s"], 1, 1)), 1, 1) == F.substring(target, 1, 1), F.levenshtein(jamo(x["s"]), target, most)).otherwise(F.lit(-1)), F.lit("n"), x["n"], F.lit("i"), x["i"], F.lit("s"), x["s"]))
-        best = F.array_min(F.filter(near, lambda x: x["d"] >= 0))
-        found.append(F.when(~F.contains(flat, F.lit(term)) & best.isNotNull(), F.named_struct(F.lit("term"), F.lit(term), F.lit("distance"), best["d"], F.lit("span"), best["s"])))
-    if not found:
+    long_enough = [t for t in terms if len(t) >= 3]
+    if not long_enough:
         return F.array().cast("array<struct<term:string,distance:int,span:string>>")
-    return F.array_compact(F.array(*found))
+
+    def in_units(chars: Column) -> Column:
+        return F.transform(F.array(F.transform(chars, _units)), lambda units: F.array_compact(F.array(*[one(t, chars, units) for t in long_enough])))[0]
+
+    def one(term: str, chars: Column, units: Column) -> Column:
+        target = F.array_join(F.transform(F.array(*map(F.lit, term)), _units), "")
+        first = F.substring(target, 1, 1)
+        starts = F.filter(F.sequence(F.lit(1), F.size(units)), lambda i: F.substring(F.get(units, i - 1), 1, 1) == first)
+
+        def of_width(n: int) -> Column:
+            fit = F.filter(starts, lambda i: i + n - 1 <= F.size(units))
+            return F.transform(fit, lambda i: F.named_struct(F.lit("d"), F.levenshtein(F.array_join(F.slice(units, i, F.lit(n)), ""), target, most), F.lit("n"), F.lit(n), F.lit("i"), i, F.lit("s"), F.array_join(F.slice(chars, i, F.lit(n)), "")))
+
+        near = F.filter(F.concat(*map(of_width, (len(term) - 1, len(term), len(term) + 1))), lambda x: x["d"] >= 0)
+        hit = lambda best: F.when(best.isNotNull(), F.named_struct(F.lit("term"), F.lit(term), F.lit("distance"), best["d"], F.lit("span"), best["s"]))
+        return F.when((F.size(units) > 0) & ~F.contains(F.array_join(chars, ""), F.lit(term)), F.transform(F.array(F.array_min(near)), hit)[0])
+
+    return F.transform(F.array(F.filter(F.split(flat, ""), lambda c: c != "")), in_units)[0]
 
 
 def text_units(text: Column, window: int = 8, stride: int = 4) -> Column:
     """The text, its sentences, clauses, and full windows of words; first-seen order, without repeats."""
-    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    part = lambda pattern: F.transform(F.split(t, pattern), lambda x: F.trim(x))
-    words = F.split(t, " ")
-    n = F.size(words)
-    windows = F.when(n >= window, F.transform(F.sequence(F.lit(1), n - window + 1, F.lit(stride)), lambda i: F.array_join(F.slice(words, i, F.lit(window)), " "))).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.array_distinct(F.concat(F.array(t), part(r"(?<=[.!?。！？])\s*"), part(r"(?<=[,;:，；：])\s*|(?<=[.!?。！？])\s*"), windows)), lambda x: x != "")
+    def of(t: Column) -> Column:
+        part = lambda pattern: F.transform(F.split(t, pattern), lambda x: F.trim(x))
+        return F.filter(F.array_distinct(F.concat(F.array(t), part(r"(?<=[.!?。！？])\s*"), part(r"(?<=[,;:，；：])\s*|(?<=[.!?。！？])\s*"), word_windows(t, window, stride))), lambda x: x != "")
+
+    return let(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), of)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body, or a lambda in it, names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def word_windows(t: Column, window: int = 8, stride: int = 4) -> Column:
+    """Full windows of the space-separated words of ``t``."""
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        return F.when(n >= window, F.transform(F.sequence(F.lit(1), n - window + 1, F.lit(stride)), lambda i: F.array_join(F.slice(words, i, F.lit(window)), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(t, " "), of)
 
 
 def hybrid_text_score(df: DataFrame, row_id: str, text: str, lexicon: Lexicon, unit_scores: DataFrame | None = None, fuzzy: list[tuple[str, str]] = ()) -> DataFrame:

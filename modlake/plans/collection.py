@@ -257,14 +257,13 @@ def lexicon_score(spark, d):
     return x.select("doc_id", F.col("s.by_category")["abuse"].alias("abuse"), F.col("s.by_category")["disgust"].alias("disgust"), F.col("s.risk").alias("risk"), F.col("s.top").alias("top"))
 
 
-@query("""WITH d AS (SELECT doc_id, trim(substring(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), 1, 400)) AS t FROM documents), w AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM d)
-SELECT doc_id, count(*) AS windows FROM (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS u FROM w, range(1, 400, 4) r(i) WHERE i + 7 <= len(w)) GROUP BY 1""")
+@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents), w AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM d)
+SELECT doc_id, count(*) AS windows FROM (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS u FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6, 4)) AS i FROM w WHERE len(w) >= 8)) GROUP BY 1""")
 def text_units(spark, d):
-    """Distinct full windows of 8 words in the first 400 characters of each text."""
-    t = table(spark, d, "documents").select("doc_id", F.trim(F.substring(F.trim(F.regexp_replace("text", r"\s+", " ")), 1, 400)).alias("t"))
-    u = t.select("doc_id", F.explode(X.text_units(F.col("t"))).alias("u"), F.split("t", " ").alias("w"))
-    at = F.exists(F.sequence(F.lit(1), F.size("w"), F.lit(4)), lambda i: F.array_join(F.slice("w", i, F.lit(8)), " ") == F.col("u"))
-    return u.filter((F.size(F.split("u", " ")) == 8) & at).groupBy("doc_id").agg(F.count("*").alias("windows"))
+    """Distinct full windows of 8 words of each text."""
+    t = table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
+    n = F.size(F.array_intersect(X.text_units(F.col("t")), X.word_windows(F.col("t"))))
+    return t.select("doc_id", n.cast("long").alias("windows")).filter("windows > 0")
 
 
 @query()

@@ -113,14 +113,14 @@ def bootstrap_compare(spark, d):
 
 
 def _asr(spark, d):
-    ref = F.regexp_replace(F.substring("text", 1, 200), "[^A-Za-z0-9 ]", "")
-    hyp = F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.regexp_replace(ref, "th", "d"))
-    dom = F.when(F.col("doc_id") % 11 == 0, "no_speech").otherwise(F.col("lang"))
-    return table(spark, d, "documents").select("doc_id", dom.alias("domain"), F.when(dom == "no_speech", "").otherwise(ref).alias("text"), hyp.alias("hypothesis"), F.array(F.lit("tion"), F.lit("the")).alias("harm_terms"))
+    ref = F.regexp_replace("text", "[^A-Za-z0-9 ]", "")
+    hyp = F.when(F.col("conv_id") % 5 == 0, F.lit("")).otherwise(F.regexp_replace(ref, "th", "d"))
+    dom = F.when(F.col("conv_id") % 11 == 0, "no_speech").otherwise(F.col("role"))
+    return table(spark, d, "conversations").select("conv_id", dom.alias("domain"), F.when(dom == "no_speech", "").otherwise(ref).alias("text"), hyp.alias("hypothesis"), F.array(F.lit("tion"), F.lit("the")).alias("harm_terms"))
 
 
-_ASR = """a AS (SELECT doc_id, regexp_replace(substring(text, 1, 200), '[^A-Za-z0-9 ]', '', 'g') AS ref, CASE WHEN doc_id % 11 = 0 THEN 'no_speech' ELSE lang END AS domain FROM documents),
-b AS (SELECT domain, CASE WHEN domain = 'no_speech' THEN '' ELSE lower(replace(ref, ' ', '')) END AS r, lower(replace(CASE WHEN doc_id % 5 = 0 THEN '' ELSE replace(ref, 'th', 'd') END, ' ', '')) AS h FROM a)"""
+_ASR = """a AS (SELECT conv_id, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') AS ref, CASE WHEN conv_id % 11 = 0 THEN 'no_speech' ELSE role END AS domain FROM conversations),
+b AS (SELECT domain, CASE WHEN domain = 'no_speech' THEN '' ELSE lower(replace(ref, ' ', '')) END AS r, lower(replace(CASE WHEN conv_id % 5 = 0 THEN '' ELSE replace(ref, 'th', 'd') END, ' ', '')) AS h FROM a)"""
 
 
 @query(f"WITH {_ASR} SELECT domain, round(sum(levenshtein(r, h)) / nullif(sum(length(r)), 0), 6) AS cer, count(*) AS n FROM b WHERE r <> '' GROUP BY 1")
