@@ -72,16 +72,28 @@ def _base_places(hits: Column) -> Column:
     return F.when(F.size(hits) < 2, none).otherwise(F.concat(*[at(p, label) for label, p in BASE]))
 
 
-def _words_of(df: DataFrame, id_col: str, text_col: str, vocabulary: list[str]) -> DataFrame:
-    """doc_id, key (of the text), n_words, hits: the licence words with their places."""
-    def hits(w: Column) -> Column:
+def _words_of(df: DataFrame, id_col: str, text_col: str, vocabulary: list[str], phrases: list[list[str]]) -> DataFrame:
+    """doc_id, key (of the text), n_words, seen (its licence words), base (places), hits: licence words with their places.
+
+    hits are kept only where all words of some key phrase occur: no other text can have a verified alignment.
+    """
+    none = F.array().cast("array<struct<w:string,i:int>>")
+
+    def found(w: Column, hits: Column) -> Column:
+        def with_words(seen: Column) -> Column:
+            may = F.exists(F.array(*[F.array(*map(F.lit, p)) for p in phrases]), lambda p: F.size(F.array_except(p, seen)) == 0)
+            return F.named_struct(F.lit("n_words"), F.size(w).cast("long"), F.lit("seen"), seen, F.lit("base"), _base_places(hits), F.lit("hits"), F.when(may, hits).otherwise(none))
+
+        return let(F.array_distinct(F.transform(hits, lambda h: h["w"])), with_words)
+
+    def of(w: Column) -> Column:
         some = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(vocabulary))
-        none = F.array().cast("array<struct<w:string,i:int>>")
-        return F.struct(F.size(w).cast("long").alias("n_words"), F.when(F.size(w) == 0, none).otherwise(F.transform(some, lambda i: F.named_struct(F.lit("w"), F.get(w, i), F.lit("i"), i))).alias("hits"))
+        hits = F.when(F.size(w) == 0, none).otherwise(F.transform(some, lambda i: F.named_struct(F.lit("w"), F.get(w, i), F.lit("i"), i)))
+        return let(hits, lambda h: found(w, h))
 
     text = text_or_empty(text_col)
     words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.encode(text, "utf-8")).alias("key"), let(words, hits).alias("x")).select("doc_id", "key", "x.n_words", "x.hits")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.encode(text, "utf-8")).alias("key"), let(words, of).alias("x")).select("doc_id", "key", "x.*")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,9 +103,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     words. Repeated rows give repeated rows; other columns are left out.
     """
     index, keys = postings()
-    docs = saved(_words_of(df, id_col, text_col, sorted(index)), "license-words")
+    docs = saved(_words_of(df, id_col, text_col, sorted(index), [p.split() for _, p, _ in TEMPLATES]), "license-words")
     # IDF of the words of the templates: as many rows as these have words
-    seen = docs.select(F.explode(F.array_distinct("hits.w")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
+    seen = docs.select(F.explode("seen").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()
     total = docs.count()
     df_of = {r.w: r.n for r in seen}
     idf = {w: math.log((1 + total) / (1 + df_of.get(w, 0))) + 0.1 for w in index}
@@ -112,7 +124,6 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     found = found.filter((F.size(F.array_except("phrase", "places")) == 0) & (F.col("score") >= COVER))
     found = found.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
 
-    places = docs.withColumn("base", _base_places(F.col("hits"))).drop("hits")
     names = ["doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min("base.i").cast("long").alias("first_word"), F.array_max("base.i").cast("long").alias("last_word"), F.array_join(F.array_sort(F.array_distinct("base.label")), ",").alias("base_labels")]
     both = F.array_join(F.array_sort(F.array_distinct(F.concat("base.label", F.coalesce("found", F.array().cast("array<string>"))))), ",")
-    return places.join(found, "key", "left").select(*names, both.alias("labels"), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0))).alias("score"))
+    return docs.join(found, "key", "left").select(*names, both.alias("labels"), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0))).alias("score"))
