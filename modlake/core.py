@@ -62,6 +62,20 @@ def global_rank(df: DataFrame, *order: Column | str, name: str = "rank", sums: d
     return out.select(*cols, (F.count(F.lit(1)).over(local) + F.col("_n")).alias(name), *[(F.sum(f"_s_{k}").over(local) + F.col(f"_t_{k}")).alias(k) for k in sums])
 
 
+def running_sums(df: DataFrame, key: str, *order: Column | str, **sums: Column) -> DataFrame:
+    """``df`` with sums running over each key's rows in order, up to and with each row.
+
+    A key of any share of the rows is spread over tasks: sums run over all rows by (key, order), less what they were
+    where the key began. ``order`` should be unique within a key.
+    """
+    own = {f"_own_{n}": c for n, c in sums.items()}
+    wide = df.withColumns(own)
+    ranked = global_rank(wide, F.col(key), *order, name="_rank", sums={n: F.col(f"_own_{n}") for n in sums})
+    starts = ranked.groupBy(F.col(key).alias("_key")).agg(*[F.min_by(F.col(n) - F.col(f"_own_{n}"), "_rank").alias(f"_at_{n}") for n in sums])
+    out = ranked.join(starts, F.col(key).eqNullSafe(F.col("_key")))
+    return out.select(*[F.col(c) for c in df.columns], *[(F.col(n) - F.col(f"_at_{n}")).alias(n) for n in sums])
+
+
 Step = Callable[[dict, dict], tuple[dict, dict | None]]
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modlake.core import hashed_uniform
+from modlake.core import global_rank, hashed_uniform
 from modlake.functions.labels import clip_key
 
 
@@ -182,12 +182,12 @@ def align_lines_to_times(lines: DataFrame, times: DataFrame, key: str, duration:
 
 
 def mix_plan(foreground: DataFrame, background: DataFrame, fg_id: str, bg_id: str, snrs: tuple[float, ...] = (0.0, 5.0, 10.0)) -> DataFrame:
-    """fg_id, bg_id, snr: foreground rows take the background in turn, and the levels in turn. Small planning tables."""
+    """fg_id, bg_id, snr: foreground rows take the background in turn, and the levels in turn."""
     n = background.count()
     if not n:
         raise ValueError("no background")
-    f = foreground.select(fg_id, (F.row_number().over(Window.orderBy(fg_id)) - 1).alias("_k"))
-    b = background.select(bg_id, (F.row_number().over(Window.orderBy(bg_id)) - 1).alias("_j"))
+    f = global_rank(foreground.select(fg_id), fg_id, name="_n").select(fg_id, (F.col("_n") - 1).alias("_k"))
+    b = global_rank(background.select(bg_id), bg_id, name="_n").select(bg_id, (F.col("_n") - 1).alias("_j"))
     return f.withColumn("_j", F.pmod("_k", F.lit(n))).join(b, "_j").select(fg_id, bg_id, F.get(F.array(*map(F.lit, snrs)), F.pmod("_k", F.lit(len(snrs))).cast("int")).alias("snr"))
 
 

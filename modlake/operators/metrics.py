@@ -13,20 +13,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modlake.core import global_rank
+from modlake.core import global_rank, running_sums
 
 KEY = "class"
 
 
 def average_precision(df: DataFrame, key: str = KEY, y: str = "y", score: str = "score", row_id: str = "id") -> DataFrame:
     """class, ap: sum over positives of precision at their rank, over the positives. Null without positives."""
-    w = Window.partitionBy(key).orderBy(F.col(score).desc(), row_id)
-    r = df.select(key, y, F.row_number().over(w).alias("rank"), F.sum(y).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("tp"))
+    r = running_sums(df.select(key, y, score, row_id), key, F.col(score).desc(), row_id, rank=F.lit(1), tp=F.col(y))
     return r.groupBy(key).agg((F.sum(F.when(F.col(y) == 1, F.col("tp") / F.col("rank"))) / F.nullif(F.sum(y), F.lit(0))).alias("ap"))
 
 
 def average_precision_one(df: DataFrame, y: str = "y", score: str = "score", row_id: str = "id") -> DataFrame:
-    """ap of one very large class: ranks and running positives over range partitions, no row in one task with all others."""
+    """ap of all rows as one class."""
     r = global_rank(df.select(y, score, row_id), F.col(score).desc(), F.col(row_id), sums={"tp": F.col(y)})
     return r.agg((F.sum(F.when(F.col(y) == 1, F.col("tp") / F.col("rank"))) / F.nullif(F.sum(y), F.lit(0))).alias("ap"))
 
@@ -38,16 +37,15 @@ def score_groups(df: DataFrame, key: str = KEY, y: str = "y", score: str = "scor
 
 def auroc(df: DataFrame, key: str = KEY, y: str = "y", score: str = "score") -> DataFrame:
     """class, auroc: chance that a positive stands above a negative, ties count half. Null with one kind only."""
-    w = Window.partitionBy(key).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    g = score_groups(df, key, y, score).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    g = running_sums(score_groups(df, key, y, score), key, score, upto=F.col("neg")).withColumn("below", F.col("upto") - F.col("neg"))
     u = F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2))
     return g.groupBy(key).agg((u / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"))
 
 
 def _running(df: DataFrame, key: str, y: str, score: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    return score_groups(df, key, y, score).select(key, score, F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
+    g = running_sums(score_groups(df, key, y, score), key, F.col(score).desc(), tp=F.col("pos"), fp=F.col("neg"))
+    whole = df.groupBy(F.col(key).alias("_k")).agg(F.sum(y).alias("p"), F.sum(1 - F.col(y)).alias("n"))
+    return g.join(whole, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
 
 
 def recall_at_fpr(df: DataFrame, fpr: float, key: str = KEY, y: str = "y", score: str = "score") -> DataFrame:
@@ -59,9 +57,9 @@ def recall_at_fpr(df: DataFrame, fpr: float, key: str = KEY, y: str = "y", score
 
 def recall_at_kth_negative(df: DataFrame, fpr: float, key: str = KEY, y: str = "y", score: str = "score") -> DataFrame:
     """class, threshold, recall: threshold is the k-th largest negative, k = max(0, floor(fpr n) - 1) from 0."""
-    w = Window.partitionBy(key).orderBy(F.col(score).desc())
-    neg = df.filter(F.col(y) == 0).select(key, score, (F.row_number().over(w) - 1).alias("k"), F.count("*").over(Window.partitionBy(key)).alias("n"))
-    at = neg.filter(F.col("k") == F.greatest(F.lit(0), F.floor(F.lit(fpr) * F.col("n")) - 1)).select(key, F.col(score).alias("threshold"))
+    g = _running(df.filter(F.col(y) == 0), key, y, score)  # equal scores are one threshold: its group holds places fp - neg to fp - 1
+    neg = g.withColumn("k", F.greatest(F.lit(0), F.floor(F.lit(fpr) * F.col("n")) - 1))
+    at = neg.filter(F.col("k").between(F.col("fp") - F.col("neg"), F.col("fp") - 1)).select(key, F.col(score).alias("threshold"))
     return df.filter(F.col(y) == 1).join(at, key).groupBy(key).agg(F.first("threshold").alias("threshold"), F.avg((F.col(score) > F.col("threshold")).cast("double")).alias("recall"))
 
 
@@ -104,8 +102,7 @@ def threshold_at_fpr(df: DataFrame, budget: float, key: str = KEY, y: str = "y",
 
     Where even the highest score is over it, just above the maximum. Only negatives count; classes without any get .5.
     """
-    w = Window.partitionBy(key).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    g = score_groups(df, key, y, score).withColumn("fp", F.sum("neg").over(w)).withColumn("n", F.sum("neg").over(Window.partitionBy(key)))
+    g = _running(df, key, y, score)
     within = F.min(F.when(F.col("fp") <= F.lit(budget) * F.col("n"), F.col(score)))
     above = F.max(F.when(F.col("neg") > 0, F.col(score))) + F.lit(1e-9)
     return g.groupBy(key).agg(F.when(F.max("n") == 0, 0.5).otherwise(F.coalesce(within, above)).alias("threshold"))

@@ -11,8 +11,8 @@ from modlake.operators.collections import check_promotions, promote_reviewed
 ACTIONS = ("confirm_fp", "confirm_positive", "skip")
 
 
-def select_candidates(pool: DataFrame, harm: list[str], k: int, pos: str, probs: str = "probs", fp: float = 0.6, uncertain: float = 0.4, pseudo: DataFrame | None = None) -> DataFrame:
-    """rank, clip_id, kind, predicted, prob, priority (, pseudo_label): the k best of the pool.
+def score_candidates(pool: DataFrame, harm: list[str], pos: str, probs: str = "probs", fp: float = 0.6, uncertain: float = 0.4) -> DataFrame:
+    """clip_id, pos, kind, predicted, prob, priority of all candidates of the pool.
 
     The first harm class of the highest score counts. From ``fp`` on it is a false positive with its score as priority,
     from ``uncertain`` on it is uncertain, with 1 - 2 |p - .5|. False positives come first, then by priority, then ``pos``.
@@ -21,7 +21,12 @@ def select_candidates(pool: DataFrame, harm: list[str], k: int, pos: str, probs:
     x = pool.select("clip_id", pos, top.alias("t")).select("clip_id", pos, F.col("t.p").alias("prob"), F.get(strings(harm), -F.col("t.i")).alias("predicted"))
     kind = F.when(F.col("prob") >= fp, "false_positive").when(F.col("prob") >= uncertain, "uncertain")
     priority = F.when(F.col("prob") >= fp, F.col("prob")).otherwise(1 - 2 * F.abs(F.col("prob") - 0.5))
-    x = x.withColumn("kind", kind).filter("kind is not null").withColumn("priority", priority)
+    return x.withColumn("kind", kind).filter("kind is not null").withColumn("priority", priority)
+
+
+def select_candidates(pool: DataFrame, harm: list[str], k: int, pos: str, probs: str = "probs", fp: float = 0.6, uncertain: float = 0.4, pseudo: DataFrame | None = None) -> DataFrame:
+    """rank, clip_id, kind, predicted, prob, priority (, pseudo_label): the k best candidates. A top-k, no full sort."""
+    x = score_candidates(pool, harm, pos, probs, fp, uncertain)
     best = x.orderBy(F.when(F.col("kind") == "false_positive", 0).otherwise(1), F.col("priority").desc(), pos).limit(k)
     order = Window.orderBy(F.when(F.col("kind") == "false_positive", 0).otherwise(1), F.col("priority").desc(), pos)  # k rows
     best = best.withColumn("rank", F.row_number().over(order))
@@ -76,4 +81,4 @@ def export_reviewed(decisions: DataFrame, candidates: DataFrame, classes: DataFr
     return promote_reviewed(last.filter("action = 'confirm_fp'"), candidates, classes, False).unionByName(promote_reviewed(last.filter("action = 'confirm_positive'"), candidates, classes, True))
 
 
-__all__ = ["select_candidates", "fp_distribution", "should_stop", "latest_decisions", "pending", "progress", "check_decisions", "export_reviewed", "check_promotions"]
+__all__ = ["score_candidates", "select_candidates", "fp_distribution", "should_stop", "latest_decisions", "pending", "progress", "check_decisions", "export_reviewed", "check_promotions"]

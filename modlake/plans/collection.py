@@ -221,8 +221,7 @@ def select_candidates(spark, d):
 
 @query(f"WITH {_PROBS} SELECT CASE WHEN p[1] >= p[2] THEN 'a' ELSE 'b' END AS predicted, count(*) AS n FROM p WHERE greatest(p[1], p[2]) >= .6 GROUP BY 1")
 def fp_distribution(spark, d):
-    t = table(spark, d, "documents").count()
-    return N.fp_distribution(N.select_candidates(_probs(spark, d), ["a", "b"], max(t, 1), "doc_id"))
+    return N.fp_distribution(N.score_candidates(_probs(spark, d), ["a", "b"], "doc_id"))
 
 
 @query("""SELECT doc_id::VARCHAR AS clip_id, source AS source_id, CASE WHEN doc_id % 4 = 0 THEN 'bang' ELSE 'talk' END AS label FROM documents WHERE doc_id % 2 = 0""")
