@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modlake.core import global_rank, running_sums
+from modlake.core import global_rank, running_sums, saved
 
 KEY = "class"
 
@@ -125,7 +125,7 @@ def harm_report(df: DataFrame, classes: DataFrame, fpr: float = 0.01, targets: d
     def of(x: DataFrame) -> DataFrame:
         return average_precision(x).join(auroc(x), KEY).join(recall_at_fpr(x, fpr), KEY)
 
-    by_class = of(df).join(F.broadcast(classes), KEY)
+    by_class = saved(of(df).join(F.broadcast(classes), KEY), "by-class")  # a row for each class, read by three parts of the report
     pooled = rows.groupBy("id", F.col("category").alias(KEY)).agg(F.max("y").alias("y"), F.max("score").alias("score"))
     one = by_class.select(F.lit("class").alias("scope"), F.col(KEY).alias("name"), "ap", "auroc", "recall")
     cat = of(pooled).select(F.lit("category").alias("scope"), F.col(KEY).alias("name"), "ap", "auroc", "recall")
