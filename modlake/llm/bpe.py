@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from modlake.llm.common import text_or_empty
 
 #: Pieces in a worker's table after which it is emptied before the next slice.
-CACHE = 300_000
+CACHE = 120_000
 #: Characters of text that are cut into pieces and replayed together; a longer text is a slice of its own.
-SLICE = 12_000_000
+SLICE = 4_000_000
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -38,19 +38,27 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
+
+
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    out = [b""] * (max(ranks.values(), default=-1) + 1)
+    for t, r in ranks.items():
+        out[r] = t
+    return out
+
+
 class Vocabulary:
     """Ranks of a tiktoken file. A token's id is its rank."""
 
     _open: dict[tuple[str, str], "Vocabulary"] = {}
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in f if line.strip())}
-        self.tokens = [b""] * (max(self.ranks.values(), default=-1) + 1)
-        for t, r in self.ranks.items():
-            self.tokens[r] = t
+        self.ranks = _ranks(path)
         self.split = regex.compile(pattern).findall
-        none = len(self.tokens)
+        none = max(self.ranks.values(), default=-1) + 1
         self.none = none
         self.byte_id = np.array([self.ranks.get(bytes([b]), none) for b in range(256)], np.int64)
         self.first = np.full((256, 256), none, np.int64)  # rank of the merge of two bytes
@@ -280,7 +288,7 @@ def decode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", decoded_sha256 string" + ", decoded binary" * keep_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Vocabulary.of(*at).tokens
+        tokens = _tokens(_ranks(at[0]))  # decoding needs no merges
         for batch in batches:
             col = batch.column(batch.schema.get_field_index("ids"))
             shas, raw = [], []
