@@ -1,7 +1,8 @@
 """Documents to training data: five stages, each over all that the one before kept.
 
 1. quality classifier: rejected documents go
-2. SimHash near-duplicates: one document of each group stays
+2. SimHash near-duplicates: one document of each group stays; groups are by 5-word Jaccard similarity of 0.8 or more, exactly,
+   since fingerprints 4 bits apart (op6's rule) miss most such pairs
 3. personal data: replaced in the texts
 4. mixing: documents are repeated, or left out, by their source's target
 5. byte-level BPE: texts become token ids
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modlake.llm import bpe, mixing, pii, ranking, simhash
+from modlake.llm import bpe, mixing, pii, ranking, shingles
 from modlake.llm.common import saved, table
 
 
@@ -20,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each(docs)
+    return shingles.first_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,9 +1,12 @@
 """The pipeline's stages on a small corpus, each against what its operator says."""
 
+import random
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from modlake.llm import mixing, pii, ranking, simhash
+from modlake.llm import shingles as shingles_join
 from modlake.llm.common import table
 
 
@@ -33,3 +36,39 @@ def test_run_equals_the_stages(spark):
     sf = "/root/testdata/sf0.001"
     a, b = (sorted((r.doc_id, r.ids_sha256) for r in corpus_pipeline.run(spark, sf).collect()) for _ in range(2))
     assert a == b and a
+
+
+def test_near_copies_are_those_of_brute_force(spark, data):
+    """The stage keeps one of each group that pairs of 5-word Jaccard 0.8 or more connect."""
+    r = random.Random(3)
+    rows = [(x.doc_id, x.text) for x in table(spark, data, "documents").select("doc_id", "text").collect()]
+    base = [f"w{r.randrange(500)}" for _ in range(300)]
+    for k in range(60):  # near copies on both sides of 0.8, the first words being alike in all
+        w = list(base)
+        for at in r.sample(range(20, 300), r.randrange(2, 14)):
+            w[at] = f"x{r.randrange(9999)}"
+        rows.append((10_000 + k, " ".join(w)))
+    chain = [f"c{i}" for i in range(400)]
+    rows += [(20_000 + k, " ".join(chain[15 * k : 15 * k + 200])) for k in range(8)]
+    rows += [(30_000, None), (30_001, " "), (30_002, "One two"), (30_003, "one  TWO"), (30_004, "one two three")]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles_join.near_copies(df).collect()}
+    low = {}
+    for (i, _), g in zip(rows, root, strict=True):
+        low[g] = min(i, low.get(g, i))
+    assert got == {i: low[g] for (i, _), g in zip(rows, root, strict=True)}
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, data).collect())
+    assert kept == sorted(low.values()) and len(kept) < len(rows) - 30
+    assert simhash.near_duplicates(df).select("component_id").distinct().count() != len(kept)  # op6's rule is another
