@@ -1,9 +1,9 @@
 """License scans over a positional rare-token index. DataFrame functions only.
 
 Templates are known sentences of licences; their words with template and place are the postings. Of each text only the
-licence words and their places are kept. Its highest-IDF licence words (IDF over all documents) are looked up; each
-posting proposes a template at a relative position, and the other words' postings at that position are intersected
-with it. An alignment counts if all words of the template's mandatory key phrase stand in it and the words found carry
+licence words and their places are kept. Each template is looked up by the highest-IDF word of its own key phrase (IDF over
+all documents): as all words of the phrase are mandatory, no alignment is lost. That posting proposes the template at a
+relative position, and the other words' postings at that position are intersected with it. An alignment counts if all words of the template's mandatory key phrase stand in it and the words found carry
 ``COVER`` of the template's IDF.
 """
 
@@ -38,8 +38,6 @@ TEMPLATES = (
 #: Words that say nothing of a licence unless a key phrase holds them: fixed values.
 COMMON = frozenset("a and any are for in is it of or the this to under use with you can".split())
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
-#: Highest-IDF licence words of a text that propose alignments.
-RARE = 4
 COVER = 0.6
 
 
@@ -111,15 +109,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     idf = {w: math.log((1 + total) / (1 + df_of.get(w, 0))) + 0.1 for w in index}
     full = [sum(idf[w] for w, ps in index.items() for t, _ in ps if t == n) for n in range(len(TEMPLATES))]
     spark = df.sparkSession
-    table = spark.createDataFrame([(w, float(idf[w]), [(t, p) for t, p in ps]) for w, ps in index.items()], "w string, idf double, at array<struct<t:int,p:int>>")
+    words = [s.split() for _, _, s in TEMPLATES]
+    rare = [max(keys[t], key=lambda p: (idf[words[t][p]], -p)) for t in range(len(TEMPLATES))]
+    table = spark.createDataFrame([(w, float(idf[w]), [(t, p, p == rare[t]) for t, p in ps]) for w, ps in index.items()], "w string, idf double, at array<struct<t:int,p:int,seed:boolean>>")
     facts = spark.createDataFrame([(t, label, float(full[t]), keys[t]) for t, (label, _, _) in enumerate(TEMPLATES)], "t int, label string, total double, phrase array<int>")
 
     texts = docs.filter("size(hits) > 0").groupBy("key").agg(F.any_value("hits").alias("hits"))
-    ranked = F.create_map(*[x for w in sorted(index) for x in (F.lit(w), F.lit(float(idf[w])))])
-    rare = F.slice(F.reverse(F.array_sort(F.transform(F.array_distinct("hits.w"), lambda w: F.named_struct(F.lit("idf"), ranked[w], F.lit("w"), w)))), 1, RARE)["w"]
-    tokens = texts.select("key", rare.alias("rare"), F.explode("hits").alias("h")).select("key", "h.w", "h.i", F.array_contains("rare", F.col("h.w")).alias("seed"))
-    aligned = tokens.join(F.broadcast(table), "w").select("key", "seed", "idf", "i", F.explode("at").alias("a"))  # the index holds the templates' words only
-    aligned = aligned.groupBy("key", F.col("a.t").alias("t"), (F.col("i") - F.col("a.p")).alias("offset")).agg(F.max("seed").alias("seed"), F.sum("idf").alias("got"), F.collect_set("a.p").alias("places"))
+    tokens = texts.select("key", F.explode("hits").alias("h")).select("key", "h.w", "h.i")
+    aligned = tokens.join(F.broadcast(table), "w").select("key", "idf", "i", F.explode("at").alias("a"))  # the index holds the templates' words only
+    aligned = aligned.groupBy("key", F.col("a.t").alias("t"), (F.col("i") - F.col("a.p")).alias("offset")).agg(F.max("a.seed").alias("seed"), F.sum("idf").alias("got"), F.collect_set("a.p").alias("places"))
     found = aligned.filter("seed").join(F.broadcast(facts), "t").withColumn("score", F.col("got") / F.col("total"))
     found = found.filter((F.size(F.array_except("phrase", "places")) == 0) & (F.col("score") >= COVER))
     found = found.groupBy("key").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))

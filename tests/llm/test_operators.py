@@ -527,3 +527,36 @@ def test_licences(spark, texts):
     n = len(ODD) + len(texts)
     assert got[n].labels == "cc-by-nc" and got[n].score > 0.9 and got[n + 2].labels == "mit" and got[n + 3].labels == "" and got[n + 4].score == 0
     assert licenses.scan(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+def slow_licences(every):
+    """labels and score of each text: every template at every offset."""
+    texts = [re.findall(licenses.WORD, (t or "").lower()) for t in every]
+    index, keys = licenses.postings()
+    df = Counter(w for t in texts for w in set(t) & set(index))
+    idf = {w: np.log((1 + len(texts)) / (1 + df[w])) + 0.1 for w in index}
+    out = []
+    for t in texts:
+        labels, score = set(), 0.0
+        for n, (label, _, sentence) in enumerate(licenses.TEMPLATES):
+            places = {p: w for w, ps in index.items() for k, p in ps if k == n}
+            full = sum(idf[w] for w in places.values())
+            for o in range(-len(sentence.split()), len(t)):
+                found = {p for p, w in places.items() if 0 <= o + p < len(t) and t[o + p] == w}
+                share = sum(idf[places[p]] for p in found) / full
+                if found >= set(keys[n]) and share >= licenses.COVER:
+                    labels.add(label)
+                    score = max(score, share)
+        out.append((labels, min(1.0, score)))
+    return out
+
+
+def test_texts_of_several_licences(spark):
+    mit, bsd, isc = (next(s for label, _, s in licenses.TEMPLATES[k:] if label == name) for k, name in ((1, "mit"), (0, "bsd"), (0, "isc")))
+    rare = "affero mozilla cc0 universal"
+    every = [f"{mit}. {bsd}.", f"{bsd} {isc} {mit}", *(f"{rare} and more words, {s} then {rare}" for s in (mit, bsd, isc)), bsd, bsd, "source and binary forms", *(s for _, _, s in licenses.TEMPLATES), " ".join(s for _, _, s in licenses.TEMPLATES), *[f"some other text {i}" for i in range(20)], None, ""]
+    got = by_id(licenses.scan(docs(spark, every)))
+    for i, (labels, score) in enumerate(slow_licences(every)):
+        assert set(filter(None, got[i].labels.split(","))) - set(filter(None, got[i].base_labels.split(","))) <= labels <= set(got[i].labels.split(",")), every[i]
+        assert got[i].score == pytest.approx(score), every[i]
+    assert got[0].labels == "bsd,mit" and got[1].labels == "bsd,isc,mit" and [got[i].labels for i in (2, 3, 4)] == ["mit", "bsd", "isc"]
