@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         return there.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="modlake-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -30,36 +34,45 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hashed_uniform(seed: int, *cols: Column | str) -> Column:
-    """A uniform in [0, 1) that depends on the seed and the columns only."""
-    h = F.xxhash64(F.lit(seed), *[F.col(c) if isinstance(c, str) else c for c in cols])
-    return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
-
-
-def md5_uniform(seed: int | str, *cols: Column | str) -> Column:
-    """The same from the first 8 hex digits of md5 over ``seed|a|b``; other engines can reproduce it."""
+def hashed_uniform(seed: int | str, *cols: Column | str) -> Column:
+    """A uniform in [0, 1) from the first 13 hex digits of md5 over ``seed|a|b``: it depends on these only, and other engines can reproduce it."""
     text = F.concat_ws("|", F.lit(str(seed)), *[(F.col(c) if isinstance(c, str) else c).cast("string") for c in cols])
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def global_rank(df: DataFrame, *order: Column | str, name: str = "rank", sums: dict[str, Column] | None = None) -> DataFrame:
-    """``df`` with its 1-based rank in a total order, and running sums up to and with each row.
+    """``df`` with its 1-based rank in a total order, and running sums up to and with each row (null adds nothing).
 
-    Rows are range-partitioned and written sorted once; partition totals go to a prefix table of one row a partition,
-    and ranks are local ones plus that. No task holds more than its range. ``order`` should end in a unique column.
+    Rows are range-partitioned once; each task numbers and sums its sorted range as Arrow batches and writes it.
+    Partition totals go to a prefix table of one row a partition, which is added when the rows are read again: one
+    shuffle, and no task holds more than its range. ``order`` should end in a unique column.
     """
     sums = sums or {}
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [c if isinstance(c, Column) else F.col(c) for c in order]
-    ranged = df.select("*", *[s.alias(f"_s_{k}") for k, s in sums.items()]).repartitionByRange(n, *keys).withColumn("_p", F.spark_partition_id())
-    ranged = saved(ranged, "ranged")
-    local = Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    totals = ranged.groupBy("_p").agg(F.count("*").alias("_n"), *[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in sums])
+    wide = df.select("*", *[s.alias(f"_s_{k}") for k, s in sums.items()])
+    kinds = dict(wide.dtypes)
+    whole = [f"_s_{k}" for k in sums if kinds[f"_s_{k}"] in ("tinyint", "smallint", "int", "bigint")]
+    wide = wide.select(*df.columns, *[F.coalesce(F.col(f"_s_{k}").cast("long" if f"_s_{k}" in whole else "double"), F.lit(0)).alias(f"_s_{k}") for k in sums])
+    ranged = wide.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_n", F.lit(1).cast("long"))
+    running = ["_n", *[f"_s_{k}" for k in sums]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upto = dict.fromkeys(running, 0)
+        for batch in batches:
+            cols, names = list(batch.columns), batch.schema.names
+            for c in running if batch.num_rows else ():
+                i = names.index(c)
+                cols[i] = pc.add(pc.cumulative_sum(cols[i]), pa.scalar(upto[c], cols[i].type))
+                upto[c] = cols[i][-1].as_py()
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    ranged = saved(ranged.mapInArrow(run, ranged.schema), "ranged")
+    totals = ranged.groupBy("_p").agg(F.max("_n").alias("_n"), *[F.max_by(f"_s_{k}", "_n").alias(f"_s_{k}") for k in sums])
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
-    offsets = totals.select("_p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_n", *[f"_t_{k}" for k in sums])])
+    offsets = totals.select("_p", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0") for c in running])
     out = ranged.join(F.broadcast(offsets), "_p")
-    cols = [F.col(c) for c in df.columns]
-    return out.select(*cols, (F.count(F.lit(1)).over(local) + F.col("_n")).alias(name), *[(F.sum(f"_s_{k}").over(local) + F.col(f"_t_{k}")).alias(k) for k in sums])
+    return out.select(*[F.col(c) for c in df.columns], (F.col("_n") + F.col("_n_0")).alias(name), *[(F.col(f"_s_{k}") + F.col(f"_s_{k}_0")).alias(k) for k in sums])
 
 
 def running_sums(df: DataFrame, key: str, *order: Column | str, **sums: Column) -> DataFrame:

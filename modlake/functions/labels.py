@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modlake.operators.joins import lookup
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -28,16 +30,18 @@ def is_harm(labels: Column | str, harm: list[str]) -> Column:
 
 def category_of(df: DataFrame, classes: DataFrame, col: str = "class") -> DataFrame:
     """``df`` with category; ``classes`` is the taxonomy, one row a class."""
-    return df.join(F.broadcast(classes.select(F.col("class").alias(col), "category")), col, "left")
+    return lookup(df, classes.select(F.col("class").alias(col), "category"), col)
 
 
 def clip_key(ytid: Column | str, start: Column | str) -> Column:
-    """``id_start`` with the start as %g prints it: six significant digits, no trailing zeros."""
+    """``id_start`` with the start as %g prints it: six significant digits, no trailing zeros, an exponent below 1e-4 and from 1e6 on."""
     s = _col(start).cast("double")
-    digits = F.when(F.abs(s) < 1, 6).otherwise(F.greatest(F.lit(0), 5 - F.floor(F.log10(F.greatest(F.abs(s), F.lit(1.0)))))).cast("int")
-    fixed = F.coalesce(*[F.when(digits == d, F.format_string(f"%.{d}f", s)) for d in range(7)])
-    plain = F.when(F.contains(fixed, F.lit(".")), F.regexp_replace(F.regexp_replace(fixed, r"0+$", ""), r"\.$", "")).otherwise(fixed)
-    return F.concat_ws("_", _col(ytid), plain)
+    exact = F.format_string("%.5e", s)  # rounds to six digits first, as the choice of the form needs
+    power = F.substring_index(exact, "e", -1).cast("int")
+    shorn = lambda c: F.when(F.contains(c, F.lit(".")), F.regexp_replace(F.regexp_replace(c, r"0+$", ""), r"\.$", "")).otherwise(c)
+    fixed = F.coalesce(*[F.when(power == p, F.format_string(f"%.{5 - p}f", s)) for p in range(-4, 6)])
+    wide = F.concat(shorn(F.substring_index(exact, "e", 1)), F.lit("e"), F.regexp_extract(exact, r"e(.*)$", 1))
+    return F.concat_ws("_", _col(ytid), F.when(s == 0, F.lit("0")).when(power.between(-4, 5), shorn(fixed)).otherwise(wide))
 
 
 def weight_vector(classes: list[str], weights: Column) -> Column:
@@ -85,15 +89,18 @@ def cascade_decision(gate: Column, acoustic: Column, text: Column, thresholds: d
 def verdict_normalize(raw: Column | str, categories: list[str]) -> Column:
     """struct(degree_percent, category, reason, confident, raw) from a model's free text around a JSON object.
 
-    A degree counts only as a number from 0 to 100 and is rounded half to even; ``raw`` is kept where there is none.
+    The object's ``degree`` counts if it is a number (or true or false, as 1 or 0) from 0 to 100, rounded half to even;
+    a quoted one doesn't. ``raw`` is kept where there is none. Null text gives nulls.
     """
     text = _col(raw)
     v = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
-    number = F.try_variant_get(v, "$.degree_percent", "string")
-    number = F.when(number.rlike(r"^\s*[+-]?\d+(\.\d+)?([eE][+-]?\d+)?\s*$"), number.try_cast("double"))
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    number = F.when(kind("$.degree") == "BOOLEAN", F.try_variant_get(v, "$.degree", "boolean").cast("double")).when(kind("$.degree") != "STRING", F.try_variant_get(v, "$.degree", "double"))
     degree = F.when((number >= 0) & (number <= 100), F.bround(number, 0).cast("int"))
     category = F.lower(F.trim(F.try_variant_get(v, "$.category", "string")))
-    return F.struct(degree.alias("degree_percent"), F.when(category.isin(*categories), category).alias("category"), F.substring(F.try_variant_get(v, "$.reason", "string"), 1, 300).alias("reason"), F.try_variant_get(v, "$.confident", "boolean").alias("confident"), F.when(degree.isNull(), F.substring(text, 1, 600)).alias("raw"))
+    reason = F.nullif(F.try_variant_get(v, "$.reason", "string"), F.lit(""))
+    confident = F.when(kind("$.confident") == "BOOLEAN", F.try_variant_get(v, "$.confident", "boolean"))
+    return F.struct(degree.alias("degree_percent"), F.when(category.isin(*categories), category).alias("category"), F.substring(reason, 1, 300).alias("reason"), confident.alias("confident"), F.when(degree.isNull(), F.nullif(F.substring(text, 1, 600), F.lit(""))).alias("raw"))
 
 
 def judge_request(event: str, window: str) -> Column:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from modlake.operators.joins import lookup
+
 Lexicon = dict[str, tuple[float, dict[str, float]]]  # category -> (weight, term -> weight)
 
 
@@ -98,13 +103,26 @@ def fuzzy_terms(text: Column, terms: list[str], most: int = 1) -> Column:
     return F.transform(F.array(F.filter(F.split(flat, ""), lambda c: c != "")), in_units)[0]
 
 
-def text_units(text: Column, window: int = 8, stride: int = 4) -> Column:
-    """The text, its sentences, clauses, and full windows of words; first-seen order, without repeats."""
-    def of(t: Column) -> Column:
-        part = lambda pattern: F.transform(F.split(t, pattern), lambda x: F.trim(x))
-        return F.filter(F.array_distinct(F.concat(F.array(t), part(r"(?<=[.!?。！？])\s*"), part(r"(?<=[,;:，；：])\s*|(?<=[.!?。！？])\s*"), word_windows(t, window, stride))), lambda x: x != "")
+def text_units(text: Column, window: int = 8) -> Column:
+    """The text, its sentences, their clauses, and the full windows of clauses of over ``window`` words; first-seen order, without repeats.
+
+    Sentences end at newlines and at white space after an end mark; clauses at , ; : and dots of omission, and at a dash
+    before white space, all left out. Windows move by half their length. Null and blank texts have no units.
+    """
+    none = F.array().cast("array<string>")
+    parts = lambda t, pattern: F.filter(F.transform(F.split(t, pattern), _strip), lambda x: x != "")
+
+    def windows(clause: Column) -> Column:
+        words = F.filter(F.split(clause, r"(?U)\s+"), lambda w: w != "")
+        return let(words, lambda w: F.when(F.size(w) > window, F.transform(F.sequence(F.lit(1), F.size(w) - window + 1, F.lit(max(2, window // 2))), lambda i: F.array_join(F.slice(w, i, F.lit(window)), " "))).otherwise(none))
 
-    return let(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), of)
+    clauses = lambda s: F.flatten(F.transform(parts(s, r"(?U)\s*(?:[,;:…]+|[-–—]\s+)\s*"), lambda c: F.concat(F.array(c), windows(c))))
+    sentences = lambda t: F.flatten(F.transform(parts(t, r"(?U)(?:\n+|(?<=[.!?。！？])\s+)"), lambda s: F.concat(F.array(s), clauses(s))))
+    return let(full_text(text), lambda t: F.when(t == "", none).otherwise(F.array_distinct(F.concat(F.array(t), sentences(t)))))
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
 def let(value: Column, body) -> Column:
@@ -112,42 +130,52 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def word_windows(t: Column, window: int = 8, stride: int = 4) -> Column:
-    """Full windows of the space-separated words of ``t``."""
-    def of(words: Column) -> Column:
-        n = F.size(words)
-        return F.when(n >= window, F.transform(F.sequence(F.lit(1), n - window + 1, F.lit(stride)), lambda i: F.array_join(F.slice(words, i, F.lit(window)), " "))).otherwise(F.array().cast("array<string>"))
-
-    return let(F.split(t, " "), of)
+def full_text(text: Column) -> Column:
+    """The first unit of a text: itself, stripped, blanks and tabs folded."""
+    return F.regexp_replace(_strip(F.coalesce(text, F.lit(""))), r"[ \t]+", " ")
 
 
 def hybrid_text_score(df: DataFrame, row_id: str, text: str, lexicon: Lexicon, unit_scores: DataFrame | None = None, fuzzy: list[tuple[str, str]] = ()) -> DataFrame:
-    """row_id, score, unit: the best over a text's units of the classifier's score (unit_scores: unit, score), the lexicon's, and .85 of the category's weight for a fuzzy term (term, category). The first best unit."""
-    units = df.select(row_id, F.posexplode(text_units(F.col(text))).alias("i", "unit"))
-    lex = lexicon_score("unit", lexicon)["risk"]
-    scores = [lex]
+    """row_id, score, unit, classifier_max, lexicon_max: the best over a text's units, or over the text where it has none.
+
+    ``unit_scores`` (unit, score, and row_id if scores depend on the row) are the classifier's; ``unit`` is the first of
+    the highest of them. The lexicon's score of a unit is its risk, or .85 of a category's weight for a fuzzy term (term,
+    category) if that is more, and at most 1. Nulls and missing scores count as 0.
+    """
+    of = let(text_units(F.col(text)), lambda u: F.when(F.size(u) > 0, u).otherwise(F.array(F.coalesce(F.col(text), F.lit("")))))
+    units = df.select(row_id, F.posexplode(of).alias("i", "unit"))
+    words = [lexicon_score("unit", lexicon)["risk"], F.lit(0.0)]
     for term, category in fuzzy:
-        scores.append(F.when(F.size(fuzzy_terms(F.col("unit"), [term])) > 0, 0.85 * lexicon[category][0]).otherwise(0.0))
+        words.append(F.when(F.size(fuzzy_terms(F.col("unit"), [term])) > 0, 0.85 * lexicon[category][0]).otherwise(0.0))
+    own = F.lit(0.0)
     if unit_scores is not None:
-        units = units.join(unit_scores.select("unit", F.col("score").alias("_s")), "unit", "left")
-        scores.append(F.coalesce("_s", F.lit(0.0)))
-    s = F.greatest(*scores, F.lit(0.0))
-    return units.withColumn("_v", s).groupBy(row_id).agg(F.max("_v").alias("score"), F.max_by("unit", F.struct("_v", -F.col("i"))).alias("unit"))
+        on = ["unit", *([row_id] if row_id in unit_scores.columns else [])]
+        units = units.join(unit_scores.select(*on, F.col("score").alias("_s")), on, "left")
+        own = F.coalesce("_s", F.lit(0.0))
+    x = units.withColumns({"_c": own, "_l": F.least(F.lit(1.0), F.greatest(*words))})
+    x = x.groupBy(row_id).agg(F.max("_c").alias("classifier_max"), F.max("_l").alias("lexicon_max"), F.max_by("unit", F.struct("_c", -F.col("i"))).alias("unit"))
+    return x.withColumn("score", F.greatest("classifier_max", "lexicon_max"))
 
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+#: Prototypes are compared with every row, so their number is checked.
+MOST_PROTOTYPES = 10_000
+
+
 def prototype_score(df: DataFrame, row_id: str, embedding: str, prototypes: DataFrame, safe: str = "safe", steep: float = 40.0, margin: float = 0.02, text: str | None = None) -> DataFrame:
     """row_id, risk, margin, category, by_category: cosine to prototypes (category, embedding), best of each category.
 
-    ``prototypes`` is a bounded table (a few sentences a category) and is broadcast to the rows.
+    ``prototypes`` (a few sentences a category) is broadcast to the rows; more than ``MOST_PROTOTYPES`` are an error.
     """
     unit = lambda c: F.transform(c, lambda v: v.cast("double") / F.sqrt(F.greatest(dot(F.col(c), F.col(c)), F.lit(1e-24))))
     p = prototypes.select("category", unit("embedding").alias("_p")).groupBy("category").agg(F.collect_list("_p").alias("_ps"))
     all_p = p.agg(F.array_sort(F.collect_list(F.struct("category", "_ps"))).alias("_all"))
-    e = df.withColumn("_e", unit(embedding)).crossJoin(F.broadcast(all_p))
+    if prototypes.limit(MOST_PROTOTYPES + 1).count() > MOST_PROTOTYPES:
+        raise ValueError(f"over {MOST_PROTOTYPES} prototypes")
+    e = df.withColumn("_e", unit(embedding)).crossJoin(F.broadcast(all_p))  # one row
     best = F.transform("_all", lambda c: F.named_struct(F.lit("category"), c["category"], F.lit("s"), F.array_max(F.transform(c["_ps"], lambda v: dot(F.col("_e"), v)))))
     x = e.select(row_id, *([text] if text else []), best.alias("b"))
     harm = F.filter("b", lambda c: c["category"] != safe)
@@ -189,34 +217,47 @@ def combine_text_risk(lexicon: Column, lexicon_top: Column, semantic: Column, fu
 
 
 def normalize_text(text: Column) -> Column:
-    """Lower case; Hangul, Latin letters, digits and single spaces. For composed text; see ``compose``."""
-    kept = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^0-9A-Za-z가-힣\s]", "")
-    return F.lower(F.trim(F.regexp_replace(kept, r"\s+", " ")))
+    """Lower case; Hangul syllables, Latin letters and digits, nothing else. For composed text; see ``compose``."""
+    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^가-힣a-zA-Z0-9]", ""))
 
 
-def compose(df: DataFrame, text: str) -> DataFrame:
-    """``df`` with the text in Unicode NFC. Only rows with decomposable characters go through Python."""
+def compose(df: DataFrame, *texts: str) -> DataFrame:
+    """``df`` with the texts in Unicode NFC. Only rows with decomposable characters go through Python."""
     import unicodedata
 
-    needs = F.coalesce(F.col(text).rlike(r"[\p{M}ᄀ-ᇿ]"), F.lit(False))
+    needs = reduce(or_, [F.coalesce(F.col(t).rlike(r"[\p{M}ᄀ-ᇿ]"), F.lit(False)) for t in texts])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(**{text: [unicodedata.normalize("NFC", x) for x in f[text]]})
+            yield f.assign(**{t: [x if x is None else unicodedata.normalize("NFC", x) for x in f[t]] for t in texts})
 
     return df.filter(~needs).unionByName(df.filter(needs).mapInPandas(run, df.schema))
 
 
 def remove_leading_overlap(df: DataFrame, key: str, order: str, text: str, most: int = 20) -> DataFrame:
-    """``df`` with fresh: the text without its longest beginning, up to ``most`` tokens, that the stream's last non-empty text ends with."""
+    """``df`` with fresh: the text without its longest beginning, up to ``most`` tokens, that the stream's last non-empty text ends with.
+
+    Tokens are compared as ``normalize_text`` leaves them, and a token of which nothing is left fits none. A text without
+    overlap stays but for white space at its ends; a null text is empty.
+    """
+    own, prev = f"{text}_own", f"{text}_before"
+    x = compose(df.withColumn(own, F.coalesce(F.col(text), F.lit(""))), own)
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.last(F.when(F.trim(F.coalesce(text, F.lit(""))) != "", F.col(text)), ignorenulls=True).over(w)
-    tokens = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
-    x = df.withColumn("_prev", prev).withColumn("_p", tokens(F.col("_prev"))).withColumn("_t", tokens(F.col(text)))
-    upto = F.least(F.lit(most), F.size("_p"), F.size("_t"))
-    fits = F.filter(F.sequence(F.lit(0), upto), lambda n: (n == 0) | (F.slice("_t", F.lit(1), n) == F.slice("_p", F.size("_p") - n + 1, n)))
-    n = F.array_max(fits)
-    return x.withColumn("fresh", F.array_join(F.slice("_t", n + 1, F.size("_t")), " ")).drop("_prev", "_p", "_t")
+    x = x.withColumn(prev, F.last(F.when(_strip(F.col(own)) != "", F.col(own)), ignorenulls=True).over(w))
+    tokens = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda v: v != "")
+
+    def fresh(now: Column, same: Column, before: Column) -> Column:
+        a, b = F.transform(F.slice(same, F.lit(1), F.lit(most)), normalize_text), F.transform(F.slice(before, F.greatest(F.size(before) - most + 1, F.lit(1)), F.lit(most)), normalize_text)
+
+        def longest(left: Column, right: Column) -> Column:
+            sizes = F.sequence(F.lit(0), F.least(F.size(left), F.size(right)))
+            return F.array_max(F.filter(sizes, lambda n: (n == 0) | ((F.slice(left, F.lit(1), n) == F.slice(right, F.size(right) - n + 1, n)) & ~F.array_contains(F.slice(left, F.lit(1), n), ""))))
+
+        n = let(F.struct(a.alias("a"), b.alias("b")), lambda v: longest(v["a"], v["b"]))
+        return F.when(n > 0, F.array_join(F.slice(now, n + 1, F.size(now)), " "))
+
+    cut = let(F.struct(tokens(F.col(text)).alias("now"), tokens(F.col(own)).alias("same"), tokens(F.col(prev)).alias("before")), lambda v: fresh(v["now"], v["same"], v["before"]))
+    return x.withColumn("fresh", F.coalesce(cut, _strip(F.coalesce(F.col(text), F.lit(""))))).drop(own, prev)
 
 
 def detect_lang(text: Column) -> Column:
@@ -234,33 +275,50 @@ def cap_label(df: DataFrame, label: str, value: str, most: int, row_id: str, see
     return df.filter(~F.coalesce(F.col(label) == value, F.lit(False))).unionByName(part)
 
 
+def _some(clauses: DataFrame, cell: list[str], target: int, seed: int) -> DataFrame:
+    """Of each cell so many clauses, in seeded order, that their ordered pairs are ``target`` or all there are."""
+    most = math.isqrt(max(target, 0)) + 2
+    n = F.row_number().over(Window.partitionBy(*cell).orderBy(seeded(seed, "text"), "text"))
+    return clauses.select(*cell, "text").distinct().withColumn("_n", n).filter(F.col("_n") <= most).drop("_n")
+
+
+def seeded(seed: int, text: str) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.col(text)))
+
+
+def _topped(rows: DataFrame, cell: list[str], target: int, seed: int) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy(*cell).orderBy("_k", seeded(seed, "text"), "text"))
+    return rows.withColumn("_n", n).filter(F.col("_n") <= target).drop("_n", "_k")
+
+
 def generate_corpus(clauses: DataFrame, connectors: DataFrame, target: int, seed: int = 0) -> DataFrame:
-    """category, lang, text: base clauses (category, lang, text), then pairs of one category and language joined by a connector (lang, connector), up to ``target`` a category."""
-    base = clauses.select("category", "lang", "text", F.lit(0).alias("_k"))
-    a, b = clauses.alias("a"), clauses.alias("b")
-    pairs = a.join(b, (F.col("a.category") == F.col("b.category")) & (F.col("a.lang") == F.col("b.lang")) & (F.col("a.text") != F.col("b.text")))
-    pairs = pairs.join(F.broadcast(connectors.alias("c")), F.col("a.lang") == F.col("c.lang")).select(F.col("a.category"), F.col("a.lang"), F.concat_ws(" ", F.col("a.text"), F.col("c.connector"), F.col("b.text")).alias("text"), F.lit(1).alias("_k"))
-    every = base.unionByName(pairs).dropDuplicates(["category", "lang", "text"])
-    n = F.row_number().over(Window.partitionBy("category").orderBy("_k", F.xxhash64(F.lit(seed), F.col("text")), "text"))
-    return every.withColumn("_n", n).filter(F.col("_n") <= target).drop("_n", "_k")
+    """category, lang, text: base clauses (category, lang, text), then pairs of one category and language joined by a connector (lang, connector), up to ``target`` a category.
+
+    Only as many clauses of a category and language are paired as ``target`` pairs need; order is seeded.
+    """
+    cell = ["category", "lang"]
+    some = _some(clauses, cell, target, seed)
+    pairs = lookup(some.join(some.withColumnRenamed("text", "_b"), cell).filter("text <> _b"), connectors.select("lang", "connector"), "lang", "inner")
+    pairs = pairs.select(*cell, F.concat_ws(" ", "text", "connector", "_b").alias("text"), F.lit(1).alias("_k"))
+    every = clauses.select(*cell, "text", F.lit(0).alias("_k")).unionByName(pairs).groupBy(*cell, "text").agg(F.min("_k").alias("_k"))
+    return _topped(every, ["category"], target, seed)
 
 
 def generate_templates(terms: DataFrame, templates: DataFrame, tails: DataFrame, held_out: DataFrame, slot: str = "{}") -> DataFrame:
     """label, text: each term (term, label) that isn't held out in each template of its label, alone and with each tail."""
     t = terms.join(held_out.select("term"), "term", "left_anti")
-    lines = t.join(F.broadcast(templates), "label").select("label", F.replace(F.col("template"), F.lit(slot), F.col("term")).alias("text"))
-    more = lines.crossJoin(F.broadcast(tails)).select("label", F.concat_ws(" ", "text", "tail").alias("text"))
-    return lines.unionByName(more).dropDuplicates(["text"])
+    lines = lookup(t, templates, "label", "inner").select("label", F.replace(F.col("template"), F.lit(slot), F.col("term")).alias("text"), F.lit(True).alias("_on"))
+    more = lookup(lines, tails.select("tail", F.lit(True).alias("_on")), "_on", "inner").select("label", F.concat_ws(" ", "text", "tail").alias("text"))
+    return lines.drop("_on").unionByName(more).dropDuplicates(["text"])
 
 
 def generate_testset(clauses: DataFrame, per_cell: int, joiner: str = " ", seed: int = 0) -> DataFrame:
-    """category, kind, lang, text: of each cell the base clauses, then joined pairs, up to ``per_cell``."""
+    """category, kind, lang, text: of each cell the base clauses, then joined pairs of as many clauses as that needs, up to ``per_cell``; order is seeded."""
     cell = ["category", "kind", "lang"]
-    a, b = clauses.select(*cell, F.col("text").alias("x")), clauses.select(*cell, F.col("text").alias("y"))
-    pairs = a.join(b, cell).filter("x <> y").select(*cell, F.concat_ws(joiner, "x", "y").alias("text"), F.lit(1).alias("_k"))
-    every = clauses.select(*cell, "text", F.lit(0).alias("_k")).unionByName(pairs).dropDuplicates([*cell, "text"])
-    n = F.row_number().over(Window.partitionBy(*cell).orderBy("_k", F.xxhash64(F.lit(seed), F.col("text")), "text"))
-    return every.withColumn("_n", n).filter(F.col("_n") <= per_cell).drop("_n", "_k")
+    some = _some(clauses, cell, per_cell, seed)
+    pairs = some.join(some.withColumnRenamed("text", "_b"), cell).filter("text <> _b").select(*cell, F.concat_ws(joiner, "text", "_b").alias("text"), F.lit(1).alias("_k"))
+    every = clauses.select(*cell, "text", F.lit(0).alias("_k")).unionByName(pairs).groupBy(*cell, "text").agg(F.min("_k").alias("_k"))
+    return _topped(every, cell, per_cell, seed)
 
 
 def decontaminate(df: DataFrame, text: str, held: DataFrame, held_text: str, row_id: str) -> DataFrame:

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modlake.core import global_rank, hashed_uniform
+from modlake.core import global_rank, hashed_uniform, running_sums
 from modlake.functions.labels import clip_key
+from modlake.operators.joins import lookup
 
 
 def invert_label_map(label_map: DataFrame) -> DataFrame:
@@ -56,16 +57,23 @@ def source_group_counts(df: DataFrame, forced: list[str] = (), key: str = "sourc
     return df.groupBy(key).agg(F.count("*").alias("n"), F.max(F.col(source).isin(*forced) if forced else F.lit(False)).alias("forced"))
 
 
+def check_ratios(ratios: dict[str, float]) -> None:
+    if len(ratios) != 3 or abs(sum(ratios.values()) - 1) > 1e-6:
+        raise ValueError(f"ratios must be three shares that sum to 1, not {ratios}")
+
+
 def assign_splits_greedy(df: DataFrame, ratios: dict[str, float], seed: int = 0, forced: list[str] = (), key: str = "source_id") -> DataFrame:
-    """key, split: sources by size, each to the split that lacks most; forced ones go to test and count first.
+    """key, split: sources by size (ties by a seeded md5), each to the split that lacks most of its share of the free rows;
+    forced ones go to test and count there first. Three ratios that sum to 1, or ValueError.
 
     The fold runs over one array with an entry for each source, so it is for bounded numbers of sources; the counting
     below it takes any number of rows. ``assign_splits_hash`` has no such bound.
     """
+    check_ratios(ratios)
     groups = source_group_counts(df, forced, key)
     names = list(ratios)
-    entry = F.struct((-F.col("n")).alias("o"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).alias("k"), F.col("n").alias("n"))
-    one = groups.agg(F.array_sort(F.collect_list(F.when(~F.col("forced"), entry))).alias("g"), F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("forced"), F.col("n"))), F.lit(0)).alias("fixed"))
+    entry = F.struct((-F.col("n")).alias("o"), hashed_uniform(seed, key).alias("h"), F.col(key).alias("k"), F.col("n").alias("n"))
+    one = groups.agg(F.array_sort(F.collect_list(F.when(~F.col("forced"), entry))).alias("g"), F.sum(F.when(~F.col("forced"), F.col("n"))).alias("total"), F.coalesce(F.sum(F.when(F.col("forced"), F.col("n"))), F.lit(0)).alias("fixed"))
     start = F.struct(F.array(*[F.when(F.lit(s == "test"), F.col("fixed")).otherwise(F.lit(0)).cast("double") for s in names]).alias("have"), F.array().cast("array<int>").alias("to"))
     goal = F.array(*[F.col("total") * ratios[s] for s in names])
 
@@ -81,7 +89,8 @@ def assign_splits_greedy(df: DataFrame, ratios: dict[str, float], seed: int = 0,
 
 def assign_splits_hash(source_id: Column | str, ratios: dict[str, float], seed: int = 0) -> Column:
     """The split of a source by its hash alone: no shuffle, any number of sources."""
-    at = F.pmod(F.xxhash64(F.col(source_id) if isinstance(source_id, str) else source_id, F.lit(seed)), F.lit(1_000_000))
+    check_ratios(ratios)
+    at = F.floor(hashed_uniform(seed, source_id) * 1_000_000)
     out, upto = None, 0.0
     for name, share in ratios.items():
         upto += share
@@ -107,9 +116,10 @@ def dedup_union_labels(df: DataFrame, pos: str, key: str = "clip_id", labels: st
 def split_per_class(df: DataFrame, key: str = "source_id", labels: str = "labels", shares: tuple[float, float] = (0.7, 0.15), seed: int = 0, order: Column | None = None) -> DataFrame:
     """key, class, split: a video belongs to its smallest class; of each class the first share trains, the next validates, the rest tests."""
     own = df.groupBy(key).agg(F.min(F.array_min(labels)).alias("class")).filter("class is not null")
-    n, k = F.count("*").over(Window.partitionBy("class")), F.row_number().over(Window.partitionBy("class").orderBy(order if order is not None else F.xxhash64(F.lit(seed), F.col(key)), key))
-    train, val = (F.greatest(F.lit(1), F.floor(s * n)) for s in shares)
-    return own.select(key, "class", F.when(k <= train, "train").when(k <= train + val, "val").otherwise("test").alias("split"))
+    own = own.withColumn("_order", order if order is not None else F.xxhash64(F.lit(seed), F.col(key)))
+    ranked = lookup(running_sums(own, "class", "_order", key, _k=F.lit(1)), own.groupBy("class").agg(F.count("*").alias("_size")), "class")
+    k, (train, val) = F.col("_k"), (F.greatest(F.lit(1), F.floor(s * F.col("_size"))) for s in shares)
+    return ranked.select(key, "class", F.when(k <= train, "train").when(k <= train + val, "val").otherwise("test").alias("split"))
 
 
 def split_union(parts: list[DataFrame], split: str | None = None) -> DataFrame:
@@ -119,14 +129,14 @@ def split_union(parts: list[DataFrame], split: str | None = None) -> DataFrame:
 
 def check_promotions(decisions: DataFrame, candidates: DataFrame, classes: DataFrame, harm: bool) -> DataFrame:
     """clip_id, problem: unknown clips, unknown labels, labels of the wrong kind."""
-    x = decisions.join(candidates.select("clip_id", F.lit(True).alias("_c")), "clip_id", "left").join(F.broadcast(classes.select(F.col("class").alias("label"), "is_harm")), "label", "left")
+    x = lookup(decisions.join(candidates.select("clip_id", F.lit(True).alias("_c")), "clip_id", "left"), classes.select(F.col("class").alias("label"), "is_harm"), "label")
     problem = F.when(F.col("_c").isNull(), "unknown clip").when(F.col("is_harm").isNull(), "unknown label").when(F.col("is_harm") != harm, "label of the wrong kind")
     return x.withColumn("problem", problem).filter("problem is not null").select("clip_id", "problem")
 
 
 def promote_reviewed(decisions: DataFrame, candidates: DataFrame, classes: DataFrame, harm: bool) -> DataFrame:
     """Verified train rows of reviewed candidates: confusable labels of false positives (harm False), or harm labels of positives."""
-    ok = decisions.join(F.broadcast(classes.filter(F.col("is_harm") == harm).select(F.col("class").alias("label"))), "label", "left_semi")
+    ok = lookup(decisions, classes.filter(F.col("is_harm") == harm).select(F.col("class").alias("label")), "label", "left_semi")
     return candidates.join(ok.select("clip_id", "label"), "clip_id").select("clip_id", "source", "source_id", "start_sec", "duration", F.array("label").alias("labels"), F.lit("verified").alias("label_confidence"), F.lit("train").alias("split"))
 
 

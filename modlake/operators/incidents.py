@@ -114,29 +114,32 @@ def adaptive_windows(df: DataFrame, key: str, t: str, risk: str, warn: float, ca
     return ordered_fold(df, key, [t], adaptive_step(t, risk, warn, calm, alert), {}, "stride double")
 
 
-def language_step(p: str, voiced: str, accept: float = 0.5, floor: float = 0.3, enter: int = 2, switch: int = 3, least_voiced: float = 2.0):
-    """Accept by default: a stream is suppressed after ``enter`` strong negatives and taken up again by ``switch`` strong positives."""
+def language_step(p: str, voiced: str, accept: float = 0.5, evidence: float = 0.15, enter: int = 2, switch: int = 3, least_voiced: float = 2.0):
+    """Keep what is uncertain; suppress on sustained strong evidence of the other language only.
+
+    A probability of ``accept`` or more is accepted and makes the stream "own". At most ``evidence`` over enough voiced
+    seconds is a strong negative: the ``enter``-th in a row is suppressed (the ``switch``-th after "own"), and so are
+    those that follow. Anything else, null too, is accepted as uncertain and ends the run.
+    """
     def step(state: dict, row: dict) -> tuple[dict, dict]:
-        mode, streak = state.get("mode", "open"), state.get("streak", 0)
-        x = row[p]
-        strong = x is not None and x == x and row[voiced] >= least_voiced
-        if mode == "open":
-            streak = streak + 1 if strong and x < floor else 0
-            decision = "accept" if x is not None and x >= accept else "pending" if streak else "uncertain"
-            if streak >= enter:
-                mode, streak, decision = "closed", 0, "suppress"
+        mode, streak = state.get("mode", "unknown"), state.get("streak", 0)
+        x, v = row[p], row[voiced]
+        known = x is not None and x == x
+        if known and x >= accept:
+            mode, streak, decision = "own", 0, "accept"
+        elif not (known and x <= evidence and v is not None and v >= least_voiced):
+            streak, decision = 0, "uncertain"
         else:
-            streak = streak + 1 if strong and x >= accept else 0
-            decision = "suppress"
-            if streak >= switch:
-                mode, streak, decision = "open", 0, "accept"
-        return {"mode": mode, "streak": streak}, {"decision": decision, "mode": mode, "streak": streak}
+            streak += 1
+            decision = "suppress" if streak >= (switch if mode == "own" else enter) else "pending"
+            mode = "other" if decision == "suppress" else mode
+        return {"mode": mode, "streak": streak}, {"decision": decision, "selected": decision != "suppress", "mode": mode, "streak": streak}
 
     return step
 
 
 def language_policy(df: DataFrame, key: str, order: list[str], p: str, voiced: str, **how) -> DataFrame:
-    return ordered_fold(df, key, order, language_step(p, voiced, **how), {}, "decision string, mode string, streak int")
+    return ordered_fold(df, key, order, language_step(p, voiced, **how), {}, "decision string, selected boolean, mode string, streak int")
 
 
 def new_audio_slice(df: DataFrame, key: str, t: str, window: float = 10.0, least: float = 4.0) -> DataFrame:

@@ -28,16 +28,22 @@ def containment(df: DataFrame, text: str, terms: list[str]) -> Column:
 def label_similarity(df: DataFrame, row_id: str, labels: str, threshold: float, batch: str | None = None) -> DataFrame:
     """class representatives a < b with jaccard, of different label sets at or above the threshold.
 
-    Equal sets are one class: see ``label_classes`` for the membership. Classes meet on their shared labels by an
-    equi-join of distinct sets, which a taxonomy bounds, not of rows. Empty sets have no partner.
+    Equal sets are one class: see ``label_classes`` for the membership. Of each set's n labels, rarest first, only the
+    first n - ceil(threshold n) + 1 are looked up, which any similar pair shares one of; sizes must allow the
+    similarity; what is left is checked on the whole sets. Empty sets have no partner.
     """
-    c = label_classes(df, row_id, labels, batch)
     keys = ["_batch"] if batch else []
-    sets = c.select(*keys, "rep", "set").distinct()
-    each = sets.select(*keys, "rep", F.size("set").alias("n"), F.explode("set").alias("label"))
-    other = each.select(*keys, F.col("rep").alias("b"), F.col("n").alias("nb"), "label")
-    both = each.join(other, [*keys, "label"]).filter("rep < b").groupBy(*keys, F.col("rep").alias("a"), "b", "n", "nb").agg(F.count("*").alias("both"))
-    return both.withColumn("jaccard", F.col("both") / (F.col("n") + F.col("nb") - F.col("both"))).filter(F.col("jaccard") >= threshold).select("a", "b", "jaccard")
+    sets = label_classes(df, row_id, labels, batch).select(*keys, "rep", "set").distinct()
+    each = sets.select(*keys, "rep", "set", F.explode("set").alias("label"))
+    ranked = lookup(each, each.groupBy("label").agg(F.count("*").alias("often")), "label")
+    order = ranked.groupBy(*keys, "rep").agg(F.any_value("set").alias("set"), F.array_sort(F.collect_list(F.struct("often", "label"))).alias("order"))
+    n = F.size("set")
+    first = order.select(*keys, "rep", "set", n.alias("n"), F.explode(F.slice("order", F.lit(1), (n - F.ceil(F.lit(threshold) * n - 1e-9) + 1).cast("int"))["label"]).alias("label"))
+    other = first.select(*keys, F.col("rep").alias("b"), F.col("set").alias("other"), F.col("n").alias("m"), "label")
+    size_ok = (F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m") - 1e-9) & (F.col("rep") < F.col("b"))
+    both = first.join(other, [*keys, "label"]).filter(size_ok).dropDuplicates([*keys, "rep", "b"])
+    same = F.size(F.array_intersect("set", "other"))
+    return both.select(F.col("rep").alias("a"), "b", (same / (F.col("n") + F.col("m") - same)).alias("jaccard")).filter(F.col("jaccard") >= threshold)
 
 
 def label_classes(df: DataFrame, row_id: str, labels: str, batch: str | None = None) -> DataFrame:

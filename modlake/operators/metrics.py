@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlake.core import global_rank, running_sums, saved
+from modlake.functions.text import compose, normalize_text
+from modlake.operators.joins import lookup
 
 KEY = "class"
 
@@ -120,12 +122,20 @@ def harm_report(df: DataFrame, classes: DataFrame, fpr: float = 0.01, targets: d
     ``classes``: class, category, is_harm; small, and joined to every row. A target passes if at least one value of the
     macro over harm is defined and none of the defined is below it; flags are columns pass_<metric>.
     """
-    rows = df.join(F.broadcast(classes), KEY)
+    df = saved(df.select("id", KEY, "y", "score"), "scored")
+    rows = lookup(df, classes, KEY, "inner")
 
     def of(x: DataFrame) -> DataFrame:
-        return average_precision(x).join(auroc(x), KEY).join(recall_at_fpr(x, fpr), KEY)
-
-    by_class = saved(of(df).join(F.broadcast(classes), KEY), "by-class")  # a row for each class, read by three parts of the report
+        """All three from one ranking of the rows."""
+        r = saved(running_sums(x.select(KEY, "y", "score", "id"), KEY, F.col("score").desc(), "id", rank=F.lit(1), tp=F.col("y")), "ranked")
+        ap = r.groupBy(KEY).agg((F.sum(F.when(F.col("y") == 1, F.col("tp") / F.col("rank"))) / F.nullif(F.sum("y"), F.lit(0))).alias("ap"), F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
+        g = lookup(r.groupBy(KEY, "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), F.max("tp").alias("tp"), F.max("rank").alias("rank")), ap, KEY, "inner")
+        fp = F.col("rank") - F.col("tp")
+        u = F.sum(F.col("pos") * (F.col("n") - fp + F.col("neg") / 2)) / F.nullif(F.max("p") * F.max("n"), F.lit(0))
+        best = F.coalesce(F.max(F.when(fp <= F.lit(fpr) * F.col("n"), F.col("tp") / F.nullif(F.col("p"), F.lit(0)))), F.lit(0.0))
+        return g.groupBy(KEY).agg(F.first("ap").alias("ap"), u.alias("auroc"), F.when((F.max("p") > 0) & (F.max("n") > 0), best).alias("recall"))
+
+    by_class = saved(lookup(of(df), classes, KEY, "inner"), "by-class")  # a row for each class, read by three parts of the report
     pooled = rows.groupBy("id", F.col("category").alias(KEY)).agg(F.max("y").alias("y"), F.max("score").alias("score"))
     one = by_class.select(F.lit("class").alias("scope"), F.col(KEY).alias("name"), "ap", "auroc", "recall")
     cat = of(pooled).select(F.lit("category").alias("scope"), F.col(KEY).alias("name"), "ap", "auroc", "recall")
@@ -144,49 +154,40 @@ def report_json(df: DataFrame, name: str = "report") -> DataFrame:
     return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias(name))
 
 
-def _poisson(u: np.ndarray) -> np.ndarray:
-    steps = np.cumsum([0.36787944117144233 / d for d in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
-    return np.searchsorted(steps, u)
-
-
-def bootstrap_compare(df: DataFrame, replicates: int = 2000, bins: int = 1000, seed: int = 0, y: str = "y", a: str = "score", b: str = "score_b", row_id: str = "id") -> DataFrame:
+def bootstrap_compare(df: DataFrame, replicates: int = 2000, bins: int = 200, seed: int = 0, y: str = "y", a: str = "score", b: str = "score_b") -> DataFrame:
     """auroc_a, auroc_b, delta, low, high, p_better, significant: paired Poisson bootstrap over rows.
 
-    Scores are binned in [0, 1]; a task adds the weights of its rows into (replicate, model, label, bin) counts, and
-    only these are shuffled: as many whatever the rows. Replicates with one kind only are skipped.
+    The three first are exact. For the resamples scores go into ``bins`` bins by their quantiles, so that range and skew
+    don't matter; rows of one label and one pair of bins are a cell. The weights of a cell's rows sum up to a Poisson
+    number around its count, so replicates draw from the at most 2 bins^2 cells and not from the rows. Replicates with
+    one kind only are skipped. Rows with a null label or score are left out; nulls where a kind is missing.
     """
-    schema = "replicate int, model int, y int, bin int, n long"
+    rows = saved(df.select(F.col(y).cast("int").alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna(), "pairs")
+    cuts = rows.agg(*[F.percentile_approx(c, F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(20 * bins)) for c in ("a", "b")]).first()
+    at = lambda c, xs: F.size(F.filter(F.array(*map(F.lit, sorted(set(xs or [])))).cast("array<double>"), lambda x: x <= F.col(c)))
+    cells = rows.groupBy("y", at("a", cuts[0]).alias("a"), at("b", cuts[1]).alias("b")).agg(F.count("*").alias("n")).orderBy("y", "a", "b").toPandas()
+    kind, n = cells["y"].to_numpy() == 1, cells["n"].to_numpy()
+    bin_of = [cells[c].to_numpy() for c in ("a", "b")]
+
+    def area(w: np.ndarray, at: np.ndarray) -> float:
+        pos, neg = (np.bincount(at[k], w[k], bins + 1) for k in (kind, ~kind))
+        return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts = None
         for f in frames:
-            if counts is None:
-                counts = np.zeros((replicates, 2, 2, bins), np.int32)
-            ys = f[y].to_numpy().astype(int)
-            ids = f["_h"].to_numpy().astype(np.uint64)
-            ja, jb = (np.clip((f[c].to_numpy(float) * bins).astype(int), 0, bins - 1) for c in (a, b))
-            for r in range(replicates):
-                x = ids + np.uint64((r * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                w = _poisson((x >> np.uint64(11)).astype(float) / (1 << 53)) if r else np.ones(len(f), int)
-                np.add.at(counts[r, 0], (ys, ja), w)
-                np.add.at(counts[r, 1], (ys, jb), w)
-        if counts is not None:
-            at = np.argwhere(counts)
-            yield pd.DataFrame({**{k: at[:, i].astype(np.int32) for i, k in enumerate(("replicate", "model", "y", "bin"))}, "n": counts[tuple(at.T)].astype(np.int64)})
-
-    rows = df.select(y, a, b, F.xxhash64(F.lit(seed), row_id).alias("_h"))
-    bins_of = rows.mapInPandas(run, schema).groupBy("replicate", "model", "bin").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("pos"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("neg"))
-    w = Window.partitionBy("replicate", "model").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    u = F.sum(F.col("pos") * (F.coalesce(F.col("below"), F.lit(0)) + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))
-    each = bins_of.withColumn("below", F.sum("neg").over(w)).groupBy("replicate", "model").agg(u.alias("v"))
-    both = each.groupBy("replicate").agg(F.max(F.when(F.col("model") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("model") == 1, F.col("v"))).alias("b")).withColumn("d", F.col("b") - F.col("a"))
-    again = F.when(F.col("replicate") > 0, F.col("d"))
-    out = both.filter("a is not null and b is not null").agg(
-        F.max(F.when(F.col("replicate") == 0, F.col("a"))).alias("auroc_a"), F.max(F.when(F.col("replicate") == 0, F.col("b"))).alias("auroc_b"), F.max(F.when(F.col("replicate") == 0, F.col("d"))).alias("delta"),
-        F.percentile(again, F.lit(0.025)).alias("low"), F.percentile(again, F.lit(0.975)).alias("high"), F.avg((again > 0).cast("double")).alias("p_better"))
-    return out.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
+            out = []
+            for r in f["id"]:
+                w = np.random.Generator(np.random.Philox(key=np.array([seed, r], np.uint64))).poisson(n).astype(float)
+                if w[kind].any() and w[~kind].any():
+                    out.append((int(r), area(w, bin_of[1]) - area(w, bin_of[0])))
+            yield pd.DataFrame(out, columns=["replicate", "d"]).astype({"replicate": "int64", "d": "float64"})
+
+    drawn = df.sparkSession.range(0, replicates, 1, min(replicates, 64)).mapInPandas(run, "replicate long, d double")
+    spread = drawn.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") > 0).cast("double")).alias("p_better"))
+    both = rows.select(F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))).alias(KEY, "score"), "y")
+    exact = auroc(both).agg(*[F.max(F.when(F.col(KEY) == k, F.col("auroc"))).alias(f"auroc_{k}") for k in "ab"])
+    out = exact.crossJoin(spread)  # one row each
+    return out.select("auroc_a", "auroc_b", (F.col("auroc_b") - F.col("auroc_a")).alias("delta"), "low", "high", "p_better", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
 
 
 def fit_risk(df: DataFrame, features: tuple[str, str] = ("weighted_max", "weighted_sum"), y: str = "y") -> dict:
@@ -199,26 +200,35 @@ def fit_risk(df: DataFrame, features: tuple[str, str] = ("weighted_max", "weight
     return {"a": float(m.coefficients[0]), "b": float(m.coefficients[1]), "c": float(m.intercept), "auroc": float(m.summary.areaUnderROC)}
 
 
-def normalised(text: Column) -> Column:
-    """Lower case, letters of Hangul and Latin and digits only."""
-    return F.lower(F.regexp_replace(text, r"[^0-9A-Za-z가-힣ᄀ-ᇿ㄰-㆏]", ""))
+def _compared(df: DataFrame, reference: str, hypothesis: str, *keep: Column) -> DataFrame:
+    """The kept columns with r and h: both texts as ``normalize_text`` leaves their composed forms."""
+    x = compose(df.select(*keep, F.coalesce(F.col(reference), F.lit("")).alias("r"), F.coalesce(F.col(hypothesis), F.lit("")).alias("h")), "r", "h")
+    return x.withColumns({"r": normalize_text(F.col("r")), "h": normalize_text(F.col("h"))})
+
+
+def _edits(r: str, h: str) -> Column:
+    """Edit distance; equal texts, the most frequent case, are not walked."""
+    return F.when(F.col(r) == F.col(h), 0).otherwise(F.levenshtein(r, h))
 
 
 def character_error_rate(df: DataFrame, reference: str, hypothesis: str, by: list[str] | None = None) -> DataFrame:
-    """cer, n: edits over reference characters on normalised texts; empty references are left out. Null if none is left."""
-    ref, hyp = normalised(F.coalesce(F.col(reference), F.lit(""))), normalised(F.coalesce(F.col(hypothesis), F.lit("")))
-    rows = df.select(*(by or []), ref.alias("_r"), hyp.alias("_h")).filter("_r <> ''")
-    return rows.groupBy(*(by or [])).agg((F.sum(F.levenshtein("_r", "_h")) / F.nullif(F.sum(F.length("_r")), F.lit(0))).alias("cer"), F.count("*").alias("n"))
+    """cer, n: edits over reference characters on normalised texts; empty references are left out. Null if none is left.
+
+    Equal pairs of texts are compared once, with their number.
+    """
+    pairs = _compared(df, reference, hypothesis, *(by or [])).filter("r <> ''").groupBy(*(by or []), "r", "h").agg(F.count("*").alias("n"))
+    return pairs.groupBy(*(by or [])).agg((F.sum(_edits("r", "h") * F.col("n")) / F.nullif(F.sum(F.length("r") * F.col("n")), F.lit(0))).alias("cer"), F.sum("n").alias("n"))
 
 
 def asr_report(df: DataFrame, reference: str = "text", hypothesis: str = "hypothesis", domain: str = "domain", terms: str = "harm_terms", silent: str = "no_speech") -> DataFrame:
-    """domain, n, cer, empty_rate, false_transcript_rate (of the silent domain), term_recall (over all rows, on each row)."""
-    ref, hyp = normalised(F.coalesce(F.col(reference), F.lit(""))), normalised(F.coalesce(F.col(hypothesis), F.lit("")))
-    has = F.size(F.filter(terms, lambda t: F.contains(hyp, normalised(t))))
-    rows = df.select(domain, ref.alias("r"), hyp.alias("h"), has.alias("hit"), F.greatest(F.size(terms), F.lit(0)).alias("all"))
+    """domain, n, cer (null for the silent domain), empty_rate (of the others), false_transcript_rate (of the silent one), term_recall (over all rows, on each row)."""
+    rows = _compared(df, reference, hypothesis, domain, terms)
+    has = F.size(F.filter(terms, lambda t: F.contains(F.col("h"), normalize_text(t))))
+    spoken = F.col(domain) != silent
+    rows = rows.select(domain, "r", "h", has.alias("hit"), F.greatest(F.size(terms), F.lit(0)).alias("all"))
     out = rows.groupBy(domain).agg(
-        F.count("*").alias("n"), (F.sum(F.when(F.col("r") != "", F.levenshtein("r", "h"))) / F.nullif(F.sum(F.length("r")), F.lit(0))).alias("cer"),
-        F.avg((F.col("h") == "").cast("double")).alias("empty_rate"), F.when(F.col(domain) == silent, F.avg((F.col("h") != "").cast("double"))).alias("false_transcript_rate"),
+        F.count("*").alias("n"), (F.sum(F.when(spoken & (F.col("r") != ""), _edits("r", "h"))) / F.nullif(F.sum(F.when(spoken, F.length("r"))), F.lit(0))).alias("cer"),
+        F.avg(F.when(spoken, (F.col("h") == "").cast("double"))).alias("empty_rate"), F.avg(F.when(~spoken, (F.col("h") != "").cast("double"))).alias("false_transcript_rate"),
         F.sum(F.when(F.col("all") > 0, F.col("hit"))).alias("_hit"), F.sum("all").alias("_all"))
     whole = Window.partitionBy()  # a row for each domain
     return out.withColumn("term_recall", F.sum("_hit").over(whole) / F.nullif(F.sum("_all").over(whole), F.lit(0))).drop("_hit", "_all")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from modlake.functions.labels import strings
+from modlake.operators.joins import lookup
 from modlake.operators.collections import check_promotions, promote_reviewed
 
 ACTIONS = ("confirm_fp", "confirm_positive", "skip")
@@ -55,8 +56,13 @@ def latest_decisions(decisions: DataFrame) -> DataFrame:
 
 def pending(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     """Undecided clips, then skipped ones, in the order of their rank."""
+    return pending_rows(queue, decisions).orderBy("skipped", "rank").drop("skipped")
+
+
+def pending_rows(queue: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The same rows in no order, with ``skipped``."""
     x = queue.join(latest_decisions(decisions), "clip_id", "left").filter("action is null or action = 'skip'")
-    return x.orderBy(F.col("action").isNotNull(), "rank").drop("action", "label")
+    return x.withColumn("skipped", F.col("action").isNotNull()).drop("action", "label")
 
 
 def progress(queue: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -66,7 +72,7 @@ def progress(queue: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def check_decisions(decisions: DataFrame, queue: DataFrame, classes: DataFrame) -> DataFrame:
     """clip_id, problem: unknown clips and actions, missing labels, labels of the wrong kind."""
-    known = decisions.join(queue.select("clip_id", F.lit(True).alias("_q")), "clip_id", "left").join(F.broadcast(classes.select(F.col("class").alias("label"), "is_harm")), "label", "left")
+    known = lookup(decisions.join(queue.select("clip_id", F.lit(True).alias("_q")), "clip_id", "left"), classes.select(F.col("class").alias("label"), "is_harm"), "label")
     act, label = F.col("action"), F.col("label")
     problem = (
         F.when(F.col("_q").isNull(), "unknown clip").when(~F.coalesce(act.isin(*ACTIONS), F.lit(False)), "unknown action").when((act != "skip") & label.isNull(), "label required")
@@ -81,4 +87,4 @@ def export_reviewed(decisions: DataFrame, candidates: DataFrame, classes: DataFr
     return promote_reviewed(last.filter("action = 'confirm_fp'"), candidates, classes, False).unionByName(promote_reviewed(last.filter("action = 'confirm_positive'"), candidates, classes, True))
 
 
-__all__ = ["score_candidates", "select_candidates", "fp_distribution", "should_stop", "latest_decisions", "pending", "progress", "check_decisions", "export_reviewed", "check_promotions"]
+__all__ = ["score_candidates", "select_candidates", "fp_distribution", "should_stop", "latest_decisions", "pending", "pending_rows", "progress", "check_decisions", "export_reviewed", "check_promotions"]

@@ -11,7 +11,8 @@ from modlake.core import global_rank, hashed_uniform
 
 
 def seed_mix(*values: Column | int | str) -> Column:
-    return F.xxhash64(*[v if isinstance(v, Column) else F.lit(v) for v in values])
+    """A seeded order: md5 over the values joined by bars."""
+    return F.md5(F.concat_ws("|", *[(v if isinstance(v, Column) else F.lit(v)).cast("string") for v in values]))
 
 
 def balanced_batches(df: DataFrame, row_id: str, harm: str, batch_size: int, seed: int = 0, epoch: int = 0) -> DataFrame:
@@ -35,7 +36,7 @@ def balanced_batches(df: DataFrame, row_id: str, harm: str, batch_size: int, see
         per_pass = size // q
         passes = math.ceil(batches / per_pass) if per_pass else math.ceil(batches * q / size)
         each = pool.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))))
-        ranked = global_rank(each, F.col("_pass"), seed_mix(seed, epoch, kind, F.col("_pass"), F.col(row_id)), F.col(row_id), name="_r")
+        ranked = global_rank(each, F.col("_pass"), seed_mix(seed, epoch, int(kind), F.col("_pass"), F.col(row_id)), F.col(row_id), name="_r")
         pos = F.col("_r") - 1 - F.col("_pass") * size
         if per_pass:
             rows = ranked.filter(pos < per_pass * q).select(row_id, harm, (F.col("_pass") * per_pass + F.floor(pos / q)).alias("batch"), F.pmod(pos, F.lit(q)).alias("slot"))

@@ -18,8 +18,8 @@ def frame_signal(samples: str, size: int, hop: int) -> Column:
 
 
 def _power(x: np.ndarray, size: int, hop: int) -> np.ndarray:
-    if len(x) < size:
-        x = np.pad(x, (0, size - len(x)))
+    """Power spectra (frames, bins) under a periodic Hann window; frame k is centred on sample k * hop, ends are mirrored."""
+    x = np.pad(x, size // 2, mode="reflect")
     frames = np.lib.stride_tricks.sliding_window_view(x, size)[::hop]
     return np.abs(np.fft.rfft(frames * np.hanning(size + 1)[:-1], axis=1)) ** 2
 
@@ -35,7 +35,7 @@ def mel_bank(rate: int, size: int, mels: int, low: float, high: float) -> np.nda
 
 
 def log_mel(df: DataFrame, row_id: str, samples: str, rate: int = 16000, size: int = 1024, hop: int = 320, mels: int = 128, low: float = 50.0, high: float = 8000.0) -> DataFrame:
-    """row_id, feature (mels x frames): log(mel power + 1e-6). One row a clip; null or empty samples give null."""
+    """row_id, feature (mels x (1 + samples // hop) frames): log(mel power + 1e-6). One row a clip; null or empty samples give null."""
     schema = df.select(row_id).schema.add("feature", T.ArrayType(T.ArrayType(T.FloatType())))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,27 +47,30 @@ def log_mel(df: DataFrame, row_id: str, samples: str, rate: int = 16000, size: i
     return df.select(row_id, samples).mapInPandas(run, schema)
 
 
+def speech_likelihood(x: np.ndarray, rate: int = 16000, size: int = 512, hop: int = 256) -> float:
+    """Cube root of voice-band share x spectral peakiness x modulation of the level, each scaled to 0..1.
+
+    0 for under a tenth of a second, under 8 full frames, or a root mean square under .001.
+    """
+    frames = 1 + (len(x) - size) // hop
+    if len(x) < rate // 10 or frames < 8 or np.sqrt(np.mean(x * x)) < 1e-3:
+        return 0.0
+    spec = np.abs(np.fft.rfft(np.lib.stride_tricks.sliding_window_view(x, size)[::hop] * np.hanning(size), axis=1)) + 1e-10
+    freq = np.fft.rfftfreq(size, 1 / rate)
+    band = spec[:, (freq >= 300) & (freq <= 3400)].sum() / spec.sum()
+    flat = np.exp(np.log(spec).mean(axis=1)).mean() / spec.mean()
+    level = spec.sum(axis=1)
+    parts = (np.clip((band - 0.25) / 0.35, 0, 1), 1 - min(1, 3 * flat), min(1, level.std() / (level.mean() + 1e-12) / 0.6))
+    return float(np.cbrt(np.prod(parts)))
+
+
 def speech_score(df: DataFrame, row_id: str, samples: str, rate: int = 16000) -> DataFrame:
-    """row_id, score: cube root of speech-band share x spectral peakiness x modulation around 4 Hz; a diagnostic."""
+    """row_id, score: ``speech_likelihood`` of each sample array, a diagnostic. Null samples give null."""
     schema = df.select(row_id).schema.add("score", "double")
 
-    def one(x: np.ndarray) -> float:
-        if not len(x) or not np.any(x):
-            return 0.0
-        p = _power(x, 400, 160)
-        freq = np.fft.rfftfreq(400, 1 / rate)
-        band = p[:, (freq >= 300) & (freq <= 3400)]
-        share = band.sum() / (p.sum() + 1e-12)
-        peak = 1 - np.exp(np.log(band + 1e-12).mean()) / (band.mean() + 1e-12)
-        env = np.sqrt(band.sum(1))
-        env = env - env.mean()
-        spec, f = np.abs(np.fft.rfft(env)) ** 2, np.fft.rfftfreq(len(env), 0.01)
-        mod = spec[(f >= 2) & (f <= 8)].sum() / (spec.sum() + 1e-12)
-        return float(np.cbrt(max(share * peak * mod, 0.0)))
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({row_id: f[row_id], "score": [None if x is None else one(np.asarray(x, float)) for x in f[samples]]})
+            yield pd.DataFrame({row_id: f[row_id], "score": [None if x is None else speech_likelihood(np.asarray(x, float), rate) for x in f[samples]]})
 
     return df.select(row_id, samples).mapInPandas(run, schema)
 

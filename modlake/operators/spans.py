@@ -43,23 +43,39 @@ def spans_from_scores(df: DataFrame, key: str, pos: str, score: str, length: Dat
     return merge_spans(padded, key)
 
 
-def group_step(start: str, end: str, max_gap: float, cut: float):
-    """Number the groups: a new one after a gap, or where the voiced length would pass ``cut``."""
-    def step(state: dict, row: dict) -> tuple[dict, dict]:
-        n, last, voiced = state.get("n", -1), state.get("end"), state.get("voiced", 0.0)
-        size = row[end] - row[start]
-        if last is None or row[start] - last > max_gap or voiced + size > cut:
+def group_step(start: str, end: str, max_gap: float, cut: float, flush: float):
+    """The pieces of a span, each with the number of its group: spans are cut where a group is full, and a group ends
+    when it is full, after a span that brings it to ``flush``, or before a gap of over ``max_gap``."""
+    def step(state: dict, row: dict) -> tuple[dict, dict | None]:
+        a, z = row[start], row[end]
+        if a is None or z is None or z <= max(a, 0):
+            return state, None
+        a = max(a, 0)
+        n, voiced, before = state.get("n", 0), state.get("voiced", 0.0), state.get("end")
+        out = {"groups": [], "starts": [], "ends": []}
+        if before is not None and a - before > max_gap and voiced:
             n, voiced = n + 1, 0.0
-        return {"n": n, "end": row[end], "voiced": voiced + size}, {"group": n}
+        while a < z:
+            upto = min(z, a + cut - voiced)
+            out["groups"].append(n), out["starts"].append(float(a)), out["ends"].append(float(upto))
+            voiced += upto - a
+            a = upto
+            if voiced >= cut - 1e-9:
+                n, voiced = n + 1, 0.0
+        if voiced >= flush:
+            n, voiced = n + 1, 0.0
+        return {"n": n, "voiced": voiced, "end": z}, out
 
     return step
 
 
 def group_spans(df: DataFrame, key: str, start: str = "start", end: str = "end", max_gap: float = 1.5, cut: float = 5.0, flush: float = 2.0) -> DataFrame:
-    """key, group, start, end, voiced, spans, ready (voiced >= flush): spans packed in order."""
-    numbered = ordered_fold(df, key, [start, end], group_step(start, end, max_gap, cut), {}, "group int")
-    size = F.col(end) - F.col(start)
-    return numbered.groupBy(key, "group").agg(F.min(start).alias("start"), F.max(end).alias("end"), F.sum(size).alias("voiced"), F.count("*").alias("spans")).withColumn("ready", F.col("voiced") >= flush)
+    """key, group, start, end, voiced, spans (pieces), ready (voiced >= flush): spans packed in order. Empty and null spans go."""
+    slim = df.select(key, start, end)
+    pieces = ordered_fold(slim, key, [start, end], group_step(start, end, max_gap, cut, flush), {}, "groups array<int>, starts array<double>, ends array<double>")
+    x = pieces.select(key, F.explode(F.arrays_zip("groups", "starts", "ends")).alias("x")).select(key, F.col("x.groups").alias("group"), F.col("x.starts").alias("s"), F.col("x.ends").alias("e"))
+    out = x.groupBy(key, "group").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.sum(F.col("e") - F.col("s")).alias("voiced"), F.count("*").alias("spans"))
+    return out.withColumn("ready", F.col("voiced") >= flush - 1e-9)
 
 
 def span_seconds(df: DataFrame, key: str, rate: float = 1.0) -> DataFrame:

@@ -11,13 +11,14 @@ ASR_DOMAINS = ("general", "movie", "song", "no_speech")
 
 
 def validate_manifest(df: DataFrame, classes: list[str], order: str | None = None) -> DataFrame:
-    """clip_id, problem: one row for each problem. The second and later copies of an id are duplicates, in ``order``."""
+    """clip_id, problem: one row for each problem. The second and later copies of an id are duplicates, in ``order``; null and blank ids have no copies."""
     known = F.array(*map(F.lit, classes)) if classes else F.array().cast("array<string>")
     unknown = F.array_except(F.coalesce("labels", F.array().cast("array<string>")), known)
-    copy = F.row_number().over(Window.partitionBy("clip_id").orderBy(F.col(order) if order else F.lit(0)))
-    x = df.withColumn("_copy", copy)
+    blank = F.coalesce(F.trim("clip_id"), F.lit("")) == ""
+    x = df.withColumn("_apart", F.when(blank, F.monotonically_increasing_id()))  # rows without an id are no copies of each other
+    x = x.withColumn("_copy", F.row_number().over(Window.partitionBy("clip_id", "_apart").orderBy(F.col(order) if order else F.lit(0))))
     checks = F.array_compact(F.array(
-        F.when(F.coalesce(F.trim("clip_id"), F.lit("")) == "", F.lit("empty clip_id")),
+        F.when(blank, F.lit("empty clip_id")),
         F.when(~F.coalesce(F.col("label_confidence").isin(*CONFIDENCE), F.lit(False)), F.concat(F.lit("bad confidence: "), F.coalesce("label_confidence", F.lit("null")))),
         F.when(~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False)), F.concat(F.lit("bad split: "), F.coalesce("split", F.lit("null")))),
         F.when(F.coalesce(F.col("start_sec") < 0, F.lit(True)), F.lit("negative start")),
@@ -118,17 +119,18 @@ def unknown_weights(weights: DataFrame, classes: DataFrame) -> DataFrame:
 def degenerate_text(text: str | Column) -> Column:
     """Whether a transcript loops: at least 4 tokens, and one token over half of them, few distinct ones, or a phrase over and over."""
     x = F.col(text) if isinstance(text, str) else text
-    tokens = F.regexp_extract_all(F.lower(F.coalesce(x, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    tokens = F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(r"[가-힣a-zA-Z0-9]+"), F.lit(0))
 
     def loops(w: Column) -> Column:
         n = F.size(w)
         kinds = F.array_distinct(w)
-        top = F.array_max(F.transform(kinds, lambda k: F.size(F.filter(w, lambda v: v == k))))
+        middle = F.get(F.array_sort(w), F.floor(n / 2).cast("int"))  # a token over half of all is the middle one in order
+        top = F.transform(F.array(middle), lambda m: F.size(F.filter(w, lambda v: v == m)))[0]
 
         def repeated(size: int, times: int) -> Column:
-            span = size * times
-            same = lambda i: F.forall(F.sequence(F.lit(1), F.lit(times - 1)), lambda k: F.slice(w, i, F.lit(size)) == F.slice(w, i + k * size, F.lit(size)))
-            return F.when(n >= span, F.exists(F.sequence(F.lit(1), n - span + 1), same)).otherwise(F.lit(False))
+            """A phrase stands so often in a row if as many places in a row equal the ones ``size`` further on."""
+            same = F.array_join(F.transform(w, lambda v, i: F.when(v == F.get(w, i + size), "1").otherwise("0")), "")
+            return F.contains(same, F.lit("1" * (size * (times - 1))))
 
         runs = repeated(1, 5) | repeated(2, 3) | repeated(3, 3) | repeated(4, 3)
         return F.when(n < 4, F.lit(False)).otherwise((top * 2 > n) | (F.size(kinds) < 0.35 * n) | runs)

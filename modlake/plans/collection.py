@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from modlake.core import md5_uniform
+from modlake.core import hashed_uniform
 from modlake.functions import labels as L
 from modlake.functions import text as X
 from modlake.operators import collections as C
@@ -127,17 +127,43 @@ def source_group_counts(spark, d):
     return C.source_group_counts(x, ["es"])
 
 
-@query()
+_SOURCES = "x AS (SELECT 'v' || (doc_id % 97) AS source_id, source FROM documents)"
+
+
+def _sources(spark, d):
+    return table(spark, d, "documents").select(F.concat(F.lit("v"), F.col("doc_id") % 97).alias("source_id"), "source")
+
+
+@query(f"""WITH RECURSIVE {_SOURCES}, g AS (SELECT source_id, count(*) AS n, bool_or(source = 'src3') AS forced FROM x GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, md5('7|' || source_id), source_id) AS rn FROM g WHERE NOT forced),
+t AS (SELECT coalesce(sum(n) FILTER (NOT forced), 0) AS total, coalesce(sum(n) FILTER (forced), 0) AS fixed FROM g),
+f AS (SELECT 0::BIGINT AS rn, NULL::VARCHAR AS source_id, NULL::VARCHAR AS split, .7 * total AS a, .15 * total AS b, .15 * total - fixed AS c FROM t
+  UNION ALL SELECT o.rn, o.source_id, CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'val' ELSE 'test' END, a - CASE WHEN a >= b AND a >= c THEN o.n ELSE 0 END, b - CASE WHEN b > a AND b >= c THEN o.n ELSE 0 END, c - CASE WHEN c > a AND c > b THEN o.n ELSE 0 END FROM f JOIN o ON o.rn = f.rn + 1)
+SELECT source_id, split FROM f WHERE rn > 0 UNION ALL SELECT source_id, 'test' FROM g WHERE forced""")
 def assign_splits_greedy(spark, d):
-    """Sources to splits by the largest deficit; its ties go by a hash that DuckDB lacks."""
-    x = table(spark, d, "documents").select(F.col("source").alias("source_id"), "source")
-    return C.assign_splits_greedy(x, {"train": 0.7, "val": 0.15, "test": 0.15}, 7, ["src3"])
+    """Sources to splits by the largest deficit."""
+    return C.assign_splits_greedy(_sources(spark, d), {"train": 0.7, "val": 0.15, "test": 0.15}, 7, ["src3"])
 
 
-@query()
+@query("""WITH h AS (SELECT doc_id, floor(('0x' || substring(md5('7|' || doc_id), 1, 13))::BIGINT / 4503599627370496 * 1000000) AS h FROM documents) SELECT doc_id, CASE WHEN h < 700000 THEN 'train' WHEN h < 850000 THEN 'val' ELSE 'test' END AS split FROM h""")
 def assign_splits_hash(spark, d):
-    """Sources to splits by their hash."""
-    return table(spark, d, "documents").select("source").distinct().withColumn("split", C.assign_splits_hash("source", {"train": 0.7, "val": 0.15, "test": 0.15}, 7))
+    """Every document as a source of its own to a split by its hash."""
+    return table(spark, d, "documents").select("doc_id").withColumn("split", C.assign_splits_hash("doc_id", {"train": 0.7, "val": 0.15, "test": 0.15}, 7))
+
+
+@query("""WITH h AS (SELECT source, floor(('0x' || substring(md5('7|' || source), 1, 13))::BIGINT / 4503599627370496 * 1000000) AS h FROM documents) SELECT source, CASE WHEN h < 700000 THEN 'train' WHEN h < 850000 THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM h GROUP BY ALL""")
+def apply_split(spark, d):
+    """Rows with the split of their source, counted."""
+    x = table(spark, d, "documents").select("doc_id", "source")
+    to = x.select("source").distinct().withColumn("split", C.assign_splits_hash("source", {"train": 0.7, "val": 0.15, "test": 0.15}, 7))
+    return C.apply_split(x, to, "source").groupBy("source", "split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS split FROM documents WHERE doc_id % 2 = 0 OR n_chars > 100")
+def split_union(spark, d):
+    """Two parts, one with a column more, of which rows of all splits are taken together."""
+    t = table(spark, d, "documents")
+    parts = [t.filter("doc_id % 2 = 0").select("doc_id", F.lit("a").alias("split")), t.filter("doc_id % 2 = 1 and n_chars > 100").select("doc_id", F.lit("b").alias("split"), "lang")]
+    return C.split_union(parts).select("doc_id", "split")
 
 
 @query("""WITH v AS (SELECT source, min(lang) AS class FROM documents GROUP BY 1 UNION ALL SELECT 'd' || doc_id, lang FROM documents),
@@ -184,10 +210,10 @@ def multi_hot(spark, d):
     return x.select("doc_id", F.array_join(F.transform(hot, lambda v: v.cast("int").cast("string")), ",").alias("hot"), L.is_harm("l", ["en", "de"]).alias("harm"))
 
 
-@query("SELECT event_id, 'u' || user_id || '_' || CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE rtrim(printf('%.2f', value), '0') END AS clip_key FROM events WHERE value < 1000 AND value >= 1")
+@query("SELECT event_id, 'u' || user_id || '_' || replace(printf('%.6g', value), '.000000', '') AS clip_key, 'u_' || replace(printf('%.6g', value / 1000000), '.000000', '') AS small FROM events")
 def clip_key(spark, d):
-    x = table(spark, d, "events").filter("value < 1000 and value >= 1")
-    return x.select("event_id", L.clip_key(F.concat(F.lit("u"), F.col("user_id")), "value").alias("clip_key"))
+    """Keys of every event, and of values so small that some need an exponent."""
+    return table(spark, d, "events").select("event_id", L.clip_key(F.concat(F.lit("u"), F.col("user_id")), "value").alias("clip_key"), L.clip_key(F.lit("u"), F.col("value") / 1000000).alias("small"))
 
 
 _PROBS = "p AS (SELECT doc_id, [(n_chars % 1000) / 1000.0::DOUBLE, ((doc_id * 7919) % 1009) / 1009.0::DOUBLE, ((doc_id * 31) % 97) / 97.0::DOUBLE] AS p FROM documents)"
@@ -234,12 +260,16 @@ def promote_reviewed(spark, d):
     return N.export_reviewed(dec, cands, classes).select("clip_id", "source_id", F.get("labels", F.lit(0)).alias("label"))
 
 
-@query("""SELECT event_id, CASE WHEN (props->>'$.k')::DOUBLE * 1.5 <= 100 THEN round_even((props->>'$.k')::DOUBLE * 1.5, 0)::INT END AS degree_percent, CASE WHEN event_type IN ('error', 'click') THEN event_type END AS category FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 3 <> 0 AND (props->>'$.k')::DOUBLE * 1.5 <= 100 THEN round_even((props->>'$.k')::DOUBLE * 1.5, 0)::INT END AS degree_percent, CASE WHEN event_type IN ('error', 'click') THEN event_type END AS category,
+event_id % 3 = 0 OR (props->>'$.k')::DOUBLE * 1.5 > 100 AS kept_raw FROM events""")
 def verdict_normalize(spark, d):
+    """Chatty answers around an object; each third quotes its degree, which doesn't count."""
     e = table(spark, d, "events")
-    raw = F.concat(F.lit("Sure! Here: {\"degree_percent\": "), (F.get_json_object("props", "$.k").cast("double") * 1.5).cast("string"), F.lit(", \"category\": \""), F.upper("event_type"), F.lit("\", \"reason\": \"r\"} Hope it helps."))
+    n = (F.get_json_object("props", "$.k").cast("double") * 1.5).cast("string")
+    n = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), n, F.lit('"'))).otherwise(n)
+    raw = F.concat(F.lit("Sure! Here: {\"degree\": "), n, F.lit(", \"category\": \""), F.upper("event_type"), F.lit("\", \"reason\": \"r\"} Hope it helps."))
     v = L.verdict_normalize(raw, ["error", "click"])
-    return e.select("event_id", v.alias("v")).select("event_id", "v.degree_percent", "v.category")
+    return e.select("event_id", v.alias("v")).select("event_id", "v.degree_percent", "v.category", F.col("v.raw").isNotNull().alias("kept_raw"))
 
 
 _LEX = {"abuse": (0.9, {"stupid": 0.6, "idiot": 0.7, "moron": 0.8}), "disgust": (0.5, {"trash": 0.5, "disgusting": 0.9, "scum": 0.4})}
@@ -256,19 +286,37 @@ def lexicon_score(spark, d):
     return x.select("doc_id", F.col("s.by_category")["abuse"].alias("abuse"), F.col("s.by_category")["disgust"].alias("disgust"), F.col("s.risk").alias("risk"), F.col("s.top").alias("top"))
 
 
-@query("""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents), w AS (SELECT doc_id, t, string_split(t, ' ') AS w FROM d)
-SELECT doc_id, count(*) AS windows FROM (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') AS u FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6, 4)) AS i FROM w WHERE len(w) >= 8)) GROUP BY 1""")
+_WS = r"[ \t\n\x0B\f\r]"
+
+
+@query(f"""WITH f AS (SELECT doc_id, regexp_replace(regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g'), '[ \t]+', ' ', 'g') AS t FROM documents),
+s AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(t, '([.!?。！？]){_WS}+', '\\1' || chr(10), 'g'), '\\n+')) AS s FROM f), s2 AS (SELECT doc_id, regexp_replace(s, '^{_WS}+|{_WS}+$', '', 'g') AS s FROM s),
+c AS (SELECT doc_id, unnest(string_split_regex(s, '{_WS}*([,;:…]+|[-–—]{_WS}+){_WS}*')) AS c FROM s2 WHERE s <> ''), c2 AS (SELECT doc_id, regexp_replace(c, '^{_WS}+|{_WS}+$', '', 'g') AS c FROM c),
+w AS (SELECT doc_id, string_split_regex(c, '{_WS}+') AS w FROM c2 WHERE c <> ''), v AS (SELECT doc_id, w, unnest(range(1, len(w) - 6, 4)) AS i FROM w WHERE len(w) > 8),
+u AS (SELECT doc_id, t AS u FROM f UNION ALL SELECT doc_id, s FROM s2 UNION ALL SELECT doc_id, c FROM c2 UNION ALL SELECT doc_id, array_to_string(list_slice(w, i, i + 7), ' ') FROM v)
+SELECT doc_id, count(*) AS units, md5(string_agg(u, '|' ORDER BY u)) AS content FROM (SELECT DISTINCT doc_id, u FROM u WHERE u <> '') GROUP BY 1""")
 def text_units(spark, d):
-    """Distinct full windows of 8 words of each text."""
-    t = table(spark, d, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("t"))
-    n = F.size(F.array_intersect(X.text_units(F.col("t")), X.word_windows(F.col("t"))))
-    return t.select("doc_id", n.cast("long").alias("windows")).filter("windows > 0")
+    """The distinct views of each text: sentences, clauses, windows."""
+    u = table(spark, d, "documents").select("doc_id", F.array_sort(X.text_units(F.col("text"))).alias("u")).filter("size(u) > 0")
+    return u.select("doc_id", F.size("u").cast("long").alias("units"), F.md5(F.array_join("u", "|")).alias("content"))
+
+
+def _loops() -> str:
+    runs = []
+    for size, times in ((1, 5), (2, 3), (3, 3), (4, 3)):
+        same = " AND ".join(f"list_slice(w, i, i + {size - 1}) = list_slice(w, i + {k * size}, i + {k * size + size - 1})" for k in range(1, times))
+        runs.append(f"len(list_filter(range(1, len(w) - {size * times} + 2), lambda i: {same})) > 0")
+    return " OR ".join(runs)
 
 
-@query()
+@query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[가-힣a-zA-Z0-9]+') AS w FROM (SELECT doc_id, text FROM documents UNION ALL SELECT -item_id - 1, repeat(substr(text, 1, 12) || ' ', 3) FROM benchmark)),
+n AS (SELECT doc_id, max(c) AS top, count(*) AS kinds FROM (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, unnest(w) AS x FROM t) GROUP BY 1, 2) GROUP BY 1)
+SELECT t.doc_id, len(w) >= 4 AND (2 * top > len(w) OR kinds < .35 * len(w) OR {_loops()}) AS looping FROM t JOIN n USING (doc_id)""")
 def degenerate_text(spark, d):
-    """Turns that loop; compared with a loop over tokens in the tests."""
-    return table(spark, d, "conversations").withColumn("looping", V.degenerate_text("text")).filter("looping").select("conv_id", "turn", "looping")
+    """Whether each document loops, and each benchmark passage's beginning said three times (ids below 0)."""
+    x = table(spark, d, "documents").select("doc_id", "text")
+    y = table(spark, d, "benchmark").select((-F.col("item_id") - 1).alias("doc_id"), F.repeat(F.concat(F.substring("text", 1, 12), F.lit(" ")), F.lit(3)).alias("text"))
+    return x.unionByName(y).filter(F.col("text").rlike("[가-힣a-zA-Z0-9]")).select("doc_id", V.degenerate_text("text").alias("looping"))
 
 
 @query("SELECT CASE WHEN regexp_matches(text, 'trash|scum') THEN 'threat' WHEN regexp_matches(text, 'stupid|idiot') THEN 'abuse' ELSE 'safe' END AS label, count(*) AS n FROM documents GROUP BY 1")
@@ -281,10 +329,24 @@ def detect_lang(spark, d):
     return table(spark, d, "conversations").groupBy(X.detect_lang(F.col("text")).alias("lang")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(r"""WITH c AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+s AS (SELECT conv_id, turn, CASE WHEN before IS NULL THEN text ELSE lower(array_to_string(list_slice(string_split_regex(trim(before), '\s+'), -3, -1), ' ')) || ', ' || text END AS text FROM c),
+p AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM s),
+t AS (SELECT conv_id, turn, text, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS now, list_filter(string_split_regex(coalesce(prev, ''), '\s+'), lambda x: x <> '') AS old FROM p),
+m AS (SELECT *, list_transform(now, lambda x: lower(regexp_replace(x, '[^가-힣a-zA-Z0-9]', '', 'g'))) AS a, list_transform(old, lambda x: lower(regexp_replace(x, '[^가-힣a-zA-Z0-9]', '', 'g'))) AS b FROM t),
+k AS (SELECT *, coalesce(list_max(list_filter(range(1, least(20, len(a), len(b)) + 1), lambda n: list_slice(a, 1, n) = list_slice(b, len(b) - n + 1, len(b)) AND NOT list_contains(list_slice(a, 1, n), ''))), 0) AS n FROM m)
+SELECT conv_id, turn, n AS removed, md5(CASE WHEN n > 0 THEN array_to_string(list_slice(now, n + 1, len(now)), ' ') ELSE trim(text, ' ' || chr(9) || chr(10) || chr(13)) END) AS fresh FROM k""")
 def remove_leading_overlap(spark, d):
-    """Turns without what the turn before ended with; compared with a loop in the tests."""
-    return X.remove_leading_overlap(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", F.md5("fresh").alias("fresh"))
+    """Turns that begin with the last words of the turn before, in lower case and with a comma, without these."""
+    from pyspark.sql import Window
+
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    words = F.split(F.trim(before), r"\s+")
+    x = c.withColumn("text", F.when(before.isNull(), F.col("text")).otherwise(F.concat(F.lower(F.array_join(F.slice(words, F.greatest(F.size(words) - 2, F.lit(1)), F.lit(3)), " ")), F.lit(", "), F.col("text"))))
+    out = X.remove_leading_overlap(x, "conv_id", "turn", "text")
+    count = lambda t: F.size(F.filter(F.split(t, r"\s+"), lambda v: v != ""))
+    return out.select("conv_id", "turn", (count("text") - count("fresh")).cast("long").alias("removed"), F.md5("fresh").alias("fresh"))
 
 
 _PROTO = "p AS (SELECT label, embedding AS e FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) <= 3)"
@@ -345,23 +407,35 @@ def domain_weights(spark, d):
     return P.domain_weights(table(spark, d, "documents"), {"en": 0.4, "de": 0.3, "fr": 0.2, "es": 0.1}, "lang").select("doc_id", F.round("weight", 9).alias("weight"))
 
 
-@query()
+def _pool(kind: int, quota: int, batches: str) -> str:
+    return f"""k{kind} AS (SELECT doc_id, harm, pass, size, per, row_number() OVER (ORDER BY pass, md5('3|0|{kind}|' || pass || '|' || doc_id), doc_id) - 1 - pass * size AS pos FROM
+  (SELECT doc_id, harm, count(*) OVER () AS size, floor(count(*) OVER () / {quota})::BIGINT AS per, {batches} AS batches FROM x WHERE harm = ({kind} = 1)),
+  LATERAL (SELECT unnest(range(0, ceil(CASE WHEN per > 0 THEN batches / greatest(per, 1) ELSE batches * {quota} / size END)::BIGINT)) AS pass)),
+r{kind} AS (SELECT doc_id, harm, floor(CASE WHEN per > 0 THEN pass * per + floor(pos / {quota}) ELSE (pass * size + pos) / {quota} END)::BIGINT AS batch, (CASE WHEN per > 0 THEN pos ELSE pass * size + pos END % {quota} + {0 if kind else 16})::BIGINT AS slot, {batches} AS batches
+  FROM k{kind} WHERE per = 0 OR pos < per * {quota})"""
+
+
+_BATCHES = "(SELECT greatest(1, max(ceil(n / 16)))::BIGINT FROM (SELECT count(*) AS n FROM x GROUP BY harm))"
+
+
+@query(f"WITH x AS (SELECT doc_id, toxic = 1 AS harm FROM labels), {_pool(1, 16, _BATCHES)}, {_pool(0, 16, _BATCHES)} SELECT batch, slot, doc_id, harm FROM r1 WHERE batch < batches UNION ALL SELECT batch, slot, doc_id, harm FROM r0 WHERE batch < batches")
 def balanced_batches(spark, d):
-    """Batches of 32 with half toxic documents; invariants are checked in the tests."""
+    """Batches of 32 with half toxic documents."""
     x = table(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("harm"))
     return P.balanced_batches(x, "doc_id", "harm", 32, seed=3)
 
 
-@query()
+@query("""WITH x AS (SELECT doc_id, 2000.0::DOUBLE * n_chars / (SELECT sum(n_chars) FROM documents) AS lam, ('0x' || substring(md5('5|' || doc_id), 1, 13))::BIGINT / 4503599627370496 AS u FROM documents WHERE n_chars > 0),
+k AS (SELECT doc_id, len(list_filter(range(0, 400), lambda j: u >= list_sum(list_transform(range(0, j + 1), lambda i: exp(i * ln(lam) - lam - lgamma(i + 1)))))) AS k FROM x) SELECT doc_id, unnest(range(1, k + 1))::INT AS draw FROM k""")
 def weighted_sample(spark, d):
-    """Draws with replacement by length; random numbers are hashed."""
+    """Draws with replacement by length."""
     x = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("weight"))
     return P.weighted_sample(x, 2000, "doc_id", seed=5).select("doc_id", "draw")
 
 
-@query("SELECT doc_id, round(('0x' || substring(md5('9|' || doc_id), 1, 8))::BIGINT / 4294967296, 9) AS u FROM documents")
-def md5_uniforms(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(md5_uniform(9, "doc_id"), 9).alias("u"))
+@query("SELECT doc_id, round(('0x' || substring(md5('9|' || doc_id), 1, 13))::BIGINT / 4503599627370496, 9) AS u FROM documents")
+def hashed_uniforms(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.round(hashed_uniform(9, "doc_id"), 9).alias("u"))
 
 
 @query("""WITH s AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_returnflag || l_linestatus || (l_linenumber % 2)))) AS s FROM lineitem GROUP BY 1), c AS (SELECT s, min(k) AS rep FROM s GROUP BY 1)
@@ -377,9 +451,12 @@ def lexicon_containment(spark, d):
     return t.select("doc_id", F.size(J.containment(t, "text", ["tion", "license", "heit"])).alias("n")).filter("n > 0")
 
 
-@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT event_type AS status, count(*) AS n, sum(CASE WHEN event_type = 'error' THEN event_id END)::BIGINT AS failed FROM events GROUP BY 1")
 def fetch_report(spark, d):
-    return C.fetch_report(table(spark, d, "events").withColumnRenamed("event_type", "status"), "event_id", failed="error")[0]
+    """Counts by status, with the sum of the failed ids."""
+    counts, failed = C.fetch_report(table(spark, d, "events").withColumnRenamed("event_type", "status"), "event_id", failed="error")
+    ids = failed.agg(F.sum("event_id").alias("failed")).withColumn("status", F.lit("error"))
+    return counts.join(ids, "status", "left")
 
 
 @query("WITH t AS (SELECT lang AS class, max(doc_id) AS k, arg_max(doc_id, struct_pack(a := n_chars % 100, b := -doc_id)) AS doc_id FROM documents GROUP BY 1) SELECT class, doc_id FROM t")

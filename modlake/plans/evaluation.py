@@ -75,22 +75,24 @@ def threshold_at_recall(spark, d):
 
 
 def _report_sql() -> str:
-    one = lambda src: f"""SELECT a.class AS name, round(ap, 6) AS ap, round(auroc, 6) AS auroc, round(recall, 6) AS recall FROM (
+    one = lambda src: f"""SELECT a.class AS name, ap, auroc, recall FROM (
       SELECT class, sum(CASE WHEN y = 1 THEN tp / rank END) / nullif(sum(y), 0) AS ap FROM (SELECT *, row_number() OVER w AS rank, sum(y) OVER (PARTITION BY class ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS tp FROM {src} WINDOW w AS (PARTITION BY class ORDER BY score DESC, id)) GROUP BY 1) a
       JOIN (SELECT class, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc, CASE WHEN max(p) > 0 AND max(n) > 0 THEN coalesce(max(CASE WHEN fp <= .1 * n THEN tp / nullif(p, 0) END), 0) END AS recall FROM (
         SELECT *, coalesce(sum(neg) OVER (PARTITION BY class ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER (PARTITION BY class) AS p, sum(neg) OVER (PARTITION BY class) AS n
         FROM (SELECT class, score, sum(y) AS pos, sum(1 - y) AS neg FROM {src} GROUP BY 1, 2) WINDOW d AS (PARTITION BY class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1) b USING (class)"""
     return f"""WITH {SCORED}, k AS (SELECT * FROM (VALUES ('en', 'a', true), ('de', 'a', true), ('fr', 'b', true), ('es', 'c', false)) v(class, category, is_harm)),
-    x AS (SELECT s.id, k.category AS class, s.y, s.score FROM s JOIN k USING (class)), c AS ({one('s')}), p AS ({one('x')})
-    SELECT 'class' AS scope, name, ap, auroc, recall FROM c UNION ALL SELECT 'category', name, ap, auroc, recall FROM p"""
+    x AS (SELECT s.id, k.category AS class, max(s.y) AS y, max(s.score) AS score FROM s JOIN k USING (class) GROUP BY ALL), c AS ({one('s')}), p AS ({one('x')}), h AS (SELECT c.* FROM c JOIN k ON k.class = c.name WHERE is_harm),
+    t AS (SELECT coalesce(min(ap) >= .3, false) AS pass_ap, coalesce(min(auroc) >= .99, false) AS pass_auroc FROM h)
+    SELECT * FROM (SELECT 'class' AS scope, name, round(ap, 4) AS ap, round(auroc, 4) AS auroc, round(recall, 4) AS recall FROM c UNION ALL SELECT 'category', name, round(ap, 4), round(auroc, 4), round(recall, 4) FROM p
+    UNION ALL SELECT 'macro', 'all', round(avg(ap), 4), round(avg(auroc), 4), round(avg(recall), 4) FROM c UNION ALL SELECT 'macro', 'harm', round(avg(ap), 4), round(avg(auroc), 4), round(avg(recall), 4) FROM h), t"""
 
 
 @query(_report_sql())
 def harm_report(spark, d):
-    """By class and by category; the macro rows are checked in the tests, as they average rounded values here."""
+    """By class and by category, with the macro rows and whether targets are met."""
     k = spark.createDataFrame([("en", "a", True), ("de", "a", True), ("fr", "b", True), ("es", "c", False)], "class string, category string, is_harm boolean")
-    x = M.harm_report(scored(spark, d).select("id", "class", "y", "score"), k, 0.1).filter("scope <> 'macro'")
-    return x.select("scope", "name", *[r6(c).alias(c) for c in ("ap", "auroc", "recall")])
+    x = M.harm_report(scored(spark, d).select("id", "class", "y", "score"), k, 0.1, {"ap": 0.3, "auroc": 0.99})
+    return x.select("scope", "name", *[F.round(c, 4).alias(c) for c in ("ap", "auroc", "recall")], "pass_ap", "pass_auroc")
 
 
 @query(f"WITH {SCORED}, {_AP}, m AS (SELECT class, sum(CASE WHEN y = 1 THEN tp / rank END) / nullif(sum(y), 0) AS ap FROM r GROUP BY 1) SELECT round(avg(ap), 6) AS macro_ap, count(ap) AS defined FROM m")
@@ -107,9 +109,22 @@ def cascade_report(spark, d):
 
 @query()
 def bootstrap_compare(spark, d):
-    """Two score columns by paired resampling; random weights, bounds are checked in the tests."""
-    x = scored(spark, d).select("id", "y", "score", "score_b")
-    return M.bootstrap_compare(x, replicates=200, bins=200)
+    """Two score columns by paired resampling, 2,000 times; the resamples are random, so the tests check coverage and exact point values."""
+    return M.bootstrap_compare(scored(spark, d).select("id", "y", "score", "score_b"))
+
+
+@query(f"WITH {SCORED}, {_G}, b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY class ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g), a AS (SELECT class, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc FROM b GROUP BY 1) SELECT round(avg(auroc), 6) AS macro_auroc, count(auroc) AS defined FROM a")
+def macro_auroc(spark, d):
+    x = M.macro(M.auroc(scored(spark, d)), "auroc")
+    return x.select(r6("macro_auroc").alias("macro_auroc"), "defined")
+
+
+@query(f"WITH {SCORED}, p AS (SELECT y, score AS s FROM s), n AS (SELECT count(*) AS n FROM p) SELECT n AS rows, true AS beats_chance FROM n")
+def fit_risk(spark, d):
+    """A logistic fit on two features of which one follows the label; its AUROC is above chance."""
+    x = scored(spark, d).select("y", (F.col("score") * 0.2 + F.col("y")).alias("weighted_max"), (F.col("score_b") + F.col("score")).alias("weighted_sum"))
+    m = M.fit_risk(x)
+    return x.agg(F.count("*").alias("rows")).withColumn("beats_chance", F.lit(m["auroc"] > 0.5 and m["a"] > 0))
 
 
 def _asr(spark, d):
@@ -129,11 +144,11 @@ def character_error_rate(spark, d):
 
 
 @query(f"""WITH {_ASR}, c AS (SELECT *, contains(h, 'tion')::INT + contains(h, 'the')::INT AS hit FROM b), t AS (SELECT sum(hit) / (2 * count(*)) AS term_recall FROM c)
-SELECT domain, count(*) AS n, round(sum(CASE WHEN r <> '' THEN levenshtein(r, h) END) / nullif(sum(length(r)), 0), 6) AS cer, round(avg((h = '')::INT), 6) AS empty_rate, round(CASE WHEN domain = 'no_speech' THEN avg((h <> '')::INT) END, 6) AS false_transcript_rate, round(any_value(term_recall), 6) AS term_recall FROM c, t GROUP BY 1""")
+SELECT domain, count(*) AS n, round(sum(CASE WHEN r <> '' THEN levenshtein(r, h) END) / nullif(sum(length(r)), 0), 6) AS cer, round(CASE WHEN domain <> 'no_speech' THEN avg((h = '')::INT) END, 6) AS empty_rate, round(CASE WHEN domain = 'no_speech' THEN avg((h <> '')::INT) END, 6) AS false_transcript_rate, round(any_value(term_recall), 6) AS term_recall FROM c, t GROUP BY 1""")
 def asr_report(spark, d):
     return M.asr_report(_asr(spark, d)).select("domain", "n", *[r6(c).alias(c) for c in ("cer", "empty_rate", "false_transcript_rate", "term_recall")])
 
 
-@query(f"WITH {SCORED}, {_AP} SELECT '{{\"class\":\"' || class || '\",\"positives\":' || sum(y)::BIGINT || '}}' AS report FROM r GROUP BY class")
+@query(f"WITH {SCORED}, {_AP} SELECT '{{\"class\":\"' || class || '\",\"positives\":' || sum(y)::BIGINT || ',\"odds\":' || CASE WHEN class = 'en' THEN 'null' ELSE '0.5' END || '}}' AS report FROM r GROUP BY class")
 def report_json(spark, d):
-    return M.report_json(scored(spark, d).groupBy("class").agg(F.sum("y").alias("positives")))
+    return M.report_json(scored(spark, d).groupBy("class").agg(F.sum("y").alias("positives")).withColumn("odds", F.when(F.col("class") == "en", F.lit(float("nan"))).otherwise(0.5)))

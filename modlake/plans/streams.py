@@ -9,6 +9,7 @@ from modlake.functions import labels as L
 from modlake.operators import incidents as I
 from modlake.operators import spans as S
 from modlake.plans.base import WINDOWS, query, r6, windows
+from modlake.streaming import engine as E
 
 GAP = 3600.0 * 6
 _INCIDENTS = f"""{WINDOWS}, a AS (
@@ -102,14 +103,13 @@ def adaptive_windows(spark, d):
 
 @query(_fold(
     "mode, streak, decision",
-    "CASE WHEN 1 = 1 THEN 'open' END AS mode, CASE WHEN n.score < .3 THEN 1 ELSE 0 END AS streak, CASE WHEN n.score >= .5 THEN 'accept' WHEN n.score < .3 THEN 'pending' ELSE 'uncertain' END AS decision",
-    """CASE WHEN p.mode = 'open' THEN CASE WHEN n.score < .3 AND p.streak + 1 >= 2 THEN 'closed' ELSE 'open' END ELSE CASE WHEN n.score >= .5 AND p.streak + 1 >= 3 THEN 'open' ELSE 'closed' END END,
-  CASE WHEN p.mode = 'open' THEN CASE WHEN n.score < .3 THEN CASE WHEN p.streak + 1 >= 2 THEN 0 ELSE p.streak + 1 END ELSE 0 END ELSE CASE WHEN n.score >= .5 THEN CASE WHEN p.streak + 1 >= 3 THEN 0 ELSE p.streak + 1 END ELSE 0 END END,
-  CASE WHEN p.mode = 'open' THEN CASE WHEN n.score < .3 AND p.streak + 1 >= 2 THEN 'suppress' WHEN n.score >= .5 THEN 'accept' WHEN n.score < .3 THEN 'pending' ELSE 'uncertain' END ELSE CASE WHEN n.score >= .5 AND p.streak + 1 >= 3 THEN 'accept' ELSE 'suppress' END END""",
-    "user_id, event_id, decision, mode, streak::BIGINT AS streak"))
+    "CASE WHEN n.score >= .5 THEN 'own' ELSE 'unknown' END AS mode, CASE WHEN n.score <= .15 THEN 1 ELSE 0 END AS streak, CASE WHEN n.score >= .5 THEN 'accept' WHEN n.score <= .15 THEN 'pending' ELSE 'uncertain' END AS decision",
+    """CASE WHEN n.score >= .5 THEN 'own' WHEN n.score <= .15 AND p.streak + 1 >= CASE p.mode WHEN 'own' THEN 3 ELSE 2 END THEN 'other' ELSE p.mode END, CASE WHEN n.score <= .15 THEN p.streak + 1 ELSE 0 END,
+  CASE WHEN n.score >= .5 THEN 'accept' WHEN n.score > .15 THEN 'uncertain' WHEN p.streak + 1 >= CASE p.mode WHEN 'own' THEN 3 ELSE 2 END THEN 'suppress' ELSE 'pending' END""",
+    "user_id, event_id, decision, decision <> 'suppress' AS selected, mode, streak::BIGINT AS streak"))
 def language_policy(spark, d):
     x = windows(spark, d).drop("props").withColumn("voiced", F.lit(3.0))
-    return I.language_policy(x, "user_id", ["ts", "event_id"], "score", "voiced").select("user_id", "event_id", "decision", "mode", F.col("streak").cast("long").alias("streak"))
+    return I.language_policy(x, "user_id", ["ts", "event_id"], "score", "voiced").select("user_id", "event_id", "decision", "selected", "mode", F.col("streak").cast("long").alias("streak"))
 
 
 @query(f"""WITH {WINDOWS}, s AS (SELECT DISTINCT to_timestamp((floor(epoch(ts) / 21600) - k) * 21600)::TIMESTAMP AS start FROM w, range(4) r(k))
@@ -178,19 +178,60 @@ def spans_from_scores(spark, d):
     return out.select("user_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-@query()
+@query("""WITH RECURSIVE s AS (SELECT user_id, greatest(epoch_us(ts) / 1000000 - 1704067200, 0) AS s, epoch_us(ts) / 1000000 - 1704067200 + value * 600 AS e FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e) AS rn FROM s WHERE e > s),
+f AS (SELECT user_id, rn, s, e, 0::DOUBLE AS v, 0::BIGINT AS g, e - s AS total FROM n WHERE rn = 1
+  UNION ALL SELECT user_id, rn, s, e, CASE WHEN open THEN rest ELSE 0 END, done + CASE WHEN open OR rest = 0 THEN 0 ELSE 1 END, CASE WHEN open THEN rest ELSE 0 END + e - s FROM (
+    SELECT n.*, p.g + floor((p.total + 1e-9) / 9000)::BIGINT AS done, CASE WHEN p.total - floor((p.total + 1e-9) / 9000) * 9000 < 1e-6 THEN 0 ELSE p.total - floor((p.total + 1e-9) / 9000) * 9000 END AS rest,
+      p.total - floor((p.total + 1e-9) / 9000) * 9000 < 4000 AND n.s - p.e <= 7200 AS open FROM f p JOIN n ON n.user_id = p.user_id AND n.rn = p.rn + 1)),
+x AS (SELECT user_id, g + j AS g, greatest(s, s - v + j * 9000) AS a, least(e, s - v + (j + 1) * 9000) AS z FROM (SELECT *, unnest(range(0, greatest(1, ceil((total - 1e-6) / 9000)::BIGINT))) AS j FROM f))
+SELECT user_id, g::INT AS "group", round(min(a), 4) AS start, round(max(z), 4) AS "end", round(sum(z - a), 4) AS voiced, count(*) AS spans, sum(z - a) >= 4000 - 1e-9 AS ready FROM x GROUP BY 1, 2""")
 def group_spans(spark, d):
-    """Spans packed into groups; order-dependent, compared with a loop in the tests."""
-    x = _spans(spark, d).filter("end > start").select("user_id", "start", F.least(F.col("end"), F.col("start") + 3000).alias("end"))
-    out = S.group_spans(x, "user_id", max_gap=7200.0, cut=9000.0, flush=4000.0)
-    return out.select("user_id", "group", r6("start").alias("start"), r6("end").alias("end"), r6("voiced").alias("voiced"), "spans", "ready")
+    """Every user's spans packed into groups: cut at 9,000 seconds, ended after a span from 4,000 on, or at a gap."""
+    out = S.group_spans(_spans(spark, d), "user_id", max_gap=7200.0, cut=9000.0, flush=4000.0)
+    return out.select("user_id", "group", *[F.round(c, 4).alias(c) for c in ("start", "end", "voiced")], "spans", "ready")
 
 
-@query("""WITH s AS (SELECT user_id, epoch_us(ts) / 1000000 - 1704067200 AS s, epoch_us(ts) / 1000000 - 1704067200 + least(value, 20) * 600 AS e FROM events WHERE value > 0),
-w AS (SELECT user_id, k, k * 86400 AS ws, k * 86400 + 43200 AS we FROM (SELECT DISTINCT user_id FROM events), range(0, 40, 5) r(k))
-SELECT user_id, ws::BIGINT AS w_start, count(*) AS spans FROM (SELECT DISTINCT user_id, ws, s, e FROM s JOIN w USING (user_id) WHERE s < we AND ws < e) GROUP BY 1, 2""")
+@query("""WITH s AS (SELECT user_id, epoch_us(ts) / 1000000 - 1704067200 AS s, epoch_us(ts) / 1000000 - 1704067200 + value * 600 AS e FROM events),
+b AS (SELECT user_id, floor(min(s) / 43200)::BIGINT AS lo, floor(max(s) / 43200)::BIGINT AS hi FROM s GROUP BY 1),
+w AS (SELECT user_id, unnest(range(lo, hi + 1)) * 43200 AS ws FROM b)
+SELECT user_id, ws::BIGINT AS w_start, count(*) AS spans FROM (SELECT DISTINCT user_id, ws, s, e FROM s JOIN w USING (user_id) WHERE e > s AND s < ws + 43200 AND ws < e) GROUP BY 1, 2""")
 def spans_in_windows(spark, d):
-    e = windows(spark, d)
-    s = e.filter("value > 0").select("user_id", (F.col("t") - 1704067200).alias("start"), (F.col("t") - 1704067200 + F.least(F.col("value"), F.lit(20.0)) * 600).alias("end"))
-    w = e.select("user_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(35), F.lit(5)))).select("user_id", (F.col("k") * 86400).alias("w_start"), (F.col("k") * 86400 + 43200).alias("w_end"))
-    return S.spans_in_windows(s, w, "user_id", 43200.0).groupBy("user_id", F.col("w_start").cast("long").alias("w_start")).agg(F.count("*").alias("spans"))
+    """Spans in each half day from a user's first event to the last."""
+    at = F.floor((F.col("t") - 1704067200) / 43200)
+    w = windows(spark, d).groupBy("user_id").agg(F.min(at).alias("lo"), F.max(at).alias("hi")).select("user_id", F.explode(F.sequence("lo", "hi")).alias("k"))
+    w = w.select("user_id", (F.col("k") * 43200).alias("w_start"), ((F.col("k") + 1) * 43200).alias("w_end"))
+    return S.spans_in_windows(_spans(spark, d).filter("end > start"), w, "user_id", 43200.0).groupBy("user_id", F.col("w_start").cast("long").alias("w_start")).agg(F.count("*").alias("spans"))
+
+
+# windows of the engine: acoustic and text scores, a transcript that may loop, level and speech gate
+_RAW = f"""{WINDOWS}, raw AS (SELECT *, value % 1 AS said, value >= 2 AND event_type <> 'view' AS gates, event_id % 5 <> 0 AND event_id % 7 <> 0 AS usable FROM w), n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM raw)"""
+_USED = lambda p: f"CASE WHEN n.gates AND {p} THEN CASE WHEN n.usable THEN n.said END END"
+_WAIT = "(p.last IS NULL OR n.t - p.last >= 14400)"
+_ENGINE = f"""WITH RECURSIVE {_RAW}, f AS (SELECT n.user_id, n.event_id, n.rn, n.t, n.score, CASE WHEN n.gates THEN n.t END AS last, {_USED('true')} AS used, .4 * greatest(n.score, coalesce({_USED('true')}, 0)) AS risk FROM n WHERE rn = 1
+  UNION ALL SELECT n.user_id, n.event_id, n.rn, n.t, n.score, CASE WHEN n.gates AND {_WAIT} THEN n.t ELSE p.last END, {_USED(_WAIT)}, .6 * p.risk + .4 * greatest(n.score, coalesce({_USED(_WAIT)}, 0)) FROM f p JOIN n ON n.user_id = p.user_id AND n.rn = p.rn + 1),
+w2 AS (SELECT *, score >= .6 OR coalesce(used >= .7, false) AS esc FROM f),
+a AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY rn) AS prev, last_value(CASE WHEN esc THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w2),
+c AS (SELECT *, CASE WHEN esc THEN sum(CASE WHEN esc AND (before IS NULL OR (prev > before AND prev - before >= {GAP})) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING) END AS incident FROM a)"""
+
+
+def _engine(spark, d):
+    w, i = windows(spark, d).drop("props"), F.col("event_id")
+    said = F.when(i % 5 == 0, "").when(i % 7 == 0, "go go go go go go").otherwise(F.concat(F.lit("we heard event "), i))
+    x = w.select("user_id", "event_id", "ts", "t", F.col("score").alias("acoustic"), (F.col("value") % 1).alias("text"), said.alias("transcript"), F.col("value").alias("rms"), (F.col("event_type") != "view").alias("speech"))
+    return E.moderate(x, "user_id", ["ts", "event_id"], "t", 2.0, 14400.0, 0.4, {"acoustic": 0.6, "text": 0.7}, GAP)
+
+
+@query(_ENGINE + """ SELECT user_id, event_id, round(used, 6) AS text_used, round(risk, 6) AS risk, concat_ws('+', CASE WHEN score >= .6 THEN 'acoustic' END, CASE WHEN used >= .7 THEN 'text' END) AS reasons,
+  CASE WHEN esc THEN 'alert' WHEN score >= .36 THEN 'watch' ELSE 'ok' END AS level, incident::BIGINT AS incident FROM c""")
+def moderate_stream(spark, d):
+    """Every window through gates, thresholds, smoothing and incident numbers."""
+    x = _engine(spark, d)
+    return x.select("user_id", "event_id", r6("text_used").alias("text_used"), r6("risk").alias("risk"), F.array_join("reasons", "+").alias("reasons"), "level", F.col("incident").cast("long").alias("incident"))
+
+
+@query(_ENGINE + " SELECT user_id, incident::BIGINT AS incident, round(min(t), 6) AS start, round(max(t) + 10, 6) AS \"end\", count(*) AS windows, round(max(score), 6) AS peak_acoustic, round(max(used), 6) AS peak_text FROM c WHERE incident IS NOT NULL GROUP BY 1, 2")
+def moderate_incidents(spark, d):
+    """The incidents that come out of the same engine."""
+    x = E.incidents(_engine(spark, d), "user_id")
+    return x.select("user_id", F.col("incident").cast("long").alias("incident"), *[r6(c).alias(c) for c in ("start", "end")], "windows", r6("peak_acoustic").alias("peak_acoustic"), r6("peak_text").alias("peak_text"))

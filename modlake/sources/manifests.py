@@ -102,7 +102,12 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
 
 
 def audio_files(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
-    """path, modificationTime, rate, samples, error: WAV files as mono samples at ``rate`` (linear interpolation)."""
+    """path, modificationTime, rate, samples, error: the WAV files of a folder as mono samples at ``rate``."""
+    return audio_samples(spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path), rate)
+
+
+def audio_samples(files: DataFrame, rate: int = 16000) -> DataFrame:
+    """The same from rows of path, modificationTime and content; other rates are interpolated, what isn't 16-bit PCM has an error."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             out, errors = [], []
@@ -118,8 +123,7 @@ def audio_files(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
                     errors.append(str(e))
             yield pd.DataFrame({"path": f["path"], "modificationTime": f["modificationTime"], "rate": rate, "samples": out, "error": errors})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path).select("path", "modificationTime", "content")
-    return files.mapInPandas(run, "path string, modificationTime timestamp, rate int, samples array<float>, error string")
+    return files.select("path", "modificationTime", "content").mapInPandas(run, "path string, modificationTime timestamp, rate int, samples array<float>, error string")
 
 
 def verdict_log(requests: DataFrame, verdicts: DataFrame, key: str = "clip_id", audio: str = "audio") -> DataFrame:

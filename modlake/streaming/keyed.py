@@ -124,10 +124,10 @@ def results_sink(df: DataFrame, path: str, checkpoint: str, once: bool = True):
     return (w.trigger(availableNow=True) if once else w).start()
 
 
-def score_hook(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str) -> DataFrame:
+def score_hook(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: str, batch: int | None = None) -> DataFrame:
     """``df`` with the columns that a model gives: ``load`` runs once for each task, its result on Arrow batches.
 
-    A batch that fails gives nulls and an ``error`` column instead of failing the job; policy decides what that means.
+    ``batch`` is the most rows of one call (all of an Arrow batch if unset). A call that fails gives nulls and an ``error`` column instead of failing the job; policy decides what that means.
     Filter first, and score the filtered frame: cheap predicates don't move below Python.
     """
     extra = T._parse_datatype_string(f"{schema}, error string")
@@ -135,11 +135,13 @@ def score_hook(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Dat
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
-        for f in frames:
-            try:
-                got, error = model(f)[names].reset_index(drop=True), None
-            except Exception as e:  # noqa: BLE001  the hook fails open
-                got, error = pd.DataFrame({n: [None] * len(f) for n in names}), str(e)[:300]
-            yield pd.concat([f.reset_index(drop=True), got.assign(error=error)], axis=1)
+        for frame in frames:
+            for at in range(0, len(frame), batch or max(len(frame), 1)):
+                f = frame.iloc[at : at + (batch or len(frame))].reset_index(drop=True)
+                try:
+                    got, error = model(f)[names].reset_index(drop=True), None
+                except Exception as e:  # noqa: BLE001  the hook fails open
+                    got, error = pd.DataFrame({n: [None] * len(f) for n in names}), str(e)[:300]
+                yield pd.concat([f, got.assign(error=error)], axis=1)
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, *extra.fields]))

@@ -84,6 +84,17 @@ def test_splits(spark):
         V.assert_disjoint(spark.createDataFrame([("a", "train"), ("a", "test")], "source_id string, split string"), "source_id")
     h = df.withColumn("split", C.assign_splits_hash("source_id", ratios))
     assert V.leaks(h, "source_id").count() == 0
+    for bad in ({"train": 0.5, "val": 0.5}, {"train": 0.7, "val": 0.2, "test": 0.2}):
+        with pytest.raises(ValueError, match="ratios"):
+            C.assign_splits_greedy(df, bad)
+        with pytest.raises(ValueError, match="ratios"):
+            C.assign_splits_hash("source_id", bad)
+
+
+def test_clip_keys(spark):
+    xs = [0.0, 30.0, 12.5, 1 / 3, 0.00012345678, 0.00009999996, 5e-7, 123456.7, 999999.5, 1234567.0, -2.25, 1e21]
+    got = [r.k for r in spark.createDataFrame(list(enumerate(xs)), "i int, s double").orderBy("i").select(L.clip_key(F.lit("v"), "s").alias("k")).collect()]
+    assert got == [f"v_{x:g}" for x in xs]
 
 
 def test_asr_manifest(spark):
@@ -145,9 +156,11 @@ def test_candidates_and_review(spark):
 
 
 def test_verdicts(spark):
-    texts = ['Well: {"degree_percent": 70, "category": "Threat", "reason": "x"} done', '{"degree_percent": 900}', '{"degree_percent": -5}', '{"degree_percent": "high"}', '{"degree_percent": 62.6}', "no json"]
+    texts = ['Well: {"degree": 70, "category": " Threat", "reason": "x", "confident": "yes"} done', '{"degree": 900}', '{"degree": -5}', '{"degree": "55"}', '{"degree": 62.6, "reason": "", "confident": false}', "no json", '{"degree": true, "category": 3}', "", None]
     got = [r.v for r in spark.createDataFrame([(t,) for t in texts], "t string").select(L.verdict_normalize("t", ["threat"]).alias("v")).collect()]
-    assert [v.degree_percent for v in got] == [70, None, None, None, 63, None] and got[0].category == "threat" and got[5].raw == "no json"
+    assert [v.degree_percent for v in got] == [70, None, None, None, 63, None, 1, None, None] and [v.category for v in got] == ["threat"] + [None] * 8
+    assert got[5].raw == "no json" and got[3].raw == texts[3] and got[0].raw is None and got[7].raw is None
+    assert (got[0].reason, got[0].confident, got[4].reason, got[4].confident) == ("x", None, None, False)
 
 
 def test_alignment_and_plan(spark):

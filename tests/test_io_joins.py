@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -89,3 +91,20 @@ def test_streaming_windows_and_results(spark, tmp_path):
     out.writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).start().awaitTermination(60)
     got = sorted((str(r.start), r.n) for r in spark.table("w").collect())
     assert got and set(got) <= set(want)  # those that the watermark has passed
+
+
+def test_label_similarity_against_all_pairs(spark):
+    r = random.Random(4)
+    rows = [(i, r.sample("abcdefgh", r.randint(0, 6))) for i in range(150)]
+    firsts = {}
+    for i, x in rows:
+        if x:
+            firsts.setdefault(frozenset(x), i)
+    for threshold in (0.3, 0.5, 1.0):
+        want = {}
+        for x, i in firsts.items():
+            for z, j in firsts.items():
+                if i < j and len(x & z) / len(x | z) >= threshold:
+                    want[i, j] = len(x & z) / len(x | z)
+        got = {(p.a, p.b): p.jaccard for p in J.label_similarity(spark.createDataFrame(rows, "id int, labels array<string>"), "id", "labels", threshold).collect()}
+        assert got == pytest.approx(want)

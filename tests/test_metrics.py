@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from modlake.operators import metrics as M
@@ -15,31 +16,47 @@ def one(df, col):
     return df.first()[col]
 
 
-def test_average_precision_known(spark):
-    assert one(M.average_precision(rows(spark, [1, 0, 1, 0], [0.9, 0.8, 0.7, 0.6])), "ap") == pytest.approx(0.833333, abs=1e-6)
-    assert one(M.average_precision(rows(spark, [0, 0], [0.5, 0.1])), "ap") is None
-    assert one(M.average_precision_one(rows(spark, [1, 0, 1, 0], [0.9, 0.8, 0.7, 0.6])), "ap") == pytest.approx(0.833333, abs=1e-6)
+def draw(seed, n=30):
+    r = random.Random(seed)
+    return [r.randint(0, 1) for _ in range(n)], [r.choice([0.15, 0.3, 0.35, 0.6, 0.85]) for _ in range(n)]
 
 
-def test_auroc_known(spark):
-    assert one(M.auroc(rows(spark, [1, 1, 0, 0], [0.5] * 4)), "auroc") == 0.5
-    assert one(M.auroc(rows(spark, [1, 1], [0.5, 0.9])), "auroc") is None
+@pytest.mark.parametrize("seed", range(3))
+def test_average_precision_against_a_loop(spark, seed):
+    ys, ss = draw(seed)
+    hits, total = 0, 0.0
+    for rank, i in enumerate(sorted(range(len(ys)), key=lambda i: (-ss[i], i)), 1):
+        hits += ys[i]
+        total += hits / rank if ys[i] else 0
+    assert one(M.average_precision(rows(spark, ys, ss)), "ap") == pytest.approx(total / sum(ys))
+    assert one(M.average_precision_one(rows(spark, ys, ss)), "ap") == pytest.approx(total / sum(ys))
 
 
-def test_recall_at_fpr_known(spark):
-    assert one(M.recall_at_fpr(rows(spark, [1, 0], [0.5, 0.5]), 0.01), "recall") == 0
-    assert one(M.recall_at_fpr(rows(spark, [1] + [0] * 10 + [1], [1 - i / 20 for i in range(12)]), 0.05), "recall") == 0.5
-    c = M.confusion_at_threshold(rows(spark, [1, 0, 1, 0], [0.9, 0.8, 0.2, 0.1]), 0.5).first()
-    assert (c.recall, c.fpr) == (0.5, 0.5)
+def test_one_kind_only(spark):
+    assert one(M.average_precision(rows(spark, [0, 0, 0], [0.2, 0.4, 0.4])), "ap") is None
+    assert one(M.auroc(rows(spark, [1, 1, 1], [0.3, 0.7, 0.2])), "auroc") is None
+    assert one(M.auroc(rows(spark, [1, 0, 1, 0, 0], [0.25] * 5)), "auroc") == 0.5
 
 
-@pytest.mark.parametrize("budget", [0.05, 0.2, 0.34, 0.5, 0.0])
+@pytest.mark.parametrize("seed", range(3))
+def test_recall_and_confusion_against_a_loop(spark, seed):
+    ys, ss = draw(seed)
+    pos, neg = [s for s, y in zip(ss, ys, strict=True) if y], [s for s, y in zip(ss, ys, strict=True) if not y]
+    for fpr in (0.01, 0.2, 0.6):
+        want = max([0.0, *(sum(p >= t for p in pos) / len(pos) for t in ss if sum(q >= t for q in neg) <= fpr * len(neg))])
+        assert one(M.recall_at_fpr(rows(spark, ys, ss), fpr), "recall") == pytest.approx(want)
+    c = M.confusion_at_threshold(rows(spark, ys, ss), 0.35).first()
+    assert (c.recall, c.fpr) == (pytest.approx(sum(p >= 0.35 for p in pos) / len(pos)), pytest.approx(sum(q >= 0.35 for q in neg) / len(neg)))
+
+
+@pytest.mark.parametrize("budget", [0.0, 0.12, 0.4, 0.7])
 def test_threshold_at_fpr_keeps_budget(spark, budget):
-    neg = [0.1] * 100 + [0.5] * 100 + [0.9] * 100
-    t = one(M.threshold_at_fpr(rows(spark, [0] * 300, neg), budget), "threshold")
-    assert sum(x >= t for x in neg) <= budget * 300
+    r = random.Random(7)
+    neg = [r.choice([0.05, 0.22, 0.61, 0.7]) for _ in range(90)]
+    t = one(M.threshold_at_fpr(rows(spark, [0] * 90, neg), budget), "threshold")
+    assert sum(x >= t for x in neg) <= budget * 90
     lower = [x for x in set(neg) if x < t]
-    assert not lower or sum(x >= max(lower) for x in neg) > budget * 300
+    assert not lower or sum(x >= max(lower) for x in neg) > budget * 90
 
 
 def test_threshold_at_recall(spark):
@@ -86,11 +103,36 @@ def test_asr_metrics(spark):
     assert r["general"].cer == 0 and r["movie"].cer == 0 and r["no_speech"].cer is None and r["no_speech"].false_transcript_rate == 1 and r["general"].term_recall == 1
 
 
+def test_error_rates_of_composed_text(spark):
+    df = spark.createDataFrame([("a", "ㅋㅋ 한국 ", "\u1112\u1161\u11ab국"), ("a", "ab c", ""), ("b", "", "x"), ("b", None, None)], "k string, r string, h string")
+    got = {x.k: (x.cer, x.n) for x in M.character_error_rate(df, "r", "h", ["k"]).collect()}
+    assert got == {"a": (3 / 5, 2)}
+
+
 def test_bootstrap_sees_a_better_model(spark):
     random.seed(3)
-    data = [(i, y, random.random() * 0.5 + 0.1 * y, random.random() * 0.5 + 0.4 * y) for i in range(600) for y in [i % 2]]
-    r = M.bootstrap_compare(spark.createDataFrame(data, "id long, y int, score double, score_b double"), 100, 100).first()
+    data = [(i, y, (random.random() * 0.5 + 0.1 * y) / 1000, random.random() * 50 + 40 * y) for i in range(600) for y in [i % 2]]
+    df = spark.createDataFrame(data, "id long, y int, score double, score_b double")
+    r = M.bootstrap_compare(df, 200).first()
     assert r.significant and r.low > 0 and r.p_better == 1 and r.low <= r.delta <= r.high
+    area = lambda k: sum((p[k] > q[k]) for p in data if p[1] for q in data if not q[1]) / 300**2
+    assert r.auroc_a == pytest.approx(area(2)) and r.auroc_b == pytest.approx(area(3))
+    assert M.bootstrap_compare(df.repartition(5), 200).first() == r
+
+
+def test_bootstrap_interval_is_that_of_resampling_rows(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 400)
+    a, b = rng.normal(y * 0.5, 1), rng.normal(y * 0.6, 1)
+    r = M.bootstrap_compare(spark.createDataFrame(list(zip(range(400), y.tolist(), a.tolist(), b.tolist(), strict=True)), "id long, y int, score double, score_b double"), 500).first()
+
+    def area(s, at):
+        p, q = s[at][y[at] == 1], s[at][y[at] == 0]
+        return ((p[:, None] > q).mean() + 0.5 * (p[:, None] == q).mean())
+
+    ds = [area(b, at) - area(a, at) for at in (rng.integers(0, 400, 400) for _ in range(500))]
+    low, high = np.percentile(ds, [2.5, 97.5])
+    assert abs(r.low - low) < 0.015 and abs(r.high - high) < 0.015
 
 
 def test_fit_risk(spark):

@@ -107,14 +107,111 @@ def test_spans_from_scores_against_a_loop(spark):
     assert all(got.get(k, []) == w for k, w in want.items())
 
 
-def test_group_spans(spark):
-    df = spark.createDataFrame([("a", 0.0, 2.0), ("a", 2.5, 5.0), ("a", 5.5, 6.0), ("a", 9.0, 9.5)], "k string, start double, end double")
-    assert [(r.start, r.end, r.ready) for r in S.group_spans(df, "k").orderBy("group").collect()] == [(0, 6, True), (9, 9.5, False)]
+def loop_groups(spans, max_gap, cut, flush):
+    """Pieces of each group, span by span, in whole units."""
+    groups, now, before = [], [], None
+    voiced = lambda: sum(z - a for a, z in now)
+    for a, z in spans:
+        if z <= a:
+            continue
+        if now and a - before > max_gap:
+            groups.append(now)
+            now = []
+        at = a
+        while at < z:
+            take = min(z, at + cut - voiced())
+            now.append((at, take))
+            at = take
+            if voiced() >= cut:
+                groups.append(now)
+                now = []
+        if voiced() >= flush:
+            groups.append(now)
+            now = []
+        before = z
+    return groups + ([now] if now else [])
+
+
+def test_group_spans_against_a_loop(spark):
+    random.seed(8)
+    data, want = [], {}
+    for k in range(50):
+        at, spans = 0, []
+        for _ in range(random.randint(0, 12)):
+            at += random.randint(0, 4)
+            spans.append((at, at + random.randint(0, 9)))
+            at = spans[-1][1]
+        data += [(k, float(a), float(z)) for a, z in spans]
+        want[k] = loop_groups(spans, 2, 5, 3)
+    got = {}
+    for r in S.group_spans(spark.createDataFrame(data, "k int, start double, end double"), "k", max_gap=2, cut=5, flush=3).orderBy("k", "group").collect():
+        got.setdefault(r.k, []).append((r.start, r.end, r.voiced, r.spans))
+    assert all(got.get(k, []) == [(g[0][0], g[-1][1], sum(z - a for a, z in g), len(g)) for g in w] for k, w in want.items())
+
+
+def test_group_spans_leaves_out_what_is_no_span(spark):
+    df = spark.createDataFrame([("a", 3.0, 3.0), ("a", None, 4.0), ("b", -1.0, 1.0)], "k string, start double, end double")
+    assert [tuple(r) for r in S.group_spans(df, "k").collect()] == [("b", 0, 0.0, 1.0, 1.0, 1, False)]
+
+
+def loop_language(ps):
+    mode, streak, out = "unknown", 0, []
+    for p in ps:
+        if p >= 0.5:
+            mode, streak = "own", 0
+            out.append("accept")
+        elif p > 0.15:
+            streak = 0
+            out.append("uncertain")
+        else:
+            streak += 1
+            gone = streak >= (3 if mode == "own" else 2)
+            mode = "other" if gone else mode
+            out.append("suppress" if gone else "pending")
+    return out
 
 
 def test_language_policy(spark):
-    df = spark.createDataFrame([("s", i, p, 3.0) for i, p in enumerate([0.1, 0.1, 0.9, 0.9, 0.9, 0.31])], "k string, i int, p double, v double")
-    assert [r.decision for r in I.language_policy(df, "k", ["i"], "p", "v").orderBy("i").collect()] == ["pending", "suppress", "suppress", "suppress", "accept", "uncertain"]
+    random.seed(9)
+    runs = {k: [random.choice([0.05, 0.1, 0.15, 0.31, 0.6, 0.9]) for _ in range(20)] for k in range(30)}
+    runs[99] = [0.1, 0.1, 0.9, 0.1, 0.1, 0.1, 0.31]
+    df = spark.createDataFrame([(k, i, p, 3.0) for k, ps in runs.items() for i, p in enumerate(ps)], "k int, i int, p double, v double")
+    got = {}
+    for r in I.language_policy(df, "k", ["i"], "p", "v").orderBy("k", "i").collect():
+        got.setdefault(r.k, []).append(r.decision)
+        assert r.selected == (r.decision != "suppress")
+    assert got == {k: loop_language(ps) for k, ps in runs.items()}
+    assert got[99] == ["pending", "suppress", "accept", "pending", "pending", "suppress", "uncertain"]
+    short = spark.createDataFrame([("s", i, p, v) for i, (p, v) in enumerate([(0.1, 1.0), (0.1, 3.0), (None, 3.0), (0.1, None)])], "k string, i int, p double, v double")
+    assert [r.decision for r in I.language_policy(short, "k", ["i"], "p", "v").orderBy("i").collect()] == ["uncertain", "pending", "uncertain", "uncertain"]
+
+
+def test_engine_against_a_loop(spark):
+    from modlake.streaming import engine
+
+    random.seed(10)
+    rows, want = [], {}
+    for k in range(12):
+        last, ema, open_, last_up, n = None, 0.0, False, None, 0
+        for i in range(25):
+            t, a, x, rms, speech = i * 2.0, random.random(), random.random(), random.choice([0.0, 1.0]), random.random() < 0.8
+            said = random.choice(["", "no no no no no", "fine words here"])
+            rows.append((k, t, a, x, said, rms, speech))
+            heard = rms >= 0.01 and speech and (last is None or t - last >= 5)
+            last = t if heard else last
+            text = x if heard and said == "fine words here" else None
+            ema = 0.6 * ema + 0.4 * max(a, text or 0.0)
+            up = a >= 0.9 or (text is not None and text >= 0.7)
+            if up:
+                n += not open_
+                open_, last_up = True, t
+            elif open_ and t - last_up >= 6:
+                open_ = False
+            want[k, t] = (text, round(ema, 9), "alert" if up else "watch" if a >= 0.54 else "ok", n if up else None)
+    df = spark.createDataFrame(rows, "k int, t double, acoustic double, text double, transcript string, rms double, speech boolean")
+    x = engine.moderate(df, "k", ["t"], every=5.0, thresholds={"acoustic": 0.9, "text": 0.7})
+    assert {(r.k, r.t): (r.text_used, round(r.risk, 9), r.level, r.incident) for r in x.collect()} == want
+    assert engine.incidents(x, "k").count() == len({(k, v[3]) for (k, _), v in want.items() if v[3]})
 
 
 def test_global_rank(spark):
