@@ -2,41 +2,45 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: The separators of words in every contract here: space and the five ASCII controls 9 to 13.
-WORD = r"[^\x20\x09-\x0D]+"
+from modlake.core import shared_dir
+from modlake.plans.base import table
 
+__all__ = ["WORD", "discard", "hashed_sample", "only_ids", "saved", "shared_dir", "table", "text_or_empty"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a local one where it is unset (tests)."""
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if there:
-        return there.rstrip("/")
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="modlake-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
+#: The separators of words in every contract here: space and the five ASCII controls 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+    """``df`` written as a table in the shared folder and read back.
 
     Cuts the lineage: what follows survives the loss of executors without computing ``df`` anew,
     and reads the columns it needs only.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``saved`` from the shared folder, when all that reads them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def only_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` whose id is among ``ids`` (one column; null is an id), or with left_anti the others. ``df`` may have columns of any name."""
+    own = f"id_{uuid.uuid4().hex}"
+    return df.join(ids.toDF(own).distinct(), df[id_col].cast("long").eqNullSafe(F.col(own)), how)
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -12,6 +12,8 @@ source only; a source of any size is spread over all tasks.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,7 +119,7 @@ def repeated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
     Repeated rows of one id and text are taken as often as the mix takes one of them.
     """
-    plan = mix(df, id_col, text_col, source_col, **how).groupBy("doc_id", "source").agg(F.max("whole").alias("_whole"))
-    plan = plan.filter("_whole > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_whole")
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & F.col(source_col).cast("string").eqNullSafe(F.col("_source"))
-    return df.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_whole")))).select(*[df[c] for c in df.columns])
+    own = [f"{n}_{uuid.uuid4().hex}" for n in ("id", "source", "whole", "copy")]
+    plan = mix(df, id_col, text_col, source_col, **how).groupBy("doc_id", "source").agg(F.max("whole").alias("whole")).filter("whole > 0").toDF(*own[:3])
+    on = df[id_col].cast("long").eqNullSafe(F.col(own[0])) & df[source_col].cast("string").eqNullSafe(F.col(own[1]))
+    return df.join(plan, on).withColumn(own[3], F.explode(F.sequence(F.lit(1), F.col(own[2])))).select(*[df[c] for c in df.columns])

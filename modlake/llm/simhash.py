@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlake.llm.common import saved, text_or_empty
+from modlake.llm.common import only_ids, saved, text_or_empty
 from modlake.llm.graph import components
 
 RADIUS = 4
@@ -30,6 +30,8 @@ RADIUS = 4
 HOT = 20_000
 #: Pairs of query and tree size that are searched at once.
 SEARCH = 2_000_000
+#: Rotations of the bits in whose order neighbours are linked first, and rows of a shard that all of it is compared with.
+TURNS, PIVOTS = (0, 13, 26, 39, 52), 4
 #: Characters hashed at once.
 SLICE = 1_000_000
 _BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
@@ -133,30 +135,57 @@ class Forest:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give the rows that the links a, b connect the smallest label of theirs, in place."""
+    while True:
+        la, lb = label[a], label[b]
+        if not (apart := la != lb).any():
+            return
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _outside(shard: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The rows that are not in the largest component of their shard."""
+    pairs, at, n = np.unique(np.stack([shard, label]), axis=1, return_inverse=True, return_counts=True)
+    order = np.lexsort((n, pairs[0]))
+    largest = order[np.flatnonzero(np.diff(pairs[0][order], append=-1))]
+    return np.flatnonzero(~np.isin(at.ravel(), largest))
+
+
 def spanning_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, row of the smallest fingerprint that it reaches within its shard) where these differ."""
+    """(row, row of the smallest fingerprint that it reaches within its shard) where these differ.
+
+    Neighbours in a few orders, and the first rows of each shard against all of it, are linked first. Every link between
+    components then has an end outside of its shard's largest one, so only these rows are looked up in the trees: a dense
+    shard, of which most is one component by then, costs as many searches as it has other rows.
+    """
     n = len(fp)
     label = np.arange(n)
     if not n:
         return label, label
-    forest = Forest(shard, fp)
-    size = np.bincount(shard)[shard]
-    size[size == 1] = 0
-    many = np.flatnonzero(size)
-    ends = np.cumsum(size[many])
-    for part in np.split(many, np.searchsorted(ends, np.arange(SEARCH, int(ends[-1]) if len(ends) else 0, SEARCH))):
-        if not len(part):
-            continue
-        who, node = forest.near(fp[part], shard[part], radius)
-        a, b = part[who], node
-        while True:
-            la, lb = label[a], label[b]
-            if not (apart := la != lb).any():
-                break
-            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-            while (label[label] != label).any():
-                label = label[label]
+    near = lambda a, b: (shard[a] == shard[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= radius)
+    for turn in TURNS:
+        order = np.lexsort(((fp << np.uint64(turn)) | (fp >> np.uint64((64 - turn) % 64)) if turn else fp, shard))
+        hit = near(order[:-1], order[1:])
+        _joined(label, order[:-1][hit], order[1:][hit])
+    head = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1))
+    size = np.diff([*head, n])
+    for k in range(PIVOTS):
+        pivot = np.repeat(np.where(k < size, head + k, head), size)
+        rows = np.flatnonzero(near(pivot, np.arange(n)))
+        _joined(label, pivot[rows], rows)
+    many = _outside(shard, label)
+    many = many[np.repeat(size, size)[many] > 1]
+    if len(many):
+        forest = Forest(shard, fp)
+        ends = np.cumsum(np.repeat(size, size)[many])
+        for part in np.split(many, np.searchsorted(ends, np.arange(SEARCH, int(ends[-1]), SEARCH))):
+            if len(part):
+                who, node = forest.near(fp[part], shard[part], radius)
+                _joined(label, part[who], node)
     linked = np.flatnonzero(label != np.arange(n))
     return linked, label[linked]
 
@@ -233,5 +262,4 @@ def hex16(fp: str = "fp"):
 def first_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` without the documents whose group has one with a smaller id. Rows that repeat the id kept stay with it."""
     groups = near_duplicates(df, id_col, text_col)
-    keep = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return only_ids(df, groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select("doc_id"), id_col)
