@@ -1,20 +1,21 @@
 """Quality rules: base statistics of whole texts, and a learned decision list over them. DataFrame functions only.
 
-Rules are found by sequential covering. Labelled documents are counted by bins of their statistics, by label and by
-fold (a bounded table: at most ``BINS`` to the power of the number of statistics). Growing adds the threshold with the
-highest information gain to a conjunction, pruning takes conditions off its end while the other fold says so; covered
-counts are removed and the next rule is sought. A list is emitted as one conditional expression, first rule first.
+Rules are found by sequential covering over the labelled documents, whose statistics are kept as bins. Growing adds the
+threshold with the highest information gain to a conjunction: each step counts the covered documents by statistic, bin
+and label in Spark, so that the driver sees at most ``BINS`` counts for each statistic and label. Pruning takes conditions
+off the end while the other fold says so; covered documents go and the next rule is sought. A list is emitted as one
+conditional expression, first rule first.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlake.llm.common import WORD, saved, text_or_empty
+from modlake.functions.text import let
+from modlake.llm.common import WORD, discard, saved, text_or_empty
 
 WINDOW = 8
 #: Statistics that rules may use, by name: ratios of the base counts.
@@ -34,11 +35,6 @@ MAX_RULES, MAX_CONDITIONS = 8, 3
 PRECISION, LEAST = 0.9, 5
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)``, with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _repeat_words(words: Column, n: Column) -> Column:
     """Words that stand in a window of WINDOW words found twice or more."""
     def covered(h: Column) -> Column:
@@ -87,58 +83,59 @@ def learn(labelled: DataFrame) -> list[list[tuple[str, str, float]]]:
     at = rows.groupBy("y").agg(*[F.percentile_approx(n, list(QUANTILES[y]), 10_000).alias(f"{n}_{y}") for n in names for y in QUANTILES]).collect()
     cuts = {n: sorted({x for r in at for x in r[f"{n}_{r.y}"] or []}) for n in names}
     bins = [sum((F.when(F.col(n) >= c, 1).otherwise(0) for c in cuts[n]), F.lit(0)).alias(n) for n in names]
-    cells = rows.select("y", "fold", *bins).groupBy("y", "fold", *names).count().collect()
-    grow, prune = [], []
-    for c in cells:
-        (prune if c["fold"] == 0 else grow).append((tuple(c[n] for n in names), c["y"], c["count"]))
-    every = [(i, op, k) for i, n in enumerate(names) for k, op in product(range(1, len(cuts[n]) + 1), ("<", ">="))]
+    rows = saved(rows.select("y", "fold", *bins), "labelled-bins")
+    grow, prune = rows.filter("fold <> 0"), rows.filter("fold = 0")
     rules = []
     while len(rules) < MAX_RULES:
-        rule = _pruned(_grown(grow, every), prune)
-        good, bad = _covered(prune, rule)
+        rule, good, bad = _pruned(_grown(grow, names), prune)
         if not rule or bad < LEAST or bad < PRECISION * (good + bad):
             break
-        rules.append([(names[i], op, cuts[names[i]][k - 1]) for i, op, k in rule])
-        grow, prune = ([c for c in part if not _holds(c[0], rule)] for part in (grow, prune))
+        rules.append([(n, op, cuts[n][k - 1]) for n, op, k in rule])
+        grow, prune = (part.filter(~_holds(rule)) for part in (grow, prune))
+    discard(rows)
     return rules
 
 
-def _holds(cell: tuple, rule: list) -> bool:
-    return all((cell[i] >= k) == (op == ">=") for i, op, k in rule)
-
+def _holds(rule: list[tuple[str, str, int]]) -> Column:
+    out = F.lit(True)
+    for name, op, k in rule:
+        out = out & (F.col(name) >= k if op == ">=" else F.col(name) < k)
+    return out
 
-def _covered(cells: list, rule: list) -> tuple[int, int]:
-    good = bad = 0
-    for cell, y, n in cells:
-        if _holds(cell, rule):
-            good, bad = good + n * y, bad + n * (1 - y)
-    return good, bad
 
-
-def _grown(cells: list, every: list) -> list:
-    rule: list = []
+def _grown(rows: DataFrame, names: list[str]) -> list[tuple[str, str, int]]:
+    """The conjunction that grows by the best condition of each step; ties go to the first statistic and threshold."""
+    rule: list[tuple[str, str, int]] = []
     while len(rule) < MAX_CONDITIONS:
-        good, bad = _covered(cells, rule)
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(n).alias("bin")) for i, n in enumerate(names)])).alias("x")
+        counts: dict = {}
+        for r in rows.filter(_holds(rule)).select("y", each).groupBy("x.i", "x.bin", "y").count().collect():
+            counts.setdefault(r["i"], {})[r["bin"], r["y"]] = r["count"]
+        good, bad = (sum(c for (_, y), c in counts.get(0, {}).items() if y == label) for label in (1, 0))
         if not bad or not good:
             break
-        inside = [c for c in cells if _holds(c[0], rule)]
         gain, best = 0.0, None
-        for cond in every:
-            g, b = _covered(inside, [cond])
-            if b and (v := b * (math.log2(b / (g + b)) - math.log2(bad / (good + bad)))) > gain + 1e-9:
-                gain, best = v, cond
+        for i, n in enumerate(names):
+            for k in range(1, max((b for b, _ in counts[i]), default=0) + 1):
+                for op in ("<", ">="):
+                    g, b = (sum(c for (at, y), c in counts[i].items() if y == label and (at >= k) == (op == ">=")) for label in (1, 0))
+                    if b and (v := b * (math.log2(b / (g + b)) - math.log2(bad / (good + bad)))) > gain + 1e-9:
+                        gain, best = v, (n, op, k)
         if best is None:
             break
         rule.append(best)
     return rule
 
 
-def _pruned(rule: list, cells: list) -> list:
-    def worth(r: list) -> float:
-        good, bad = _covered(cells, r)
-        return (bad - good) / (bad + good) if bad + good else -1.0
-
-    return max((rule[:k] for k in range(len(rule), 0, -1)), key=worth, default=[])
+def _pruned(rule: list, rows: DataFrame) -> tuple[list, int, int]:
+    """The beginning of the rule that is worth most on the rows, the longest of equals, with what it covers: good, bad."""
+    if not rule:
+        return [], 0, 0
+    counts = [F.count(F.when(_holds(rule[:k]) & (F.col("y") == label), 1)) for k in range(len(rule), 0, -1) for label in (1, 0)]
+    got = list(rows.agg(*[c.alias(f"c{i}") for i, c in enumerate(counts)]).first())
+    worth = lambda g, b: (b - g) / (b + g) if b + g else -1.0
+    at = max(range(len(rule)), key=lambda i: (worth(got[2 * i], got[2 * i + 1]), -i))
+    return rule[: len(rule) - at], got[2 * at], got[2 * at + 1]
 
 
 def verdict(rules: list) -> Column:
