@@ -10,30 +10,52 @@ relative position, and the other words' postings at that position are intersecte
 from __future__ import annotations
 
 import math
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modlake.functions.text import let
 from modlake.llm.common import saved, text_or_empty
-from modlake.llm.rules import let
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: label, mandatory key phrase, sentence: fixed values, wordings of public licences.
+#: label, mandatory key phrase, sentence: fixed values, wordings of public licences and of the notices that refer to them.
 TEMPLATES = (
     ("mit", "mit license", "released under the mit license"),
+    ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "permission notice shall be included in all copies", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache", "apache license", "licensed under the apache license version 2 0"),
+    ("apache", "apache license", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache", "distributed under the license is distributed on an as is basis", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", "perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work"),
     ("gpl", "general public license", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "gnu general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
     ("gpl", "gnu general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", "you should have received a copy of the gnu general public license", "you should have received a copy of the gnu general public license along with this program"),
+    ("gpl", "gnu general public license is a free copyleft license", "the gnu general public license is a free copyleft license for software and other kinds of works"),
     ("lgpl", "lesser general public license", "licensed under the gnu lesser general public license"),
+    ("lgpl", "gnu lesser general public license", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
     ("agpl", "affero general public license", "licensed under the gnu affero general public license"),
+    ("agpl", "gnu affero general public license", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code must retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
     ("mpl", "mozilla public license", "subject to the terms of the mozilla public license"),
+    ("mpl", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
     ("cc-by", "cc by 4", "licensed under cc by 4 0"),
+    ("cc-by", "creative commons attribution 4 0 international", "this work is licensed under a creative commons attribution 4 0 international license"),
     ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
+    ("cc-by-sa", "creative commons attribution sharealike", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "creative commons attribution noncommercial", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc0", "cc0 1 0 universal", "dedicated to the public domain under cc0 1 0 universal"),
+    ("isc", "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
     ("isc", "permission to use copy modify", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "altered source versions must be plainly marked", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("epl", "eclipse public license", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("boost", "boost software license", "distributed under the boost software license version 1 0"),
 )
 #: Words that say nothing of a licence unless a key phrase holds them: fixed values.
 COMMON = frozenset("a and any are for in is it of or the this to under use with you can".split())
@@ -90,7 +112,7 @@ def _words_of(df: DataFrame, id_col: str, text_col: str, vocabulary: list[str],
         return let(hits, lambda h: found(w, h))
 
     text = text_or_empty(text_col)
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    words = F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit(WORD), F.lit(0))
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.md5(F.encode(text, "utf-8")).alias("key"), let(words, of).alias("x")).select("doc_id", "key", "x.*")
 
 
