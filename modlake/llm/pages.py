@@ -3,8 +3,10 @@
 A page becomes a tree of block nodes. Each has features of its tag, attribute tokens, depth, siblings and subtree
 density (text, links, tags). Gradient-boosted trees give the log-odds that a node belongs to the article. They are
 trained here, on nodes of a bounded sample of pages with weak labels: the insides of article and main are content,
-elements whose tag or attribute tokens name page furniture are not. Each is shown again without the marks of an
-article around it and with another node's kind and shape, so that pages of other layouts are judged by the rest.
+elements whose tag or attribute tokens name page furniture are not. The nodes are shown with these marks, without those
+of an article, and without any, so that where a page has no marks, place, density, depth and siblings decide; and marked
+nodes are shown with another node's kind and shape, so that where it has marks, they do. Without content marks in the
+sample, running text outside of furniture stands for them; without furniture, link lists do.
 
 Decoding picks the labelling of the highest total log-odds in which no node is kept below a dropped one: a dynamic
 programme up the tree, then down.
@@ -29,9 +31,9 @@ SAMPLE_PAGES = 200
 TREES, DEPTH, RATE, BINS = 24, 3, 0.3, 16
 #: Elements by their meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg canvas object select math audio video".split())
+RAW = frozenset("script style iframe textarea title".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var ruby rt rp wbr br img input".split())
-FURNITURE = frozenset("nav footer header aside form button fieldset menu dialog head option label legend datalist".split())
+FURNITURE = frozenset("nav footer header aside form button fieldset menu dialog head option label legend datalist select noscript template".split())
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Tokens of class, id and role that name page furniture, and those that name the article.
@@ -41,7 +43,11 @@ FURNITURE_TOKENS = frozenset(
     "subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager search form copyright legal disclaimer complementary contentinfo".split()
 )
 ARTICLE_TOKENS = frozenset("article content post entry story main body text prose".split())
-_TOKEN = re.compile(r"([^<]+)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>|<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)", re.S)
+#: A tag with more quoted parts than this is text.
+MOST_QUOTES = 64
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_END = re.compile("[>\"']")
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 #: Open elements that a new one ends.
@@ -53,16 +59,17 @@ FEATURES = (
 )
 _SHAPE = FEATURES.index("depth")  # from here on: place and density, not meaning
 _KIND = [FEATURES.index(x) for x in ("paragraph", "heading", "list_item")]
-_MASKED = [FEATURES.index(x) for x in ("article_tag", "article_token", "under_article")]
+_ARTICLE_MARKS = [FEATURES.index(x) for x in ("article_tag", "article_token", "under_article")]
+_FURNITURE_MARKS = [FEATURES.index(x) for x in ("furniture_tag", "furniture_token", "under_furniture")]
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "tokens", "kids", "own", "links", "tags", "marks", "all")
+    __slots__ = ("tag", "parent", "depth", "tokens", "kids", "own", "links", "tags", "marks")
 
     def __init__(self, tag: str, parent: int, depth: int, tokens: frozenset):
         self.tag, self.parent, self.depth, self.tokens = tag, parent, depth, tokens
         self.kids: list[int] = []
-        self.own = self.links = self.tags = self.marks = self.all = 0
+        self.own = self.links = self.tags = self.marks = 0
 
 
 _NONE: frozenset = frozenset()
@@ -81,6 +88,56 @@ def _tokens(attrs: str) -> frozenset:
     return frozenset(out)
 
 
+def _tag_end(source: str, at: int) -> int:
+    """Where the > of a tag stands that is open at ``at``, outside of quoted values; -1 if nowhere. An unclosed quote is a plain mark."""
+    for _ in range(MOST_QUOTES):
+        m = _END.search(source, at)
+        if m is None:
+            return -1
+        if m[0] == ">":
+            return m.start()
+        close = source.find(m[0], m.end())
+        at = close + 1 if close >= 0 else m.end()
+    return -1
+
+
+def _pieces(source: str) -> Iterator[tuple[str | None, str | None, str | None, str, int]]:
+    """(text, slash, name, attributes, end) of each run of text or tag; comments and declarations are passed over.
+
+    The consumer may send the place to go on from. One pass: what can't be a tag is text, and once no > or quote is left
+    no more tags are tried.
+    """
+    at, size, dead = 0, len(source), False
+    while at < size:
+        text = name = close = None
+        attrs = ""
+        if source[at] != "<":
+            end = source.find("<", at)
+            end = size if end < 0 else end
+            text = source[at:end]
+        elif source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        elif source[at + 1 : at + 2] in ("!", "?"):
+            end = source.find(">", at)
+            at = size if end < 0 else end + 1
+            continue
+        else:
+            m = None if dead else _NAME.match(source, at)
+            stop = _tag_end(source, m.end()) if m else -1
+            if stop < 0:
+                dead = dead or (m is not None and _END.search(source, m.end()) is None)
+                text, end = "<", at + 1
+            else:
+                close, name, attrs, end = m[1], m[2], source[m.end() : stop], stop + 1
+        to = yield text, close, name, attrs, end
+        if to is not None:
+            end = to
+            yield None, None, None, "", end
+        at = end
+
+
 def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Nodes, parents before children, and the runs of raw text as (node, text); a run of None ends a block.
 
@@ -90,16 +147,9 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("body", -1, 0, frozenset())]
     runs: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("body", 0)]  # open elements with the block node that they are in
-    links, at, size = 0, 0, len(source)
-    find = _TOKEN.match
-    while at < size:
-        m = find(source, at)
-        if m is None:  # a tag that never ends: text
-            text, close, name, attrs = source[at], None, None, ""
-            at += 1
-        else:
-            at = m.end()
-            text, close, name, attrs = m.groups()
+    links, size = 0, len(source)
+    pieces = _pieces(source)
+    for text, close, name, attrs, at in pieces:
         here = stack[-1][1]
         if text is not None:
             n = len(text)
@@ -123,8 +173,8 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 continue
             nodes[here].tags += 1
             if name in RAW and not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(source, at)
-                at = end.end() if end else size
+                end = _RAW_END[name].search(source, at)
+                pieces.send(end.end() if end else size)
                 continue
             if name in VOID:
                 if name == "br" or name == "hr":
@@ -187,7 +237,6 @@ def features(nodes: list[Node]) -> np.ndarray:
             siblings, around = len(q.kids), chars[p] - chars[i]
         else:
             siblings, around = 1, 0
-        x.all = chars[i]
         out.append((
             x.tag in FURNITURE, x.tag in ARTICLE, x.tag in ("p", "pre", "blockquote"), x.tag in HEADINGS, x.tag in ("li", "ul", "ol", "dl", "dd", "dt"), bool(x.tokens & FURNITURE_TOKENS) or "hidden" in x.tokens,
             bool(x.tokens & ARTICLE_TOKENS), under_f[i], under_a[i], x.depth, siblings, places[i] / siblings, same[i], len(x.kids), log1p(x.own), log1p(chars[i]), links[i] / max(chars[i], 1),
@@ -213,9 +262,9 @@ def _cuts(values: np.ndarray) -> np.ndarray:
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> dict:
-    """Gradient-boosted trees of logistic loss on binned features: the model as plain arrays."""
+    """Gradient-boosted trees of logistic loss on binned features: the model as plain arrays. One label only, or none: no trees."""
     if not len(y) or y.min() == y.max():
-        return {"start": 0.0 if not len(y) else (4.0 if y[0] else -4.0), "trees": [], "cuts": []}
+        return {"start": 0.0, "trees": [], "cuts": []}
     cuts = [_cuts(c) for c in x.T]
     bins = np.stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, x.T, strict=True)], 1)
     start = float(np.log(y.mean() / (1 - y.mean())))
@@ -247,10 +296,15 @@ def boost(x: np.ndarray, y: np.ndarray) -> dict:
     return {"start": start, "trees": trees, "cuts": cuts}
 
 
+def by_marks(x: np.ndarray) -> np.ndarray:
+    """What is known without any tree: marks of furniture count against a node, everything else stays."""
+    return np.where((x[:, _FURNITURE_MARKS] > 0).any(1), -4.0, 4.0)
+
+
 def log_odds(model: dict, x: np.ndarray) -> np.ndarray:
-    out = np.full(len(x), model["start"])
     if not model["trees"]:
-        return out
+        return by_marks(x)
+    out = np.full(len(x), model["start"])
     bins = np.stack([np.searchsorted(c, v, "right") for c, v in zip(model["cuts"], x.T, strict=True)], 1)
     rows = np.arange(len(x))
     for split, leaf in model["trees"]:
@@ -263,25 +317,25 @@ def log_odds(model: dict, x: np.ndarray) -> np.ndarray:
 
 
 def decode(nodes: list[Node], odds: list[float]) -> list[bool]:
-    """Which nodes are kept: the highest sum of odds by weight, none below a dropped node; a tie drops.
-
-    A node weighs as its text, an element that says what is inside it as its whole subtree.
-    """
+    """Which nodes are kept: the highest sum of odds by own text, none below a dropped node; a tie drops."""
     n = len(nodes)
     worth = [0.0] * n
     below = [0.0] * n
     for i in range(n - 1, -1, -1):
-        x = nodes[i]
-        named = x.tag in FURNITURE or x.tokens & FURNITURE_TOKENS or "hidden" in x.tokens
-        worth[i] = odds[i] * (x.all if named else x.own) + below[i]
+        worth[i] = odds[i] * nodes[i].own + below[i]
         if i and worth[i] > 0:
-            below[x.parent] += worth[i]
+            below[nodes[i].parent] += worth[i]
     kept = [False] * n
     for i in range(n):
         kept[i] = worth[i] > 0 and (i == 0 or kept[nodes[i].parent])
     return kept
 
 
+def article(nodes: list[Node], runs: list[tuple[int, str]], x: np.ndarray, odds: np.ndarray) -> str:
+    """The text of the decoded nodes. Where that is empty, all text outside of marked furniture: no page with an article comes out empty."""
+    return blocks(runs, decode(nodes, odds.tolist())) or blocks(runs, decode(nodes, by_marks(x).tolist()))
+
+
 def blocks(runs: list[tuple[int, str]], kept: list[bool]) -> str:
     """Text of the kept nodes: blocks in page order, white space as one space, character references decoded."""
     out, now, owner = [], [], None
@@ -308,24 +362,40 @@ def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") ->
     ids = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
     sample = hashed_sample(ids.filter("html is not null"), SAMPLE_PAGES, "id").collect()
     xs = [features(parse(r.html)[0]) for r in sample]
-    x = np.concatenate(xs) if xs else np.zeros((0, len(FEATURES)))
-    y = weak_labels(x) if len(x) else np.zeros(0)
-    x, y = x[y >= 0], y[y >= 0]
-    bare = x.copy()
-    bare[:, _MASKED] = 0
-    # and with another node's kind and shape, so that marks of furniture outweigh what the sample's layouts have in common
-    mixed = [z.copy() for z in (x, bare, bare)]
+    return fit(np.concatenate(xs) if xs else np.zeros((0, len(FEATURES))))
+
+
+def fit(x: np.ndarray) -> dict:
+    """Trees from the features of a sample's nodes."""
+    if not len(x):
+        return boost(x, np.zeros(0))
+    y = weak_labels(x)
+    f = {n: x[:, i] for i, n in enumerate(FEATURES)}
+    own = np.expm1(f["own_chars"])
+    if not (y == 1).any():
+        y[(y == -1) & (own > 0) & (f["link_share"] < 0.3) & ((f["paragraph"] > 0) | (f["heading"] > 0) | (own >= 100))] = 1
+    if not (y == 0).any():
+        y[(y == -1) & (f["link_share"] > 0.6)] = 0
+    # weighed like decoding does: nodes without text of their own are decided by what they hold
+    x, y = x[(y >= 0) & (own > 0)], y[(y >= 0) & (own > 0)]
+    bare, plain = x.copy(), x.copy()
+    bare[:, _ARTICLE_MARKS] = 0
+    plain[:, _ARTICLE_MARKS + _FURNITURE_MARKS] = 0
+    # with another node's kind and shape: marked content, and marked furniture with and without what marks an article around it
     rng = np.random.default_rng(5)
-    for z in mixed:
-        z[:, _SHAPE:] = z[rng.permutation(len(z)), _SHAPE:]
-        z[:, _KIND] = z[rng.permutation(len(z))][:, _KIND]
-    return boost(np.concatenate([x, bare, *mixed]), np.concatenate([y] * 5).astype(float))
+    marked, sets, labels = (x[:, _ARTICLE_MARKS + _FURNITURE_MARKS] > 0).any(1), [x, bare, plain, plain], [y] * 4
+    for part, rows in ((x, marked), (bare, marked & (y == 0))):
+        z, at = part[rows].copy(), np.flatnonzero(rows)
+        z[:, _SHAPE:] = part[rng.permutation(len(part))[: len(at)], _SHAPE:]
+        z[:, _KIND] = part[rng.permutation(len(part))[: len(at)]][:, _KIND]
+        sets.append(z), labels.append(y[rows])
+    return boost(np.concatenate(sets), np.concatenate(labels).astype(float))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", model: dict | None = None) -> DataFrame:
     """page_id, url, text, n_chars: the article of each whole page.
 
-    Null and empty pages, and pages of furniture only, give an empty text. Repeated rows give repeated rows; other
+    Null and empty pages, and pages of marked furniture only, give an empty text. Repeated rows give repeated rows; other
     columns are left out.
     """
     model = model or train(pages, id_col, html_col)
@@ -337,7 +407,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", u
                 parsed = [parse(h or "") for h in batch.column(2).slice(a, 200).to_pylist()]
                 xs = [features(nodes) for nodes, _ in parsed]
                 odds = np.split(log_odds(model, np.concatenate(xs)), np.cumsum([len(x) for x in xs])[:-1])
-                out += [blocks(runs, decode(nodes, o.tolist())) for (nodes, runs), o in zip(parsed, odds, strict=True)]
+                out += [article(nodes, runs, x, o) for (nodes, runs), x, o in zip(parsed, xs, odds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     slim = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
