@@ -2,12 +2,13 @@
 
 *Base.* Emails, IPv4 addresses, card and phone numbers by pattern and check, leftmost and non-overlapping per kind.
 
-*Disclosure.* A protected value ``e`` (the matched text) carries IC(e) = log2(N / c(e)) bits, N being the documents and
-c the documents that hold it. A term ``t`` of its surroundings gives away PMI(t; e) = log2(N c(t,e) / (c(t) c(e)))
-of them. Where t was seen with e in at least ``MIN_SUPPORT`` different surroundings and PMI(t; e) is at least
-``DISCLOSURE`` of IC(e), the term is a span of kind ``term`` in every document that holds e near t: ``sanitise`` removes
-it or puts its shape in its place. Copies of one passage are one surrounding, so hapaxes beside an address that is
-copied around are no evidence. Counts cover the whole corpus.
+*Disclosure.* A protected entity ``e`` is a matched value, or what it has in common with others (mail domain, network,
+number prefix). It carries IC(e) = log2(N / c(e)) bits, N being the documents and c the documents that hold it. A term
+``t`` gives away PMI(t; e) = log2(N c(t,e) / (c(t) c(e))) of them; co-occurrence is by document, over the whole corpus.
+Terms that stood within ``AROUND`` words of e in at least ``MIN_SUPPORT`` different surroundings are candidates (copies of
+one passage are one surrounding, so hapaxes beside an address that is copied around are no evidence); those with PMI(t; e)
+of at least ``DISCLOSURE`` of IC(e) are spans of kind ``term``: wherever they stand in any text if e is a value, wherever
+they stand in a text that holds e if it is a shared part. ``sanitise`` puts the kind in a span's place.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from modlake.llm.common import saved, text_or_empty
 KINDS = ("email", "ip", "card", "phone")
 _FIND = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),  # a match can begin at the head of a run of digits only
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
@@ -93,8 +94,20 @@ def term_of(word: str) -> str:
     return m[0].lower() if m else ""
 
 
-def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, list[tuple[str, int, int]]]]:
-    """For each protected value: itself, a digest of the words around it, and these words' terms with their spans."""
+def entities(kind: str, value: str) -> list[str]:
+    """A matched value as entities: itself, and what it has in common with others (marked by a slash)."""
+    value = value.lower()
+    if kind == "email":
+        part = value.rsplit("@", 1)[1]
+    elif kind == "ip":
+        part = value.rsplit(".", 1)[0]
+    else:
+        part = "".join(c for c in value if c in "0123456789")[:6]
+    return [f"{kind}:{value}", f"{kind}/{part}"]
+
+
+def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[list[str], str, list[str]]]:
+    """For each protected value: its entities, a digest of the words around it, and these words' terms."""
     out = []
     for a, z, kind in spans:
         left, right = [], []
@@ -112,10 +125,9 @@ def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str
             right.append((m[0], *m.span()))
             if len(right) == AROUND:
                 break
-        near = [(w, x, y) for w, x, y in left + right if not any(x < e and s < y for s, e, _ in spans)]
-        terms = [(t, x, y) for w, x, y in near if (t := term_of(w))]
-        digest = xxhash.xxh3_64_hexdigest("\0".join(w for w, _, _ in near).encode())
-        out.append((f"{KINDS[kind]}:{text[a:z].lower()}", digest, terms))
+        near = [w for w, x, y in left + right if not any(x < e and s < y for s, e, _ in spans)]
+        digest = xxhash.xxh3_64_hexdigest("\0".join(near).encode())
+        out.append((entities(KINDS[kind], text[a:z]), digest, sorted({t for w in near if (t := term_of(w))})))
     return out
 
 
@@ -123,41 +135,54 @@ def _span_text(spans) -> str:
     return ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
 
 
-_SCAN = "key string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entity:string,around:string,terms:array<struct<term:string,start:long,end:long>>>>"
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.string()), ("terms", pa.list_(pa.struct([("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))]))
+_NEAR = pa.list_(pa.struct([("entities", pa.list_(pa.string())), ("around", pa.string()), ("terms", pa.list_(pa.string()))]))
+_SCAN = "doc_id long, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entities:array<string>,around:string,terms:array<string>>>"
 
 
-def _scan(texts: list[str]) -> list[pa.Array]:
-    keys, counts, shas, bases, nears = [], ([], [], [], []), [], [], []
-    for t in texts:
-        spans = base_spans(t)
-        for k in range(4):
-            counts[k].append(sum(s[2] == k for s in spans))
-        base = _span_text((KINDS[k], a, z) for a, z, k in spans)
-        shas.append(hashlib.sha256(base.encode()).hexdigest())
-        bases.append(base)
-        keys.append(xxhash.xxh3_128_hexdigest(t.encode()) if spans else None)
-        nears.append([{"entity": e, "around": d, "terms": [{"term": w, "start": a, "end": z} for w, a, z in ws]} for e, d, ws in surroundings(t, spans)] if spans else None)
-    return [pa.array(keys, pa.string()), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(bases, pa.string()), pa.array(nears, _NEAR)]
+def _keys(texts: list[str]) -> list[pa.Array]:
+    """Two 64-bit hashes of each text."""
+    raw = [t.encode() for t in texts]
+    return [pa.array(np.array([h(b) for b in raw], np.uint64).view(np.int64)) for h in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest)]
 
 
-def _with_scan(df: DataFrame, text_col: str) -> DataFrame:
-    """``df`` and what was found in each text; key is null where nothing was."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", " + _SCAN
-    names = [x.split()[0] for x in _SCAN.replace("array<struct<entity:string,around:string,terms:array<struct<term:string,start:long,end:long>>>>", "x").split(", ")]
+def _scan(docs: DataFrame) -> DataFrame:
+    """What is found in each text of doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *_scan(texts)], [*batch.schema.names, *names])
+            texts = batch.column(1).to_pylist()
+            counts, shas, bases, nears = ([], [], [], []), [], [], []
+            for t in texts:
+                spans = base_spans(t)
+                for k in range(4):
+                    counts[k].append(sum(s[2] == k for s in spans))
+                bases.append(_span_text((KINDS[k], a, z) for a, z, k in spans))
+                shas.append(hashlib.sha256(bases[-1].encode()).hexdigest())
+                nears.append([{"entities": e, "around": d, "terms": ws} for e, d, ws in surroundings(t, spans)] if spans else None)
+            cols = [batch.column(0), *_keys(texts), *(pa.array(c, pa.int64()) for c in counts), pa.array(shas, pa.string()), pa.array(bases, pa.string()), pa.array(nears, _NEAR)]
+            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in _SCAN.split("struct")[0].split(", ")])
 
-    return df.mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, _SCAN)
 
 
 def _bucket(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term.encode()) % BUCKETS
 
 
+def _marks(terms: DataFrame) -> np.ndarray:
+    """The buckets of the terms: a filter of fixed size that lets some others pass and loses none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_bucket(t) for t in batch.column(0).to_pylist()], pa.int32())], ["bucket"])
+
+    rows = terms.select("term").distinct().mapInArrow(run, "bucket int").groupBy(F.floor(F.col("bucket") / 32768).alias("at")).agg(F.bitmap_construct_agg(F.pmod(F.col("bucket").cast("long"), F.lit(32768))).alias("bits"))
+    wanted = np.zeros(BUCKETS, bool)
+    for r in rows.collect():
+        wanted[r["at"] * 32768 : (r["at"] + 1) * 32768] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    return wanted
+
+
 def _count_terms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """term, c: documents that hold the term, of the terms whose bucket is wanted."""
 
@@ -168,46 +193,70 @@ def _count_terms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "c"])
 
         for batch in batches:
-            if wanted.any():
-                for t in batch.column(0).to_pylist():
-                    terms = set(map(term_of, set(t.split()))) - {""}
-                    counts.update([w for w in terms if wanted[_bucket(w)]])
-                    if len(counts) > TERMS_AT_ONCE:
-                        yield out()
-                        counts.clear()
+            for t in batch.column(0).to_pylist():
+                terms = set(map(term_of, set(_WORD.findall(t)))) - {""}
+                counts.update([w for w in terms if wanted[_bucket(w)]])
+                if len(counts) > TERMS_AT_ONCE:
+                    yield out()
+                    counts.clear()
         if counts:
             yield out()
 
-    return docs.mapInArrow(run, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
-
-
-def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """entity, term, pmi, ic: the terms that give a protected value away."""
-    near = scanned.filter("key is not null").select("key", F.explode("near").alias("n")).select("key", "n.entity", "n.around", F.explode("n.terms.term").alias("term"))
-    pairs = near.groupBy("entity", "term").agg(F.countDistinct("around").alias("support"), F.countDistinct("key").alias("texts"))
-    pairs = saved(pairs.filter(F.col("support") >= min_support), "pii-pairs")
-    # a filter of fixed size keeps the counting of terms to candidates: it lets some others pass and loses none
-    marks = pairs.select("term").distinct().mapInArrow(_marks, "bucket int").distinct()
-    wanted = np.zeros(BUCKETS, bool)
-    wanted[[r.bucket for r in marks.toLocalIterator()]] = True
-    counts = _count_terms(docs.select("text"), wanted)
-    values = scanned.filter("key is not null").select("doc", F.explode(F.array_distinct("near.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("ce"))
-    n = docs.count()
-    joint = scanned.filter("key is not null").select("doc", F.explode("near").alias("n")).select("doc", "n.entity", F.explode(F.array_distinct("n.terms.term")).alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("cte"))
-    scored = pairs.join(joint, ["entity", "term"]).join(counts, "term").join(values, "entity")
-    scored = scored.withColumn("pmi", F.log2(F.lit(float(n)) * F.col("cte") / (F.col("c") * F.col("ce")))).withColumn("ic", F.log2(F.lit(float(n)) / F.col("ce")))
-    return scored.filter((F.col("ic") > 0) & (F.col("pmi") >= disclosure * F.col("ic"))).select("entity", "term", "pmi", "ic")
-
+    return docs.select("text").mapInArrow(run, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
 
-def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([_bucket(t) for t in batch.column(0).to_pylist()], pa.int32())], ["bucket"])
 
+def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """k1, k2, term, n, places: of each text with such terms, the rows with that text and where the term's words stand outside of base spans."""
+    wanted = _marks(terms)
+    places = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-def _term_spans(scanned: DataFrame, terms: DataFrame) -> DataFrame:
-    """key, terms: array of (start, end) of the disclosing terms of each text that has any."""
-    each = scanned.filter("key is not null").select("key", F.explode("near").alias("n")).select("key", "n.entity", F.explode("n.terms").alias("t")).select("key", "entity", "t.term", "t.start", "t.end")
-    return each.join(terms.select("entity", "term"), ["entity", "term"]).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("terms"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, t in enumerate(texts := batch.column(0).to_pylist()):
+                hits = {w: x for w in set(_WORD.findall(t)) if (x := term_of(w)) and wanted[_bucket(x)]}
+                if hits:
+                    spans, at = base_spans(t), {}
+                    for m in _WORD.finditer(t):
+                        if m[0] in hits and not any(m.start() < z and a < m.end() for a, z, _ in spans):
+                            at.setdefault(hits[m[0]], []).append({"start": m.start(), "end": m.end()})
+                    rows += [(i, term, where) for term, where in at.items()]
+            own, names, where = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
+            keys = _keys([texts[i] for i in own]) if own else [pa.array([], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(names, pa.string()), pa.array(where, places)], ["k1", "k2", "term", "places"])
+
+    found = docs.select("text").mapInArrow(run, "k1 long, k2 long, term string, places array<struct<start:long,end:long>>")
+    found = found.join(terms.select("term").distinct(), "term", "left_semi")
+    return found.groupBy("k1", "k2", "term").agg(F.count("*").alias("n"), F.any_value("places").alias("places"))
+
+
+def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame] | None:
+    """entity, term, pmi, ic of the terms that give an entity away, and k1, k2, terms: their (start, end) in each text; None without any candidate."""
+    each = scanned.filter("base <> ''").select("k1", "k2", F.explode("near").alias("n"))
+    near = each.select(F.explode("n.entities").alias("entity"), "n.around", "n.terms").select("entity", "around", F.explode("terms").alias("term"))
+    pairs = near.groupBy("entity", "term").agg(F.countDistinct("around").alias("support")).filter(F.col("support") >= min_support)
+    pairs = saved(pairs.select("entity", "term"), "pii-pairs")
+    wanted = _marks(pairs)
+    if not wanted.any():
+        return None
+    n = float(scanned.count())
+    holds = each.select("k1", "k2", F.explode("n.entities").alias("entity"))
+    held = scanned.filter("base <> ''").select(F.explode(F.array_distinct(F.flatten("near.entities"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("ce"))
+    counted = pairs.join(held, "entity").join(_count_terms(docs, wanted), "term").withColumn("ic", F.log2(F.lit(n) / F.col("ce")))
+    # no term in more documents can reach the threshold, wherever it stands
+    counted = saved(counted.filter((F.col("ic") > 0) & (F.col("c") <= F.col("ce") * F.pow(F.lit(2.0), (1 - disclosure) * F.col("ic")) + 1e-9)), "pii-counted")
+    if not counted.head(1):
+        return None
+    found = saved(_occurrences(docs, counted), "pii-occurrences")
+    together = holds.distinct().join(found.select("k1", "k2", "term", "n"), ["k1", "k2"]).join(counted.select("entity", "term"), ["entity", "term"], "left_semi")
+    cte = together.groupBy("entity", "term").agg(F.sum("n").alias("cte"))
+    scored = counted.join(cte, ["entity", "term"]).withColumn("pmi", F.log2(F.lit(n) * F.col("cte") / (F.col("c") * F.col("ce"))))
+    scored = saved(scored.filter(F.col("pmi") >= disclosure * F.col("ic") - 1e-9).select("entity", "term", "pmi", "ic"), "pii-terms")
+    part = F.col("entity").rlike("^[a-z]+/")
+    everywhere = found.join(scored.filter(~part).select("term").distinct(), "term", "left_semi").select("k1", "k2", "places")
+    local = found.join(scored.filter(part).select("entity", "term"), "term").join(holds.distinct(), ["k1", "k2", "entity"], "left_semi").select("k1", "k2", "places")
+    spans = everywhere.unionByName(local).groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("terms"))
+    return scored, saved(spans, "pii-spans")
 
 
 def _all_spans(base: str, terms: str):
@@ -221,20 +270,24 @@ def _all_spans(base: str, terms: str):
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every whole text.
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans of every whole text.
 
-    Null texts are empty. Repeated rows give repeated rows, each with the same spans; other columns are left out.
+    Null texts are empty. Repeated rows give repeated rows, each with the same spans, and count as documents; other
+    columns are left out. An empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    scanned = saved(_with_scan(docs, "text").drop("text").withColumn("doc", F.col("doc_id")), "pii")
-    extra = _term_spans(scanned, disclosing_terms(docs, scanned))
+    scanned = saved(_scan(docs), "pii")
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256"]
-    hit = scanned.filter("key is not null").join(extra, "key", "left").select(*names, _all_spans("base", "terms").alias("spans"))
-    return hit.unionByName(scanned.filter("key is null").select(*names, F.lit("").alias("spans")))
+    given = disclosing_terms(docs, scanned)
+    if given is None:
+        out = scanned.select(*names, F.col("base").alias("spans"))
+    else:
+        out = scanned.drop("near").join(given[1], ["k1", "k2"], "left").select(*names, _all_spans("base", "terms").alias("spans"))
+    return out.withColumn("n_spans", F.when(F.col("spans") == "", 0).otherwise(F.size(F.split("spans", ","))).cast("long"))
 
 
 def _rewrite(text: str, spans: list[tuple[str, int, int]]) -> str:
-    """Base spans become their kind in brackets; a term becomes its shape. What overlaps is one span of the first's kind."""
+    """Base spans become their kind in brackets, and so do terms. What overlaps is one span of the first's kind."""
     out, at = [], 0
     merged: list[list] = []
     for kind, a, z in sorted(spans, key=lambda s: (s[1], -s[2])):
@@ -253,26 +306,61 @@ def _rewrite(text: str, spans: list[tuple[str, int, int]]) -> str:
 def sanitise(df: DataFrame, text_col: str = "text", n_col: str | None = None) -> DataFrame:
     """``df`` with protected values and disclosing terms of the text replaced; ``n_col``, if given, gets the new length.
 
-    A null text stays null. Rows without anything to replace pass unchanged and aren't shuffled.
+    A null text stays null. Rows whose text holds no disclosing term aren't shuffled; only texts in which the scan found
+    something are searched again. Columns of any name stay as they are.
     """
     cols, kinds = df.columns, dict(df.dtypes)
-    docs = df.select(text_or_empty(text_col).alias("text"))
-    base = _with_scan(docs, "text").drop("text")
-    scanned = saved(base.filter("key is not null").withColumn("doc", F.monotonically_increasing_id()), "pii")
-    extra = _term_spans(scanned, disclosing_terms(docs, scanned))
-    seen = _with_scan(df.select(F.struct(*[F.col(c) for c in cols]).alias("row"), text_or_empty(text_col).alias("text")), "text").drop("text")
-    clean = seen.filter("key is null").select("row.*")
-    hit = seen.filter("key is not null").join(extra, "key", "left").select("row", _all_spans("base", "terms").alias("spans"))
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in cols)
+    docs = df.select(F.lit(None).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    scanned = saved(_scan(docs).drop("doc_id", "base_sha256", *(f"n_{k}" for k in KINDS)), "pii")
+    marked = _text_marks(scanned.filter("base <> ''"))
+    given = disclosing_terms(docs, scanned)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"))
+    no_terms = F.lit(None).cast("array<struct<start:bigint,end:bigint>>").alias("terms")
+    if given is None:
+        rows = rows.select("row", no_terms)
+    else:
+        keyed = _with_keys(rows, text_col, _text_marks(given[1]))
+        rows = keyed.filter("k1 is null").select("row", no_terms).unionByName(keyed.filter("k1 is not null").join(given[1], ["k1", "k2"], "left").select("row", "terms"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, spans = batch.column(0), batch.column(1).to_pylist()
-            fields = dict(zip(cols, rows.flatten(), strict=True))
-            new = [None if t is None else _rewrite(t, [(k, int(a), int(z)) for k, a, z in (x.split(":") for x in s.split(",") if x)]) for t, s in zip(fields[text_col].to_pylist(), spans, strict=True)]
-            fields[text_col] = pa.array(new, pa.string())
+            fields = dict(zip(cols, batch.column(0).flatten(), strict=True))
+            new = []
+            for t, terms in zip(fields[text_col].to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if t and (terms or marked[_place(t)]):
+                    t = _rewrite(t, [(KINDS[k], a, z) for a, z, k in base_spans(t)] + [("term", x["start"], x["end"]) for x in terms or ()])
+                new.append(t)
+            fields[text_col] = pa.array(new, fields[text_col].type)
             if n_col:
                 fields[n_col] = pa.array([None if t is None else len(t) for t in new], fields[n_col].type)
             yield pa.RecordBatch.from_arrays([fields[c] for c in cols], cols)
 
-    return clean.unionByName(hit.mapInArrow(run, schema))
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in cols))
+
+
+def _place(text: str) -> int:
+    """The bucket of a text: pmod of its signed hash k1, as BUCKETS is a power of two."""
+    return xxhash.xxh3_64_intdigest(text.encode()) % BUCKETS
+
+
+def _text_marks(texts: DataFrame) -> np.ndarray:
+    """The buckets of texts by their hash k1: a filter of fixed size."""
+    place = F.pmod("k1", F.lit(BUCKETS))
+    rows = texts.groupBy(F.floor(place / 32768).alias("at")).agg(F.bitmap_construct_agg(F.pmod(place, F.lit(32768))).alias("bits"))
+    marks = np.zeros(BUCKETS, bool)
+    for r in rows.collect():
+        marks[r["at"] * 32768 : (r["at"] + 1) * 32768] = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+    return marks
+
+
+def _with_keys(rows: DataFrame, text_col: str, marks: np.ndarray) -> DataFrame:
+    """row, k1, k2: the text's hashes where its bucket is marked, else null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(0).field(text_col).to_pylist()]
+            k1, k2 = (k.to_numpy() for k in _keys(texts)) if texts else (np.zeros(0, np.int64),) * 2
+            off = ~marks[k1 % BUCKETS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(k1, mask=off), pa.array(k2, mask=off)], ["row", "k1", "k2"])
+
+    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, k1 long, k2 long")
