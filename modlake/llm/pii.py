@@ -15,8 +15,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +43,8 @@ MIN_SUPPORT = 2
 DISCLOSURE = 0.8
 #: Buckets of the candidate filter: bounds what the driver and each task hold of it.
 BUCKETS = 1 << 20
-#: Distinct terms that a task counts before it passes the counts on.
-TERMS_AT_ONCE = 200_000
+#: Distinct terms that a task counts, or words that it knows, before it passes the counts on or forgets; found terms that it passes on at once.
+TERMS_AT_ONCE, ROWS_AT_ONCE = 200_000, 2_000
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _TERM = re.compile(r"\w(?:.*\w)?", re.S)
 
@@ -106,9 +108,20 @@ def entities(kind: str, value: str) -> list[str]:
     return [f"{kind}:{value}", f"{kind}/{part}"]
 
 
+def _outside(spans: list[tuple[int, int, int]]) -> Callable[[int, int], bool]:
+    """Whether start and end meet none of the spans, which are in order of start."""
+    starts, reach = [a for a, _, _ in spans], list(accumulate((z for _, z, _ in spans), max))
+
+    def free(start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        return k == 0 or reach[k - 1] <= start
+
+    return free
+
+
 def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[list[str], str, list[str]]]:
     """For each protected value: its entities, a digest of the words around it, and these words' terms."""
-    out = []
+    out, free = [], _outside(spans)
     for a, z, kind in spans:
         left, right = [], []
         end = a
@@ -125,7 +138,7 @@ def surroundings(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[lis
             right.append((m[0], *m.span()))
             if len(right) == AROUND:
                 break
-        near = [w for w, x, y in left + right if not any(x < e and s < y for s, e, _ in spans)]
+        near = [w for w, x, y in left + right if free(x, y)]
         digest = xxhash.xxh3_64_hexdigest("\0".join(near).encode())
         out.append((entities(KINDS[kind], text[a:z]), digest, sorted({t for w in near if (t := term_of(w))})))
     return out
@@ -139,10 +152,13 @@ _NEAR = pa.list_(pa.struct([("entities", pa.list_(pa.string())), ("around", pa.s
 _SCAN = "doc_id long, k1 long, k2 long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, near array<struct<entities:array<string>,around:string,terms:array<string>>>"
 
 
+_HASHES = (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest)
+
+
 def _keys(texts: list[str]) -> list[pa.Array]:
     """Two 64-bit hashes of each text."""
     raw = [t.encode() for t in texts]
-    return [pa.array(np.array([h(b) for b in raw], np.uint64).view(np.int64)) for h in (xxhash.xxh3_64_intdigest, xxhash.xxh64_intdigest)]
+    return [pa.array(np.array([h(b) for b in raw], np.uint64).view(np.int64)) for h in _HASHES]
 
 
 def _scan(docs: DataFrame) -> DataFrame:
@@ -183,47 +199,77 @@ def _marks(terms: DataFrame) -> np.ndarray:
     return wanted
 
 
+class Wanted(dict):
+    """word as bytes -> its term, if the term's bucket is marked, else an empty string; emptied at a bound."""
+
+    def __init__(self, marks: np.ndarray):
+        self.marks = marks
+
+    def __missing__(self, word: bytes) -> str:
+        if len(self) > TERMS_AT_ONCE:
+            self.clear()
+        term = term_of(word.decode())
+        self[word] = term = term if term and self.marks[_bucket(term)] else ""
+        return term
+
+
 def _count_terms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """term, c: documents that hold the term, of the terms whose bucket is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts, term = Counter(), Wanted(wanted).__getitem__
 
         def out():
             return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["term", "c"])
 
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                terms = set(map(term_of, set(_WORD.findall(t)))) - {""}
-                counts.update([w for w in terms if wanted[_bucket(w)]])
+            for t in batch.column(0):
+                words = set(bytes(t.as_buffer()).split())  # of bytes: at the six ASCII spaces
+                counts.update(set(map(term, words)))
                 if len(counts) > TERMS_AT_ONCE:
+                    counts.pop("", 0)
                     yield out()
                     counts.clear()
+        counts.pop("", 0)
         if counts:
             yield out()
 
     return docs.select("text").mapInArrow(run, "term string, c long").groupBy("term").agg(F.sum("c").alias("c"))
 
 
-def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """k1, k2, term, n, places: of each text with such terms, the rows with that text and where the term's words stand outside of base spans."""
-    wanted = _marks(terms)
+def _occurrences(docs: DataFrame, terms: DataFrame, everywhere: DataFrame, with_spans: np.ndarray) -> DataFrame:
+    """k1, k2, term, n, places: where the words of ``everywhere`` stand in any text, and those of all ``terms`` in texts with
+    base spans (whose buckets are marked), outside of the spans; n is the number of rows with that text."""
+    wide, narrow = _marks(everywhere), _marks(terms)
     places = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_all, in_some = Wanted(wide).__getitem__, Wanted(narrow).__getitem__
         for batch in batches:
-            rows = []
-            for i, t in enumerate(texts := batch.column(0).to_pylist()):
-                hits = {w: x for w in set(_WORD.findall(t)) if (x := term_of(w)) and wanted[_bucket(x)]}
-                if hits:
-                    spans, at = base_spans(t), {}
-                    for m in _WORD.finditer(t):
-                        if m[0] in hits and not any(m.start() < z and a < m.end() for a, z, _ in spans):
-                            at.setdefault(hits[m[0]], []).append({"start": m.start(), "end": m.end()})
-                    rows += [(i, term, where) for term, where in at.items()]
-            own, names, where = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [])
-            keys = _keys([texts[i] for i in own]) if own else [pa.array([], pa.int64())] * 2
-            yield pa.RecordBatch.from_arrays([*keys, pa.array(names, pa.string()), pa.array(where, places)], ["k1", "k2", "term", "places"])
+            rows: list[tuple] = []
+
+            def out():
+                cols = list(zip(*rows, strict=True))
+                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], places)], ["k1", "k2", "term", "places"])
+
+            for t in batch.column(0):
+                raw = bytes(t.as_buffer())
+                term = in_some if with_spans[xxhash.xxh3_64_intdigest(raw) % BUCKETS] else in_all
+                if not any(map(term, words := set(raw.split()))):
+                    continue
+                text, at = t.as_py(), {}
+                hits = {w.decode(): x for w in words if (x := term(w))}
+                free = _outside(base_spans(text))
+                for m in _WORD.finditer(text):
+                    if m[0] in hits and free(*m.span()):
+                        at.setdefault(hits[m[0]], []).append({"start": m.start(), "end": m.end()})
+                k1, k2 = (int(np.uint64(h(raw)).view(np.int64)) for h in _HASHES)
+                rows += [(k1, k2, x, where) for x, where in at.items()]
+                if len(rows) > ROWS_AT_ONCE or sum(map(len, at.values())) > ROWS_AT_ONCE:
+                    yield out()
+                    rows.clear()
+            if rows:
+                yield out()
 
     found = docs.select("text").mapInArrow(run, "k1 long, k2 long, term string, places array<struct<start:long,end:long>>")
     found = found.join(terms.select("term").distinct(), "term", "left_semi")
@@ -247,12 +293,13 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_support: int = MIN
     counted = saved(counted.filter((F.col("ic") > 0) & (F.col("c") <= F.col("ce") * F.pow(F.lit(2.0), (1 - disclosure) * F.col("ic")) + 1e-9)), "pii-counted")
     if not counted.head(1):
         return None
-    found = saved(_occurrences(docs, counted), "pii-occurrences")
+    part = F.col("entity").rlike("^[a-z]+/")
+    # a value's terms are marked in any text, those of a shared part where it stands
+    found = saved(_occurrences(docs, counted, counted.filter(~part), _text_marks(scanned.filter("base <> ''"))), "pii-occurrences")
     together = holds.distinct().join(found.select("k1", "k2", "term", "n"), ["k1", "k2"]).join(counted.select("entity", "term"), ["entity", "term"], "left_semi")
     cte = together.groupBy("entity", "term").agg(F.sum("n").alias("cte"))
     scored = counted.join(cte, ["entity", "term"]).withColumn("pmi", F.log2(F.lit(n) * F.col("cte") / (F.col("c") * F.col("ce"))))
     scored = saved(scored.filter(F.col("pmi") >= disclosure * F.col("ic") - 1e-9).select("entity", "term", "pmi", "ic"), "pii-terms")
-    part = F.col("entity").rlike("^[a-z]+/")
     everywhere = found.join(scored.filter(~part).select("term").distinct(), "term", "left_semi").select("k1", "k2", "places")
     local = found.join(scored.filter(part).select("entity", "term"), "term").join(holds.distinct(), ["k1", "k2", "entity"], "left_semi").select("k1", "k2", "places")
     spans = everywhere.unionByName(local).groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("terms"))
