@@ -1,6 +1,6 @@
-"""Byte-level BPE by corpus-level merge replay.
+"""Byte-level BPE by merge replay over slices of the corpus.
 
-The distinct pieces of a slice of the corpus are laid out in one symbol array with links to the neighbours. An
+The distinct pieces of a slice (``SLICE`` characters of a task's texts) that a task hasn't met yet are laid out in one symbol array with links to the neighbours. An
 inverted index leads from a merge (its rank) to the positions where it applies; merges are taken in rank order and
 each touches only the two neighbours of its positions. Where a merge makes a pair of the same or a lower rank, the
 rest of that piece waits, so that every piece is merged lowest rank first, leftmost first.
@@ -15,10 +15,12 @@ import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,10 @@ from modlake.llm.common import text_or_empty
 
 #: Pieces in a worker's table after which it is emptied before the next slice.
 CACHE = 120_000
-#: Characters of text that are cut into pieces and replayed together; a longer text is a slice of its own.
-SLICE = 4_000_000
+#: Characters of text that are cut into pieces and replayed together; a longer text is taken by pieces.
+SLICE = 1_000_000
+#: Pieces of a longer text that are replayed together.
+PIECES = 100_000
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -57,7 +61,8 @@ class Vocabulary:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = _ranks(path)
-        self.split = regex.compile(pattern).findall
+        cut = regex.compile(pattern)
+        self.split, self.find = cut.findall, cut.finditer
         none = max(self.ranks.values(), default=-1) + 1
         self.none = none
         self.byte_id = np.array([self.ranks.get(bytes([b]), none) for b in range(256)], np.int64)
@@ -74,6 +79,7 @@ class Vocabulary:
             setattr(self, f"{name}_with", part[:, other].astype(np.int32))
             setattr(self, f"{name}_rank", part[:, 2].astype(np.int32))
         self.names = [str(i) for i in range(none)]
+        self.tokens = _tokens(self.ranks)
         self.forget()
 
     def forget(self) -> None:
@@ -207,12 +213,12 @@ class Vocabulary:
             start = e
         return out
 
-    def encode(self, texts: list[str]) -> tuple[list[int], list[str], np.ndarray]:
-        """Of texts: the number of ids, the ids as text with commas; all ids one after the other."""
+    def _codes(self, parts: list[list[str]]) -> list[np.ndarray]:
+        """Numbers of the pieces in the table; those that are new to it are replayed together."""
         if len(self.table) > CACHE:
             self.forget()
         number, old = self.table.__getitem__, len(self.table)
-        codes = [np.array(list(map(number, self.split(t))), np.int32) for t in texts]
+        codes = [np.array(list(map(number, p)), np.int32) for p in parts]
         if len(self.table) > old:
             new = list(self.table)[old:] if old else list(self.table)
             gc.disable()  # nothing here is cyclic, and the lists are long
@@ -225,13 +231,32 @@ class Vocabulary:
             self.length = np.concatenate([self.length, np.array([len(ids) for ids in merged], np.int64)])
             self.start = np.cumsum(self.length) - self.length
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(merged), np.int32)])
-        text = self.id_text.__getitem__
-        joined = [",".join(map(text, c.tolist())) for c in codes]
-        every = np.concatenate(codes)
+        return codes
+
+    def _ids(self, every: np.ndarray) -> np.ndarray:
+        """The ids of numbered pieces, one after the other."""
         sizes = self.length[every]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[every] - ends + sizes, sizes)]
-        return [int(self.length[c].sum()) for c in codes], joined, ids
+        return self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[every] - ends + sizes, sizes)]
+
+    def encode(self, texts: list[str]) -> tuple[list[int], list[str], np.ndarray]:
+        """Of texts: the number of ids and the sha256 of the ids as text with commas; all ids one after the other."""
+        if len(texts) == 1 and len(texts[0]) > SLICE:
+            return self._encode_long(texts[0])
+        codes = self._codes([self.split(t) for t in texts])
+        text = self.id_text.__getitem__
+        shas = [hashlib.sha256(",".join(map(text, c.tolist())).encode()).hexdigest() for c in codes]
+        return [int(self.length[c].sum()) for c in codes], shas, self._ids(np.concatenate(codes))
+
+    def _encode_long(self, text: str) -> tuple[list[int], list[str], np.ndarray]:
+        """The same of one text, ``PIECES`` at a time, so that the table stays within its bound and them."""
+        sha, ids, pieces = hashlib.sha256(), [], map(itemgetter(0), self.find(text))
+        while part := list(islice(pieces, PIECES)):
+            (codes,) = self._codes([part])
+            sha.update((("," if ids else "") + ",".join(map(self.id_text.__getitem__, codes.tolist()))).encode())
+            ids.append(self._ids(codes))
+        every = np.concatenate(ids)
+        return [len(every)], [sha.hexdigest()], every
 
 
 class Numbering(dict):
@@ -242,22 +267,23 @@ class Numbering(dict):
         return n
 
 
-def slices(texts: list[str], most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters."""
+def slices(sizes: np.ndarray, most: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` characters; a longer text is a run of its own."""
     at, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > at and size + len(t) > most:
+    for i, n in enumerate(sizes.tolist()):
+        if i > at and size + n > most:
             yield at, i
             at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+        size += n
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None, and_back: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, ids: every whole text as token ids, without special tokens.
 
-    Null texts are empty and have no ids. Repeated rows give repeated rows; other columns are left out.
+    Null texts are empty and have no ids. Repeated rows give repeated rows; other columns are left out. ``and_back``
+    decodes the ids in the same pass: decoded_sha256 stands in place of ids, as from ``decode``.
     """
     at = default_vocabulary()
     at = (path or at[0], pattern or at[1])
@@ -265,16 +291,23 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.of(*at)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, z in slices(texts):
-                counts, joined, ids = v.encode(texts[a:z])
-                shas = [hashlib.sha256(x.encode()).hexdigest() for x in joined]
+            column = batch.column(1)
+            for a, z in slices(pc.utf8_length(column).to_numpy()):
+                counts, shas, ids = v.encode(column.slice(a, z - a).to_pylist())
                 ends = np.cumsum([0, *counts], dtype=np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), lists], ["doc_id", "n_tokens", "ids_sha256", "ids"])
+                if and_back:
+                    last = pa.array([decoded_sha256(v.tokens, ids[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.string())
+                else:
+                    last = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), last], ["doc_id", "n_tokens", "ids_sha256", "last"])
 
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, ids array<int>")
+    out = slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, last " + ("string" if and_back else "array<int>"))
+    return out.withColumnRenamed("last", "decoded_sha256" if and_back else "ids")
+
+
+def decoded_sha256(tokens: list[bytes], ids: np.ndarray) -> str:
+    return hashlib.sha256(b"".join(map(tokens.__getitem__, ids.tolist()))).hexdigest()
 
 
 def decode(df: DataFrame, path: str | None = None, pattern: str | None = None, keep_bytes: bool = False) -> DataFrame:

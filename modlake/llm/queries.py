@@ -51,7 +51,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as token ids and back."""
-    return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.encode(table(spark, sf_dir, "documents"), and_back=True)
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
