@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlake.llm.common import text_or_empty
+from modlake.llm.common import KEPT, text_or_empty
 
 #: Pieces in a worker's table after which it is emptied before the next slice.
 CACHE = 120_000
@@ -259,6 +259,9 @@ class Vocabulary:
         return [len(every)], [sha.hexdigest()], every
 
 
+KEPT.append(Vocabulary._open)
+
+
 class Numbering(dict):
     """Numbers keys as they come."""
 

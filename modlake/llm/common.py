@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from modlake.core import shared_dir
 from modlake.plans.base import table
 
-__all__ = ["WORD", "discard", "hashed_sample", "only_ids", "saved", "shared_dir", "table", "text_or_empty"]
+__all__ = ["KEPT", "WORD", "discard", "hashed_sample", "let_go", "only_ids", "saved", "shared_dir", "table", "text_or_empty"]
 
 #: The separators of words in every contract here: space and the five ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -43,6 +45,21 @@ def only_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi")
     return df.join(ids.toDF(own).distinct(), df[id_col].cast("long").eqNullSafe(F.col(own)), how)
 
 
+#: What operators keep in a Python worker from task to task; Spark uses a worker again for other stages.
+KEPT: list[dict] = []
+
+
+def let_go() -> None:
+    """Free what an earlier stage has left in this Python worker, and give the memory back."""
+    if any(KEPT):
+        for kept in KEPT:
+            kept.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

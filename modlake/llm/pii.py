@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlake.llm.common import saved, text_or_empty
+from modlake.llm.common import let_go, saved, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 _FIND = {
@@ -165,6 +165,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     """What is found in each text of doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             counts, shas, bases, nears = ([], [], [], []), [], [], []

@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlake.llm.common import only_ids, saved, text_or_empty
+from modlake.llm.common import let_go, only_ids, saved, text_or_empty
 from modlake.llm.graph import components
 
 RADIUS = 4
 #: Distinct fingerprints in a shard above which it is dealt out once more.
 HOT = 20_000
 #: Pairs of query and tree size that are searched at once.
-SEARCH = 2_000_000
+SEARCH = 200_000
 #: Rotations of the bits in whose order neighbours are linked first, and rows of a shard that all of it is compared with.
 TURNS, PIVOTS = (0, 13, 26, 39, 52), 4
 #: Characters hashed at once.
@@ -192,6 +192,7 @@ def spanning_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> t
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp) in the order of key -> links a, b. A shard may begin in one batch and end in another."""
+    let_go()
     keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def links(keys, fps):
