@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modlake.llm import bpe, hardneg, licenses, media, mixing, oracles, pages, pii, ranking, rules, simhash, spelling, suffix
+from modlake.llm import bpe, forest, hardneg, licenses, media, mixing, oracles, pages, pii, ranking, rules, simhash, spelling, suffix
 from modlake.llm.common import table
 
 
@@ -59,6 +59,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by similar sets of 4-word shingles."""
+    return forest.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents with their forms and roots."""
     return spelling.variants(table(spark, sf_dir, "documents"))
@@ -71,8 +76,8 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (
     op1_media_columns, op2_mixing, op3_quality_rules, op4_quality_classifier, op5_html_extraction, op6_simhash_dedup, op7_pii, op8_suffix_dedup, op9_byte_bpe, op10_license_scan,
-    op12_spelling_variants, op13_hard_negatives,
+    op11_minhash_dedup, op12_spelling_variants, op13_hard_negatives,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 #: DuckDB SQL of the queries that SQL can express; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op12_spelling_variants": oracles.OP12, "op13_hard_negatives": oracles.OP13}
+ORACLES: dict[str, str] = {"op11_minhash_dedup": oracles.OP11, "op12_spelling_variants": oracles.OP12, "op13_hard_negatives": oracles.OP13}

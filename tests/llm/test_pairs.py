@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from modlake.llm import hardneg, queries, spelling
+from modlake.llm import forest, hardneg, queries, spelling
 
 
 def rows_of(df):
@@ -27,6 +27,77 @@ def test_sql_agrees(spark, data, name):
     assert rows_of(df.select(*names)) == sorted(r.fetchall(), key=str)
 
 
+# 11 near copies by sets
+
+
+def copies_by_loop(rows, words=4, empty_alike=False):
+    sets = []
+    for _, t in rows:
+        w = "".join(c.lower() if c < "\x80" else c for c in t or "")
+        for sep in "\t\n\x0b\x0c\r":
+            w = w.replace(sep, " ")
+        w = [x for x in w.split(" ") if x]
+        sets.append({tuple(w[i : i + words]) for i in range(max(len(w) - words + 1, 1))} if w else set())
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            same = len(a & sets[j])
+            alike = 100 * same >= 80 * (len(a) + len(sets[j]) - same) if a or sets[j] else empty_alike
+            if alike and label[i] != label[j]:
+                label = [label[j] if x == label[i] else x for x in label]
+    out = []
+    for (i, _), s, root in zip(rows, sets, label, strict=True):
+        low = min((k for (k, _), r in zip(rows, label, strict=True) if r == root and k is not None), default=None)
+        out.append((i, len(s), low, low == i))
+    return sorted(out, key=str)
+
+
+def drifted(rng, n, lengths=(12, 90), edits=0.02):
+    """Texts of which each is an edited copy of an earlier one, as a chain or from one centre."""
+    vocabulary = [f"w{k}" for k in range(500)]
+    out = [[rng.choice(vocabulary) for _ in range(rng.randint(*lengths))]]
+    while len(out) < n:
+        w = list(rng.choice(out) if rng.random() < 0.7 else out[0])
+        if rng.random() < 0.1:
+            w = [rng.choice(vocabulary) for _ in range(rng.randint(*lengths))]
+        for k in range(len(w)):
+            if rng.random() < edits:
+                w[k] = rng.choice(vocabulary)
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+@pytest.mark.parametrize("hot", [forest.HOT, 60])
+def test_copies_against_a_loop(spark, hot):
+    rng = random.Random(2)
+    texts = drifted(rng, 250) + drifted(rng, 60, (1, 12), 0.1)
+    base = [f"t{k}" for k in range(203)]
+    texts += [" ".join(base), " ".join(base[:163]), " ".join(base[:162])]  # 160 of 200 shingles are 0.8, 159 are not
+    odd = [None, "", " \t", "One", "one", "a b", "A  b", "same here", "same here", "x" * 70000, "u\x1cv u\x1cv z 1 2", texts[0].upper()]
+    rows = list(enumerate(texts + odd)) + [(3, texts[3]), (None, texts[5]), (None, "nobody has this text at all"), (None, None), (7, "another text of an id that is there")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"node": F.lit("clash"), "n": F.lit(1), "region": F.lit(0)})
+    want = copies_by_loop(rows)
+    assert rows_of(forest.near_copies(df, hot=hot)) == want
+    assert sum(not r[3] for r in want) > 100
+    assert rows_of(forest.near_copies(df, words=5, fingerprints=True, empty_alike=True, hot=hot)) == copies_by_loop(rows, 5, True)
+    assert forest.near_copies(df.limit(0)).count() == 0
+
+
+def test_pairs_of_one_region_stay_linear_where_all_is_one_component():
+    rng = np.random.default_rng(0)
+    sig = np.tile(rng.integers(0, 256, forest.VALUES), (3000, 1)).astype(np.uint8)
+    sig[np.arange(3000), rng.integers(0, forest.VALUES, 3000)] = 7
+    n = np.full(3000, 50)
+    i, j = forest.neighbours(sig, n, 3, 0.8)
+    assert len(i) <= 3 * 3000
+    root = np.zeros(3000, int)
+    root[:4] = [1, 2, 2, 3]
+    i, j = forest.apart(sig, n, root, False, 0.8)
+    assert len(i) <= 4 * 3 and set(i) | set(j) >= {0, 1, 2, 3}
+    i, j = forest.apart(sig, n, root, True, 0.8)
+    assert len(i) == 4 * 2996 + 5  # 4 outside with all of the main one, and the 5 pairs of the 4 that are apart
+
+
 # 12 spelling variants
 
 
