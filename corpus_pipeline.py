@@ -1,9 +1,9 @@
 """Documents to training data: five stages, each over all that the one before kept.
 
 1. quality classifier: rejected documents go
-2. SimHash near-duplicates: one document of each group stays. Groups are by 5-word Jaccard similarity of 0.8 or more, exactly:
-   fingerprints within 4 bits, by the BK-trees of op6, are checked first; as they miss most such pairs, an exact set join
-   adds the rest
+2. SimHash near-duplicates: one document of each group stays. Groups are by 5-word Jaccard similarity of 0.8 or more, confirmed
+   on whole sets: fingerprints within 4 bits, by the BK-trees of op6, are checked first; as they miss most such pairs, the LSH
+   forest of op11 adds the rest
 3. personal data: replaced in the texts
 4. mixing: documents are repeated, or left out, by their source's target
 5. byte-level BPE: texts become token ids
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from modlake.llm import bpe, mixing, pii, ranking, shingles
+from modlake.llm import bpe, forest, mixing, pii, ranking
 from modlake.llm.common import saved, table
 
 
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group. Null, empty and wordless texts are one group; rows that repeat the id kept
     stay; a row without an id stays only if its whole group has none."""
-    return shingles.first_of_each(docs)
+    return forest.first_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
