@@ -2,12 +2,10 @@
 
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from modlake.llm import mixing, pii, ranking, simhash
-from modlake.llm import shingles as shingles_join
+from modlake.llm import forest, mixing, pii, ranking, simhash
 from modlake.llm.common import table
 
 
@@ -97,22 +95,13 @@ def test_near_copies_are_those_of_brute_force(spark, data):
 
     want, low = slow_groups(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in shingles_join.near_copies(df).collect()}
+    got = {r.doc_id: r.component_id for r in forest.near_copies(df, words=5, fingerprints=True, empty_alike=True).collect()}
     assert got == want
     kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, data).collect())
     assert kept == sorted(low) and len(kept) < len(rows) - 30
     assert simhash.near_duplicates(df).select("component_id").distinct().count() != len(kept)  # op6's rule is another
 
 
-def test_sketches_never_hide_a_similar_pair():
-    rng = np.random.default_rng(3)
-    for n in (1, 5, 40, 700, 5000, 70_000):
-        x = np.unique(rng.integers(-(1 << 62), 1 << 62, n))
-        y = np.unique(np.concatenate([x[rng.random(len(x)) < 0.9], rng.integers(-(1 << 62), 1 << 62, n // 8 + 1)]))
-        a, b = shingles_join.sketch_of(x), shingles_join.sketch_of(y)
-        assert shingles_join.differing([a, b], [b, b])[0] <= len(np.setxor1d(x, y)) and shingles_join.differing([a], [a])[0] == 0
-
-
 def test_loose_groups_are_joined(spark):
     """A group whose texts are rarely similar to its first one, and texts far from all, with hot keys."""
     r = random.Random(6)
@@ -125,8 +114,6 @@ def test_loose_groups_are_joined(spark):
         rows.append((k, " ".join(w)))
     want, low = slow_groups(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    hot = shingles_join.HOT
-    for shingles_join.HOT in (hot, 20):
-        assert {x.doc_id: x.component_id for x in shingles_join.near_copies(df).collect()} == want
-    shingles_join.HOT = hot
+    for hot in (forest.HOT, 60):
+        assert {x.doc_id: x.component_id for x in forest.near_copies(df, words=5, hot=hot).collect()} == want
     assert 1 < len(low) < 140
