@@ -1,4 +1,4 @@
-"""Building blocks of the operators: hashed uniforms, global ranks, ordered folds."""
+"""Building blocks of the operators: hashed uniforms, global ranks, recurrences, ordered folds."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -89,35 +90,131 @@ def running_sums(df: DataFrame, key: str, *order: Column | str, **sums: Column)
     return out.select(*[F.col(c) for c in df.columns], *[(F.col(n) - F.col(f"_at_{n}")).alias(n) for n in sums])
 
 
+def changes(col: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before it, from the second on. Nulls are equal to each other, and so are NaNs."""
+    a, b = col.slice(0, max(len(col) - 1, 0)), col.slice(1)
+    if not len(b):
+        return np.zeros(0, bool)
+    if pa.types.is_nested(col.type):
+        return np.array([x != y for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], bool)
+    differ = pc.fill_null(pc.not_equal(a, b), False)
+    if pa.types.is_floating(col.type):
+        differ = pc.and_not(differ, pc.fill_null(pc.and_(pc.is_nan(a), pc.is_nan(b)), False))
+    return pc.or_(differ, pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+
+
+def same_key(a: object, b: object) -> bool:
+    """Whether two keys are one: as Spark groups them, null with null and NaN with NaN."""
+    return a == b or (a != a and b != b)
+
+
+def decayed(df: DataFrame, key: str, order: list[str], x: Column, keep: float, gain: float, first: float, name: str) -> DataFrame:
+    """``df`` with the recurrence y = keep * y + gain * x over each key's rows in order; the first x of a key gives first * x.
+
+    A null x keeps y, and y is null before the first x. Rows are range-partitioned by (key, order), so one key of any share is spread over
+    tasks. In a sorted range each row's map y -> a y + b is composed with those before it, in doubling steps over Arrow
+    batches; what a key brings from the range before is known from one row a range, and is put in when the rows are read again.
+    ``order`` should be unique within a key.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = df.withColumns({"_x": x.cast("double"), "_k": F.col(key)})
+    ranged = wide.repartitionByRange(n, F.col("_k"), *order).sortWithinPartitions("_k", *order).withColumn("_p", F.spark_partition_id())
+    extra = "_n long, _open boolean, _a double, _b double, _c double"
+    out = T.StructType([*[f for f in ranged.schema.fields if f.name != "_x"], *T._parse_datatype_string(extra).fields])
+
+    def composed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a, b, step = a.copy(), b.copy(), 1
+        while step < len(a):
+            b[step:] += a[step:] * b[:-step]
+            a[step:] *= a[:-step].copy()
+            step *= 2
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows, opened = None, 0, True
+        a0, b0, c0 = 1.0, 0.0, None  # the range's first key so far: its map, and its value if nothing came before
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.schema.names
+            keys = batch.column(names.index("_k"))
+            begins = np.concatenate([[rows > 0 and not same_key(last, keys[0].as_py())], changes(keys)])
+            last = keys[-1].as_py()
+            values = batch.column(names.index("_x"))
+            there = values.is_valid().to_numpy(zero_copy_only=False)
+            v = np.nan_to_num(values.fill_null(0.0).to_numpy(zero_copy_only=False), nan=0.0)
+            there &= ~np.isnan(values.fill_null(0.0).to_numpy(zero_copy_only=False))
+            segment = np.cumsum(begins)
+            seen = np.cumsum(there)
+            before = np.repeat((seen - there)[np.flatnonzero(np.concatenate([[True], begins[1:]]))], np.bincount(segment - segment[0]))
+            seeds = there & (seen - before == 1)
+            known = seen - before > 0
+            carried = segment == 0  # the key of the batch before
+            if c0 is not None:
+                seeds &= ~carried
+                known |= carried
+            a, b = np.where(there, keep, 1.0), np.where(there, gain * v, 0.0)
+            a_u, b_u = np.where(seeds, 0.0, a), np.where(seeds, first * v, b)
+            a_u[begins], b_u[begins & ~there] = 0.0, 0.0
+            b_u[0] += a_u[0] * (c0 or 0.0)
+            c = composed(a_u, b_u)[1]
+            own = carried & opened
+            a_s, b_s = composed(a, b + np.concatenate([[a[0] * b0], np.zeros(len(a) - 1)]))
+            more = [pa.array(np.arange(rows + 1, rows + len(a) + 1)), pa.array(own), pa.array(np.where(own, a_s * a0, 0.0)), pa.array(np.where(own, b_s, 0.0)), pa.array(c, mask=~known)]
+            cols = [batch.column(i) for i, f in enumerate(names) if f != "_x"]
+            yield pa.RecordBatch.from_arrays([*cols, *more], [*[f for f in names if f != "_x"], "_n", "_open", "_a", "_b", "_c"])
+            a0, b0, c0 = a_s[-1] * a0, b_s[-1], c[-1] if known[-1] else None
+            rows, opened = rows + len(a), opened and not begins.any()
+
+    done = saved(ranged.mapInArrow(run, out), "decayed")
+    ends = done.groupBy("_p").agg(F.min_by("_k", "_n").alias("head"), F.max_by(F.struct("_k", "_open", "_a", "_b", "_c"), "_n").alias("tail")).orderBy("_p").collect()  # a row for each range
+    brought, before = [], None
+    for r in ends:
+        t = r["tail"]
+        came = before[1] if before is not None and same_key(before[0], r["head"]) else None
+        if came is not None:
+            brought.append((r["_p"], came))
+        before = (t["_k"], t["_a"] * came + t["_b"] if t["_open"] and came is not None else t["_c"])
+    come = df.sparkSession.createDataFrame(brought, "_p int, _y double")
+    put = F.when(F.col("_open") & F.col("_y").isNotNull(), F.col("_a") * F.col("_y") + F.col("_b")).otherwise(F.col("_c"))
+    return done.join(F.broadcast(come), "_p", "left").select(*df.columns, put.alias(name))
+
+
 Step = Callable[[dict, dict], tuple[dict, dict | None]]
 
 
-def ordered_fold(df: DataFrame, key: str, order: list[str], step: Step, init: dict, schema: str) -> DataFrame:
+def ordered_fold(df: DataFrame, key: str, order: list[str], step: Step, init: dict, schema: str, reads: list[str] | None = None) -> DataFrame:
     """A sequential rule over each key's rows in order: ``step(state, row) -> (state, extra columns or None)``.
 
-    None drops the row. ``schema`` names the extra columns. Rows are shuffled by key and sorted in their partition; one
-    small state is carried over Arrow batches, so no key has to fit into memory. The same ``step`` drives the streams.
+    None drops the row. ``schema`` names the extra columns; ``reads`` the columns that the step looks at (all, if unset). Rows are shuffled by
+    key and sorted in their partition; one small state is carried over Arrow batches, so no key has to fit into memory.
+    Columns stay in Arrow: integers of any size and nulls come out as they went in, and null is a key like any other. The same ``step`` drives the
+    streams.
     """
-    extra = T.StructType.fromDDL(schema) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(schema)
+    extra = T._parse_datatype_string(schema)
     out = T.StructType([*df.schema.fields, *extra.fields])
-    names, more = df.columns, [f.name for f in extra.fields]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = object(), dict(init)
-        for frame in frames:
-            keep, cols = [], {n: [] for n in more}
-            for i, values in enumerate(frame.itertuples(index=False, name=None)):
-                row = dict(zip(names, values, strict=True))
-                if row[key] != now:
-                    now, state = row[key], dict(init)
-                state, new = step(state, row)
+    kinds = {f.name: to_arrow_type(f.dataType) for f in extra.fields}
+    names = list(reads if reads is not None else df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, begun = None, dict(init), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(batch.schema.get_field_index(key))
+            begins = np.concatenate([[not begun or not same_key(now, keys[0].as_py())], changes(keys)])
+            now, begun = keys[-1].as_py(), True
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
+            keep, more = [], {n: [] for n in kinds}
+            for i, values in enumerate(zip(*columns, strict=True)):
+                if begins[i]:
+                    state = dict(init)
+                state, new = step(state, dict(zip(names, values, strict=True)))
                 if new is not None:
                     keep.append(i)
-                    for n in more:
-                        cols[n].append(new[n])
-            part = frame.iloc[keep].reset_index(drop=True)
-            for n in more:
-                part[n] = pd.Series(cols[n], dtype=object)
-            yield part
-
-    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, out)
+                    for n in kinds:
+                        more[n].append(new[n])
+            kept = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(more[n], k) for n, k in kinds.items()]], [*batch.schema.names, *kinds])
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, out)

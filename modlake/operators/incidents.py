@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modlake.core import ordered_fold
+from modlake.core import decayed, ordered_fold
 
 
 def merge_incidents(df: DataFrame, key: str, t: str, escalate: str, gap: float, order: list[str] | None = None) -> DataFrame:
@@ -57,12 +57,14 @@ def ema_step(score: str, rate: float, first_is_seed: bool = True, out: str = "sm
 
 
 def ema_risk(df: DataFrame, key: str, order: list[str], score: str, rate: float = 0.3) -> DataFrame:
-    return ordered_fold(df, key, order, ema_step(score, rate), {}, "smoothed double")
+    """``df`` with smoothed: seeded with a stream's first score. A null score keeps the value. Long streams are spread over tasks."""
+    return decayed(df, key, order, F.col(score), 1 - rate, rate, 1.0, "smoothed")
 
 
 def ema_display(df: DataFrame, key: str, order: list[str], acoustic: str, text: str, rate: float = 0.4) -> DataFrame:
+    """``df`` with display: the higher of two scores (null is 0), smoothed from 0 on. Long streams are spread over tasks."""
     base = F.greatest(F.coalesce(F.col(acoustic), F.lit(0.0)), F.coalesce(F.col(text), F.lit(0.0)))
-    return ordered_fold(df.withColumn("_base", base), key, order, ema_step("_base", rate, False, "display"), {}, "display double").drop("_base")
+    return decayed(df, key, order, base, 1 - rate, rate, rate, "display")
 
 
 def risk_level(x: Column | str, warn: float, block: float) -> Column:
@@ -96,7 +98,7 @@ def duty_step(t: str, every: float, gates: str | None = None):
 
 
 def duty_cycle(df: DataFrame, key: str, order: list[str], t: str, every: float, gates: str | None = None) -> DataFrame:
-    return ordered_fold(df, key, order, duty_step(t, every, gates), {}, "kept boolean").drop("kept")
+    return ordered_fold(df, key, order, duty_step(t, every, gates), {}, "kept boolean", [t, *([gates] if gates else [])]).drop("kept")
 
 
 def adaptive_step(t: str, risk: str, warn: float, calm: float = 5.0, alert: float = 2.5):
@@ -111,7 +113,7 @@ def adaptive_step(t: str, risk: str, warn: float, calm: float = 5.0, alert: floa
 
 
 def adaptive_windows(df: DataFrame, key: str, t: str, risk: str, warn: float, calm: float = 5.0, alert: float = 2.5) -> DataFrame:
-    return ordered_fold(df, key, [t], adaptive_step(t, risk, warn, calm, alert), {}, "stride double")
+    return ordered_fold(df, key, [t], adaptive_step(t, risk, warn, calm, alert), {}, "stride double", [t, risk])
 
 
 def language_step(p: str, voiced: str, accept: float = 0.5, evidence: float = 0.15, enter: int = 2, switch: int = 3, least_voiced: float = 2.0):
@@ -139,7 +141,7 @@ def language_step(p: str, voiced: str, accept: float = 0.5, evidence: float = 0.
 
 
 def language_policy(df: DataFrame, key: str, order: list[str], p: str, voiced: str, **how) -> DataFrame:
-    return ordered_fold(df, key, order, language_step(p, voiced, **how), {}, "decision string, selected boolean, mode string, streak int")
+    return ordered_fold(df, key, order, language_step(p, voiced, **how), {}, "decision string, selected boolean, mode string, streak int", [p, voiced])
 
 
 def new_audio_slice(df: DataFrame, key: str, t: str, window: float = 10.0, least: float = 4.0) -> DataFrame:

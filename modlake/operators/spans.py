@@ -72,7 +72,7 @@ def group_step(start: str, end: str, max_gap: float, cut: float, flush: float):
 def group_spans(df: DataFrame, key: str, start: str = "start", end: str = "end", max_gap: float = 1.5, cut: float = 5.0, flush: float = 2.0) -> DataFrame:
     """key, group, start, end, voiced, spans (pieces), ready (voiced >= flush): spans packed in order. Empty and null spans go."""
     slim = df.select(key, start, end)
-    pieces = ordered_fold(slim, key, [start, end], group_step(start, end, max_gap, cut, flush), {}, "groups array<int>, starts array<double>, ends array<double>")
+    pieces = ordered_fold(slim, key, [start, end], group_step(start, end, max_gap, cut, flush), {}, "groups array<int>, starts array<double>, ends array<double>", [start, end])
     x = pieces.select(key, F.explode(F.arrays_zip("groups", "starts", "ends")).alias("x")).select(key, F.col("x.groups").alias("group"), F.col("x.starts").alias("s"), F.col("x.ends").alias("e"))
     out = x.groupBy(key, "group").agg(F.min("s").alias("start"), F.max("e").alias("end"), F.sum(F.col("e") - F.col("s")).alias("voiced"), F.count("*").alias("spans"))
     return out.withColumn("ready", F.col("voiced") >= flush - 1e-9)
@@ -83,12 +83,28 @@ def span_seconds(df: DataFrame, key: str, rate: float = 1.0) -> DataFrame:
 
 
 def spans_in_windows(spans: DataFrame, windows: DataFrame, key: str, width: float) -> DataFrame:
-    """Spans with each window (key, w_start, w_end, none longer than ``width``) that they overlap: equi-join on buckets of that width."""
-    b = lambda c: F.floor(F.col(c) / width)
-    s = spans.withColumn("_b", F.explode(F.sequence(b("start"), F.floor((F.col("end") - 1e-9) / width))))
-    v = windows.withColumn("_b", F.explode(F.sequence(b("w_start"), F.floor((F.col("w_end") - 1e-9) / width))))
-    hit = s.join(v, [key, "_b"]).filter("start < w_end and w_start < end")
-    return hit.drop("_b").dropDuplicates([key, "start", "end", "w_start", "w_end"])
+    """Spans with each window (key, w_start, w_end) that they overlap, as often as rows repeat: an equi-join on dyadic buckets.
+
+    A row's level is the smallest L at which a bucket of ``width`` times 2^L is as long as the row, so it touches a few buckets of that
+    size, however long it is. A pair meets at the larger of its two levels, in the bucket where the later of the two starts: once.
+    A row stands at its own level and at the larger ones that the other table has, at most some 60. Null ends meet nothing.
+    """
+    level = lambda a, z: F.greatest(F.ceil(F.log2(F.abs(F.col(z) - F.col(a)) / width)), F.lit(0)).cast("int")
+    s, v = spans.withColumn("_l", level("start", "end")), windows.withColumn("_l", level("w_start", "w_end"))
+    levels = [sorted(r[0] for r in x.select("_l").filter("_l is not null").distinct().collect()) for x in (s, v)]
+
+    def dealt(x: DataFrame, a: str, z: str, others: list[int], own: str) -> DataFrame:
+        up = F.filter(F.lit(others).cast("array<int>"), lambda n: n > F.col("_l")) if others else F.lit([]).cast("array<int>")
+        x = x.withColumn("_at", F.explode(F.concat(F.array("_l"), up)))
+        size = F.lit(width) * F.pow(F.lit(2.0), F.col("_at"))
+        b = lambda c: F.floor(F.col(c) / size)
+        return x.withColumn("_b", F.explode(F.sequence(b(a), b(z)))).withColumnRenamed("_l", own)
+
+    size = F.lit(width) * F.pow(F.lit(2.0), F.col("_at"))
+    first = F.floor(F.greatest("start", "w_start") / size)
+    pairs = dealt(s, "start", "end", levels[1], "_ls").join(dealt(v, "w_start", "w_end", levels[0], "_lv"), [key, "_at", "_b"])
+    hit = pairs.filter((F.col("start") < F.col("w_end")) & (F.col("w_start") < F.col("end")) & (F.col("_at") == F.greatest("_ls", "_lv")) & (F.col("_b") == first))
+    return hit.drop("_b", "_at", "_ls", "_lv")
 
 
 def voice_activity(frames: DataFrame, samples: str, floor_db: float = -50.0) -> DataFrame:

@@ -98,7 +98,7 @@ def adaptive_windows(spark, d):
     from modlake.core import ordered_fold
 
     x = windows(spark, d).drop("props")
-    return ordered_fold(x, "user_id", ["ts", "event_id"], I.adaptive_step("t", "score", 0.2, 20000.0, 5000.0), {}, "stride double").select("user_id", "event_id", "stride")
+    return ordered_fold(x, "user_id", ["ts", "event_id"], I.adaptive_step("t", "score", 0.2, 20000.0, 5000.0), {}, "stride double", ["t", "score"]).select("user_id", "event_id", "stride")
 
 
 @query(_fold(
@@ -195,7 +195,7 @@ def group_spans(spark, d):
 @query("""WITH s AS (SELECT user_id, epoch_us(ts) / 1000000 - 1704067200 AS s, epoch_us(ts) / 1000000 - 1704067200 + value * 600 AS e FROM events),
 b AS (SELECT user_id, floor(min(s) / 43200)::BIGINT AS lo, floor(max(s) / 43200)::BIGINT AS hi FROM s GROUP BY 1),
 w AS (SELECT user_id, unnest(range(lo, hi + 1)) * 43200 AS ws FROM b)
-SELECT user_id, ws::BIGINT AS w_start, count(*) AS spans FROM (SELECT DISTINCT user_id, ws, s, e FROM s JOIN w USING (user_id) WHERE e > s AND s < ws + 43200 AND ws < e) GROUP BY 1, 2""")
+SELECT user_id, ws::BIGINT AS w_start, count(*) AS spans FROM s JOIN w USING (user_id) WHERE e > s AND s < ws + 43200 AND ws < e GROUP BY 1, 2""")
 def spans_in_windows(spark, d):
     """Spans in each half day from a user's first event to the last."""
     at = F.floor((F.col("t") - 1704067200) / 43200)

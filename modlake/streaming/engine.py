@@ -39,7 +39,7 @@ def moderate(df: DataFrame, key: str, order: list[str], t: str = "t", rms_least:
     gates = F.coalesce((F.col("rms") >= rms_least) & F.col("speech"), F.lit(False))
     usable = (F.trim(F.coalesce("transcript", F.lit(""))) != "") & ~degenerate_text("transcript")
     x = df.withColumns({"gates": gates, "usable": usable})
-    x = ordered_fold(x, key, order, text_step(t, every, rate), {}, "text_used double, heard boolean, risk double")
+    x = ordered_fold(x, key, order, text_step(t, every, rate), {}, "text_used double, heard boolean, risk double", [t, "gates", "usable", "text", "acoustic"])
     d = cascade_decision(F.lit(None), F.col("acoustic"), F.col("text_used"), limits, gate_on=False)
     x = x.withColumn("d", d).withColumn("reasons", F.col("d.reasons")).withColumn("escalate", F.col("d.escalate"))
     x = x.withColumn("level", display_level(F.col("acoustic"), F.col("escalate"), limits["acoustic"])).drop("d", "gates", "usable")
