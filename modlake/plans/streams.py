@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from modlake.core import shared_dir
 from modlake.functions import labels as L
 from modlake.operators import incidents as I
 from modlake.operators import spans as S
 from modlake.plans.base import WINDOWS, query, r6, windows
 from modlake.streaming import engine as E
+from modlake.streaming import live
 
 GAP = 3600.0 * 6
 _INCIDENTS = f"""{WINDOWS}, a AS (
@@ -215,23 +219,74 @@ a AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY rn) AS prev, last_val
 c AS (SELECT *, CASE WHEN esc THEN sum(CASE WHEN esc AND (before IS NULL OR (prev > before AND prev - before >= {GAP})) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY rn ROWS UNBOUNDED PRECEDING) END AS incident FROM a)"""
 
 
-def _engine(spark, d):
+def _heard(spark, d):
     w, i = windows(spark, d).drop("props"), F.col("event_id")
     said = F.when(i % 5 == 0, "").when(i % 7 == 0, "go go go go go go").otherwise(F.concat(F.lit("we heard event "), i))
-    x = w.select("user_id", "event_id", "ts", "t", F.col("score").alias("acoustic"), (F.col("value") % 1).alias("text"), said.alias("transcript"), F.col("value").alias("rms"), (F.col("event_type") != "view").alias("speech"))
-    return E.moderate(x, "user_id", ["ts", "event_id"], "t", 2.0, 14400.0, 0.4, {"acoustic": 0.6, "text": 0.7}, GAP)
+    return w.select("user_id", "event_id", "ts", "t", F.col("score").alias("acoustic"), (F.col("value") % 1).alias("text"), said.alias("transcript"), F.col("value").alias("rms"), (F.col("event_type") != "view").alias("speech"))
+
+
+def _engine(spark, d):
+    return E.moderate(_heard(spark, d), "user_id", ["ts", "event_id"], "t", 2.0, 14400.0, 0.4, {"acoustic": 0.6, "text": 0.7}, GAP)
+
+
+_MODERATED = _ENGINE + """ SELECT user_id, event_id, round(used, 6) AS text_used, round(risk, 6) AS risk, concat_ws('+', CASE WHEN score >= .6 THEN 'acoustic' END, CASE WHEN used >= .7 THEN 'text' END) AS reasons,
+  CASE WHEN esc THEN 'alert' WHEN score >= .36 THEN 'watch' ELSE 'ok' END AS level, incident::BIGINT AS incident FROM c"""
+_ENDED = _ENGINE + " SELECT user_id, incident::BIGINT AS incident, round(min(t), 6) AS start, round(max(t) + 10, 6) AS \"end\", count(*) AS windows, round(max(score), 6) AS peak_acoustic, round(max(used), 6) AS peak_text FROM c WHERE incident IS NOT NULL GROUP BY 1, 2"
+
+
+def _moderated(x):
+    return x.select("user_id", "event_id", r6("text_used").alias("text_used"), r6("risk").alias("risk"), F.array_join("reasons", "+").alias("reasons"), "level", F.col("incident").cast("long").alias("incident"))
+
+
+def _ended(x):
+    return x.select("user_id", F.col("incident").cast("long").alias("incident"), *[r6(c).alias(c) for c in ("start", "end")], "windows", r6("peak_acoustic").alias("peak_acoustic"), r6("peak_text").alias("peak_text"))
 
 
-@query(_ENGINE + """ SELECT user_id, event_id, round(used, 6) AS text_used, round(risk, 6) AS risk, concat_ws('+', CASE WHEN score >= .6 THEN 'acoustic' END, CASE WHEN used >= .7 THEN 'text' END) AS reasons,
-  CASE WHEN esc THEN 'alert' WHEN score >= .36 THEN 'watch' ELSE 'ok' END AS level, incident::BIGINT AS incident FROM c""")
+@query(_MODERATED)
 def moderate_stream(spark, d):
     """Every window through gates, thresholds, smoothing and incident numbers."""
-    x = _engine(spark, d)
-    return x.select("user_id", "event_id", r6("text_used").alias("text_used"), r6("risk").alias("risk"), F.array_join("reasons", "+").alias("reasons"), "level", F.col("incident").cast("long").alias("incident"))
+    return _moderated(_engine(spark, d))
 
 
-@query(_ENGINE + " SELECT user_id, incident::BIGINT AS incident, round(min(t), 6) AS start, round(max(t) + 10, 6) AS \"end\", count(*) AS windows, round(max(score), 6) AS peak_acoustic, round(max(used), 6) AS peak_text FROM c WHERE incident IS NOT NULL GROUP BY 1, 2")
+@query(_ENDED)
 def moderate_incidents(spark, d):
     """The incidents that come out of the same engine."""
-    x = E.incidents(_engine(spark, d), "user_id")
-    return x.select("user_id", F.col("incident").cast("long").alias("incident"), *[r6(c).alias(c) for c in ("start", "end")], "windows", r6("peak_acoustic").alias("peak_acoustic"), r6("peak_text").alias("peak_text"))
+    return _ended(E.incidents(_engine(spark, d), "user_id"))
+
+
+#: A silence that no stream of the tables has; a row past it ends them all.
+SILENCE = 86400.0 * 3650
+
+
+def _live(spark, d):
+    """The same windows as a stream: three parts that arrive one after the other, and a last row that moves the watermark past all of them.
+
+    Each run stops when it has read what is there, and the next one goes on from its checkpoint.
+    """
+    x = _heard(spark, d).withColumn("ts", F.col("ts").cast("timestamp")).withColumn("end", F.lit(False))
+    at = f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
+    landing = f"{at}/landing"
+    low, high = x.agg(F.min("ts"), F.max("ts")).first()
+    parts = [x.filter(F.least(F.floor((F.col("t") - F.lit(low.timestamp())) / max((high - low).total_seconds() / 3, 1.0)), F.lit(2)) == k) for k in range(3)] if high else []
+    last = x.limit(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in x.schema.fields])
+    if high:
+        after = spark.range(1).select(F.timestamp_seconds(F.lit(high.timestamp() + SILENCE + 86400.0)).alias("ts"), F.lit(True).alias("end"))
+        last = after.select(*[F.col(f.name) if f.name in ("ts", "end") else F.lit(None).cast(f.dataType).alias(f.name) for f in x.schema.fields])
+    for part in (*parts, last):
+        part.write.mode("append").parquet(landing)
+        stream = spark.readStream.schema(x.schema).parquet(landing)
+        out = live.moderate(stream, "user_id", ["ts", "event_id"], "ts", "t", "1 hour", 2.0, 14400.0, 0.4, {"acoustic": 0.6, "text": 0.7}, GAP, idle=SILENCE)
+        live.run(spark, out, f"{at}/out", f"{at}/checkpoint")
+    return spark.read.schema(out.schema).parquet(f"{at}/out")
+
+
+@query(_MODERATED)
+def moderate_live(spark, d):
+    """The windows of moderate_stream by the stateful stream, stopped and started again."""
+    return _moderated(live.windows(_live(spark, d)))
+
+
+@query(_ENDED)
+def incidents_live(spark, d):
+    """The incidents of moderate_incidents as the stream closes them."""
+    return _ended(live.incidents(_live(spark, d), "user_id"))

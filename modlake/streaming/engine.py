@@ -29,6 +29,13 @@ def text_step(t: str, every: float, rate: float):
     return step
 
 
+def with_gates(df: DataFrame, rms_least: float) -> DataFrame:
+    """``df`` with gates (loud enough, and speech) and usable (a transcript that isn't blank or a loop). Null fails a gate."""
+    gates = F.coalesce((F.col("rms") >= rms_least) & F.col("speech"), F.lit(False))
+    usable = (F.trim(F.coalesce("transcript", F.lit(""))) != "") & ~degenerate_text("transcript")
+    return df.withColumns({"gates": gates, "usable": usable})
+
+
 def moderate(df: DataFrame, key: str, order: list[str], t: str = "t", rms_least: float = 0.01, every: float = 4.0, rate: float = 0.4, thresholds: dict[str, float] | None = None, gap: float = 6.0) -> DataFrame:
     """``df`` (key, t, acoustic, text, transcript, rms, speech) with text_used, heard, risk, reasons, escalate, level and incident.
 
@@ -36,9 +43,7 @@ def moderate(df: DataFrame, key: str, order: list[str], t: str = "t", rms_least:
     ``incident`` numbers a stream's escalating windows; rows that don't escalate have null. Null scores count as not run.
     """
     limits = {"gate": 0.0, **(thresholds or {"acoustic": 0.5, "text": 0.5})}
-    gates = F.coalesce((F.col("rms") >= rms_least) & F.col("speech"), F.lit(False))
-    usable = (F.trim(F.coalesce("transcript", F.lit(""))) != "") & ~degenerate_text("transcript")
-    x = df.withColumns({"gates": gates, "usable": usable})
+    x = with_gates(df, rms_least)
     x = ordered_fold(x, key, order, text_step(t, every, rate), {}, "text_used double, heard boolean, risk double", [t, "gates", "usable", "text", "acoustic"])
     d = cascade_decision(F.lit(None), F.col("acoustic"), F.col("text_used"), limits, gate_on=False)
     x = x.withColumn("d", d).withColumn("reasons", F.col("d.reasons")).withColumn("escalate", F.col("d.escalate"))
