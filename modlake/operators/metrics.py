@@ -6,10 +6,7 @@ id), AUROC averages them, thresholds and recall at a false-positive rate move ov
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,11 +86,37 @@ def group_recall(df: DataFrame, slices: list[str], threshold: float, y: str = "y
     return df.groupBy(*slices).agg(F.avg(F.when(pos, hit)).alias("recall"), F.avg(F.when(~pos, hit)).alias("fpr"), F.count("*").alias("n"))
 
 
+def bin_of(score: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts a score reaches, by halving: a row's work goes with the logarithm of their number."""
+    if not cuts:
+        return F.lit(0)
+
+    def among(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high) // 2
+        return F.when(score >= F.lit(cuts[mid]), among(mid + 1, high)).otherwise(among(low, mid))
+
+    return among(0, len(cuts))
+
+
 def threshold_sweep(df: DataFrame, thresholds: list[float], key: str = KEY, y: str = "y", score: str = "score", budget: float = 0.02) -> DataFrame:
-    """One row for each class and threshold, with ``chosen``: the lowest within the false-positive budget, else the nearest to it."""
-    each = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    hit, pos = F.col(score) >= F.col("threshold"), F.col(y) == 1
-    table = each.groupBy(key, "threshold").agg(F.avg(F.when(pos, hit.cast("double"))).alias("recall"), F.avg(F.when(~pos, hit.cast("double"))).alias("fpr"), F.count(F.when(hit & pos, 1)).alias("tp"), F.count(F.when(hit & ~pos, 1)).alias("fp"))
+    """One row for each class and threshold, with ``chosen``: the lowest within the false-positive budget, else the nearest to it.
+
+    Each row falls into one bin between thresholds; a threshold's counts are those of its bin and all above. Repeated thresholds are one;
+    rows without a score or label don't count, and a class of only such rows has null rates.
+    """
+    cuts = sorted(set(map(float, thresholds)))
+    rows = df.select(F.col(key).alias("_key"), F.when(F.col(score).isNotNull(), bin_of(F.col(score), cuts)).alias("bin"), (F.col(y) == 1).alias("pos"))
+    bins = rows.groupBy("_key", "bin").agg(F.count(F.when(F.col("pos"), 1)).alias("p"), F.count(F.when(~F.col("pos"), 1)).alias("n"))
+    grid = bins.select("_key", F.posexplode(F.array(*map(F.lit, cuts))).alias("bin", "threshold")).distinct()
+    every = grid.withColumn("bin", F.col("bin") + 1).unionByName(bins.filter("bin = 0").select("_key", "bin", F.lit(None).cast("double").alias("threshold")))
+    table = every.join(bins.withColumnRenamed("_key", "_k"), F.col("_key").eqNullSafe(F.col("_k")) & (every["bin"] == bins["bin"]), "left").select("_key", every["bin"], "threshold", F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("n", F.lit(0)).alias("n"))
+    own = Window.partitionBy("_key")  # a row for each threshold
+    up = own.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
+    table = table.select("_key", "threshold", F.sum("p").over(up).alias("tp"), F.sum("n").over(up).alias("fp"), F.sum("p").over(own).alias("P"), F.sum("n").over(own).alias("N"))
+    rate = lambda x, of: F.col(x) / F.nullif(F.col(of), F.lit(0))
+    table = table.filter("threshold is not null").select(F.col("_key").alias(key), "threshold", rate("tp", "P").alias("recall"), rate("fp", "N").alias("fpr"), "tp", "fp")
     within = F.coalesce(F.col("fpr"), F.lit(0.0)) <= budget
     order = Window.partitionBy(key).orderBy(F.when(within, 0).otherwise(1), F.when(within, F.col("threshold")).otherwise(F.abs(F.col("fpr") - budget)), "threshold")
     return table.withColumn("chosen", F.row_number().over(order) == 1)
@@ -154,35 +177,55 @@ def report_json(df: DataFrame, name: str = "report") -> DataFrame:
     return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias(name))
 
 
-def bootstrap_compare(df: DataFrame, replicates: int = 2000, bins: int = 200, seed: int = 0, y: str = "y", a: str = "score", b: str = "score_b") -> DataFrame:
+#: Counts up to which a Poisson weight is drawn from its exact distribution.
+EXACT = 30
+
+
+def poisson_cdf(n: Column) -> Column:
+    """P(X <= k) for k = 0, 1, ... of a Poisson number around n, as far as 52 bits of a uniform reach."""
+    n = n.cast("double")
+    first = F.exp(-n)
+    steps = F.sequence(F.lit(1), F.ceil(n + 9 * F.sqrt(n) + 20).cast("int"))
+    start = F.struct(first.alias("p"), first.alias("c"), F.array(first).alias("all"))
+    grown = F.aggregate(steps, start, lambda s, k: F.struct((s["p"] * n / k).alias("p"), (s["c"] + s["p"] * n / k).alias("c"), F.concat(s["all"], F.array(s["c"] + s["p"] * n / k)).alias("all")))
+    return grown["all"]
+
+
+def poisson_weight(n: Column, cdf: Column, digest: Column) -> Column:
+    """A Poisson number around n from an md5: the inverse of ``cdf`` (for n up to ``EXACT``), else a normal one with its skew.
+
+    Two uniforms are the first 13 and the next 13 hex digits, so other engines can repeat it.
+    """
+    u, v = (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") / F.lit(float(1 << 52)) for at in (1, 14))
+    z = F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * F.pi() * v)
+    large = F.greatest(F.floor(n + F.sqrt(n) * z + (z * z - 1) / 6 + 0.5), F.lit(0))
+    return F.when(n <= EXACT, F.size(F.filter(cdf, lambda c: c <= u))).otherwise(large).cast("long")
+
+
+def bootstrap_compare(df: DataFrame, replicates: int = 2000, bins: int = 100, seed: int = 0, y: str = "y", a: str = "score", b: str = "score_b") -> DataFrame:
     """auroc_a, auroc_b, delta, low, high, p_better, significant: paired Poisson bootstrap over rows.
 
-    The three first are exact. For the resamples scores go into ``bins`` bins by their quantiles, so that range and skew
-    don't matter; rows of one label and one pair of bins are a cell. The weights of a cell's rows sum up to a Poisson
-    number around its count, so replicates draw from the at most 2 bins^2 cells and not from the rows. Replicates with
-    one kind only are skipped. Rows with a null label or score are left out; nulls where a kind is missing.
+    The three first are exact. For the resamples scores go into ``bins`` bins by the share of rows below them, so that range
+    and skew don't matter; rows of one label and one pair of bins are a cell. The weights of a cell's rows sum up to a Poisson
+    number around its count, drawn from an md5 of seed, replicate and cell: replicates draw from the at most 2 bins^2 cells (which are
+    broadcast) and not from the rows, and repeat anywhere. Replicates with one kind only are skipped. Rows with a null label or score
+    are left out; nulls where a kind is missing.
     """
-    rows = saved(df.select(F.col(y).cast("int").alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna(), "pairs")
-    cuts = rows.agg(*[F.percentile_approx(c, F.array(*[F.lit(i / bins) for i in range(1, bins)]), F.lit(20 * bins)) for c in ("a", "b")]).first()
-    at = lambda c, xs: F.size(F.filter(F.array(*map(F.lit, sorted(set(xs or [])))).cast("array<double>"), lambda x: x <= F.col(c)))
-    cells = rows.groupBy("y", at("a", cuts[0]).alias("a"), at("b", cuts[1]).alias("b")).agg(F.count("*").alias("n")).orderBy("y", "a", "b").toPandas()
-    kind, n = cells["y"].to_numpy() == 1, cells["n"].to_numpy()
-    bin_of = [cells[c].to_numpy() for c in ("a", "b")]
-
-    def area(w: np.ndarray, at: np.ndarray) -> float:
-        pos, neg = (np.bincount(at[k], w[k], bins + 1) for k in (kind, ~kind))
-        return float((pos * (np.cumsum(neg) - neg / 2)).sum() / (pos.sum() * neg.sum()))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = []
-            for r in f["id"]:
-                w = np.random.Generator(np.random.Philox(key=np.array([seed, r], np.uint64))).poisson(n).astype(float)
-                if w[kind].any() and w[~kind].any():
-                    out.append((int(r), area(w, bin_of[1]) - area(w, bin_of[0])))
-            yield pd.DataFrame(out, columns=["replicate", "d"]).astype({"replicate": "int64", "d": "float64"})
-
-    drawn = df.sparkSession.range(0, replicates, 1, min(replicates, 64)).mapInPandas(run, "replicate long, d double")
+    rows = saved(df.select((F.col(y) == 1).cast("int").alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna(), "pairs")
+    n = rows.count()
+    cells = rows
+    for c in "ab":
+        each = global_rank(rows.groupBy(c).agg(F.count("*").alias("own")), c, name="_rank", sums={"upto": F.col("own")})
+        cells = cells.join(each.select(c, F.floor(F.lit(bins) * (F.col("upto") - F.col("own")) / F.lit(n)).cast("int").alias(f"{c}_bin")), c)
+    cells = saved(cells.groupBy("y", "a_bin", "b_bin").agg(F.count("*").alias("n")), "cells")
+    drawn = df.sparkSession.range(replicates).join(F.broadcast(cells.withColumn("cdf", F.when(F.col("n") <= EXACT, poisson_cdf(F.col("n"))))))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), F.col("y").cast("string"), F.col("a_bin").cast("string"), F.col("b_bin").cast("string")))
+    drawn = drawn.select("id", "y", "a_bin", "b_bin", poisson_weight(F.col("n"), F.col("cdf"), digest).alias("w")).filter("w > 0")
+    sided = drawn.select("id", "y", "w", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a_bin").alias("bin")), F.struct(F.lit("b").alias("side"), F.col("b_bin").alias("bin")))).alias("x"))
+    binned = sided.groupBy("id", "x.side", "x.bin").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
+    below = F.coalesce(F.sum("neg").over(Window.partitionBy("id", "side").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each bin
+    areas = binned.withColumn("below", below).groupBy("id").agg(_on("a").alias("a"), _on("b").alias("b"))
+    drawn = areas.select((F.col("b") - F.col("a")).alias("d")).filter("d is not null")
     spread = drawn.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") > 0).cast("double")).alias("p_better"))
     both = rows.select(F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))).alias(KEY, "score"), "y")
     exact = auroc(both).agg(*[F.max(F.when(F.col(KEY) == k, F.col("auroc"))).alias(f"auroc_{k}") for k in "ab"])
@@ -190,14 +233,44 @@ def bootstrap_compare(df: DataFrame, replicates: int = 2000, bins: int = 200, se
     return out.select("auroc_a", "auroc_b", (F.col("auroc_b") - F.col("auroc_a")).alias("delta"), "low", "high", "p_better", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
 
 
-def fit_risk(df: DataFrame, features: tuple[str, str] = ("weighted_max", "weighted_sum"), y: str = "y") -> dict:
-    """Logistic regression of any-harm on the two risk features: a, b, c and the fit's AUROC."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
+def _on(side: str) -> Column:
+    """The area of one side from bins with pos, neg and the negatives below; null where a kind is missing."""
+    own = lambda c: F.sum(F.when(F.col("side") == side, c))
+    return own(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(own(F.col("pos")) * own(F.col("neg")), F.lit(0))
 
-    rows = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.select(*features, F.col(y).cast("double").alias("_y")))
-    m = LogisticRegression(featuresCol="_x", labelCol="_y", regParam=0.0, maxIter=100).fit(rows)
-    return {"a": float(m.coefficients[0]), "b": float(m.coefficients[1]), "c": float(m.intercept), "auroc": float(m.summary.areaUnderROC)}
+
+#: Newton steps at most, and the change of a coefficient that ends them.
+STEPS, SETTLED = 25, 1e-10
+
+
+def fit_risk(df: DataFrame, features: tuple[str, str] = ("weighted_max", "weighted_sum"), y: str = "y", steps: int = STEPS) -> dict:
+    """Logistic regression of any-harm on the two risk features: a, b, c and the fit's AUROC.
+
+    Each Newton step is one aggregate of nine sums over the rows, which Spark combines before anything is sent; the driver
+    solves three equations. Rows with a null are left out. Where the labels can be told apart fully, coefficients have
+    no finite best value and are those of the last step that the equations still allow. Empty input has nulls.
+    """
+    rows = saved(df.select(*[F.col(f).cast("double").alias(k) for f, k in zip(features, "uv", strict=True)], F.col(y).cast("double").alias("y")).dropna(), "features")
+    w = np.zeros(3)
+    one = [F.col("u"), F.col("v"), F.lit(1.0)]
+    for _ in range(steps):
+        z = sum((F.lit(float(k)) * x for k, x in zip(w, one, strict=True)), F.lit(0.0))
+        p = 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))
+        sums = [F.sum((F.col("y") - p) * x) for x in one] + [F.sum(p * (1 - p) * one[i] * one[j]) for i in range(3) for j in range(i, 3)]
+        got = rows.agg(*[x.alias(f"s{i}") for i, x in enumerate(sums)]).first()
+        if got[0] is None:
+            return dict.fromkeys(("a", "b", "c", "auroc"))
+        h = np.zeros((3, 3))
+        h[np.triu_indices(3)] = got[3:]
+        h = h + np.triu(h, 1).T
+        if abs(np.linalg.det(h)) < 1e-12 * max(np.abs(h).max(), 1e-300) ** 3:
+            break
+        step = np.linalg.solve(h, np.array(got[:3], float))
+        w = w + step
+        if np.abs(step).max() < SETTLED:
+            break
+    scored = rows.select(F.lit(0).alias(KEY), F.col("y").cast("int").alias("y"), (F.lit(float(w[0])) * F.col("u") + F.lit(float(w[1])) * F.col("v") + F.lit(float(w[2]))).alias("score"))
+    return {"a": float(w[0]), "b": float(w[1]), "c": float(w[2]), "auroc": auroc(scored).first()["auroc"]}
 
 
 def _compared(df: DataFrame, reference: str, hypothesis: str, *keep: Column) -> DataFrame:

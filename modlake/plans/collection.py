@@ -101,6 +101,13 @@ def assert_source_disjoint(spark, d):
     return V.leaks(table(spark, d, "documents"), "source", "lang").select("source", F.array_join("splits", ",").alias("splits"))
 
 
+@query("SELECT count(*) AS n, sum(quality)::BIGINT AS quality FROM labels")
+def assert_clip_disjoint(spark, d):
+    """All labelled clips, each in one split only: the check raises if one stands in two."""
+    x = table(spark, d, "labels").withColumn("split", F.when(F.col("doc_id") % 10 < 7, "train").otherwise("test"))
+    return V.assert_disjoint(x, "doc_id").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def missing_artifacts(spark, d):
     return V.missing_artifacts(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modlake.functions import labels as L
+from modlake.functions import terms as M
 from modlake.functions import text as X
 from modlake.operators import collections as C
 from modlake.operators import incidents as I
@@ -297,9 +298,49 @@ def fuzzy_terms(spark, d):
     return t.select("conv_id", "turn", X.fuzzy_terms(F.col("text"), ["thorea", "lichen", "andthe"]).alias("f")).filter("size(f) > 0").select("conv_id", "turn", F.array_join(F.transform("f", lambda x: x["term"]), ",").alias("terms"))
 
 
+#: Each letter as a Hangul syllable, so that the turns are Korean script: fixed values, neighbours differ in one of the three units.
+_SYLLABLES = "가각간나낙난다닥단라락란마막만바박반사삭산아악안자작"
+_KOREAN = [w.translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", _SYLLABLES)) for w in ("thorea", "lichen", "andthe", "tion", "there", "would", "with", "which")]
+
+
+def _units_sql(c: str) -> str:
+    """The three units of each syllable, one printable ASCII character each, so that edits of bytes are edits of units."""
+    return f"list_reduce(list_transform(string_split({c}, ''), lambda s: chr((33 + (unicode(s) - 44032) // 588)::INT) || chr((53 + (unicode(s) - 44032) // 28 % 21)::INT) || chr((75 + (unicode(s) - 44032) % 28)::INT)), lambda x, y: x || y)"
+
+
+def _near_korean(term: str) -> str:
+    n = len(term)
+    d = lambda k: f"levenshtein({_units_sql(f'substr(f, i::INT, {k})')}, {_units_sql(repr(term))})"
+    hit = " OR ".join(f"(i + {k} - 1 <= length(f) AND {d(k)} <= 1)" for k in (n - 1, n, n + 1))
+    return f"CASE WHEN NOT contains(f, '{term}') AND len(list_filter(range(1, length(f) + 1), lambda i: (unicode(f[i]) - 44032) // 588 = {(ord(term[0]) - 44032) // 588} AND ({hit}))) > 0 THEN '{term}' END"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', '{_SYLLABLES}'), '[^가-힣]', '', 'g') AS f FROM conversations), h AS (SELECT conv_id, turn, concat_ws(',', {", ".join(map(_near_korean, _KOREAN))}) AS terms FROM c)
+SELECT * FROM h WHERE terms <> ''""")
+def fuzzy_korean_terms(spark, d):
+    """Curated nouns in Hangul within one unit of spans of each turn, by the index of halves."""
+    said = F.regexp_replace(F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", _SYLLABLES), "[^가-힣]", "")
+    x = M.fuzzy_containing(table(spark, d, "conversations").select("conv_id", "turn", said.alias("said")), "said", _KOREAN)
+    return x.filter("size(fuzzy) > 0").select("conv_id", "turn", F.array_join(F.transform("fuzzy", lambda f: f["term"]), ",").alias("terms"))
+
+
+def _many_sql() -> str:
+    return "SELECT d.doc_id, count(*) AS n, string_agg(CASE WHEN r <= 3 THEN term END, ',' ORDER BY term) AS first_terms FROM (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY term) AS r FROM (SELECT doc_id, lower(text) AS t FROM documents) JOIN (SELECT chr((97 + k // 676 % 26)::INT) || chr((97 + k // 26 % 26)::INT) || chr((97 + k % 26)::INT) || chr((97 + k * 7 % 26)::INT) AS term FROM range(2000) x(k)) ON contains(t, term)) d GROUP BY 1"
+
+
+@query(_many_sql())
+def lexicon_many(spark, d):
+    """Which of 2,000 terms each document holds, in one pass."""
+    at = lambda n: chr(97 + n % 26)
+    terms = [at(k // 676) + at(k // 26) + at(k) + at(k * 7) for k in range(2000)]
+    x = M.containing(table(spark, d, "documents").select("doc_id", "text"), "text", terms).filter("size(terms) > 0")
+    first = F.slice(F.array_sort("terms"), 1, 3)
+    return x.select("doc_id", F.size("terms").cast("long").alias("n"), F.array_join(first, ",").alias("first_terms"))
+
+
 @query("SELECT lang, round(sum(n_chars / 1000.0) / sum(n_chars / 500.0), 6) AS rtf FROM documents GROUP BY 1")
 def real_time_factor(spark, d):
-    from modlake.operators import metrics as M
+    from modlake.operators import metrics
 
     x = table(spark, d, "documents").select("lang", (F.col("n_chars") / 1000.0).alias("elapsed"), (F.col("n_chars") / 500.0).alias("audio_seconds"))
-    return M.real_time_factor(x, ["lang"]).select("lang", r6("rtf").alias("rtf"))
+    return metrics.real_time_factor(x, ["lang"]).select("lang", r6("rtf").alias("rtf"))
