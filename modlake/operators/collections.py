@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modlake.core import global_rank, hashed_uniform, running_sums
+from modlake.core import global_rank, hashed_uniform, running_sums, saved
 from modlake.functions.labels import clip_key
 from modlake.operators.joins import lookup
 
@@ -62,29 +62,58 @@ def check_ratios(ratios: dict[str, float]) -> None:
         raise ValueError(f"ratios must be three shares that sum to 1, not {ratios}")
 
 
+def greedy_runs(sizes: list[tuple[int, int]], ratios: list[float], total: int, fixed: int) -> list[tuple]:
+    """(size, alone, paired, first, second, cycle) for each size and number of sources, largest first.
+
+    What a split lacks goes down by the size with each source it gets: three descending sequences of one step, of which the highest
+    value is next. So the split that lacks most is alone for ``alone`` sources, then takes turns with the second up to the
+    ``paired``-th, and from there all three go round in one order. Lacks are whole millionths, so ties are exact.
+    """
+    lacks = [round(r * 1_000_000) * total for r in ratios]
+    lacks[-1] -= 1_000_000 * fixed
+    out = []
+    for size, m in sorted(sizes, reverse=True):
+        step = 1_000_000 * size
+        before = lambda s, value, of: max(0, (lacks[s] - value) // step + 1 if s < of and (lacks[s] - value) % step == 0 else -((value - lacks[s]) // step))  # noqa: B023, E731
+        one, two, three = sorted(range(3), key=lambda s: (-lacks[s], s))
+        alone = before(one, lacks[two], two)
+        n1, n2 = before(one, lacks[three], three), before(two, lacks[three], three)
+        nxt = sorted((one, two), key=lambda s: (-(lacks[s] - (n1 if s == one else n2) * step), s))
+        cycle = [three, *nxt]
+        out.append((size, alone, n1 + n2, one, two, cycle))
+        got = [0, 0, 0]
+        got[one] += min(m, alone)
+        turns = min(max(m - alone, 0), n1 + n2 - alone)
+        got[two] += -(-turns // 2)
+        got[one] += turns // 2
+        left = max(m - n1 - n2, 0)
+        for at, s in enumerate(cycle):
+            got[s] += left // 3 + (at < left % 3)
+        lacks = [x - g * step for x, g in zip(lacks, got, strict=True)]
+    return out
+
+
 def assign_splits_greedy(df: DataFrame, ratios: dict[str, float], seed: int = 0, forced: list[str] = (), key: str = "source_id") -> DataFrame:
     """key, split: sources by size (ties by a seeded md5), each to the split that lacks most of its share of the free rows;
-    forced ones go to test and count there first. Three ratios that sum to 1, or ValueError.
+    forced ones go to test and count there first. Three ratios that sum to 1, or ValueError; of equal lacks the first split counts.
 
-    The fold runs over one array with an entry for each source, so it is for bounded numbers of sources; the counting
-    below it takes any number of rows. ``assign_splits_hash`` has no such bound.
+    Sources of one size are placed by their rank among these (``greedy_runs``), so the driver sees a number for each size only, of which there are
+    at most about the square root of twice the rows, and no task holds all sources.
     """
     check_ratios(ratios)
-    groups = source_group_counts(df, forced, key)
+    groups = saved(source_group_counts(df, forced, key), "source-counts")
     names = list(ratios)
-    entry = F.struct((-F.col("n")).alias("o"), hashed_uniform(seed, key).alias("h"), F.col(key).alias("k"), F.col("n").alias("n"))
-    one = groups.agg(F.array_sort(F.collect_list(F.when(~F.col("forced"), entry))).alias("g"), F.sum(F.when(~F.col("forced"), F.col("n"))).alias("total"), F.coalesce(F.sum(F.when(F.col("forced"), F.col("n"))), F.lit(0)).alias("fixed"))
-    start = F.struct(F.array(*[F.when(F.lit(s == "test"), F.col("fixed")).otherwise(F.lit(0)).cast("double") for s in names]).alias("have"), F.array().cast("array<int>").alias("to"))
-    goal = F.array(*[F.col("total") * ratios[s] for s in names])
-
-    def put(st, x):
-        lack = F.zip_with(goal, st["have"], lambda g, h: g - h)
-        at = (F.array_position(lack, F.array_max(lack)) - 1).cast("int")
-        return F.struct(F.transform(st["have"], lambda h, i: F.when(i == at, h + x["n"]).otherwise(h)).alias("have"), F.concat(st["to"], F.array(at)).alias("to"))
-
-    placed = one.select("g", F.aggregate("g", start, put)["to"].alias("to")).select(F.explode(F.arrays_zip("g", "to")).alias("x"))
-    free = placed.select(F.col("x.g.k").alias(key), F.get(F.array(*map(F.lit, names)), F.col("x.to")).alias("split"))
-    return free.unionByName(groups.filter("forced").select(key, F.lit("test").alias("split")))
+    if names[-1] != "test" and forced:
+        raise ValueError("the last split is test, which takes the forced sources")
+    free = groups.filter(~F.col("forced"))
+    sizes = [tuple(r) for r in free.groupBy("n").count().collect()]
+    fixed = groups.filter("forced").agg(F.sum("n")).first()[0] or 0
+    runs = df.sparkSession.createDataFrame(greedy_runs(sizes, [ratios[s] for s in names], sum(n * m for n, m in sizes), fixed), "n long, alone long, paired long, one int, two int, cycle array<int>")
+    ranked = running_sums(free.select(key, "n").withColumn("_h", hashed_uniform(seed, key)), "n", "_h", key, _j=F.lit(1))
+    j = F.col("_j") - 1
+    at = F.when(j < F.col("alone"), F.col("one")).when(j < F.col("paired"), F.when((j - F.col("alone")) % 2 == 0, F.col("two")).otherwise(F.col("one"))).otherwise(F.get("cycle", ((j - F.col("paired")) % 3).cast("int")))
+    placed = lookup(ranked, runs, "n").select(key, F.get(F.array(*map(F.lit, names)), at).alias("split"))
+    return placed.unionByName(groups.filter("forced").select(key, F.lit("test").alias("split")))
 
 
 def assign_splits_hash(source_id: Column | str, ratios: dict[str, float], seed: int = 0) -> Column:

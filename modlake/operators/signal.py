@@ -64,13 +64,13 @@ def speech_likelihood(x: np.ndarray, rate: int = 16000, size: int = 512, hop: in
     return float(np.cbrt(np.prod(parts)))
 
 
-def speech_score(df: DataFrame, row_id: str, samples: str, rate: int = 16000) -> DataFrame:
+def speech_score(df: DataFrame, row_id: str, samples: str, rate: int = 16000, size: int = 512, hop: int = 256) -> DataFrame:
     """row_id, score: ``speech_likelihood`` of each sample array, a diagnostic. Null samples give null."""
     schema = df.select(row_id).schema.add("score", "double")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({row_id: f[row_id], "score": [None if x is None else speech_likelihood(np.asarray(x, float), rate) for x in f[samples]]})
+            yield pd.DataFrame({row_id: f[row_id], "score": [None if x is None else speech_likelihood(np.asarray(x, float), rate, size, hop) for x in f[samples]]})
 
     return df.select(row_id, samples).mapInPandas(run, schema)
 

@@ -236,6 +236,38 @@ def log_mel_and_speech_score(spark, d):
     return mel.select("vec_id", F.size("feature").alias("bins"), F.size(F.get("feature", F.lit(0))).cast("long").alias("frames"), ok.alias("finite")).join(score, "vec_id")
 
 
+_MELS, _SIZE, _HOP = 3, 16, 8
+_LOG_MEL = f"""WITH b AS (SELECT list_transform(range({_MELS + 2}), lambda i: 700 * (pow(10, (2595 * log10(1 + 50 / 700.0) + (2595 * log10(1 + 8000 / 700.0) - 2595 * log10(1 + 50 / 700.0)) * i / {_MELS + 1}) / 2595) - 1)) AS p),
+x AS (SELECT vec_id, list_concat(list_reverse(embedding[2:{_SIZE // 2 + 1}]), embedding, list_reverse(embedding[len(embedding) - {_SIZE // 2}:len(embedding) - 1])) AS e, len(embedding) AS n FROM embeddings),
+f AS (SELECT vec_id, t, list_transform(range({_SIZE}), lambda k: e[t * {_HOP} + k + 1]::DOUBLE * (.5 - .5 * cos(2 * pi() * k / {_SIZE}))) AS w FROM x, range(0, 1 + n // {_HOP}) r(t)),
+s AS (SELECT vec_id, t, list_transform(range({_SIZE // 2 + 1}), lambda q: pow(list_sum(list_transform(range({_SIZE}), lambda k: w[k + 1] * cos(2 * pi() * q * k / {_SIZE}))), 2) + pow(list_sum(list_transform(range({_SIZE}), lambda k: w[k + 1] * sin(2 * pi() * q * k / {_SIZE}))), 2)) AS power FROM f)
+SELECT vec_id, m::INT AS mel, t::INT AS frame, round(ln(list_sum(list_transform(range({_SIZE // 2 + 1}), lambda q: power[q + 1] * greatest(0, least((q * {16000 // _SIZE} - p[m + 1]) / (p[m + 2] - p[m + 1]), (p[m + 3] - q * {16000 // _SIZE}) / (p[m + 3] - p[m + 2]))))) + 1e-6)::FLOAT::DOUBLE, 4) AS value FROM s, b, range({_MELS}) r(m)"""
+
+
+@query(_LOG_MEL)
+def log_mel(spark, d):
+    """Log-mel values of every vector as a signal of 64 samples: 3 bands over 9 mirrored frames of 16."""
+    mel = G.log_mel(table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 16000, _SIZE, _HOP, _MELS)
+    rows = mel.select("vec_id", F.posexplode("feature").alias("mel", "row")).select("vec_id", "mel", F.posexplode("row").alias("frame", "v"))
+    return rows.select("vec_id", "mel", "frame", F.round(F.col("v").cast("double"), 4).alias("value"))
+
+
+_SPEECH = """WITH w AS (SELECT vec_id, list_transform(range(64), lambda k: (cos(2 * pi() * 5 * k / 64) + .02 * embedding[k + 1]::DOUBLE) * (.5 - .5 * cos(2 * pi() * k / 63))) AS w FROM embeddings),
+b AS (SELECT vec_id, list_transform(range(33), lambda q: sqrt(pow(list_sum(list_transform(range(64), lambda k: w[k + 1] * cos(2 * pi() * q * k / 64))), 2) + pow(list_sum(list_transform(range(64), lambda k: w[k + 1] * sin(2 * pi() * q * k / 64))), 2))) AS b FROM w),
+s AS (SELECT vec_id, t, q, (t + 1) / 27.0::DOUBLE * b[q + 1] + 1e-10 AS s FROM b, range(27) r(t), range(33) u(q)),
+f AS (SELECT vec_id, t, sum(s) AS level, sum(CASE WHEN q BETWEEN 2 AND 13 THEN s END) AS band, exp(avg(ln(s))) AS geo FROM s GROUP BY 1, 2),
+g AS (SELECT vec_id, sum(band) / sum(level) AS band, avg(geo) / (sum(level) / (27 * 33)) AS flat, stddev_pop(level) / (avg(level) + 1e-12) AS m FROM f GROUP BY 1)
+SELECT vec_id, round(cbrt(greatest(0, least(1, (band - .25) / .35)) * (1 - least(1, 3 * flat)) * least(1, m / .6)), 5) AS score FROM g"""
+
+
+@query(_SPEECH)
+def speech_score(spark, d):
+    """A tone with some of each vector on it, swelling over 27 frames."""
+    e = table(spark, d, "embeddings")
+    wave = F.transform(F.sequence(F.lit(0), F.lit(27 * 64 - 1)), lambda k: (F.cos(2 * F.pi() * 5 * (k % 64) / 64) + 0.02 * F.get("embedding", k % 64).cast("double")) * (F.floor(k / 64) + 1) / 27)
+    return G.speech_score(e.select("vec_id", wave.alias("x")), "vec_id", "x", 16000, 64, 64).select("vec_id", F.round("score", 5).alias("score"))
+
+
 @query("SELECT vec_id, e::INT AS epoch, 8 AS bins FROM embeddings, range(3) r(e)")
 def per_epoch_variants(spark, d):
     """Three epochs of augmented 8 x 8 features of every vector."""

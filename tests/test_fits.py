@@ -93,3 +93,29 @@ def test_from_segments_to_a_report(spark, tmp_path):
     report = M.harm_report(scored, spark.createDataFrame([("shout", "harm", True)], "class string, category string, is_harm boolean"), 0.1, {"ap": 0.9})
     macro = [r for r in report.collect() if r.scope == "macro" and r.name == "harm"][0]
     assert macro.ap == 1 and macro.auroc == 1 and macro.pass_ap
+
+
+def test_runs_of_equal_sources_are_the_fold():
+    r = random.Random(7)
+    for case in range(300):
+        sizes = {}
+        for _ in range(r.randint(1, 6)):
+            sizes[r.choice([1, 2, 3, 5, 7, 20, 100])] = r.randint(1, 40)
+        ratios = r.choice([[0.7, 0.15, 0.15], [0.8, 0.1, 0.1], [1 / 3, 1 / 3, 1 - 2 / 3], [0.0, 0.0, 1.0], [0.5, 0.25, 0.25]])
+        total, fixed = sum(n * m for n, m in sizes.items()), r.choice([0, 0, 3, 500])
+        lack = [round(x * 1_000_000) * total for x in ratios]
+        lack[2] -= 1_000_000 * fixed
+        for size, alone, paired, one, two, cycle in C.greedy_runs(list(sizes.items()), ratios, total, fixed):
+            for j in range(sizes[size]):
+                want = lack.index(max(lack))
+                got = one if j < alone else (two, one)[(j - alone) % 2] if j < paired else cycle[(j - paired) % 3]
+                assert got == want, (case, size, j)
+                lack[want] -= 1_000_000 * size
+
+
+def test_many_sources_are_placed_without_one_array(spark):
+    n = 200_000
+    df = spark.range(n).select(F.concat(F.lit("s"), F.when(F.col("id") < 1000, F.col("id") % 10).otherwise(F.col("id"))).alias("source_id"), F.lit("x").alias("source"))
+    got = {x.split: x.n for x in C.assign_splits_greedy(df, {"train": 0.7, "val": 0.15, "test": 0.15}).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    rows = {x.split: x.n for x in df.join(C.assign_splits_greedy(df, {"train": 0.7, "val": 0.15, "test": 0.15}), "source_id").groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == n - 1000 + 10 and rows == {"train": 140_000, "val": 30_000, "test": 30_000}
