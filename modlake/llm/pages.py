@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import log1p
 
@@ -43,8 +44,6 @@ FURNITURE_TOKENS = frozenset(
     "subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager search form copyright legal disclaimer complementary contentinfo".split()
 )
 ARTICLE_TOKENS = frozenset("article content post entry story main body text prose".split())
-#: A tag with more quoted parts than this is text.
-MOST_QUOTES = 64
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _END = re.compile("[>\"']")
@@ -88,16 +87,20 @@ def _tokens(attrs: str) -> frozenset:
     return frozenset(out)
 
 
-def _tag_end(source: str, at: int) -> int:
-    """Where the > of a tag stands that is open at ``at``, outside of quoted values; -1 if nowhere. An unclosed quote is a plain mark."""
-    for _ in range(MOST_QUOTES):
-        m = _END.search(source, at)
-        if m is None:
-            return -1
+def _tag_end(source: str, at: int, lost: set[int]) -> int:
+    """Where the > of a tag stands that is open at ``at``, outside of quoted values; -1 if nowhere. An unclosed quote is a plain mark.
+
+    ``lost``: opening quotes from which no > was found before. What follows a quote doesn't depend on where the tag began, so all
+    tags of a page together walk each quote once.
+    """
+    path = []
+    while (m := _END.search(source, at)) is not None and m.start() not in lost:
         if m[0] == ">":
             return m.start()
+        path.append(m.start())
         close = source.find(m[0], m.end())
         at = close + 1 if close >= 0 else m.end()
+    lost.update(path)
     return -1
 
 
@@ -107,7 +110,7 @@ def _pieces(source: str) -> Iterator[tuple[str | None, str | None, str | None, s
     The consumer may send the place to go on from. One pass: what can't be a tag is text, and once no > or quote is left
     no more tags are tried.
     """
-    at, size, dead = 0, len(source), False
+    at, size, dead, lost = 0, len(source), False, set()
     while at < size:
         text = name = close = None
         attrs = ""
@@ -125,7 +128,7 @@ def _pieces(source: str) -> Iterator[tuple[str | None, str | None, str | None, s
             continue
         else:
             m = None if dead else _NAME.match(source, at)
-            stop = _tag_end(source, m.end()) if m else -1
+            stop = _tag_end(source, m.end(), lost) if m else -1
             if stop < 0:
                 dead = dead or (m is not None and _END.search(source, m.end()) is None)
                 text, end = "<", at + 1
@@ -147,6 +150,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("body", -1, 0, frozenset())]
     runs: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = [("body", 0)]  # open elements with the block node that they are in
+    opened = Counter()  # names on the stack above the body
     links, size = 0, len(source)
     pieces = _pieces(source)
     for text, close, name, attrs, at in pieces:
@@ -162,9 +166,10 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
         elif name is not None:
             name = name.lower()
             if close:
-                if any(t == name for t, _ in reversed(stack[1:])):
+                if opened[name]:
                     while len(stack) > 1:
                         t, _ = stack.pop()
+                        opened[t] -= 1
                         links -= t == "a"
                         if t == name:
                             break
@@ -186,6 +191,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if name == "a":
                     links += 1
                 stack.append((name, here))
+                opened[name] += 1
                 continue
             if name in ("html", "body"):
                 continue
@@ -197,6 +203,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if t in ends:
                     for t, _ in stack[i:]:
                         links -= t == "a"
+                        opened[t] -= 1
                     del stack[i:]
                     break
                 if t not in INLINE and t not in ("p",):
@@ -205,6 +212,7 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes.append(Node(name, here, nodes[here].depth + 1, tokens))
             nodes[here].kids.append(len(nodes) - 1)
             stack.append((name, len(nodes) - 1))
+            opened[name] += 1
     return nodes, runs
 
 
@@ -332,8 +340,11 @@ def decode(nodes: list[Node], odds: list[float]) -> list[bool]:
 
 
 def article(nodes: list[Node], runs: list[tuple[int, str]], x: np.ndarray, odds: np.ndarray) -> str:
-    """The text of the decoded nodes. Where that is empty, all text outside of marked furniture: no page with an article comes out empty."""
-    return blocks(runs, decode(nodes, odds.tolist())) or blocks(runs, decode(nodes, by_marks(x).tolist()))
+    """The text of the decoded nodes; where these hold links at most, all text outside of marked furniture; empty if that is links at most."""
+    for kept in (decode(nodes, odds.tolist()), decode(nodes, by_marks(x).tolist())):
+        if any(k and n.own > n.links for k, n in zip(kept, nodes, strict=True)):
+            return blocks(runs, kept)
+    return ""
 
 
 def blocks(runs: list[tuple[int, str]], kept: list[bool]) -> str:
