@@ -29,10 +29,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: what follows doesn't compute it anew."""
+    """``df`` written as a table in the shared folder and read back.
+
+    Cuts the lineage: what follows survives the loss of executors without computing ``df`` anew, and reads the columns it needs only.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``saved`` from the shared folder, when all that reads them has been written itself."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hashed_uniform(seed: int | str, *cols: Column | str) -> Column:

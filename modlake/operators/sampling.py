@@ -63,16 +63,31 @@ def domain_weights(df: DataFrame, ratios: dict[str, float], domain: str = "domai
     return df.withColumn("weight", weights[F.col(domain)])
 
 
+#: Mean of a part of a row's draws: a heavier row is cut into equal parts, each drawn for itself; and parts that are dealt at once.
+PART, BLOCK = 500, 4_096
+
+
 def weighted_sample(df: DataFrame, n: int, row_id: str, weight: str = "weight", seed: int = 0, uniform: Column | None = None) -> DataFrame:
-    """About n draws with replacement: each row by a Poisson number of mean n w / sum of weights, from its hash."""
+    """About n draws with replacement: each row by a Poisson number of mean n w / sum of weights, from its hash; ``draw`` tells a row's draws apart.
+
+    The number is the inverse distribution at ``uniform`` (a hash, where unset). A row of a mean above ``PART`` is the sum of equal parts with
+    hashes of their own, so no row is an array that grows with its weight. Null and zero weights are never drawn.
+    """
     total = df.agg(F.sum(weight)).first()[0] or 0.0
-    u = uniform if uniform is not None else hashed_uniform(seed, row_id)
-    lam = F.lit(float(n)) * F.col(weight) / F.lit(float(total) or 1.0)
+    whole = F.lit(float(n)) * F.col(weight) / F.lit(float(total) or 1.0)
+    parts = F.greatest(F.ceil(whole / PART), F.lit(1)).cast("long")
+    x = df.withColumns({"_lam": whole, "_parts": parts}).filter("_lam > 0").withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_parts") - 1) / BLOCK))))
+    x = x.withColumn("_part", F.explode(F.sequence(F.col("_b") * BLOCK, F.least(F.col("_parts") - 1, F.col("_b") * BLOCK + BLOCK - 1))))
+    u = F.when(F.col("_part") == 0, uniform if uniform is not None else hashed_uniform(seed, row_id)).otherwise(hashed_uniform(seed, row_id, F.col("_part")))
+    x = x.withColumns({"_u": u, "_lam": F.col("_lam") / F.col("_parts")})
+    lam = F.col("_lam")
     state = F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("c"), F.lit(0).alias("k"))
-    step = lambda s, i: F.when(u < s["c"], s).otherwise(F.struct((s["p"] * lam / i).alias("p"), (s["c"] + s["p"] * lam / i).alias("c"), (s["k"] + 1).alias("k")))
+    step = lambda s, i: F.when(F.col("_u") < s["c"], s).otherwise(F.struct((s["p"] * lam / i).alias("p"), (s["c"] + s["p"] * lam / i).alias("c"), (s["k"] + 1).alias("k")))
     most = F.ceil(lam + 10 * F.sqrt(lam) + 10).cast("int")
     times = F.aggregate(F.sequence(F.lit(1), most), state, step)["k"]
-    return df.withColumn("_k", F.when(lam > 0, times).otherwise(0)).filter("_k > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_k")))).drop("_k")
+    far = 2 * PART + 100  # over the draws of any part
+    drawn = x.withColumn("_k", times).filter("_k > 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_k"))))
+    return drawn.withColumn("draw", F.col("draw") + F.col("_part") * far).drop("_k", "_lam", "_parts", "_b", "_part", "_u")
 
 
 def exact_weighted_sample(df: DataFrame, n: int, row_id: str, weight: str = "weight", seed: int = 0) -> DataFrame:

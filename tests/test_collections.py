@@ -39,10 +39,10 @@ def test_bad_json_names_its_line(spark, tmp_path):
 
 
 def test_segments_to_manifest(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('# one\n# two\n# three\nabc123, 30.000, 40.000, "/m/1,/m/2"\n-xyz789, 0.000, 10.000, "/m/2"\nqqq, 5.000, 15.000, "/m/9"\nshort, 1.0\n')
+    (tmp_path / "a.csv").write_text('# one\n# two\n# three\nkiwi42, 30.000, 40.000, "/m/1,/m/2"\n-plum07, 0.000, 10.000, "/m/2"\nqqq, 5.000, 15.000, "/m/9"\nshort, 1.0\n')
     m = spark.createDataFrame([("scream", "/m/1"), ("bang", "/m/2")], "class string, mid string")
     df = R.build_manifest(spark, [str(tmp_path / "a.csv")], m, str(tmp_path / "out"), "web", "train")
-    assert {r.clip_id: r.labels for r in df.collect()} == {"abc123_30": ["bang", "scream"], "-xyz789_0": ["bang"]}
+    assert {r.clip_id: r.labels for r in df.collect()} == {"kiwi42_30": ["bang", "scream"], "-plum07_0": ["bang"]}
     assert R.read_clip_manifest(spark, str(tmp_path / "out")).count() == 2
 
 
@@ -127,6 +127,9 @@ def test_weighted_samples(spark):
     df = spark.createDataFrame([(i, float(1 + i % 3)) for i in range(300)], "id int, weight double")
     n = P.weighted_sample(df, 3000, "id", seed=1).count()
     assert abs(n - 3000) < 300
+    heavy = spark.createDataFrame([(1, 1e6), (2, 1.0), (3, None), (4, 0.0)], "id int, weight double")
+    drawn = P.weighted_sample(heavy, 3_000_000, "id", seed=2).groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("draw").alias("d")).collect()
+    assert {r.id for r in drawn} <= {1, 2} and all(r.n == r.d for r in drawn) and abs(max(r.n for r in drawn) - 3_000_000) < 9_000
     exact = P.exact_weighted_sample(df, 500, "id", seed=1)
     assert exact.count() == 500 and exact.select("draw").distinct().count() == 500
 
