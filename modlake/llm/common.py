@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: shared-folder tables and text expressions."""
+"""Helpers shared by the corpus operators: tables of the shared folder (from the core) and text expressions."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlake.core import shared_dir
+from modlake.core import discard, saved, shared_dir
 from modlake.plans.base import table
 
 __all__ = ["KEPT", "WORD", "discard", "hashed_sample", "let_go", "only_ids", "saved", "shared_dir", "table", "text_or_empty"]
@@ -18,27 +18,6 @@ __all__ = ["KEPT", "WORD", "discard", "hashed_sample", "let_go", "only_ids", "sa
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back.
-
-    Cuts the lineage: what follows survives the loss of executors without computing ``df`` anew,
-    and reads the columns it needs only.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Remove tables of ``saved`` from the shared folder, when all that reads them has been written itself."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def only_ids(df: DataFrame, ids: DataFrame, id_col: str, how: str = "left_semi") -> DataFrame:
     """The rows of ``df`` whose id is among ``ids`` (one column; null is an id), or with left_anti the others. ``df`` may have columns of any name."""
     own = f"id_{uuid.uuid4().hex}"
