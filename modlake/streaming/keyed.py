@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -29,33 +29,28 @@ class FoldProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.value = handle.getValueState("state", T.StructType([T.StructField("json", T.StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values(self.order, kind="stable").reset_index(drop=True)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         state = json.loads(self.value.get()[0]) if self.value.exists() else dict(self.start)
-        keep, cols = [], {n: [] for n in self.extra}
-        for i, values in enumerate(f[self.names].itertuples(index=False, name=None)):
-            state, new = self.step(state, dict(zip(self.names, values, strict=True)))
+        out = Row(*self.names, *self.extra)
+        for row in sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order]):
+            state, new = self.step(state, row.asDict())
             if new is not None:
-                keep.append(i)
-                for n in self.extra:
-                    cols[n].append(new[n])
+                yield out(*[row[n] for n in self.names], *[new[n] for n in self.extra])
         self.value.update((json.dumps(state),))
-        out = f.loc[keep, self.names].reset_index(drop=True)
-        for n in self.extra:
-            out[n] = pd.Series(cols[n], dtype=object)
-        if len(out):
-            yield out
 
     def close(self) -> None:
         pass
 
 
 def stream_fold(df: DataFrame, key: str, order: list[str], step: Step, init: dict, schema: str) -> DataFrame:
-    """``ordered_fold`` for streams: same step, same columns. Needs the RocksDB state store."""
+    """``ordered_fold`` for streams: same step, same columns and types. Needs the RocksDB state store.
+
+    A micro-batch's rows of one key are sorted in memory, so bound a batch by maxFilesPerTrigger or maxBytesPerTrigger.
+    """
     extra = T._parse_datatype_string(schema)
-    out = T.StructType([*df.schema.fields, *extra.fields])
+    out = T.StructType([*[T.StructField(f.name, f.dataType) for f in df.schema.fields], *extra.fields])
     p = FoldProcessor(step, init, df.columns, [f.name for f in extra.fields], order)
-    return df.groupBy(key).transformWithStateInPandas(p, outputStructType=out, outputMode="Append", timeMode="None")
+    return df.groupBy(key).transformWithState(p, outputStructType=out, outputMode="Append", timeMode="None")
 
 
 class IncidentProcessor(StatefulProcessor):
@@ -68,20 +63,20 @@ class IncidentProcessor(StatefulProcessor):
         self.handle = handle
         self.value = handle.getValueState("open", T.StructType([T.StructField("json", T.StringType())]))
 
-    def _row(self, key, e: dict) -> pd.DataFrame:
-        return pd.DataFrame({self.key: [key[0]], "start": [e["start"]], "end": [e["last"] + self.window], "windows": [e["n"]], "peak_score": [e["peak"]], "reasons": [e["reasons"]]})
+    def _row(self, key, e: dict) -> Row:
+        return Row(self.key, "start", "end", "windows", "peak_score", "reasons")(key[0], e["start"], e["last"] + self.window, e["n"], e["peak"], e["reasons"])
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        f = pd.concat(list(rows)).sort_values("t", kind="stable")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         e = json.loads(self.value.get()[0]) if self.value.exists() else None
-        for t, escalate, score, reasons in f[["t", "escalate", "score", "reasons"]].itertuples(index=False, name=None):
+        for r in sorted(rows, key=lambda r: r["t"]):
+            t, escalate = r["t"], r["escalate"]
             if e and not escalate and t > e["last"] and t - e["last"] >= self.gap:
                 yield self._row(key, e)
                 e = None
             if escalate:
-                score = None if score is None or score != score else float(score)
+                score = None if r["score"] is None or r["score"] != r["score"] else float(r["score"])
                 e = e or {"start": float(t), "n": 0, "peak": None, "reasons": []}
-                e |= {"last": float(t), "n": e["n"] + 1, "peak": max((x for x in (e["peak"], score) if x is not None), default=None), "reasons": [*e["reasons"], *[r for r in (reasons if reasons is not None else []) if r not in e["reasons"]]]}
+                e |= {"last": float(t), "n": e["n"] + 1, "peak": max((x for x in (e["peak"], score) if x is not None), default=None), "reasons": [*e["reasons"], *[w for w in r["reasons"] or [] if w not in e["reasons"]]]}
         if e:
             self.value.update((json.dumps(e),))
             if self.idle_ms is not None:
@@ -89,7 +84,7 @@ class IncidentProcessor(StatefulProcessor):
         else:
             self.value.clear()
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.value.exists():
             e = json.loads(self.value.get()[0])
             self.value.clear()
@@ -106,7 +101,7 @@ def stream_incidents(df: DataFrame, key: str, gap: float, window: float = 10.0,
     """
     kind = dict(df.dtypes)[key]
     schema = f"`{key}` {kind}, start double, end double, windows long, peak_score double, reasons array<string>"
-    return df.select(key, "t", "escalate", "score", "reasons").groupBy(key).transformWithStateInPandas(IncidentProcessor(key, gap, window, idle_ms), outputStructType=schema, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
+    return df.select(key, "t", "escalate", "score", "reasons").groupBy(key).transformWithState(IncidentProcessor(key, gap, window, idle_ms), outputStructType=schema, outputMode="Append", timeMode="None" if idle_ms is None else "ProcessingTime")
 
 
 def incident_sink(df: DataFrame, path: str, checkpoint: str | None = None, once: bool = True):
