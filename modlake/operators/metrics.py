@@ -196,10 +196,14 @@ def poisson_weight(n: Column, cdf: Column, digest: Column) -> Column:
 
     Two uniforms are the first 13 and the next 13 hex digits, so other engines can repeat it.
     """
-    u, v = (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") / F.lit(float(1 << 52)) for at in (1, 14))
-    z = F.sqrt(-2 * F.ln(1 - u)) * F.cos(2 * F.pi() * v)
-    large = F.greatest(F.floor(n + F.sqrt(n) * z + (z * z - 1) / 6 + 0.5), F.lit(0))
-    return F.when(n <= EXACT, F.size(F.filter(cdf, lambda c: c <= u))).otherwise(large).cast("long")
+    uniforms = F.struct(*[(F.conv(F.substring(digest, at, 13), 16, 10).cast("double") / F.lit(float(1 << 52))).alias(k) for k, at in (("u", 1), ("v", 14))])
+
+    def drawn(x: Column) -> Column:
+        z = F.sqrt(-2 * F.ln(1 - x["u"])) * F.cos(2 * F.pi() * x["v"])
+        large = F.transform(F.array(z), lambda z: F.greatest(F.floor(n + F.sqrt(n) * z + (z * z - 1) / 6 + 0.5), F.lit(0)))[0]
+        return F.when(n <= EXACT, F.size(F.filter(cdf, lambda c: c <= x["u"]))).otherwise(large).cast("long")
+
+    return F.transform(F.array(uniforms), drawn)[0]  # bound once, not for each step of the distribution
 
 
 def bootstrap_compare(df: DataFrame, replicates: int = 2000, bins: int = 100, seed: int = 0, y: str = "y", a: str = "score", b: str = "score_b") -> DataFrame:

@@ -120,14 +120,14 @@ def _bootstrap_sql(replicates: int, bins: int) -> str:
     w AS (SELECT i, y, a_bin, b_bin, CASE WHEN n <= 30 THEN len(list_filter(cdf, lambda x: x <= u)) ELSE greatest(floor(n + sqrt(n) * z + (z * z - 1) / 6 + .5), 0) END AS w FROM v),
     e AS (SELECT b.area - a.area AS d FROM {side("a")} a JOIN {side("b")} b USING (i) WHERE a.area IS NOT NULL AND b.area IS NOT NULL),
     o AS (SELECT {area("r", "a")} AS auroc_a, {area("r", "b")} AS auroc_b, quantile_cont(d, .025) AS low, quantile_cont(d, .975) AS high, avg((d > 0)::INT) AS p_better FROM e)
-    SELECT round(auroc_a, 6) AS auroc_a, round(auroc_b, 6) AS auroc_b, round(auroc_b - auroc_a, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, round(p_better, 6) AS p_better, low > 0 OR high < 0 AS significant FROM o"""
+    SELECT round(auroc_a, 4) AS auroc_a, round(auroc_b, 4) AS auroc_b, round(auroc_b - auroc_a, 4) AS delta, round(low, 4) AS low, round(high, 4) AS high, round(p_better, 4) AS p_better, low > 0 OR high < 0 AS significant FROM o"""
 
 
 @query(_bootstrap_sql(2000, 100))
 def bootstrap_compare(spark, d):
     """Two score columns by paired resampling, 2,000 times, with weights that SQL draws too."""
     x = M.bootstrap_compare(scored(spark, d).select("id", "y", "score", "score_b"))
-    return x.select(*[r6(c).alias(c) for c in ("auroc_a", "auroc_b", "delta", "low", "high", "p_better")], "significant")
+    return x.select(*[F.round(c, 4).alias(c) for c in ("auroc_a", "auroc_b", "delta", "low", "high", "p_better")], "significant")
 
 
 @query(f"WITH {SCORED}, {_G}, b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY class ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT class, round(sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 6) AS auroc FROM b GROUP BY 1")

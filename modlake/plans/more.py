@@ -300,7 +300,7 @@ def fuzzy_terms(spark, d):
 
 #: Each letter as a Hangul syllable, so that the turns are Korean script: fixed values, neighbours differ in one of the three units.
 _SYLLABLES = "가각간나낙난다닥단라락란마막만바박반사삭산아악안자작"
-_KOREAN = [w.translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", _SYLLABLES)) for w in ("thorea", "lichen", "andthe", "tion", "there", "would", "with", "which")]
+_KOREAN = [w.translate(str.maketrans("abcdefghijklmnopqrstuvwxyz", _SYLLABLES)) for w in ("thorea", "lichen", "andthe", "tion")]
 
 
 def _units_sql(c: str) -> str:

@@ -28,6 +28,8 @@ CLOSED = "incident long, start double, end double, windows long, peak_acoustic d
 _NOW = "heard_at double, ema double, seen_at double, seen_us long, up_at double, incidents long"
 _OPEN = "start double, last double, windows long, peak_acoustic double, peak_text double, peak_score double, reasons array<string>, transcripts array<string>"
 _KEPT = 5
+#: Rows that go to the state store in one call.
+AT_ONCE = 1_000
 
 
 def _higher(a: float | None, b: float | None) -> float | None:
@@ -56,10 +58,15 @@ class EngineProcessor(StatefulProcessor):
         self.open = handle.getValueState("open", _OPEN)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        first = None
+        first, some = None, []
         for row in rows:
-            self.waiting.appendValue(tuple(row))
+            some.append(tuple(row))
             first = row["_us"] if first is None else min(first, row["_us"])
+            if len(some) == AT_ONCE:
+                self.waiting.appendList(some)
+                some = []
+        if some:
+            self.waiting.appendList(some)
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))
         return iter(())
