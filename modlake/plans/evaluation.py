@@ -130,96 +130,6 @@ def bootstrap_compare(spark, d):
     return x.select(*[F.round(c, 4).alias(c) for c in ("auroc_a", "auroc_b", "delta", "low", "high", "p_better")], "significant")
 
 
-@query(f"WITH {SCORED}, {_G}, b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY class ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g) SELECT class, round(sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0), 6) AS auroc FROM b GROUP BY 1")
-def auroc(spark, d):
-    return M.auroc(scored(spark, d)).select("class", r6("auroc").alias("auroc"))
-
-
-@query(f"WITH {SCORED}, {_RUN} SELECT class, round(CASE WHEN max(p) > 0 AND max(n) > 0 THEN coalesce(max(CASE WHEN fp <= .05 * n THEN tp / nullif(p, 0) END), 0) END, 6) AS recall FROM q GROUP BY 1")
-def recall_at_fpr(spark, d):
-    return M.recall_at_fpr(scored(spark, d), 0.05).select("class", r6("recall").alias("recall"))
-
-
-@query(f"""WITH {SCORED}, n AS (SELECT class, score, row_number() OVER (PARTITION BY class ORDER BY score DESC) - 1 AS k, count(*) OVER (PARTITION BY class) AS n FROM s WHERE y = 0),
-t AS (SELECT class, score AS threshold FROM n WHERE k = greatest(0, floor(.1 * n) - 1)) SELECT class, round(any_value(threshold), 6) AS threshold, round(avg((score > threshold)::INT), 6) AS recall FROM s JOIN t USING (class) WHERE y = 1 GROUP BY 1""")
-def recall_at_kth_negative(spark, d):
-    return M.recall_at_kth_negative(scored(spark, d), 0.1).select("class", r6("threshold").alias("threshold"), r6("recall").alias("recall"))
-
-
-@query(f"WITH {SCORED}, c AS (SELECT class, count(*) FILTER (score >= .5 AND y = 1) AS tp, count(*) FILTER (score >= .5 AND y = 0) AS fp, count(*) FILTER (score < .5 AND y = 1) AS fn FROM s GROUP BY 1) SELECT class, tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1 FROM c")
-def prf_at_threshold(spark, d):
-    x = M.prf_at_threshold(scored(spark, d), 0.5)
-    return x.select("class", "tp", "fp", "fn", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
-
-
-@query(f"WITH {SCORED} SELECT class, round(avg((score >= .5)::INT) FILTER (y = 1), 6) AS recall, round(avg((score >= .5)::INT) FILTER (y = 0), 6) AS fpr, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg FROM s GROUP BY 1")
-def confusion_at_threshold(spark, d):
-    return M.confusion_at_threshold(scored(spark, d), 0.5).select("class", r6("recall").alias("recall"), r6("fpr").alias("fpr"), "n_pos", "n_neg")
-
-
-@query(f"WITH {SCORED} SELECT class, source, round(avg((score_b >= .5)::INT) FILTER (y = 1), 6) AS recall, round(avg((score_b >= .5)::INT) FILTER (y = 0), 6) AS fpr, count(*) AS n FROM s GROUP BY 1, 2")
-def group_recall(spark, d):
-    return M.group_recall(scored(spark, d), ["class", "source"], 0.5, score="score_b").select("class", "source", r6("recall").alias("recall"), r6("fpr").alias("fpr"), "n")
-
-
-_T = [0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 0.95]
-
-
-@query(f"""WITH {SCORED}, t AS (SELECT class, unnest({_T}) AS threshold, y, score FROM s), a AS (SELECT class, threshold::DOUBLE AS threshold, avg((score >= threshold)::INT) FILTER (y = 1) AS recall, avg((score >= threshold)::INT) FILTER (y = 0) AS fpr, count(*) FILTER (score >= threshold AND y = 1) AS tp, count(*) FILTER (score >= threshold AND y = 0) AS fp FROM t GROUP BY 1, 2)
-SELECT class, threshold, round(recall, 6) AS recall, round(fpr, 6) AS fpr, tp, fp, row_number() OVER (PARTITION BY class ORDER BY CASE WHEN coalesce(fpr, 0) <= .02 THEN 0 ELSE 1 END, CASE WHEN coalesce(fpr, 0) <= .02 THEN threshold ELSE abs(fpr - .02) END, threshold) = 1 AS chosen FROM a""")
-def threshold_sweep(spark, d):
-    return M.threshold_sweep(scored(spark, d), _T).select("class", "threshold", r6("recall").alias("recall"), r6("fpr").alias("fpr"), "tp", "fp", "chosen")
-
-
-@query(f"WITH {SCORED}, {_RUN} SELECT class, round(CASE WHEN max(n) = 0 THEN .5 ELSE coalesce(min(CASE WHEN fp <= .15 * n THEN score END), max(CASE WHEN neg > 0 THEN score END) + 1e-9) END, 6) AS threshold FROM q GROUP BY 1")
-def threshold_at_fpr(spark, d):
-    return M.threshold_at_fpr(scored(spark, d), 0.15).select("class", r6("threshold").alias("threshold"))
-
-
-@query(f"WITH {SCORED}, {_RUN} SELECT class, round(coalesce(max(CASE WHEN p > 0 AND tp >= .9 * p - 1e-9 THEN score END), 0), 6) AS threshold FROM q GROUP BY 1")
-def threshold_at_recall(spark, d):
-    return M.threshold_at_recall(scored(spark, d), 0.9).select("class", r6("threshold").alias("threshold"))
-
-
-def _report_sql() -> str:
-    one = lambda src: f"""SELECT a.class AS name, ap, auroc, recall FROM (
-      SELECT class, sum(CASE WHEN y = 1 THEN tp / rank END) / nullif(sum(y), 0) AS ap FROM (SELECT *, row_number() OVER w AS rank, sum(y) OVER (PARTITION BY class ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS tp FROM {src} WINDOW w AS (PARTITION BY class ORDER BY score DESC, id)) GROUP BY 1) a
-      JOIN (SELECT class, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc, CASE WHEN max(p) > 0 AND max(n) > 0 THEN coalesce(max(CASE WHEN fp <= .1 * n THEN tp / nullif(p, 0) END), 0) END AS recall FROM (
-        SELECT *, coalesce(sum(neg) OVER (PARTITION BY class ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER (PARTITION BY class) AS p, sum(neg) OVER (PARTITION BY class) AS n
-        FROM (SELECT class, score, sum(y) AS pos, sum(1 - y) AS neg FROM {src} GROUP BY 1, 2) WINDOW d AS (PARTITION BY class ORDER BY score DESC ROWS UNBOUNDED PRECEDING)) GROUP BY 1) b USING (class)"""
-    return f"""WITH {SCORED}, k AS (SELECT * FROM (VALUES ('en', 'a', true), ('de', 'a', true), ('fr', 'b', true), ('es', 'c', false)) v(class, category, is_harm)),
-    x AS (SELECT s.id, k.category AS class, max(s.y) AS y, max(s.score) AS score FROM s JOIN k USING (class) GROUP BY ALL), c AS ({one('s')}), p AS ({one('x')}), h AS (SELECT c.* FROM c JOIN k ON k.class = c.name WHERE is_harm),
-    t AS (SELECT coalesce(min(ap) >= .3, false) AS pass_ap, coalesce(min(auroc) >= .99, false) AS pass_auroc FROM h)
-    SELECT * FROM (SELECT 'class' AS scope, name, round(ap, 4) AS ap, round(auroc, 4) AS auroc, round(recall, 4) AS recall FROM c UNION ALL SELECT 'category', name, round(ap, 4), round(auroc, 4), round(recall, 4) FROM p
-    UNION ALL SELECT 'macro', 'all', round(avg(ap), 4), round(avg(auroc), 4), round(avg(recall), 4) FROM c UNION ALL SELECT 'macro', 'harm', round(avg(ap), 4), round(avg(auroc), 4), round(avg(recall), 4) FROM h), t"""
-
-
-@query(_report_sql())
-def harm_report(spark, d):
-    """By class and by category, with the macro rows and whether targets are met."""
-    k = spark.createDataFrame([("en", "a", True), ("de", "a", True), ("fr", "b", True), ("es", "c", False)], "class string, category string, is_harm boolean")
-    x = M.harm_report(scored(spark, d).select("id", "class", "y", "score"), k, 0.1, {"ap": 0.3, "auroc": 0.99})
-    return x.select("scope", "name", *[F.round(c, 4).alias(c) for c in ("ap", "auroc", "recall")], "pass_ap", "pass_auroc")
-
-
-@query(f"WITH {SCORED}, {_AP}, m AS (SELECT class, sum(CASE WHEN y = 1 THEN tp / rank END) / nullif(sum(y), 0) AS ap FROM r GROUP BY 1) SELECT round(avg(ap), 6) AS macro_ap, count(ap) AS defined FROM m")
-def macro_ap(spark, d):
-    x = M.macro(M.average_precision(scored(spark, d)), "ap")
-    return x.select(r6("macro_ap").alias("macro_ap"), "defined")
-
-
-@query(f"WITH {SCORED}, c AS (SELECT y, unnest(['gate', 'trigger', 'both']) AS stage, unnest([score >= .2, score_b >= .6, score >= .2 AND score_b >= .6]) AS hit FROM s) SELECT stage, round(avg(hit::INT) FILTER (y = 1), 6) AS recall, round(avg(hit::INT) FILTER (y = 0), 6) AS fpr, round(avg(hit::INT), 6) AS woken FROM c GROUP BY 1")
-def cascade_report(spark, d):
-    x = scored(spark, d).select("y", (F.col("score") >= 0.2).alias("g"), (F.col("score_b") >= 0.6).alias("t"))
-    return M.cascade_report(x, "y", "g", "t").select("stage", *[r6(c).alias(c) for c in ("recall", "fpr", "woken")])
-
-
-@query()
-def bootstrap_compare(spark, d):
-    """Two score columns by paired resampling, 2,000 times; the resamples are random, so the tests check coverage and exact point values."""
-    return M.bootstrap_compare(scored(spark, d).select("id", "y", "score", "score_b"))
-
-
 @query(f"WITH {SCORED}, {_G}, b AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY class ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g), a AS (SELECT class, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc FROM b GROUP BY 1) SELECT round(avg(auroc), 6) AS macro_auroc, count(auroc) AS defined FROM a")
 def macro_auroc(spark, d):
     x = M.macro(M.auroc(scored(spark, d)), "auroc")
