@@ -6,7 +6,8 @@ trained here, on nodes of a bounded sample of pages with weak labels: the inside
 elements whose tag or attribute tokens name page furniture are not. The nodes are shown with these marks, without those
 of an article, and without any, so that where a page has no marks, place, density, depth and siblings decide; and marked
 nodes are shown with another node's kind and shape, so that where it has marks, they do. Without content marks in the
-sample, running text outside of furniture stands for them; without furniture, link lists do.
+sample, a page's main flow of paragraphs stands for them; without furniture, links and what lies outside of that flow do;
+and what is still unknown takes the label that first trees give it clearly.
 
 Decoding picks the labelling of the highest total log-odds in which no node is kept below a dropped one: a dynamic
 programme up the tree, then down.
@@ -44,6 +45,9 @@ FURNITURE_TOKENS = frozenset(
     "subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager search form copyright legal disclaimer complementary contentinfo".split()
 )
 ARTICLE_TOKENS = frozenset("article content post entry story main body text prose".split())
+#: Of the former, those that no prose contradicts; and elements that hold a block of running text.
+SURE_TOKENS = frozenset("ad ads adv advert adverts advertisement advertising comment comments commentary reply replies respond discussion disqus cookie cookies consent gdpr newsletter".split())
+PROSE = frozenset(("p", "pre", "blockquote"))
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)")
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _END = re.compile("[>\"']")
@@ -54,7 +58,7 @@ _ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "
 _SPACE = re.compile(r"\s+")
 FEATURES = (
     "furniture_tag", "article_tag", "paragraph", "heading", "list_item", "furniture_token", "article_token", "under_furniture", "under_article",
-    "depth", "siblings", "place", "same_siblings", "children", "own_chars", "all_chars", "link_share", "tag_density", "stop_marks", "sibling_chars",
+    "depth", "siblings", "place", "same_siblings", "children", "own_chars", "all_chars", "link_share", "tag_density", "stop_marks", "sibling_chars", "in_flow",
 )
 _SHAPE = FEATURES.index("depth")  # from here on: place and density, not meaning
 _KIND = [FEATURES.index(x) for x in ("paragraph", "heading", "list_item")]
@@ -216,6 +220,42 @@ def parse(source: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, runs
 
 
+def flow(nodes: list[Node], chars: list[int], links: list[int]) -> tuple[list[bool], set[int]]:
+    """Which nodes belong to the page's main run of text, and the nodes whose furniture tokens it contradicts.
+
+    A node's run is the text of its own paragraphs and headings without links, twice if the page's first heading of the highest
+    level is among them; where no node has any, its own text. The longest run wins, the first of equals, with
+    siblings of its tag that have a run of a quarter of it or more (sections), and with headings beside it or beside an ancestor. Reader
+    comments stand in a container each, so they make no run together. A run of two paragraphs or more that is half
+    of all such runs, with that heading or inside of an article, is not furniture by a token like header or legal alone.
+    """
+    n = len(nodes)
+    run, count = [0] * n, [0] * n
+    for i, x in enumerate(nodes):
+        if x.parent >= 0 and (x.tag in PROSE or x.tag in HEADINGS):
+            run[x.parent] += chars[i] - links[i]
+            count[x.parent] += x.tag in PROSE
+    if not any(run):
+        run = [x.own - x.links for x in nodes]
+    top = min((i for i, x in enumerate(nodes) if x.tag in HEADINGS), key=lambda i: (nodes[i].tag, i), default=-1)
+    title = nodes[top].parent if top >= 0 else -1
+    best = max(range(n), key=lambda i: (run[i] * (2 if i == title else 1), -i))
+    inside, above = [False] * n, [best]
+    if not run[best]:
+        return inside, set()
+    inside[best] = True
+    while (up := nodes[above[-1]].parent) >= 0:
+        for k in nodes[up].kids:
+            section = len(above) == 1 and nodes[k].tag == nodes[best].tag and run[k] * 4 >= run[best]
+            if section or nodes[k].tag in HEADINGS:
+                inside[k] = True
+        above.append(up)
+    for i in range(1, n):
+        inside[i] = inside[i] or inside[nodes[i].parent]
+    of_article = title in above or any(nodes[i].tag in ARTICLE for i in above)
+    return inside, set(above) if of_article and count[best] > 1 and run[best] * 2 >= sum(r for r, c in zip(run, count, strict=True) if c > 1) else set()
+
+
 def features(nodes: list[Node]) -> np.ndarray:
     """A row of FEATURES for each node; sums over subtrees from the leaves up."""
     n = len(nodes)
@@ -226,6 +266,8 @@ def features(nodes: list[Node]) -> np.ndarray:
         links[p] += links[i]
         tags[p] += tags[i]
     out: list[tuple] = []
+    inside, held = flow(nodes, chars, links)
+    token = [bool(x.tokens & (SURE_TOKENS if i in held else FURNITURE_TOKENS)) for i, x in enumerate(nodes)]
     under_f, under_a = [False] * n, [False] * n
     places = [0] * n
     same: list[int] = [1] * n
@@ -240,15 +282,15 @@ def features(nodes: list[Node]) -> np.ndarray:
         p = x.parent
         if p >= 0:
             q = nodes[p]
-            under_f[i] = under_f[p] or q.tag in FURNITURE or bool(q.tokens & FURNITURE_TOKENS)
+            under_f[i] = under_f[p] or q.tag in FURNITURE or token[p]
             under_a[i] = under_a[p] or q.tag in ARTICLE
             siblings, around = len(q.kids), chars[p] - chars[i]
         else:
             siblings, around = 1, 0
         out.append((
-            x.tag in FURNITURE, x.tag in ARTICLE, x.tag in ("p", "pre", "blockquote"), x.tag in HEADINGS, x.tag in ("li", "ul", "ol", "dl", "dd", "dt"), bool(x.tokens & FURNITURE_TOKENS) or "hidden" in x.tokens,
+            x.tag in FURNITURE, x.tag in ARTICLE, x.tag in ("p", "pre", "blockquote"), x.tag in HEADINGS, x.tag in ("li", "ul", "ol", "dl", "dd", "dt"), token[i] or "hidden" in x.tokens,
             bool(x.tokens & ARTICLE_TOKENS), under_f[i], under_a[i], x.depth, siblings, places[i] / siblings, same[i], len(x.kids), log1p(x.own), log1p(chars[i]), links[i] / max(chars[i], 1),
-            tags[i] / max(chars[i], 1), x.marks / max(x.own, 1), log1p(around),
+            tags[i] / max(chars[i], 1), x.marks / max(x.own, 1), log1p(around), inside[i],
         ))
     return np.array(out, np.float64)
 
@@ -383,10 +425,16 @@ def fit(x: np.ndarray) -> dict:
     y = weak_labels(x)
     f = {n: x[:, i] for i, n in enumerate(FEATURES)}
     own = np.expm1(f["own_chars"])
-    if not (y == 1).any():
-        y[(y == -1) & (own > 0) & (f["link_share"] < 0.3) & ((f["paragraph"] > 0) | (f["heading"] > 0) | (own >= 100))] = 1
-    if not (y == 0).any():
-        y[(y == -1) & (f["link_share"] > 0.6)] = 0
+    text = (f["link_share"] < 0.3) & (f["in_flow"] > 0)
+    if not ((y == 1) & (own > 0)).any():
+        y[(y == -1) & text & ((f["paragraph"] > 0) | (f["heading"] > 0) | (own >= 100))] = 1
+    if not ((y == 0) & (own > 0)).any():
+        y[(y == -1) & ((f["link_share"] > 0.6) | (f["in_flow"] == 0))] = 0
+    # what is still unknown takes the label that trees of the known nodes give it clearly
+    unknown = (y == -1) & (own > 0)
+    if unknown.any():
+        odds = log_odds(boost(x[(y >= 0) & (own > 0)], y[(y >= 0) & (own > 0)].astype(float)), x[unknown])
+        y[unknown] = np.where(np.abs(odds) < 1, -1, odds > 0)
     # weighed like decoding does: nodes without text of their own are decided by what they hold
     x, y = x[(y >= 0) & (own > 0)], y[(y >= 0) & (own > 0)]
     bare, plain = x.copy(), x.copy()
