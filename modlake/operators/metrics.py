@@ -291,9 +291,11 @@ def _edits(r: str, h: str) -> Column:
 def character_error_rate(df: DataFrame, reference: str, hypothesis: str, by: list[str] | None = None) -> DataFrame:
     """cer, n: edits over reference characters on normalised texts; empty references are left out. Null if none is left.
 
-    Equal pairs of texts are compared once, with their number.
+    Equal pairs of texts are compared once, with their number. Distinct pairs are dealt to a fixed number of tasks, since
+    adaptive execution would join them by their few bytes, and a comparison takes the product of the lengths.
     """
     pairs = _compared(df, reference, hypothesis, *(by or [])).filter("r <> ''").groupBy(*(by or []), "r", "h").agg(F.count("*").alias("n"))
+    pairs = pairs.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r", "h")
     return pairs.groupBy(*(by or [])).agg((F.sum(_edits("r", "h") * F.col("n")) / F.nullif(F.sum(F.length("r") * F.col("n")), F.lit(0))).alias("cer"), F.sum("n").alias("n"))
 
 
