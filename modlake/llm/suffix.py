@@ -178,9 +178,12 @@ def repeat_groups(contexts: list[tuple[bytes, int]], length: int = LENGTH, gram:
         parts = []
         while done and done[-1][0] >= first:
             parts.append(done.pop())
-        inside = {k for a, z, _ in parts for k in range(a, z + 1)} if len(parts) > 1 else range(parts[0][0], parts[0][1] + 1) if parts else ()
         ranks = max((p[2] for p in parts), key=len, default=[])
-        new = [r for p in parts if p[2] is not ranks for r in p[2]] + [rank[order[k]] for k in range(first, last + 1) if k not in inside]
+        new = [r for p in parts if p[2] is not ranks for r in p[2]]
+        at = first
+        for a, z, _ in [*reversed(parts), (last + 1, last, [])]:  # members of no interval below lie between these
+            new += [rank[order[k]] for k in range(at, a)]
+            at = z + 1
         for r in new:
             at = bisect_left(ranks, r)
             i = by_left[r]
