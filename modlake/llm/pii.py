@@ -302,7 +302,9 @@ def disclosing_terms(docs: DataFrame, scanned: DataFrame, min_support: int = MIN
     scored = counted.join(cte, ["entity", "term"]).withColumn("pmi", F.log2(F.lit(n) * F.col("cte") / (F.col("c") * F.col("ce"))))
     scored = saved(scored.filter(F.col("pmi") >= disclosure * F.col("ic") - 1e-9).select("entity", "term", "pmi", "ic"), "pii-terms")
     everywhere = found.join(scored.filter(~part).select("term").distinct(), "term", "left_semi").select("k1", "k2", "places")
-    local = found.join(scored.filter(part).select("entity", "term"), "term").join(holds.distinct(), ["k1", "k2", "entity"], "left_semi").select("k1", "k2", "places")
+    # by text first: a frequent term never meets all texts of a hot entity
+    own = holds.filter(part).distinct().join(found.select("k1", "k2", "term"), ["k1", "k2"]).join(scored.select("entity", "term"), ["entity", "term"], "left_semi")
+    local = found.join(own.select("k1", "k2", "term"), ["k1", "k2", "term"], "left_semi").select("k1", "k2", "places")
     spans = everywhere.unionByName(local).groupBy("k1", "k2").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("places")))).alias("terms"))
     return scored, saved(spans, "pii-spans")
 
