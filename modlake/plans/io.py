@@ -14,6 +14,7 @@ from modlake.operators import joins as J
 from modlake.operators import signal as G
 from modlake.operators import validation as V
 from modlake.plans.base import query, r6, table, windows
+from modlake.sources import formats
 from modlake.sources import manifests as R
 from modlake.streaming import keyed
 
@@ -48,6 +49,18 @@ def segments_csv(spark, d):
     return out.select("clip_id", F.array_join("labels", ",").alias("labels"), "duration")
 
 
+@query("SELECT l_orderkey AS order_id, l_linenumber * 1.0::DOUBLE AS start, l_linenumber + l_quantity::DOUBLE AS \"end\", l_returnflag || ',' || l_linestatus AS mids FROM lineitem WHERE l_linenumber >= 3 AND l_quantity > 10")
+def segments_source(spark, d):
+    """Lines of orders as segment lists, read by format name; the first bound is pushed to the source, the second is Spark's."""
+    i = table(spark, d, "lineitem")
+    n = F.col("l_linenumber").cast("double")
+    text = F.concat_ws(", ", "l_orderkey", n, n + F.col("l_quantity").cast("double"), F.concat(F.lit('"'), "l_returnflag", F.lit(", "), "l_linestatus", F.lit('"')))
+    i.select(text.alias("value")).write.text(at := _place(spark, "segment-lists"))
+    formats.register(spark)
+    rows = spark.read.format("segments").load(at).filter("start >= 3 and end - start > 10")
+    return rows.select(F.col("ytid").cast("long").alias("order_id"), "start", "end", F.array_join("mids", ",").alias("mids"))
+
+
 @query("SELECT DISTINCT l_returnflag || l_linestatus AS mid, 'sound ' || l_returnflag || l_linestatus AS name FROM lineitem")
 def ontology(spark, d):
     """Line states as an ontology document, read back."""

@@ -101,6 +101,17 @@ def decode_wav(content: bytes) -> tuple[int, np.ndarray]:
         raise ValueError(str(e)) from e
 
 
+def samples_at(content: bytes, rate: int) -> tuple[list[float] | None, str | None]:
+    """Mono samples of a WAV at ``rate``, or what is wrong with it."""
+    try:
+        own, x = decode_wav(content)
+    except ValueError as e:
+        return None, str(e)
+    if own != rate and len(x):
+        x = np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x).astype(np.float32)
+    return x.tolist(), None
+
+
 def audio_files(spark: SparkSession, path: str, rate: int = 16000) -> DataFrame:
     """path, modificationTime, rate, samples, error: the WAV files of a folder as mono samples at ``rate``."""
     return audio_samples(spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path), rate)
@@ -110,18 +121,8 @@ def audio_samples(files: DataFrame, rate: int = 16000) -> DataFrame:
     """The same from rows of path, modificationTime and content; other rates are interpolated, what isn't 16-bit PCM has an error."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out, errors = [], []
-            for content in f["content"]:
-                try:
-                    own, x = decode_wav(content)
-                    if own != rate and len(x):
-                        x = np.interp(np.arange(int(len(x) * rate / own)) * own / rate, np.arange(len(x)), x).astype(np.float32)
-                    out.append(x.tolist())
-                    errors.append(None)
-                except ValueError as e:
-                    out.append(None)
-                    errors.append(str(e))
-            yield pd.DataFrame({"path": f["path"], "modificationTime": f["modificationTime"], "rate": rate, "samples": out, "error": errors})
+            read = [samples_at(content, rate) for content in f["content"]]
+            yield pd.DataFrame({"path": f["path"], "modificationTime": f["modificationTime"], "rate": rate, "samples": [x for x, _ in read], "error": [e for _, e in read]})
 
     return files.select("path", "modificationTime", "content").mapInPandas(run, "path string, modificationTime timestamp, rate int, samples array<float>, error string")
 
