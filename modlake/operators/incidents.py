@@ -151,10 +151,13 @@ def new_audio_slice(df: DataFrame, key: str, t: str, window: float = 10.0, least
 
 
 def sliding_windows(df: DataFrame, key: str, ts: str, width: str, slide: str, covered: Column, full_seconds: float, watermark: str | None = None) -> DataFrame:
-    """Complete sliding windows: key, start, end, n, covered_seconds; incomplete ones are left out. Batch or stream."""
+    """Complete sliding windows: key, start, end, n, covered_seconds; incomplete ones are left out. Batch or stream.
+
+    A window is complete if its covered seconds, to six digits, are ``full_seconds`` or more: the last bits of a sum go by the order of its rows.
+    """
     src = df.withWatermark(ts, watermark) if watermark else df
     out = src.groupBy(key, F.window(ts, width, slide)).agg(F.count("*").alias("n"), F.sum(covered).alias("covered_seconds"))
-    return out.filter(F.col("covered_seconds") >= full_seconds).select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "covered_seconds")
+    return out.filter(F.round(F.col("covered_seconds") * 1e6) / 1e6 >= full_seconds).select(key, F.col("window.start").alias("start"), F.col("window.end").alias("end"), "n", "covered_seconds")
 
 
 def stream_stats(df: DataFrame, key: str, escalate: str, skip_reason: str | None = None, asr_seconds: str | None = None) -> DataFrame:

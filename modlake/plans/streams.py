@@ -117,8 +117,9 @@ def language_policy(spark, d):
 
 
 @query(f"""WITH {WINDOWS}, s AS (SELECT DISTINCT to_timestamp((floor(epoch(ts) / 21600) - k) * 21600)::TIMESTAMP AS start FROM w, range(4) r(k))
-SELECT user_id, start, start + INTERVAL 24 HOUR AS "end", count(*) AS n, round(sum(value), 6) AS covered_seconds FROM w JOIN s ON ts >= start AND ts < start + INTERVAL 24 HOUR GROUP BY ALL HAVING sum(value) >= 60""")
+SELECT user_id, start, start + INTERVAL 24 HOUR AS "end", count(*) AS n, round(sum(value), 6) AS covered_seconds FROM w JOIN s ON ts >= start AND ts < start + INTERVAL 24 HOUR GROUP BY ALL HAVING round(sum(value), 6) >= 60""")
 def sliding_windows(spark, d):
+    """Windows of a day, each six hours, whose covered seconds to six digits are 60 or more."""
     x = I.sliding_windows(windows(spark, d), "user_id", "ts", "24 hours", "6 hours", F.col("value"), 60.0)
     return x.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n", r6("covered_seconds").alias("covered_seconds"))
 

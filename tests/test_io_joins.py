@@ -93,6 +93,14 @@ def test_streaming_windows_and_results(spark, tmp_path):
     assert got and set(got) <= set(want)  # those that the watermark has passed
 
 
+def test_a_full_window_does_not_hang_on_the_order_of_its_rows(spark):
+    """These seconds are 60; their sum as doubles is 60 from one end and 59.99999999999999 from the other."""
+    seconds = [6.71, 21.34, 16.11, 15.18, 0.66]
+    for order in (seconds, seconds[::-1]):
+        df = spark.createDataFrame([("s", x) for x in order], "k string, sec double").coalesce(1).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+        assert I.sliding_windows(df, "k", "ts", "10 seconds", "10 seconds", F.col("sec"), 60.0).count() == 1
+
+
 def test_label_similarity_against_all_pairs(spark):
     r = random.Random(4)
     rows = [(i, r.sample("abcdefgh", r.randint(0, 6))) for i in range(150)]
