@@ -2,28 +2,28 @@
 
 Documents win or lose against each other: each pair joins a document of label 1 and one of label 0, and the scores'
 difference is the log-odds that the first wins. Scores are linear in a document's features, so that the logistic loss
-goes over feature differences and needs no intercept. The threshold is a quantile of the labelled documents' scores:
-the share of label 0 among them. The result's score is the logistic of the distance to it, shifted so that the
-threshold is at ``CUT``.
+goes over feature differences and needs no intercept. Every labelled document is in pairs: both labels are ranked by a
+hash, and the ranks are joined in ``PAIRS_EACH`` shifts. Pairs stay in Spark; a Newton step is one pass of sums over them. The
+threshold is a quantile of all labelled documents' scores: the share of label 0 among them. The result's score is
+the logistic of the distance to it, shifted so that the threshold is at ``CUT``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modlake.llm.common import hashed_sample, let_go, only_ids, saved, text_or_empty
+from modlake.core import global_rank
+from modlake.llm.common import discard, let_go, only_ids, saved, text_or_empty
 
 CUT = 0.3
-#: Labelled rows of each label that the fit sees at most, drawn by a hash of the id.
-MAX_LABELLED = 10_000
-#: Preference pairs for each labelled row of the rarer label.
-PAIRS_EACH = 8
+#: Preference pairs for each labelled row of the more frequent label; Newton's steps at most, the ridge, the change that ends the steps.
+PAIRS_EACH, STEPS, RIDGE, SETTLED = 8, 50, 1e-3, 1e-8
 FEATURES = ("symbols", "upper", "exclaim", "digits", "repeats", "distinct", "stutter", "word_length", "marks", "dup_lines", "length")
 
 
@@ -60,49 +60,80 @@ def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def fit_bradley_terry(good: np.ndarray, bad: np.ndarray, seed: int = 4, ridge: float = 1e-3, steps: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and scales of a linear score such that logistic(score(a) - score(b)) is the chance that a beats b."""
+def sums_of(diff: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The gradient and the Hessian of the logistic loss of some pairs' differences at ``w``, summed up and flat."""
+    p = 1 / (1 + np.exp(-np.clip(diff @ w, -40, 40)))
+    return np.concatenate([diff.T @ (p - 1), ((diff * (p * (1 - p))[:, None]).T @ diff).ravel()])
+
+
+def newton(sums: Callable[[np.ndarray], np.ndarray], n: int, size: int, ridge: float = RIDGE, steps: int = STEPS) -> np.ndarray:
+    """Weights of the least mean logistic loss with a ridge; ``sums`` gives ``sums_of`` all ``n`` pairs at some weights."""
+    w = np.zeros(size)
+    for _ in range(steps):
+        got = sums(w) / n
+        step = np.linalg.solve(got[size:].reshape(size, size) + ridge * np.eye(size), got[:size] + ridge * w)
+        w = w - step
+        if np.abs(step).max() < SETTLED:
+            break
+    return w
+
+
+def fit_bradley_terry(good: np.ndarray, bad: np.ndarray, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and scales of a linear score such that logistic(score(a) - score(b)) is the chance that a beats b, from arrays."""
     scale = np.concatenate([good, bad]).std(0) + 1e-9
     rng = np.random.default_rng(seed)
     n = PAIRS_EACH * max(len(good), len(bad))
-    n = min(n, 8 * MAX_LABELLED)
     diff = (good[rng.integers(0, len(good), n)] - bad[rng.integers(0, len(bad), n)]) / scale
-    w = np.zeros(diff.shape[1])
-    for _ in range(steps):  # Newton's method on the mean logistic loss with a ridge
-        p = 1 / (1 + np.exp(-np.clip(diff @ w, -40, 40)))
-        grad = diff.T @ (p - 1) / n + ridge * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff / n + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w, scale
+    return newton(lambda w: sums_of(diff, w), n, diff.shape[1]), scale
+
+
+def preference_pairs(labelled: DataFrame, sizes: dict[int, int]) -> DataFrame:
+    """d: the differences of features of pairs, label 1 less label 0. Each row of the more frequent label is in ``PAIRS_EACH`` pairs, each of the rarer one in as many as make up for it."""
+    ranked = {y: global_rank(labelled.filter(F.col("y") == y).select("id", "f"), F.xxhash64("id", F.lit(y)), "id", "f", name="r") for y in (0, 1)}
+    rare = 0 if sizes[0] <= sizes[1] else 1
+    shift = F.explode(F.sequence(F.lit(0), F.lit(PAIRS_EACH - 1)))
+    many = ranked[1 - rare].select(F.col("f").alias("g"), "r", shift.alias("k"))
+    # shifts are spread over the rarer label, so that a row doesn't meet neighbours only
+    many = many.select("g", F.pmod(F.col("r") + F.floor(F.col("k") * sizes[rare] / PAIRS_EACH), F.lit(sizes[rare])).alias("at"))
+    both = many.join(ranked[rare].select("f", (F.col("r") - 1).alias("at")), "at")
+    good, bad = ("f", "g") if rare == 1 else ("g", "f")
+    return both.select(F.zip_with(good, bad, lambda a, b: a - b).alias("d"))
 
 
 def fit(labelled: DataFrame) -> dict:
-    """A model from rows (id, f, y): weights by feature, and the threshold. Without both labels every score is the same."""
-    rows = []
-    for y in (0, 1):
-        part = hashed_sample(labelled.filter(F.col("y") == y), MAX_LABELLED, "id")
-        rows.append(np.array([r.f for r in part.select("f").collect()], np.float64).reshape(-1, len(FEATURES)))
-    sizes = {r.y: r.n for r in labelled.filter("y in (0, 1)").groupBy("y").agg(F.count("*").alias("n")).collect()}
-    bad, good = rows
-    if not len(bad) or not len(good):
-        return {"w": [0.0] * len(FEATURES), "at": 0.0}
-    w, scale = fit_bradley_terry(good, bad)
-    w = w / scale
-    # the quantile of all labelled scores at the share of label 0: rows count by the size of their label
-    scores = np.concatenate([bad @ w, good @ w])
-    weight = np.concatenate([np.full(len(bad), sizes[0] / len(bad)), np.full(len(good), sizes[1] / len(good))])
-    order = np.argsort(scores, kind="stable")
-    i = min(int(np.searchsorted(np.cumsum(weight[order]), sizes[0] - 1e-6)), len(order) - 2)
-    return {"w": w.tolist(), "at": float(scores[order[i]] + scores[order[i + 1]]) / 2}
+    """A model from all rows (id, f, y): weights by feature, and the threshold. Without both labels every score is the same."""
+    size = len(FEATURES)
+    known = labelled.filter("y in (0, 1)")
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return {"w": [0.0] * size, "at": 0.0}
+    scale = np.array(known.agg(*[F.stddev_pop(F.col("f")[i]) for i in range(size)]).first(), float) + 1e-9
+    pairs = saved(preference_pairs(known, sizes), "preference-pairs")
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(size + size * size)
+            for batch in batches:
+                total += sums_of(batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) / scale, w)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+
+        return np.sum([r.s for r in pairs.mapInArrow(run, "s array<double>").collect()], axis=0)  # a row for each task
+
+    w = newton(sums, PAIRS_EACH * max(sizes.values()), size) / scale
+    discard(pairs)
+    # the quantile of all labelled scores at the share of label 0
+    scores = global_rank(known.select("id", _dot(w).alias("s")), "s", "id", name="r")
+    below = min(sizes[0], sum(sizes.values()) - 1)
+    return {"w": w.tolist(), "at": scores.filter(F.col("r").isin(below, below + 1)).agg(F.avg("s")).first()[0]}
+
+
+def _dot(w: Iterable[float]) -> Column:
+    return sum((F.col("f")[i] * F.lit(float(x)) for i, x in enumerate(w)), F.lit(0.0))
 
 
 def score_of(model: dict):
     """Score of a features column f, in 0 to 1."""
-    dot = sum((F.col("f")[i] * F.lit(float(x)) for i, x in enumerate(model["w"])), F.lit(0.0))
-    z = dot - F.lit(model["at"]) + F.lit(math.log(CUT / (1 - CUT)))
+    z = _dot(model["w"]) - F.lit(model["at"]) + F.lit(math.log(CUT / (1 - CUT)))
     return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))
 
 

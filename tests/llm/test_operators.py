@@ -325,6 +325,22 @@ def test_classifier_held_out(spark):
     assert len(odd) == len(ODD) and len({r.score for r in odd}) == 1 and ranking.classify(docs(spark, ODD).limit(0), labels).count() == 0
 
 
+def test_classifier_learns_from_every_labelled_row(spark):
+    """The threshold is the quantile of all 26,000 scores, every row is in pairs, and the weights go by all pairs."""
+    rng = np.random.default_rng(1)
+    f, y = rng.random((26_000, len(ranking.FEATURES))), (np.arange(26_000) % 13 < 11).astype(int)
+    f[:, 1] += 0.3 * y
+    df = spark.createDataFrame([(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(f, y, strict=True))], "id long, f array<double>, y int")
+    model = ranking.fit(df)
+    scores = np.sort(f @ model["w"])
+    assert model["at"] == pytest.approx((scores[3999] + scores[4000]) / 2, abs=1e-9) and np.argmax(model["w"]) == 1
+    pairs = ranking.preference_pairs(df, {0: 4_000, 1: 22_000})
+    d = np.array([r.d for r in pairs.collect()])
+    assert len(d) == 8 * 22_000 and np.allclose(d.mean(0), f[y == 1].mean(0) - f[y == 0].mean(0))
+    scale = f.std(0) + 1e-9
+    assert np.allclose(model["w"], ranking.newton(lambda w: ranking.sums_of(d / scale, w), len(d), d.shape[1]) / scale, atol=1e-9)
+
+
 def test_bradley_terry_recovers_order():
     rng = np.random.default_rng(0)
     w, _ = ranking.fit_bradley_terry(rng.normal([2, 0], 1, (400, 2)), rng.normal([0, 0], 1, (400, 2)))
