@@ -1,15 +1,16 @@
 """Near copies by set similarity: an LSH forest of MinHash signatures proposes pairs, whole sets confirm them.
 
 A text is the set of its word shingles. ``TREES`` trees sort all signatures, each by its own order of the signature's values; texts
-with a long common prefix stand side by side. A region of a tree is all texts with the same first ``DEPTHS[0]`` values; one of
-more than ``HOT`` texts is cut by more values, so that depth adapts to each region. Two texts of similarity ``s`` share a region of
-depth d in some tree but for a chance of (1 - s^d)^TREES: 7e-10 at 0.8 and depth 4.
+with a long common prefix stand side by side. A region of a tree is all texts with the same first ``DEPTHS[0]`` values, however many. Two texts
+of similarity ``s`` share a region in some tree but for a chance of (1 - s^4)^TREES: 7e-10 at 0.8.
 
 In a region, pairs whose signatures agree in ``AGREE`` values are candidates: a pair of similarity 0.8 or more agrees less with a
-chance of 3e-7. The first round takes neighbours by longest common prefix, and each text with the first of its region. What its
-confirmed links leave in different components is then compared with all others of its regions: a text outside of a region's largest
-component visits each other component that has a candidate for it, and is held against all whole sets of that component at once. So a
-class of copies isn't compared in all its pairs, no partner is left out, and the links are complete for components.
+chance of 3e-7. The first round takes neighbours by longest common prefix, and each text with the first of its region; for this round
+only, a region of more than ``HOT`` texts is cut by more values. What its confirmed links leave in different components is then compared
+with all others of its regions, whole ones: a text outside of a region's largest component visits each other component that has a
+candidate for it, and is held against all whole sets of that component at once. A region of more than ``HOT`` texts is laid out in
+blocks of about ``HOT`` visiting by ``HOT`` staying texts, each in a task of its own. So a class of copies isn't compared in all its
+pairs, no partner is left out, and the links are complete for components.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ TREES, DEPTHS = 40, (4, 8, 12, 16)
 VALUES = TREES * DEPTHS[0]
 #: Values of two signatures that agree at least: five standard deviations below what a similarity of 0.8 makes them.
 AGREE = 103
-#: Texts of a region above which it is cut deeper; neighbours on each side in the first round; signatures compared at once.
+#: Texts of a region above which it is cut for the first round and in blocks for the second; neighbours on each side in the first round; signatures compared at once.
 HOT, BESIDE, AT_ONCE = 20_000, 2, 100_000
 #: Shingles whose values are computed at once; shingles of a component that one task holds.
 SLICE, PART = 2_048, 500_000
@@ -89,12 +90,12 @@ def _keys(nodes: DataFrame, depth: int) -> DataFrame:
     return nodes.select("node", "sig", "trees").mapInArrow(run, "region long, tree int, node long")
 
 
-def regions(nodes: DataFrame, hot: int = HOT) -> DataFrame:
-    """region, tree, node: the regions of two texts or more, each as deep as makes it at most ``hot`` texts.
+def regions(nodes: DataFrame, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables of region, tree, node: the regions of two to ``hot`` texts; the larger ones; and these cut to about ``hot``, for the first round.
 
-    What is larger at the last depth is dealt out by a hash; texts of one signature are tried with the first of them anyway.
+    A cut goes by more values, and what is larger at the last depth is dealt out by a hash.
     """
-    now, out, used = nodes.withColumn("trees", F.lit(None).cast("array<int>")), None, []
+    now, out, whole, crowded, used = nodes.withColumn("trees", F.lit(None).cast("array<int>")), None, None, None, []
     for depth in DEPTHS:
         keys = saved(_keys(now, depth), "forest-keys")
         used.append(keys)
@@ -104,16 +105,21 @@ def regions(nodes: DataFrame, hot: int = HOT) -> DataFrame:
             part = parts.filter("count > 1").select("region", "tree", "node")
         else:
             part = keys.join(counts.filter(f"count between 2 and {hot}").select("region"), "region").select("region", "tree", "node")
-        out = part if out is None else out.unionByName(part)
+        if whole is None:
+            whole, out = saved(part, "regions"), part.limit(0)
+        else:
+            out = out.unionByName(part)
         large = saved(counts.filter(F.col("count") > hot).select("region"), "large-regions")
         used.append(large)
+        if crowded is None:
+            crowded = saved(keys.join(large, "region", "left_semi").select("region", "tree", "node"), "crowded")
         if depth == DEPTHS[-1] or not large.head(1):
             break
         deeper = keys.join(large, "region", "left_semi").groupBy("node").agg(F.collect_list("tree").alias("trees"))  # at most TREES
         now = nodes.join(deeper, "node")
-    done = saved(out, "regions")
+    cut = saved(out, "cut-regions")
     discard(*used)
-    return done
+    return whole, crowded, cut
 
 
 def _estimated(sig: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
@@ -153,8 +159,41 @@ def apart(sig: np.ndarray, n: np.ndarray, root: np.ndarray, similarity: float) -
     return np.concatenate(some_i), np.concatenate(some_r)
 
 
+def across(sig: np.ndarray, n: np.ndarray, node: np.ndarray, root: np.ndarray, main: int, comes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root of another component) of a block: each text that comes with each component of which a staying text is a candidate for it.
+
+    As ``apart`` does for a whole region: of two texts outside of the largest component ``main``, the one of the smaller node comes to the other.
+    """
+    stay = np.flatnonzero(~comes)
+    stay = stay[np.argsort(n[stay], kind="stable")]
+    sizes, sigs = n[stay], sig[stay]
+    some_a, some_r = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in np.flatnonzero(comes):
+        low, high = np.searchsorted(sizes, similarity * n[i] - 1e-9), np.searchsorted(sizes, n[i] / similarity + 1e-9, "right")
+        j = stay[low + np.flatnonzero((sigs[low:high] == sig[i]).sum(1, dtype=np.uint8) >= AGREE)]
+        found = np.unique(root[j[(root[j] != root[i]) & ((root[j] == main) | (node[i] < node[j]))]])
+        some_a.append(np.full(len(found), node[i])), some_r.append(found)
+    return np.concatenate(some_a), np.concatenate(some_r)
+
+
+def blocks(crowded: DataFrame, hot: int) -> DataFrame:
+    """region (a block's), tree, node, root, main, comes: the blocks of crowded regions (region, tree, node, root) of more than one component.
+
+    ``main`` is a region's largest component. Each block has one part of the texts outside of it, which come, and one part of all texts, which stay.
+    """
+    sizes = crowded.groupBy("region", "root").count().groupBy("region").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("most"))
+    sizes = sizes.filter("n > most").select("region", "main", F.ceil(F.col("n") / hot).cast("int").alias("stays"), F.ceil((F.col("n") - F.col("most")) / hot).cast("int").alias("comers"))
+    x = crowded.join(sizes, "region")
+    all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    stay = x.withColumns({"p": part("stays"), "comes": F.lit(False)}).withColumn("q", all_of("comers"))
+    come = x.filter("root <> main").withColumns({"q": part("comers"), "comes": F.lit(True)}).withColumn("p", all_of("stays"))
+    return stay.unionByName(come).select(F.xxhash64("region", "p", "q").alias("region"), "tree", "node", "root", "main", "comes")
+
+
 def _candidates(rows: DataFrame, first: bool, similarity: float) -> DataFrame:
-    """a, b of each region of ``rows`` (region, tree, node, n, sig, root): ``neighbours``, or texts and the roots that are ``apart`` from them."""
+    """a, b of each region of ``rows`` (region, tree, node, n, sig, root; main and comes for ``blocks``): ``neighbours``, or texts and the roots that are apart from them."""
+    own = ["region", "tree", "node", "n", "sig", "root", *(c for c in ("main", "comes") if c in rows.columns)]
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
@@ -163,6 +202,8 @@ def _candidates(rows: DataFrame, first: bool, similarity: float) -> DataFrame:
         if first:
             i, j = neighbours(sig, n, t["tree"][0].as_py(), similarity)
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+        elif "comes" in own:
+            a, b = across(sig, n, node, root, t["main"][0].as_py(), t["comes"].to_numpy(), similarity)
         else:
             i, b = apart(sig, n, root, similarity)
             a = node[i]
@@ -188,7 +229,7 @@ def _candidates(rows: DataFrame, first: bool, similarity: float) -> DataFrame:
             yield pairs(pa.Table.from_batches(kept))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("region", "tree", "node", "n", "sig", "root").repartition(parts, "region").sortWithinPartitions("region")
+    dealt = rows.select(*own).repartition(parts, "region").sortWithinPartitions("region")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -250,11 +291,13 @@ def _met(visits: DataFrame, rooted: DataFrame, sets: DataFrame, similarity: floa
 
 def _links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, first: DataFrame | None, hot: int) -> DataFrame:
     """node, root: components of the similar nodes."""
-    where = regions(nodes.select("node", "sig"), hot)
+    whole, crowded, cut = regions(nodes.select("node", "sig"), hot)
+    where = whole.unionByName(cut)
     twins = nodes.groupBy("sig").agg(F.min("node").alias("a"), F.count("*").alias("c")).filter("c > 1").join(nodes.select("sig", "node"), "sig").select("a", F.col("node").alias("b"))
     begin = twins if first is None else twins.unionByName(first)
     begin = saved(begin.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first-pairs")
-    of = saved(nodes.join(where.select("node").unionByName(begin.select(F.explode(F.array("a", "b")).alias("node"))).distinct(), "node", "left_semi").select("node", "low"), "forest-nodes")
+    taking_part = whole.select("node").unionByName(crowded.select("node")).unionByName(begin.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    of = saved(nodes.join(taking_part, "node", "left_semi").select("node", "low"), "forest-nodes")
     sets = saved(whole_sets(docs, words, marked(of, "node"), marked(of, "low"), bool(of.filter("low is null").head(1))).join(of.select("node"), "node", "left_semi").dropDuplicates(["node"]), "forest-sets")
 
     described = where.join(nodes.select("node", "n", "sig"), "node")
@@ -262,13 +305,20 @@ def _links(nodes: DataFrame, docs: DataFrame, words: int, similarity: float, fir
     near = saved(_confirmed(pairs, sets, similarity).filter("similar").select("a", "b"), "confirmed")
     roots = components(near)
 
-    rooted = saved(where.join(roots, "node", "left").select("region", "tree", "node", F.coalesce("root", "node").alias("root")), "rooted")
+    with_root = lambda rows: rows.join(roots, "node", "left").select("region", "tree", "node", F.coalesce("root", "node").alias("root"))
+    rooted = saved(with_root(whole), "rooted")
     split = rooted.groupBy("region").agg((F.min("root") != F.max("root")).alias("split")).filter("split").select("region")
     some = rooted.join(split, "region", "left_semi").join(nodes.select("node", "n", "sig"), "node")
-    visits = saved(_candidates(some, False, similarity), "visits")
-    more = saved(_met(visits, rooted.select("node", "root").distinct(), sets, similarity), "met")
+    visits, members = _candidates(some, False, similarity), rooted.select("node", "root")
+    large = []
+    if crowded.head(1):
+        large = [saved(with_root(crowded), "rooted-crowded")]
+        laid = blocks(large[0], hot).join(nodes.select("node", "n", "sig"), "node")
+        visits, members = visits.unionByName(_candidates(laid, False, similarity)).distinct(), members.unionByName(large[0].select("node", "root"))
+    visits = saved(visits, "visits")
+    more = saved(_met(visits, members.distinct(), sets, similarity), "met")
     done = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(more))
-    discard(where, begin, of, sets, near, rooted, visits, more)
+    discard(whole, crowded, cut, begin, of, sets, near, rooted, *large, visits, more)
     return done
 
 

@@ -214,3 +214,16 @@ def test_cells_come_by_bound_and_hold_every_score():
     assert sorted(c for c, _ in visits) == list(range(30)) and [v for _, v in visits] == sorted((v for _, v in visits), reverse=True)
     bound = dict(visits)
     assert all(bound[c] >= s for c, s in zip(a * 6 + b, x @ q, strict=True))
+
+
+def test_pairs_in_crowded_regions_are_all_found(spark):
+    """100 texts of one long shared part (0.77 alike), each with a partner just above the limit (0.81): what deep cuts of a region would part."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    shared, rows = [word() for _ in range(200)], []
+    for k in range(50):
+        pair = [word() for _ in range(5)]
+        rows += [(2 * k + j, " ".join(shared + pair + [word() for _ in range(24)])) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in forest.near_copies(df, hot=2).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
