@@ -5,12 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Clips whose features are sent on in one batch, so that a task holds these and not those of a whole batch of samples.
+AT_ONCE = 64
+
+
 def frame_signal(samples: str, size: int, hop: int) -> Column:
     """Overlapping frames; only full ones."""
     n = F.size(samples)
@@ -37,14 +41,27 @@ def mel_bank(rate: int, size: int, mels: int, low: float, high: float) -> np.nda
 def log_mel(df: DataFrame, row_id: str, samples: str, rate: int = 16000, size: int = 1024, hop: int = 320, mels: int = 128, low: float = 50.0, high: float = 8000.0) -> DataFrame:
     """row_id, feature (mels x (1 + samples // hop) frames): log(mel power + 1e-6). One row a clip; null or empty samples give null."""
     schema = df.select(row_id).schema.add("feature", T.ArrayType(T.ArrayType(T.FloatType())))
+    kind = pa.list_(pa.list_(pa.float32()))
+
+    def features(x: np.ndarray, bank: np.ndarray) -> pa.Array:
+        mel = np.log(bank @ _power(x, size, hop).T + 1e-6).astype(np.float32)
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(mel) + 1, dtype=np.int32) * mel.shape[1]), pa.array(mel.ravel()))
+        return pa.ListArray.from_arrays(pa.array([0, len(mel)], pa.int32()), rows)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bank = mel_bank(rate, size, mels, low, high)
-        for f in frames:
-            out = [None if x is None or not len(x) else [r.astype(np.float32).tolist() for r in np.log(bank @ _power(np.asarray(x, float), size, hop).T + 1e-6)] for x in f[samples]]
-            yield pd.DataFrame({row_id: f[row_id], "feature": out})
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                out = [features(_samples(x), bank) if x.is_valid and len(x) else pa.nulls(1, kind) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.concat_arrays(out).cast(kind)], [row_id, "feature"])
+
+    return df.select(row_id, samples).mapInArrow(run, schema)
+
 
-    return df.select(row_id, samples).mapInPandas(run, schema)
+def _samples(x: pa.ListScalar) -> np.ndarray:
+    """The samples of one clip as doubles, null as NaN."""
+    return x.values.cast(pa.float64()).to_numpy(zero_copy_only=False)
 
 
 def speech_likelihood(x: np.ndarray, rate: int = 16000, size: int = 512, hop: int = 256) -> float:
@@ -68,11 +85,14 @@ def speech_score(df: DataFrame, row_id: str, samples: str, rate: int = 16000, si
     """row_id, score: ``speech_likelihood`` of each sample array, a diagnostic. Null samples give null."""
     schema = df.select(row_id).schema.add("score", "double")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({row_id: f[row_id], "score": [None if x is None else speech_likelihood(np.asarray(x, float), rate, size, hop) for x in f[samples]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(at, AT_ONCE)
+                score = [speech_likelihood(_samples(x), rate, size, hop) if x.is_valid else None for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], [row_id, "score"])
 
-    return df.select(row_id, samples).mapInPandas(run, schema)
+    return df.select(row_id, samples).mapInArrow(run, schema)
 
 
 def fit_norm_stats(df: DataFrame, feature: str) -> DataFrame:
