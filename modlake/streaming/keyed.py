@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -131,12 +132,20 @@ def score_hook(df: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Dat
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for frame in frames:
+            parts, errors = [], []
             for at in range(0, len(frame), batch or max(len(frame), 1)):
                 f = frame.iloc[at : at + (batch or len(frame))].reset_index(drop=True)
                 try:
-                    got, error = model(f)[names].reset_index(drop=True), None
+                    got, error = model(f)[names], None
+                    columns = [got[n].to_numpy() for n in names]
+                    if any(len(c) != len(f) for c in columns):
+                        raise ValueError(f"the model gave {len(got)} rows for {len(f)}")
                 except Exception as e:  # noqa: BLE001  the hook fails open
-                    got, error = pd.DataFrame({n: [None] * len(f) for n in names}), str(e)[:300]
-                yield pd.concat([f, got.assign(error=error)], axis=1)
+                    columns, error = [np.full(len(f), None, object) for _ in names], str(e)[:300]
+                parts.append(columns)
+                errors.append(np.full(len(f), error, object))
+            if parts:  # one frame out for one in: joining them costs more than most models do on a few rows
+                joined = {n: np.concatenate([p[i] for p in parts]) for i, n in enumerate(names)}
+                yield frame.reset_index(drop=True).assign(**joined, error=np.concatenate(errors))
 
     return df.mapInPandas(run, T.StructType([*df.schema.fields, *extra.fields]))
