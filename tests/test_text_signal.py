@@ -229,3 +229,59 @@ def test_compact_audible(spark):
     assert r.start == 0 and r.end == pytest.approx(13 * 0.04 + 0.12)
     rep = report.first()
     assert rep.kept_seconds + rep.removed_seconds == pytest.approx(len(on) * 0.04)
+
+
+class _Batches:
+    """A table of one Arrow batch, to see in what pieces a function sends on its rows."""
+
+    def __init__(self, batch, schema):
+        self.batch, self.schema = batch, schema
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        return [x.num_rows for x in f(iter([self.batch]))]
+
+    def mapInPandas(self, f, _):
+        return [len(x) for x in f(iter([self.batch.to_pandas()]))]
+
+
+def test_features_of_many_clips_are_sent_on_in_pieces():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    clips = [[0.1] * 2048, None, [], *[[0.0, 0.5] * 1024] * 397]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(clips, pa.list_(pa.float32()))], ["id", "x"])
+    df = _Batches(batch, T.StructType([T.StructField("id", T.LongType())]))
+    sizes = G.log_mel(df, "id", "x")
+    assert sum(sizes) == 400 and max(sizes) <= 64
+
+
+def test_a_hook_of_small_calls_sends_on_whole_frames():
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from modlake.streaming import keyed
+
+    calls = []
+
+    def load():
+        return lambda f: calls.append(list(f.index)) or pd.DataFrame({"p": f["x"] * 2})
+
+    df = _Batches(pa.RecordBatch.from_arrays([pa.array(range(100))], ["x"]), T.StructType([T.StructField("x", T.LongType())]))
+    assert keyed.score_hook(df, load, "p long", batch=32) == [100]
+    assert calls == [list(range(n)) for n in (32, 32, 32, 4)]
+
+
+def test_the_pattern_of_one_edit_misses_no_span():
+    import random
+    import re
+
+    r = random.Random(0)
+    for _ in range(3000):
+        term, span = ("".join(r.choices("ab.", k=k)) for k in (r.randint(3, 4), r.randint(2, 5)))
+        near = span in {term[:i] + c + term[j:] for i in range(len(term) + 1) for j in (i, i + 1) for c in ("", "a", "b", ".")}
+        if near and span[0] == term[0]:
+            assert re.match(X.within_one([term]), span + "z"), (term, span)
