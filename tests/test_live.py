@@ -78,3 +78,65 @@ def test_a_silent_stream_is_closed_and_forgotten(spark, tmp_path):
 
 def test_an_empty_stream_gives_nothing(spark, tmp_path):
     assert stream_of(spark, tmp_path, [[]], **HOW).count() == 0
+
+
+class Counted:
+    """A state store in memory that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.values, self.value = 0, [], None
+
+    def getListState(self, *a):
+        return self
+
+    def getValueState(self, *a):
+        return Value(self)
+
+    def registerTimer(self, ms):
+        self.calls += 1
+
+    def appendValue(self, v):
+        self.calls, self.values = self.calls + 1, [*self.values, v]
+
+    def get(self):
+        self.calls += 1
+        return iter(self.values)
+
+    def clear(self):
+        self.calls, self.values = self.calls + 1, []
+
+
+class Value:
+    def __init__(self, store):
+        self.store = store
+
+    def get(self):
+        self.store.calls += 1
+        return self.store.value
+
+    def update(self, v):
+        self.store.calls, self.store.value = self.store.calls + 1, v
+
+
+class Moment:
+    getCurrentWatermarkInMs = getExpiryTimeInMs = lambda self: 10**9
+
+
+@pytest.mark.parametrize("streams", [1, 300])
+def test_calls_of_the_state_store_do_not_grow_with_the_streams(spark, streams):
+    T = live.T
+    schema = T._parse_datatype_string("k long, t double, acoustic double, text double, transcript string, gates boolean, usable boolean, _us long")
+    p, store = live.EngineProcessor(schema, "k", ["t"], "t", 4.0, 0.4, {"gate": 0.0, "acoustic": 0.5, "text": 0.5}, 6.0, 10.0, 1e6), Counted()
+    p.init(store)
+    rows = [(k, float(t), 0.9, None, "", True, False, t * 1000000) for t in range(3) for k in range(streams)]
+    assert list(p.handleInputRows((0,), iter(rows), Moment())) == []
+    out = list(p.handleExpiredTimer((0,), Moment(), Moment()))
+    assert sorted(r.k for r in out) == sorted(r[0] for r in rows) and {r.incident for r in out} == {1}
+    assert store.calls <= 7
+
+
+def test_streams_that_share_a_state_stay_apart(spark, tmp_path):
+    rows = made(20)
+    batch = engine.moderate(heard(spark, rows), "k", ["t", "id"], **HOW)
+    out = stream_of(spark, tmp_path, [rows], end=1e7, idle=1e6, groups=1, **HOW)
+    assert rows_of(live.windows(out), *COLUMNS) == rows_of(batch, *COLUMNS)
