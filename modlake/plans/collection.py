@@ -304,7 +304,8 @@ u AS (SELECT doc_id, t AS u FROM f UNION ALL SELECT doc_id, s FROM s2 UNION ALL
 SELECT doc_id, count(*) AS units, md5(string_agg(u, '|' ORDER BY u)) AS content FROM (SELECT DISTINCT doc_id, u FROM u WHERE u <> '') GROUP BY 1""")
 def text_units(spark, d):
     """The distinct views of each text: sentences, clauses, windows."""
-    u = table(spark, d, "documents").select("doc_id", F.array_sort(X.text_units(F.col("text"))).alias("u")).filter("size(u) > 0")
+    t = table(spark, d, "documents").filter(F.col("text").rlike(r"(?U)\S"))  # a filter by the units would compute them once more
+    u = t.select("doc_id", F.sort_array(X.text_units(F.col("text"))).alias("u"))
     return u.select("doc_id", F.size("u").cast("long").alias("units"), F.md5(F.array_join("u", "|")).alias("content"))
 
 

@@ -13,6 +13,7 @@ from modlake.operators import sampling as P
 from modlake.operators import signal as G
 from modlake.operators import spans as S
 from modlake.operators import validation as V
+from modlake.plans import registry
 from modlake.sources import manifests as R
 
 
@@ -72,6 +73,19 @@ def loop_units(text):
     return [found.setdefault(p, p) for p in pieces if p and p not in found]
 
 
+@pytest.mark.parametrize("name", ["text_units"])
+def test_units_are_computed_once(spark, data, name):
+    plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1
+
+
+def test_units_of_texts_with_odd_space(spark):
+    pieces = ["a", "b c", " \n ", "\n", "\u00a0\n", ". ", "! \n\u3000", ", ", "\u2003;", " - ", "\t", "  ", "one two three four five six seven eight nine\u00a0ten"]
+    r = random.Random(5)
+    xs = ["".join(r.choice(pieces) for _ in range(r.randint(1, 12))) for _ in range(400)]
+    assert column(texts(spark, xs), X.text_units(F.col("text"))) == [loop_units(x) for x in xs]
+
+
 def test_text_units(spark):
     words = [f"w{i}" for i in range(17)]
     (u,) = column(texts(spark, [" ".join(words)]), X.text_units(F.col("text")))
