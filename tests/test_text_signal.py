@@ -73,7 +73,7 @@ def loop_units(text):
     return [found.setdefault(p, p) for p in pieces if p and p not in found]
 
 
-@pytest.mark.parametrize("name", ["text_units"])
+@pytest.mark.parametrize("name", ["text_units", "hybrid_text_score"])
 def test_units_are_computed_once(spark, data, name):
     plan = registry.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct") == 1
