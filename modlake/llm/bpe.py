@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlake.llm.common import KEPT, text_or_empty
+from modlake.llm.common import KEPT, lean, text_or_empty
 
 #: Pieces in a worker's table after which it is emptied before the next slice.
 CACHE = 120_000
@@ -291,6 +291,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     at = default_vocabulary()
     at = (path or at[0], pattern or at[1])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabulary.of(*at)
         for batch in batches:
@@ -323,6 +324,7 @@ def decode(df: DataFrame, path: str | None = None, pattern: str | None = None, k
     rest = df.drop("ids")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", decoded_sha256 string" + ", decoded binary" * keep_bytes
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(_ranks(at[0]))  # decoding needs no merges
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modlake.llm import simhash
-from modlake.llm.common import discard, let_go, only_ids, saved, text_or_empty
+from modlake.llm.common import discard, lean, let_go, only_ids, saved, text_or_empty
 from modlake.llm.graph import components
 from modlake.llm.shingles import WORDS, fingerprint_of_set, marked, node_of, shingles_of, whole_sets
 
@@ -56,6 +56,7 @@ def signature_of(x: np.ndarray) -> np.ndarray:
 def _described(docs: DataFrame, words: int, fingerprint: bool) -> DataFrame:
     """doc_id, node (hash of the set), n, fp, sig of each text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
@@ -73,6 +74,7 @@ def _keys(nodes: DataFrame, depth: int) -> DataFrame:
     """region, tree, node: the hash of each tree's first ``depth`` values. ``nodes``: node, sig, trees (null: all of them)."""
     weights = np.random.default_rng(depth).integers(0, 1 << 63, (TREES, depth, 256), dtype=np.int64).view(np.uint64)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -209,6 +211,7 @@ def _candidates(rows: DataFrame, first: bool, similarity: float) -> DataFrame:
             a = node[i]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         kept = []
@@ -254,6 +257,7 @@ def _met(visits: DataFrame, rooted: DataFrame, sets: DataFrame, similarity: floa
     come = come.join(sets, "node").select("root", "part", "kind", "node", "x")
     hundredths = round(100 * similarity)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         now, nodes, lists, index = None, [], [], None

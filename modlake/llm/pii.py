@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlake.llm.common import let_go, saved, text_or_empty
+from modlake.llm.common import lean, let_go, saved, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 _FIND = {
@@ -164,6 +164,7 @@ def _keys(texts: list[str]) -> list[pa.Array]:
 def _scan(docs: DataFrame) -> DataFrame:
     """What is found in each text of doc_id, text."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
@@ -189,6 +190,7 @@ def _bucket(term: str) -> int:
 def _marks(terms: DataFrame) -> np.ndarray:
     """The buckets of the terms: a filter of fixed size that lets some others pass and loses none."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([_bucket(t) for t in batch.column(0).to_pylist()], pa.int32())], ["bucket"])
@@ -217,6 +219,7 @@ class Wanted(dict):
 def _count_terms(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """term, c: documents that hold the term, of the terms whose bucket is wanted."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, term = Counter(), Wanted(wanted).__getitem__
 
@@ -244,6 +247,7 @@ def _occurrences(docs: DataFrame, terms: DataFrame, everywhere: DataFrame, with_
     wide, narrow = _marks(everywhere), _marks(terms)
     places = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         in_all, in_some = Wanted(wide).__getitem__, Wanted(narrow).__getitem__
         for batch in batches:
@@ -372,6 +376,7 @@ def sanitise(df: DataFrame, text_col: str = "text", n_col: str | None = None) ->
         keyed = _with_keys(rows, text_col, _text_marks(given[1]))
         rows = keyed.filter("k1 is null").select("row", no_terms).unionByName(keyed.filter("k1 is not null").join(given[1], ["k1", "k2"], "left").select("row", "terms"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fields = dict(zip(cols, batch.column(0).flatten(), strict=True))
@@ -406,6 +411,7 @@ def _text_marks(texts: DataFrame) -> np.ndarray:
 def _with_keys(rows: DataFrame, text_col: str, marks: np.ndarray) -> DataFrame:
     """row, k1, k2: the text's hashes where its bucket is marked, else null."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(0).field(text_col).to_pylist()]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from modlake.core import global_rank
-from modlake.llm.common import discard, let_go, only_ids, saved, text_or_empty
+from modlake.llm.common import discard, lean, let_go, only_ids, saved, text_or_empty
 
 CUT = 0.3
 #: Preference pairs for each labelled row of the more frequent label; Newton's steps at most, the ridge, the change that ends the steps.
@@ -48,6 +48,7 @@ def with_features(df: DataFrame, text_col: str = "text") -> DataFrame:
     rest = df.drop(text_col)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rest.schema) + "f array<double>"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for batch in batches:
@@ -111,6 +112,7 @@ def fit(labelled: DataFrame) -> dict:
     pairs = saved(preference_pairs(known, sizes), "preference-pairs")
 
     def sums(w: np.ndarray) -> np.ndarray:
+        @lean
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size + size * size)
             for batch in batches:

@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modlake.llm.common import lean
+
 WORDS = 5
 #: Marks of the filter of wanted texts; shingles whose votes are counted at once.
 MARKS, VOTES = 1 << 19, 1 << 16
@@ -45,6 +47,7 @@ def node_of(x: np.ndarray) -> int:
 def whole_sets(docs: DataFrame, words: int, nodes: np.ndarray, ids: np.ndarray, no_id: bool) -> DataFrame:
     """node, x: the whole sets of the texts whose node and doc_id are marked, so that of copies mostly one is passed on."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modlake.llm.common import let_go, only_ids, saved, text_or_empty
+from modlake.llm.common import lean, let_go, only_ids, saved, text_or_empty
 from modlake.llm.graph import components
 
 RADIUS = 4
@@ -70,6 +70,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", words: int = 4, name
     """``df`` with the signed fingerprint of each whole text; a null or wordless text has 0."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` long"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(text_col))
@@ -190,6 +191,7 @@ def spanning_links(shard: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> t
     return linked, label[linked]
 
 
+@lean
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, fp) in the order of key -> links a, b. A shard may begin in one batch and end in another."""
     let_go()

@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from modlake.llm import forest, mixing, pii, ranking, simhash
+from modlake.llm import common, forest, mixing, pii, ranking, simhash
 from modlake.llm.common import table
 
 
@@ -117,3 +119,23 @@ def test_loose_groups_are_joined(spark):
     for hot in (forest.HOT, 60):
         assert {x.doc_id: x.component_id for x in forest.near_copies(df, words=5, hot=hot).collect()} == want
     assert 1 < len(low) < 140
+
+
+def test_a_task_gives_its_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    run = common.lean(lambda batches: (b.slice(1) for b in batches))
+    assert [b.to_pydict() for b in run(iter([batch, batch]))] == [{"x": [2]}] * 2 and given == [1]
+    early = run(iter([batch, batch]))
+    next(early)
+    early.close()
+    assert given == [1, 1]
+
+    def fails(batches):
+        yield next(batches)
+        raise ValueError
+
+    with pytest.raises(ValueError):
+        list(common.lean(fails)(iter([batch])))
+    assert given == [1, 1, 1]
