@@ -6,7 +6,11 @@ id), AUROC averages them, thresholds and recall at a false-positive rate move ov
 
 from __future__ import annotations
 
+import hashlib
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,8 +181,8 @@ def report_json(df: DataFrame, name: str = "report") -> DataFrame:
     return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias(name))
 
 
-#: Counts up to which a Poisson weight is drawn from its exact distribution.
-EXACT = 30
+#: Counts up to which a Poisson weight is drawn from its exact distribution; replicates that a task draws at once.
+EXACT, RUN = 30, 20
 
 
 def poisson_cdf(n: Column) -> Column:
@@ -211,8 +215,8 @@ def bootstrap_compare(df: DataFrame, replicates: int = 2000, bins: int = 100, se
 
     The three first are exact. For the resamples scores go into ``bins`` bins by the share of rows below them, so that range
     and skew don't matter; rows of one label and one pair of bins are a cell. The weights of a cell's rows sum up to a Poisson
-    number around its count, drawn from an md5 of seed, replicate and cell: replicates draw from the at most 2 bins^2 cells (which are
-    broadcast) and not from the rows, and repeat anywhere. Replicates with one kind only are skipped. Rows with a null label or score
+    number around its count, drawn from an md5 of seed, replicate and cell: replicates draw from the at most 2 bins^2 cells and not
+    from the rows (``drawn_areas``), and repeat anywhere. Replicates with one kind only are skipped. Rows with a null label or score
     are left out; nulls where a kind is missing.
     """
     rows = saved(df.select((F.col(y) == 1).cast("int").alias("y"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).dropna(), "pairs")
@@ -222,14 +226,7 @@ def bootstrap_compare(df: DataFrame, replicates: int = 2000, bins: int = 100, se
         each = global_rank(rows.groupBy(c).agg(F.count("*").alias("own")), c, name="_rank", sums={"upto": F.col("own")})
         cells = cells.join(each.select(c, F.floor(F.lit(bins) * (F.col("upto") - F.col("own")) / F.lit(n)).cast("int").alias(f"{c}_bin")), c)
     cells = saved(cells.groupBy("y", "a_bin", "b_bin").agg(F.count("*").alias("n")), "cells")
-    drawn = df.sparkSession.range(replicates).join(F.broadcast(cells.withColumn("cdf", F.when(F.col("n") <= EXACT, poisson_cdf(F.col("n"))))))
-    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("id").cast("string"), F.col("y").cast("string"), F.col("a_bin").cast("string"), F.col("b_bin").cast("string")))
-    drawn = drawn.select("id", "y", "a_bin", "b_bin", poisson_weight(F.col("n"), F.col("cdf"), digest).alias("w")).filter("w > 0")
-    sided = drawn.select("id", "y", "w", F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col("a_bin").alias("bin")), F.struct(F.lit("b").alias("side"), F.col("b_bin").alias("bin")))).alias("x"))
-    binned = sided.groupBy("id", "x.side", "x.bin").agg(F.sum(F.col("w") * F.col("y")).alias("pos"), F.sum(F.col("w") * (1 - F.col("y"))).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("id", "side").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each bin
-    areas = binned.withColumn("below", below).groupBy("id").agg(_on("a").alias("a"), _on("b").alias("b"))
-    drawn = areas.select((F.col("b") - F.col("a")).alias("d")).filter("d is not null")
+    drawn = drawn_areas(cells, replicates, seed).select((F.col("b") - F.col("a")).alias("d")).filter("d is not null")
     spread = drawn.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") > 0).cast("double")).alias("p_better"))
     both = rows.select(F.explode(F.create_map(F.lit("a"), F.col("a"), F.lit("b"), F.col("b"))).alias(KEY, "score"), "y")
     exact = auroc(both).agg(*[F.max(F.when(F.col(KEY) == k, F.col("auroc"))).alias(f"auroc_{k}") for k in "ab"])
@@ -237,10 +234,50 @@ def bootstrap_compare(df: DataFrame, replicates: int = 2000, bins: int = 100, se
     return out.select("auroc_a", "auroc_b", (F.col("auroc_b") - F.col("auroc_a")).alias("delta"), "low", "high", "p_better", ((F.col("low") > 0) | (F.col("high") < 0)).alias("significant"))
 
 
-def _on(side: str) -> Column:
-    """The area of one side from bins with pos, neg and the negatives below; null where a kind is missing."""
-    own = lambda c: F.sum(F.when(F.col("side") == side, c))
-    return own(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(own(F.col("pos")) * own(F.col("neg")), F.lit(0))
+def _poisson_numbers(n: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """``poisson_weight`` of counts in ascending order, by their uniforms; counts up to ``EXACT`` are looked up, one search a count."""
+    z = np.sqrt(-2 * np.log(1 - u)) * np.cos(2 * np.pi * v)
+    out = np.maximum(np.floor(n + np.sqrt(n) * z + (z * z - 1) / 6 + 0.5), 0)
+    for k in np.unique(n[n <= EXACT]).tolist():
+        p = c = math.exp(-k)
+        cdf = [c]
+        for i in range(1, math.ceil(k + 9 * math.sqrt(k) + 20) + 1):
+            p = p * k / i
+            cdf.append(c := c + p)
+        at = slice(*np.searchsorted(n, [k, k + 1]))
+        out[at] = np.searchsorted(cdf, u[at], "right")
+    return out
+
+
+def drawn_areas(cells: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """id, a, b: the areas of both sides in each replicate, null where a kind is missing. ``cells``: y, a_bin, b_bin, n.
+
+    Replicates go to tasks in runs of ``RUN``, each with all cells, so that draws are summed up where they are made and a replicate is one row.
+    """
+    def area(y: np.ndarray, at: np.ndarray, w: np.ndarray) -> float | None:
+        size = int(at.max()) + 1
+        pos, neg = (np.bincount(at[y == k], w[y == k], size) for k in (1, 0))
+        if not (both := pos.sum() * neg.sum()):
+            return None
+        return float((pos * (np.cumsum(neg) - neg / 2)).sum() / both)
+
+    def run(t: pa.Table) -> pa.Table:
+        order = np.argsort(t["n"].to_numpy(), kind="stable")
+        y, a, b, n = (t[c].to_numpy()[order] for c in ("y", "a_bin", "b_bin", "n"))
+        tails = [f"|{i}|{j}|{k}".encode() for i, j, k in zip(y.tolist(), a.tolist(), b.tolist(), strict=True)]
+        first, md5 = t["run"][0].as_py() * RUN, hashlib.md5
+        ids, areas = range(first, min(first + RUN, replicates)), []
+        for i in ids:
+            head = f"{seed}|{i}".encode()
+            high, low = np.frombuffer(b"".join([md5(head + x).digest() for x in tails]), ">u8").astype(np.uint64).reshape(-1, 2).T
+            u, v = high >> np.uint64(12), (high & np.uint64(0xFFF)) << np.uint64(40) | low >> np.uint64(24)  # 13 hex digits each
+            w = _poisson_numbers(n, u / 2.0**52, v / 2.0**52)
+            areas.append((area(y, a, w), area(y, b, w)))
+        return pa.table({"id": pa.array(ids, pa.int64()), "a": pa.array([x for x, _ in areas], pa.float64()), "b": pa.array([x for _, x in areas], pa.float64())})
+
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = cells.sparkSession.range(-(-replicates // RUN)).withColumnRenamed("id", "run")
+    return cells.crossJoin(F.broadcast(runs)).repartition(parts, "run").groupBy("run").applyInArrow(run, "id long, a double, b double")
 
 
 #: Newton steps at most, and the change of a coefficient that ends them.

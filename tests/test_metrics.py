@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from modlake.operators import metrics as M
 
@@ -140,3 +141,22 @@ def test_fit_risk(spark):
     data = [(x, x * 2 + random.random(), int(x + random.random() * 0.2 > 0.6)) for x in (random.random() for _ in range(400))]
     m = M.fit_risk(spark.createDataFrame(data, "weighted_max double, weighted_sum double, y int"))
     assert m["auroc"] > 0.9
+
+
+def test_bootstrap_draws_are_those_of_its_cells_and_a_replicate_is_one_row(spark):
+    random.seed(8)
+    grid = [(y, a, b, random.choice([1, 2, 7, 30, 31, 400])) for y in (0, 1) for a in range(0, 12, 2) for b in range(5) if random.random() < 0.7]
+    cells = spark.createDataFrame(grid, "y int, a_bin int, b_bin int, n long")
+    one_by_one = cells.crossJoin(spark.range(45)).withColumn("cdf", F.when(F.col("n") <= M.EXACT, M.poisson_cdf(F.col("n"))))
+    drawn = one_by_one.select("id", "y", "a_bin", "b_bin", M.poisson_weight(F.col("n"), F.col("cdf"), F.md5(F.concat_ws("|", F.lit("3"), "id", "y", "a_bin", "b_bin"))).alias("w")).collect()
+
+    def area(i, side):
+        pos, neg = ([(r[side], r.w) for r in drawn if r.id == i and r.y == k] for k in (1, 0))
+        return sum(w * x * ((p > q) + (p == q) / 2) for p, w in pos for q, x in neg) / (sum(w for _, w in pos) * sum(x for _, x in neg))
+
+    got = M.drawn_areas(cells, 45, 3).collect()
+    assert sorted(r.id for r in got) == list(range(45))
+    for r in got:
+        assert r.a == pytest.approx(area(r.id, "a_bin"), abs=1e-12) and r.b == pytest.approx(area(r.id, "b_bin"), abs=1e-12)
+    assert all(r.a is None and r.b is None for r in M.drawn_areas(cells.filter("y = 1"), 21, 0).collect())
+    assert M.drawn_areas(cells.limit(0), 21, 0).count() == 0
