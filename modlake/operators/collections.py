@@ -24,10 +24,11 @@ def describe_label_map(label_map: DataFrame, ontology: DataFrame) -> DataFrame:
 def map_segments(segments: DataFrame, label_map: DataFrame, key: str | list[str], mids: str = "mids") -> DataFrame:
     """Segments with labels: the sorted classes of their mids; those without any are left out.
 
-    The map is a dimension table: it is joined by broadcast where Spark finds it small enough.
+    The map is a dimension table: it is counted, and joined by broadcast if it is small. Spark doesn't know the size of a made map, and
+    would send around the segments instead, or sort all segments of a mid in one task.
     """
     keys = [key] if isinstance(key, str) else key
-    each = segments.select(*keys, F.explode(F.array_distinct(mids)).alias("mid")).join(label_map.select("mid", "class"), "mid")
+    each = lookup(segments.select(*keys, F.explode(F.array_distinct(mids)).alias("mid")), label_map.select("mid", "class"), "mid", "inner")
     return each.groupBy(*keys).agg(F.sort_array(F.collect_set("class")).alias("labels"))
 
 

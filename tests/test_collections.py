@@ -198,3 +198,12 @@ def test_tables_reject_bad_configuration(spark):
     with pytest.raises(ValueError):
         R.threshold_table(spark, 1.5, 0, 0)
     assert json.loads(R.config_text({"a": 1})) == {"a": 1}
+
+
+def test_segments_of_a_frequent_mid_are_not_gathered(spark):
+    segments = spark.range(1000).selectExpr("id AS pos", "array('m', concat('r', id % 3)) AS mids")
+    label_map = spark.createDataFrame([("a", "m"), ("b", "r1"), ("a", "r1"), ("c", "zz")], "class string, mid string")
+    got = C.map_segments(segments, label_map, "pos")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert {r.pos: r.labels for r in got.collect()} == {i: ["a", "b"] if i % 3 == 1 else ["a"] for i in range(1000)}
